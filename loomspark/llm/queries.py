@@ -5,8 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import line_dedup, url_filter
 from .common import documents
+from .decontamination import contaminated
 from .quality import quality
+from .secrets_scan import scan
 from .token_counts import token_counts
 
 
@@ -18,5 +21,21 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_outliers, op2_token_counts)}
-ORACLE: dict[str, str] = {}
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digests(documents(spark, sf_dir))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(documents(spark, sf_dir))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(documents(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_outliers, op2_token_counts, op3_decontamination, op7_line_dedup, op8_secret_scan, op9_url_filter)}
+ORACLE = {"op7_line_dedup": line_dedup.SQL, "op9_url_filter": url_filter.SQL}
