@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from . import line_dedup, url_filter
 from .common import documents
 from .decontamination import contaminated
+from .jaccard_join import near_duplicates
 from .quality import quality
 from .secrets_scan import scan
 from .token_counts import token_counts
+from .toxicity import toxicity
 
 
 def op1_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +27,14 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), words=3, percent=90)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(documents(spark, sf_dir))
 
@@ -37,5 +47,5 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(documents(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_outliers, op2_token_counts, op3_decontamination, op7_line_dedup, op8_secret_scan, op9_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_quality_outliers, op2_token_counts, op3_decontamination, op5_toxicity, op6_ngram_jaccard, op7_line_dedup, op8_secret_scan, op9_url_filter)}
 ORACLE = {"op7_line_dedup": line_dedup.SQL, "op9_url_filter": url_filter.SQL}

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, small, stage
+from .common import lower_ascii, stage
 from .components import connected_components
 
 #: (verdict, rule): the rule's text is a host followed by a path prefix.
@@ -86,7 +86,7 @@ def judge(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES, def
         verdicts = stage(known.unionByName(single), "verdicts")
     else:
         verdicts = stage(explicit.select(F.col("place").alias("at"), F.col("place").alias("component"), "allowed"), "verdicts")
-    out = own.join(small(verdicts, 20_000), F.col("place") == F.col("at"), "left")
+    out = own.join(verdicts, F.col("place") == F.col("at"), "left")
     by_alias = F.when(F.col("allowed") == 1, "allow").when(F.col("allowed") == 0, "block").otherwise(default)
     return out.select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.coalesce("own.verdict", by_alias).alias("verdict"), "place", F.coalesce("component", "place").alias("component"))
 
