@@ -9,6 +9,7 @@ from . import line_dedup, url_filter
 from .common import documents
 from .decontamination import contaminated
 from .jaccard_join import near_duplicates
+from .packing import pack
 from .quality import quality
 from .secrets_scan import scan
 from .token_counts import token_counts
@@ -47,5 +48,9 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(documents(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_outliers, op2_token_counts, op3_decontamination, op5_toxicity, op6_ngram_jaccard, op7_line_dedup, op8_secret_scan, op9_url_filter)}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_outliers, op2_token_counts, op3_decontamination, op5_toxicity, op6_ngram_jaccard, op7_line_dedup, op8_secret_scan, op9_url_filter, op10_packing)}
 ORACLE = {"op7_line_dedup": line_dedup.SQL, "op9_url_filter": url_filter.SQL}
