@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import line_dedup, url_filter
 from .common import documents
 from .decontamination import contaminated
+from .html_extract import main_text
 from .jaccard_join import near_duplicates
 from .packing import pack
 from .quality import quality
@@ -28,6 +29,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(documents(spark, sf_dir, "pages"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
@@ -52,5 +57,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_outliers, op2_token_counts, op3_decontamination, op5_toxicity, op6_ngram_jaccard, op7_line_dedup, op8_secret_scan, op9_url_filter, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality_outliers, op2_token_counts, op3_decontamination, op4_html_extract, op5_toxicity, op6_ngram_jaccard, op7_line_dedup, op8_secret_scan, op9_url_filter, op10_packing)}
 ORACLE = {"op7_line_dedup": line_dedup.SQL, "op9_url_filter": url_filter.SQL}
