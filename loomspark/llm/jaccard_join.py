@@ -6,10 +6,11 @@ n - ceil(t * n) + 1 + m shingles of both share at least 1 + m. Common shingles f
 documents share either one rare shingle or two common shingles of one class. Rare shingles are indexed alone and common
 ones in pairs; m grows with the prefix, so that the pairs stay in proportion to it.
 
-Equal sets are one class from the start. In each index entry the smallest document is compared with the others (a star,
-linear in the entry) and leaves; documents then known to be connected need no comparison among themselves. Only pairs
-between different components remain, and stars repeat until those are few enough to compare one by one. No link between
-components is lost, and no entry is capped.
+Equal sets are one class from the start, and index entries with equal documents are one entry. Entries of up to BLOCK
+documents give all their pairs. In a larger one, some documents are compared with all others (stars, linear in the
+entry) and leave; documents then known to be connected need no comparison among themselves. Only pairs between
+different components remain, and stars, four times as many each round, repeat until those are few enough to compare one
+by one. No link between components is lost, and no entry is capped.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from .components import connected_components
 #: Shingles in at least this many documents count as common; the bound rises until at most COMMON_ROWS are.
 COMMON_DOCS = 16
 COMMON_ROWS = 200_000
+#: Entries of up to this many documents are compared pair by pair; larger ones by stars first.
+BLOCK = 64
 #: Share of the hash range, in proportion to the prefix, whose shingles are counted and can be common.
 COUNTED = 1.8
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
@@ -169,21 +172,45 @@ def _index(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFra
     return single, entries.filter("paired"), reps
 
 
-def _linked(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """Of candidate pairs (a, b) those whose sets link, by comparing the whole sets."""
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _linked(pairs: DataFrame, homes: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """Of candidate pairs (a, b) those whose sets link, by comparing the whole sets.
 
+    Documents of one home, the smallest document that shares an entry, mostly pair among themselves. Pairs are dealt by
+    both homes, large homes in blocks of about BLOCK documents, so that a set travels once per block pair, not per pair.
+    """
     kind = pairs.schema["a"].dataType.simpleString()
-    x, y = whole.select(F.col("doc_id").alias("a"), F.col("whole").alias("x")), whole.select(F.col("doc_id").alias("b"), F.col("whole").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
+    block = F.pmod(F.xxhash64("doc"), F.ceil(F.col("size") / BLOCK))
+    at = homes.select("doc", F.struct("home", block.alias("block")).alias("at"))
+    keyed = pairs.join(at.select(F.col("doc").alias("a"), F.col("at").alias("at_a")), "a").join(at.select(F.col("doc").alias("b"), F.col("at").alias("at_b")), "b")
+    keyed = stage(keyed.select(F.xxhash64(F.least("at_a", "at_b"), F.greatest("at_a", "at_b")).alias("key"), "a", "b"), "pairs")
+    needed = keyed.select("key", F.col("a").alias("doc_id")).unionByName(keyed.select("key", F.col("b").alias("doc_id"))).distinct()
+    sets = needed.join(whole, "doc_id").select(F.col("key").alias("block"), "doc_id", "whole")
+
+    def compare(both: pa.Table, sets: pa.Table) -> pa.Table:
+        of = dict(zip(sets.column("doc_id").to_pylist(), (np.frombuffer(x, np.uint64) for x in sets.column("whole").to_pylist()), strict=True))
+        keep = []
+        for a, b in zip(both.column("a").to_pylist(), both.column("b").to_pylist(), strict=True):
+            x, y = of[a], of[b]
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
+        return both.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return stage(keyed.groupBy("key").cogroup(sets.groupBy("block")).applyInArrow(compare, f"a {kind}, b {kind}"), "links")
+
+
+def _pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: documents of one entry, and of different components where those are given, whose sizes allow a link."""
+    columns = [c for c in ("doc", "n", "c") if c in entries.columns]
+    x, y = (entries.select("sig", *(F.col(c).alias(c + side) for c in columns)) for side in "xy")
+    apart = F.col("cx") != F.col("cy") if "c" in columns else F.lit(True)
+    return x.join(y, "sig").filter((F.col("docx") < F.col("docy")) & apart & _close(percent, "nx", "ny")).select(F.col("docx").alias("a"), F.col("docy").alias("b")).distinct()
+
+
+def _left(rest: DataFrame, parts: DataFrame) -> DataFrame:
+    """Entries that still hold documents of several components, with each document's component c."""
+    named = stage(rest.join(parts, rest.doc == parts.node, "left").select("sig", "doc", "n", F.coalesce("component", "doc").alias("c")), "rest")
+    mixed_sigs = named.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 != c1").select("sig")
+    return stage(named.join(mixed_sigs, "sig", "left_semi"), "rest")
 
 
 def _close(percent: int, x: str, y: str):
@@ -201,32 +228,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sets = stage(_sets(docs, words, percent, False), "sets")
     single, paired, reps = _index(sets, percent)
     entries = stage(single.unionByName(paired).select("sig", "doc", "n").distinct(), "index")
-    shared = entries.groupBy("sig").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
-    entries = stage(entries.join(shared, "sig", "left_semi"), "index")
-    members = entries.select(F.col("doc").alias("doc_id")).distinct()
+    # Entries with the same documents say the same: one of them is kept.
+    shared = entries.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.min("doc").alias("pivot"), F.sum(F.xxhash64("doc").cast("decimal(20,0)")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "doc")).alias("h2")).filter("k > 1")
+    shared = shared.groupBy("k", "h1", "h2").agg(F.min(F.struct("sig", "pivot")).alias("s")).select("s.sig", "s.pivot", "k")
+    entries = stage(entries.join(stage(shared, "entries"), "sig"), "index")
+    homes = entries.groupBy("doc").agg(F.min("pivot").alias("home"))
+    homes = stage(homes, "homes")
+    homes = stage(homes.join(homes.groupBy("home").agg(F.count(F.lit(1)).alias("size")), "home"), "homes")
+    members = homes.select(F.col("doc").alias("doc_id"))
     whole = stage(_sets(docs.select("doc_id", "text").join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"]), words, percent, True), "whole-sets")
-    links, rest, most = None, entries, 2 * entries.count() + 100_000
-    while True:
-        pivots = stage(rest.groupBy("sig").agg(F.min(F.struct("doc", "n")).alias("p")).select("sig", F.col("p.doc").alias("a"), F.col("p.n").alias("an")), "pivots")
-        pairs = rest.join(pivots, "sig").filter((F.col("doc") != F.col("a")) & _close(percent, "n", "an")).select("a", F.col("doc").alias("b")).distinct()
-        found = stage(_linked(pairs, whole, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        parts = connected_components(links)
-        # Pivots have met all of their entry. What is left are entries with documents of several components.
-        rest = rest.join(pivots.select("sig", F.col("a").alias("doc")), ["sig", "doc"], "left_anti").select("sig", "doc", "n")
-        named = stage(rest.join(parts, rest.doc == parts.node, "left").select("sig", "doc", "n", F.coalesce("component", "doc").alias("c")), "rest")
-        mixed_sigs = named.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 != c1").select("sig")
-        named = stage(named.join(mixed_sigs, "sig", "left_semi"), "rest")
+    links = _linked(_pairs(entries.filter(F.col("k") <= BLOCK), percent), homes, whole, percent)
+    rest = stage(entries.filter(F.col("k") > BLOCK).select("sig", "doc", "n"), "rest")
+    parts, stars = connected_components(links), 1
+    while rest.limit(1).count():
+        left = _left(rest, parts)
+        named = left.select("sig", "doc", "n", "c")
         per = named.groupBy("sig", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("sig").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
-        left = per.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).first()[0] or 0
-        if left <= most:
+        count, pairs_left = per.agg(F.sum("k"), F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).first()
+        if (pairs_left or 0) <= 8 * (count or 0) + 100_000:
+            links = links.unionByName(_linked(_pairs(named, percent), homes, whole, percent))
+            parts = connected_components(links)
             break
-        rest = named.select("sig", "doc", "n")
-    if left:
-        x, y = (named.select("sig", *(F.col(c).alias(c + s) for c in ("doc", "n", "c"))) for s in "xy")
-        pairs = x.join(y, "sig").filter((F.col("docx") < F.col("docy")) & (F.col("cx") != F.col("cy")) & _close(percent, "nx", "ny")).select(F.col("docx").alias("a"), F.col("docy").alias("b")).distinct()
-        more = stage(_linked(pairs, whole, percent), "links")
-        parts = connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+        pivots = named.groupBy("sig", F.pmod(F.xxhash64("doc"), F.lit(stars)).alias("star")).agg(F.min(F.struct("doc", "n", "c")).alias("p"))
+        pivots = stage(pivots.select("sig", F.col("p.doc").alias("a"), F.col("p.n").alias("an"), F.col("p.c").alias("ac")), "pivots")
+        pairs = named.join(pivots, "sig").filter((F.col("c") != F.col("ac")) & _close(percent, "n", "an")).select("a", F.col("doc").alias("b")).distinct()
+        links = links.unionByName(_linked(pairs, homes, whole, percent))
+        parts = connected_components(links)
+        # Pivots have met all of their entry.
+        rest = stage(named.join(pivots.select("sig", F.col("a").alias("doc")), ["sig", "doc"], "left_anti").select("sig", "doc", "n"), "rest")
+        stars *= 4
     named = stage(reps.join(parts, reps.doc_id == parts.node, "left").select("set_key", F.coalesce("component", "doc_id").alias("component_id")), "classes")
     out = sets.select("doc_id", "n", "set_key").join(named, "set_key", "left")
     own = (F.col("n") == 0) | F.col("doc_id").isNull()

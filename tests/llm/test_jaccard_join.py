@@ -48,9 +48,10 @@ def corpus(seed, n=240):
     return rows
 
 
-@pytest.mark.parametrize("words,percent,often", [(3, 90, 16), (5, 80, 3), (2, 60, 2)])
-def test_components_equal_brute_force(spark, monkeypatch, words, percent, often):
+@pytest.mark.parametrize("words,percent,often,block", [(3, 90, 16, 64), (5, 80, 3, 4), (2, 60, 2, 2)])
+def test_components_equal_brute_force(spark, monkeypatch, words, percent, often, block):
     monkeypatch.setattr(jaccard_join, "COMMON_DOCS", often)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
     rows = corpus(words)
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words, percent).collect()
     assert {tuple(r) for r in got} == brute(rows, words, percent)
