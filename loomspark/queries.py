@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.arrays import doubles
 from .functions.timeutil import HOUR, micros
-from .operators import joins, sampling, validate, windows
+from .operators import graph, joins, metrics, pooling, sampling, signal, validate, vectors, windows
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -393,3 +394,274 @@ SELECT c_mktsegment, original, sampled, round((sampled / sum(sampled) OVER ()) /
 def _(s, d):
     c = table(s, d, "customer")
     return sampling.sampling_stats(c, sampling.stratified(c, 100, "c_mktsegment", "c_custkey", 3), "c_mktsegment").withColumn("ratio", F.round("ratio", 6))
+
+
+# Vectors, graphs, pooling ------------------------------------------------------------------------------------------
+
+_SCORE = {
+    "cosine": "list_dot_product(q.e, k.e) / (greatest(sqrt(list_dot_product(q.e, q.e)), 1e-12) * greatest(sqrt(list_dot_product(k.e, k.e)), 1e-12))",
+    "dot": "list_dot_product(q.e, k.e)",
+    "l2": "-(list_dot_product(q.e, q.e) - 2 * list_dot_product(q.e, k.e) + list_dot_product(k.e, k.e))",
+}
+
+
+def _vectors(s, d) -> DataFrame:
+    return table(s, d, "embeddings")
+
+
+for _metric, _expr in _SCORE.items():
+
+    @query(
+        f"knn_{_metric}",
+        f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+p AS (SELECT q.vec_id AS query_id, k.vec_id AS key_id, {_expr} AS score FROM v q JOIN v k ON q.vec_id < 20)
+SELECT query_id, key_id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, key_id) AS rank FROM p) WHERE rank <= 5""",
+    )
+    def _(s, d, metric=_metric):
+        v = _vectors(s, d).withColumnRenamed("embedding", "vector")
+        out = vectors.knn(v.filter("vec_id < 20").withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "key_id"), 5, metric)
+        return out.withColumn("score", F.round("score", 6))
+
+
+@query(
+    "knn_graph",
+    """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+p AS (SELECT q.label, q.vec_id AS src, k.vec_id AS dst, round(greatest(list_dot_product(q.e, q.e) - 2 * list_dot_product(q.e, k.e) + list_dot_product(k.e, k.e), 0), 9) AS distance FROM v q JOIN v k USING (label))
+SELECT label, src, dst, round(distance, 6) AS distance, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY label, src ORDER BY distance, dst) AS rank FROM p) WHERE rank <= 3""",
+)
+def _(s, d):
+    return vectors.knn_graph(_vectors(s, d), 3, "label", "vec_id", "embedding").withColumn("distance", F.round("distance", 6))
+
+
+_RETAIN = "SELECT event_type, user_id, us FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY us DESC, event_id DESC, user_id DESC) AS r FROM (SELECT event_type, user_id, max(epoch_us(ts)) AS us, arg_max(event_id, ts) AS event_id FROM events {where} GROUP BY ALL)) WHERE r <= 20"
+
+
+@query("retention_lru", _RETAIN.format(where=""))
+def _(s, d):
+    e = table(s, d, "events").withColumn("us", micros("ts"))
+    return vectors.retain(e, 20, "event_type", "user_id", ["us", "event_id"]).select("event_type", "user_id", "us")
+
+
+@query("retention_fifo", _RETAIN.format(where="WHERE value > 100"))
+def _(s, d):
+    e = table(s, d, "events").filter("value > 100").withColumn("us", micros("ts"))
+    return vectors.retain(e, 20, "event_type", "user_id", ["us", "event_id"]).select("event_type", "user_id", "us")
+
+
+@query("retention_lfu")
+def _(s, d):
+    e = table(s, d, "events").select("event_type", "user_id", "event_id", F.when(F.col("value") > 250, "read").otherwise("write").alias("kind"))
+    return vectors.retain_lfu(e, 20, "event_type", "user_id", "event_id", "kind")
+
+
+@query("usage_counts", "SELECT user_id, count(*)::BIGINT AS uses FROM events GROUP BY 1")
+def _(s, d):
+    return vectors.usage(table(s, d, "events"), "user_id")
+
+
+def _part_graph(s, d):
+    nodes = table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("price"), F.col("p_size").cast("double").alias("size"))
+    edges = table(s, d, "lineitem").select(F.col("l_suppkey").alias("dst"), F.col("l_partkey").alias("src"), F.col("l_quantity").alias("weight"), (F.col("l_discount") * 10 - F.col("l_tax") * 10).alias("score"))
+    return nodes, edges
+
+
+_GRAPH = """n AS (SELECT p_partkey AS id, p_retailprice AS price, p_size::DOUBLE AS size FROM part),
+e AS (SELECT l_suppkey AS dst, l_partkey AS src, l_quantity AS weight, l_discount * 10 - l_tax * 10 AS score FROM lineitem)"""
+
+for _how, _price, _size in (("mean", "avg(n.price)", "avg(n.size)"), ("sum", "sum(n.price)", "sum(n.size)"), ("max", "max(n.price)", "max(n.size)")):
+
+    @query(
+        f"neighbor_{_how}",
+        f"""WITH {_GRAPH}, a AS (SELECT dst, {_price} AS price, {_size} AS size FROM e JOIN n ON e.src = n.id GROUP BY dst)
+SELECT n.id, round(coalesce(a.price, 0), 4) AS price, round(coalesce(a.size, 0), 4) AS size FROM n LEFT JOIN a ON n.id = a.dst""",
+    )
+    def _(s, d, how=_how):
+        nodes, edges = _part_graph(s, d)
+        return graph.neighbor_aggregate(nodes, edges, ["price", "size"], how).select("id", F.round("price", 4).alias("price"), F.round("size", 4).alias("size"))
+
+
+@query(
+    "two_hop",
+    f"""WITH {_GRAPH}, a AS (SELECT dst, sum(n.size * weight) / greatest(count(*), 1) AS size FROM e JOIN n ON e.src = n.id GROUP BY dst),
+h AS (SELECT n.id, coalesce(a.size, 0) AS size FROM n LEFT JOIN a ON n.id = a.dst), b AS (SELECT dst, sum(h.size * weight) / greatest(count(*), 1) AS size FROM e JOIN h ON e.src = h.id GROUP BY dst)
+SELECT n.id, round(coalesce(b.size, 0), 4) AS size FROM n LEFT JOIN b ON n.id = b.dst""",
+)
+def _(s, d):
+    nodes, edges = _part_graph(s, d)
+    return graph.neighbor_aggregate(nodes, edges, ["size"], "mean", hops=2, weight="weight").select("id", F.round("size", 4).alias("size"))
+
+
+@query(
+    "edge_softmax",
+    f"""WITH {_GRAPH}, s AS (SELECT dst, src, CASE WHEN score > 0 THEN score ELSE 0.2 * score END AS s FROM e),
+w AS (SELECT dst, src, exp(s - max(s) OVER (PARTITION BY dst)) AS w FROM s),
+a AS (SELECT dst, sum(w * n.price) / sum(w) AS price FROM w JOIN n ON w.src = n.id GROUP BY dst)
+SELECT n.id, round(coalesce(a.price, 0), 4) AS price FROM n LEFT JOIN a ON n.id = a.dst""",
+)
+def _(s, d):
+    nodes, edges = _part_graph(s, d)
+    return graph.edge_softmax(nodes, edges, ["price"]).withColumn("price", F.round("price", 4))
+
+
+@query("graph_pool", "SELECT n_nationkey AS graph, round(coalesce(avg(s_acctbal), 0), 4) AS bal FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
+def _(s, d):
+    nodes = table(s, d, "supplier").select(F.col("s_nationkey").alias("graph"), F.col("s_acctbal").alias("bal"))
+    graphs = table(s, d, "nation").select(F.col("n_nationkey").alias("graph"))
+    return graph.graph_pool(nodes, graphs, "graph", ["bal"]).withColumn("bal", F.round("bal", 4))
+
+
+_POS = "SELECT vec_id, label, (generate_subscripts(embedding, 1) - 1)::INT AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings"
+
+for _how, _agg in (("mean", "coalesce(sum(x) FILTER (WHERE vec_id % 3 != 0), 0) / greatest(count(*) FILTER (WHERE vec_id % 3 != 0), 1e-9)"), ("sum", "coalesce(sum(x) FILTER (WHERE vec_id % 3 != 0), 0)"), ("max", "coalesce(max(x) FILTER (WHERE vec_id % 3 != 0), -1e9)")):
+
+    @query(f"group_pool_{_how}", f"SELECT label, pos, round({_agg}, 6) AS value FROM ({_POS}) GROUP BY ALL")
+    def _(s, d, how=_how):
+        return pooling.masked_pool(_vectors(s, d), "label", "embedding", F.col("vec_id") % 3 != 0, how).withColumn("value", F.round("value", 6))
+
+
+@query(
+    "attention_pool",
+    f"""SELECT label, pos, round(sum(w * x) / sum(w), 6) AS value FROM (SELECT *, exp(s - max(s) OVER (PARTITION BY label)) AS w FROM (SELECT *, (vec_id % 7)::DOUBLE AS s FROM ({_POS}))) GROUP BY ALL""",
+)
+def _(s, d):
+    return pooling.attention_pool(_vectors(s, d), "label", "embedding", F.col("vec_id") % 7).withColumn("value", F.round("value", 6))
+
+
+@query(
+    "pair_summary",
+    """WITH l AS (SELECT *, row_number() OVER () AS i FROM lineitem)
+SELECT a.l_orderkey, a.l_linenumber, round(avg(a.l_quantity - b.l_quantity), 6) AS mean_diff, round(avg(a.l_quantity * b.l_quantity), 6) AS mean_product
+FROM l a JOIN l b USING (l_orderkey) GROUP BY a.i, a.l_orderkey, a.l_linenumber""",
+)
+def _(s, d):
+    p = pooling.pair_summary(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_orderkey", "l_quantity")
+    return p.select("l_orderkey", "l_linenumber", r6(F.col("mean_diff"), "mean_diff"), r6(F.col("mean_product"), "mean_product"))
+
+
+@query("padding_mask", "SELECT doc_id, list_sum(list_transform(string_split(text, ' '), lambda t: (t != 'the')::INT))::BIGINT AS kept FROM documents")
+def _(s, d):
+    words = table(s, d, "documents").select("doc_id", F.transform(F.split("text", " "), lambda t: F.when(t == "the", 0).otherwise(1)).alias("tokens"))
+    return words.select("doc_id", F.size(F.filter(pooling.padding_mask("tokens", 0), lambda k: k)).cast("long").alias("kept"))
+
+
+# Signals and metrics -----------------------------------------------------------------------------------------------
+
+
+@query(
+    "causal_filter",
+    """SELECT event_type, day, round(total + 0.5 * coalesce(lag(total, 2) OVER w, 0) + 0.25 * coalesce(lag(total, 4) OVER w, 0), 6) AS filtered FROM (
+SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, sum(value) AS total FROM events GROUP BY ALL) WINDOW w AS (PARTITION BY event_type ORDER BY day)""",
+)
+def _(s, d):
+    days = table(s, d, "events").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.sum("value").alias("total"))
+    return signal.causal_filter(days, [1.0, 0.5, 0.25], "total", ["event_type"], ["day"], 2).select("event_type", "day", r6(F.col("filtered"), "filtered"))
+
+
+@query("positional_time", "SELECT event_id, round(sin(h), 6) AS sin_0, round(cos(h), 6) AS cos_0, round(sin(h * 0.01), 6) AS sin_1, round(cos(h * 0.01), 6) AS cos_1 FROM (SELECT event_id, hour(ts)::DOUBLE AS h FROM events)")
+def _(s, d):
+    return table(s, d, "events").select("event_id", *(r6(c, n) for n, c in signal.positional(F.hour("ts").cast("double"), 4).items()))
+
+
+@query(
+    "nucleus",
+    """WITH x AS (SELECT p_brand, p_partkey, p_retailprice / 200 AS l FROM part), k AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY p_brand ORDER BY l DESC) AS r FROM x) WHERE r <= 10),
+e AS (SELECT *, exp(l - max(l) OVER (PARTITION BY p_brand)) AS e FROM k), q AS (SELECT *, e / sum(e) OVER (PARTITION BY p_brand) AS prob FROM e),
+b AS (SELECT *, coalesce(sum(prob) OVER (PARTITION BY p_brand ORDER BY l DESC, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM q)
+SELECT p_brand, p_partkey, round(prob, 6) AS prob FROM b WHERE b <= 0.7""",
+)
+def _(s, d):
+    p = table(s, d, "part").withColumn("logit", F.col("p_retailprice") / 200)
+    return signal.nucleus(p, "p_brand", "p_partkey", "logit", 10, 0.7).withColumn("prob", F.round("prob", 6))
+
+
+@query("argmax_item", "SELECT p_brand, p_partkey, 1.0::DOUBLE AS prob FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS r FROM part) WHERE r = 1")
+def _(s, d):
+    return signal.nucleus(table(s, d, "part"), "p_brand", "p_partkey", "p_retailprice", temperature=0)
+
+
+_PMF = """e AS (SELECT user_id, event_id, row_number() OVER w AS n, least(value / 1000, 0.9) AS h, lead(1) OVER w IS NULL AS last FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+a AS (SELECT *, coalesce(product(1 - h) OVER (PARTITION BY user_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS alive FROM e),
+p AS (SELECT user_id, event_id, n, CASE WHEN last THEN alive ELSE alive * h END AS pmf FROM a)"""
+
+
+def _hazard(s, d):
+    from pyspark.sql import Window
+
+    e = table(s, d, "events").withColumn("h", F.least(F.col("value") / 1000, F.lit(0.9))).withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    return signal.stopping_pmf(e, "user_id", ["ts", "event_id"], "h")
+
+
+@query("hazard_pmf", f"WITH {_PMF} SELECT event_id, round(pmf, 6) AS pmf FROM p")
+def _(s, d):
+    return _hazard(s, d).select("event_id", r6(F.col("pmf"), "pmf"))
+
+
+@query(
+    "stopping_kl",
+    f"""WITH {_PMF}, m AS (SELECT user_id, sum(pmf * n) AS m FROM p GROUP BY 1)
+SELECT user_id, round(any_value(m), 5) AS mean_steps, round(sum(CASE WHEN pmf > 0 THEN pmf * (ln(pmf) - (n - 1) * ln(1 - 1 / m) - ln(1 / m)) ELSE 0 END), 5) AS kl FROM p JOIN m USING (user_id) GROUP BY 1""",
+)
+def _(s, d):
+    return signal.geometric_kl(_hazard(s, d), "user_id").select("user_id", F.round("mean_steps", 5).alias("mean_steps"), F.round("kl", 5).alias("kl"))
+
+
+def _views(s, d):
+    v = _vectors(s, d).filter("vec_id < 400")
+    return v.select((F.col("vec_id") % 5).alias("batch"), F.floor(F.col("vec_id") / 10).alias("pair"), (F.floor(F.col("vec_id") / 5) % 2).alias("view"), "label", "embedding")
+
+
+_VIEWS = "v AS (SELECT vec_id, vec_id % 5 AS batch, vec_id // 10 AS pair, (vec_id // 5) % 2 AS view, label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 400)"
+
+
+def _nce(same: str) -> str:
+    return f"""WITH {_VIEWS}, s AS (SELECT a.batch, a.vec_id, list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) / 0.5 AS s, {same} AS pos FROM v a JOIN v b ON a.batch = b.batch AND a.vec_id != b.vec_id),
+l AS (SELECT batch, vec_id, avg(s) FILTER (WHERE pos) AS sp, ln(sum(exp(s))) AS z FROM s GROUP BY ALL) SELECT batch, round(avg(z - sp), 6) AS loss FROM l WHERE sp IS NOT NULL GROUP BY 1"""
+
+
+@query("info_nce", _nce("a.pair = b.pair"))
+def _(s, d):
+    return metrics.info_nce(_views(s, d), "batch", "pair", "view", "embedding", 0.5).withColumn("loss", F.round("loss", 6))
+
+
+@query("supervised_nce", _nce("a.label = b.label"))
+def _(s, d):
+    return metrics.info_nce(_views(s, d), "batch", "pair", "view", "embedding", 0.5, "label").withColumn("loss", F.round("loss", 6))
+
+
+@query(
+    "queue_loss",
+    """WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS e FROM embeddings),
+p AS (SELECT a.vec_id, a.e AS q, list_dot_product(a.e, b.e) / 0.2 AS pos FROM v a JOIN v b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id >= 64),
+n AS (SELECT p.vec_id, any_value(pos) AS pos, sum(exp(list_dot_product(p.q, v.e) / 0.2)) AS neg FROM p JOIN v ON v.vec_id < 64 GROUP BY 1)
+SELECT count(*)::BIGINT AS n, round(avg(ln(exp(pos) + neg) - pos), 6) AS loss FROM n""",
+)
+def _(s, d):
+    v = _vectors(s, d)
+    pairs = v.filter("vec_id >= 64").select("vec_id", F.col("embedding").alias("q")).join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("k")), "vec_id")
+    return metrics.queue_loss(pairs, v.filter("vec_id < 64"), "q", "k", "embedding", 0.2).withColumn("loss", F.round("loss", 6))
+
+
+@query(
+    "gaussian_kl",
+    """WITH h AS (SELECT embedding[1:32]::DOUBLE[] AS m, embedding[33:64]::DOUBLE[] AS v FROM embeddings),
+k AS (SELECT -0.5 * list_sum(list_transform(generate_series(1, 32), lambda i: 1 + v[i] - m[i] * m[i] - exp(v[i]))) AS k, list_sum(list_transform(generate_series(1, 32), lambda i: (m[i] - v[i]) * (m[i] - v[i]))) AS s FROM h)
+SELECT count(*)::BIGINT AS n, round(sum(s) / (32 * count(*)), 6) AS mse, round(avg(k), 6) AS kl, round(sum(s) / (32 * count(*)) + 2 * avg(k), 6) AS loss FROM k""",
+)
+def _(s, d):
+    e = doubles("embedding")
+    mu, logvar = F.slice(e, 1, 32), F.slice(e, 33, 32)
+    out = metrics.vae_loss(_vectors(s, d), mu, logvar, mu, logvar, 2.0)
+    return out.select("n", *(r6(F.col(c), c) for c in ("mse", "kl", "loss")))
+
+
+for _how, _expr in (("average", "(a.e[i] + b.e[i]) / 2"), ("product", "a.e[i] * b.e[i]")):
+
+    @query(
+        f"fuse_{_how}",
+        f"""WITH a AS (SELECT vec_id, embedding[1:32]::DOUBLE[] AS e FROM embeddings), b AS (SELECT vec_id, embedding[33:64]::DOUBLE[] AS e FROM embeddings WHERE vec_id % 2 = 0)
+SELECT vec_id, (i - 1)::INT AS pos, round({_expr}, 6) AS value FROM a JOIN b USING (vec_id), unnest(generate_series(1, 32)) AS u(i)""",
+    )
+    def _(s, d, how=_how):
+        v = _vectors(s, d)
+        a, b = v.select("vec_id", F.slice("embedding", 1, 32).alias("a")), v.filter("vec_id % 2 = 0").select("vec_id", F.slice("embedding", 33, 32).alias("b"))
+        return joins.combine(a, b, "vec_id", "a", "b", how).select("vec_id", F.posexplode("fused").alias("pos", "value")).withColumn("value", F.round("value", 6))
