@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .functions.arrays import doubles
 from .functions.timeutil import HOUR, micros
+from .plans import features
+from .sources import versions
 from .operators import graph, joins, metrics, pooling, sampling, signal, validate, vectors, windows
 
 QUERIES: dict = {}
@@ -665,3 +667,101 @@ SELECT vec_id, (i - 1)::INT AS pos, round({_expr}, 6) AS value FROM a JOIN b USI
         v = _vectors(s, d)
         a, b = v.select("vec_id", F.slice("embedding", 1, 32).alias("a")), v.filter("vec_id % 2 = 0").select("vec_id", F.slice("embedding", 33, 32).alias("b"))
         return joins.combine(a, b, "vec_id", "a", "b", how).select("vec_id", F.posexplode("fused").alias("pos", "value")).withColumn("value", F.round("value", 6))
+
+
+# Features and versions ---------------------------------------------------------------------------------------------
+
+
+@query(
+    "features_derived",
+    """WITH m AS (SELECT vec_id, embedding::DOUBLE[] AS e, list_avg(embedding::DOUBLE[]) AS mean, list_stddev_samp(embedding::DOUBLE[]) AS std FROM embeddings)
+SELECT vec_id, round(mean, 6) AS mean, round(std, 6) AS std, round((e[1] - mean) / (std + 1e-6), 6) AS first_z FROM m""",
+)
+def _(s, d):
+    store = features.FeatureStore()
+    store.register(features.Feature("mean", lambda df: features.array_mean(doubles("embedding"))))
+    store.register(features.Feature("std", lambda df: features.array_std(doubles("embedding"))))
+    store.register(features.Feature("first_z", lambda df: features.standardised(doubles("embedding")[0], df["mean"], df["std"]), ["mean", "std"]))
+    out = store.compute(_vectors(s, d).select("vec_id", "embedding"), ["mean", "std", "first_z"])
+    return out.select("vec_id", *(r6(F.col(c), c) for c in ("mean", "std", "first_z")))
+
+
+def _diamond() -> features.FeatureStore:
+    store = features.FeatureStore()
+    store.register(features.Feature("A", lambda df: F.col("l_quantity") * 2))
+    store.register(features.Feature("B", lambda df: df["A"] + 1, ["A"]))
+    store.register(features.Feature("C", lambda df: df["A"] * 3, ["A"]))
+    store.register(features.Feature("D", lambda df: df["B"] + df["C"], ["B", "C"]))
+    return store
+
+
+@query("feature_diamond", "SELECT l_orderkey, l_linenumber, l_quantity, l_quantity * 2 + 1 + l_quantity * 6 AS D FROM lineitem")
+def _(s, d):
+    return _diamond().compute(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), ["D"])
+
+
+def _edited(o: DataFrame) -> DataFrame:
+    price = F.when(F.col("o_orderkey") % 50 == 0, F.col("o_totalprice") + 10).otherwise(F.col("o_totalprice"))
+    return o.filter("o_orderkey % 97 != 1").withColumn("o_totalprice", price)
+
+
+_EDITED = "(SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 50 = 0 THEN o_totalprice + 10 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 97 != 1)"
+
+
+def _orders(s, d):
+    return table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+
+
+@query(
+    "version_diff",
+    f"""WITH j AS (SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, a.o_custkey AS c0, b.o_custkey AS c1, a.o_orderstatus AS s0, b.o_orderstatus AS s1, a.o_totalprice AS p0, b.o_totalprice AS p1
+FROM orders a FULL JOIN {_EDITED} b ON a.o_orderkey = b.o_orderkey)
+SELECT o_orderkey, 'o_custkey' AS "column", c0::VARCHAR AS old, c1::VARCHAR AS new FROM j WHERE c0 IS DISTINCT FROM c1
+UNION ALL SELECT o_orderkey, 'o_orderstatus', s0, s1 FROM j WHERE s0 IS DISTINCT FROM s1
+UNION ALL SELECT o_orderkey, 'o_totalprice', printf('%.2f', p0), printf('%.2f', p1) FROM j WHERE p0 IS DISTINCT FROM p1""",
+)
+def _(s, d):
+    cells = versions.changed_cells(_orders(s, d), _edited(_orders(s, d)), "o_orderkey")
+    money = lambda c: F.when(F.col("column") == "o_totalprice", F.format_string("%.2f", F.col(c).cast("double"))).otherwise(F.col(c))
+    return cells.select("o_orderkey", "column", F.when(F.col("old").isNotNull(), money("old")).alias("old"), F.when(F.col("new").isNotNull(), money("new")).alias("new"))
+
+
+
+
+@query(
+    "version_stats",
+    """SELECT 'o_custkey' AS "column", round(avg(o_custkey), 4) AS mean, round(stddev_samp(o_custkey), 4) AS std, min(o_custkey)::DOUBLE AS min, max(o_custkey)::DOUBLE AS max, round(sqrt(sum(o_custkey::DOUBLE * o_custkey)), 4) AS norm FROM orders
+UNION ALL SELECT 'o_totalprice', round(avg(o_totalprice), 4), round(stddev_samp(o_totalprice), 4), min(o_totalprice), max(o_totalprice), round(sqrt(sum(o_totalprice * o_totalprice)), 4) FROM orders""",
+)
+def _(s, d):
+    st = versions.statistics(_orders(s, d), "o_orderkey")
+    return st.select("column", *(F.round(c, 4).alias(c) for c in ("mean", "std", "min", "max", "norm")))
+
+
+@query(
+    "version_reconstruct",
+    f"""SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 30 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, round(o_totalprice, 2) AS o_totalprice FROM {_EDITED}
+UNION ALL SELECT -o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 2) FROM orders WHERE o_orderkey % 41 = 0 AND o_orderkey > 0""",
+)
+def _(s, d):
+    v0 = _orders(s, d)
+    v1 = _edited(v0)
+    v2 = v1.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 30 == 0, "X").otherwise(F.col("o_orderstatus")))
+    v3 = v2.unionByName(v0.filter("o_orderkey % 41 = 0 AND o_orderkey > 0").withColumn("o_orderkey", -F.col("o_orderkey")))
+    chain = [versions.delta(a, b, "o_orderkey") for a, b in ((v0, v1), (v1, v2), (v2, v3))]
+    return versions.apply_deltas(v0, chain, "o_orderkey").withColumn("o_totalprice", F.round("o_totalprice", 2))
+
+
+@query("merge_mean", "SELECT c_custkey, c_mktsegment, round(c_acctbal + CASE WHEN c_custkey % 2 = 0 THEN 5 ELSE 0 END, 4) AS c_acctbal FROM customer")
+def _(s, d):
+    c = table(s, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    theirs = c.withColumn("c_acctbal", F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal") + 10).otherwise(F.col("c_acctbal")))
+    return versions.merged(c, theirs, "c_custkey", "mean").withColumn("c_acctbal", F.round("c_acctbal", 4))
+
+
+@query("fingerprint")
+def _(s, d):
+    names = ["orders", "customer", "lineitem", "events", "embeddings"]
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, (table(s, d, n).agg(*versions._hashes(table(s, d, n))).withColumn("table", F.lit(n)) for n in names))
