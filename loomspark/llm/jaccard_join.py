@@ -10,7 +10,8 @@ Equal sets are one class from the start, and index entries with equal documents
 documents give all their pairs. In a larger one, some documents are compared with all others (stars, linear in the
 entry) and leave; documents then known to be connected need no comparison among themselves. Only pairs between
 different components remain, and stars, four times as many each round, repeat until those are few enough to compare one
-by one. No link between components is lost, and no entry is capped.
+by one. No link between components is lost, and no entry is capped. A pair is refused by an upper bound from two-bit bucket counts where that
+suffices; otherwise whole sets decide.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import small, stage
 from .components import connected_components
 
 #: Shingles in at least this many documents count as common; the bound rises until at most COMMON_ROWS are.
@@ -100,14 +101,36 @@ def signatures(tokens: np.ndarray, n: int, percent: int, common: np.ndarray, bou
     return singles, np.concatenate(pairs) if pairs else np.empty(0, np.uint64)
 
 
+def sketch(s: np.ndarray) -> tuple[bytes, int]:
+    """Counts of a set's hashes in 2 to 4 times as many buckets, two bits each, and what counts over 3 have lost."""
+    buckets = 1 << max(6, (2 * len(s) - 1).bit_length())
+    counts = np.bincount((s & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+    low = np.minimum(counts, 3).astype(np.uint8).reshape(-1, 4)
+    return (low[:, 0] | low[:, 1] << 2 | low[:, 2] << 4 | low[:, 3] << 6).tobytes(), int((counts - np.minimum(counts, 3)).sum())
+
+
+def _counts(packed: bytes) -> np.ndarray:
+    p = np.frombuffer(packed, np.uint8)
+    return np.stack([p & 3, p >> 2 & 3, p >> 4 & 3, p >> 6], 1).ravel()
+
+
+def most_shared(x: np.ndarray, y: np.ndarray) -> int:
+    """An upper bound of the sets' overlap from their bucket counts, without what was lost."""
+    if len(x) > len(y):
+        x, y = y, x
+    if len(x) < len(y):
+        y = y.reshape(-1, len(x)).sum(0)
+    return int(np.minimum(x, y).sum())
+
+
 def _sets(docs: DataFrame, words: int, percent: int, whole: bool) -> DataFrame:
-    """(doc_id, n, set_key, tokens): tokens are the least shingles, or whole sets in bytes."""
+    """(doc_id, n, set_key, tokens, sketch, lost): tokens are the least shingles; or (doc_id, whole) with sets in bytes."""
     share = min(1.0, COUNTED * (1 - percent / 100))
     bound = np.uint64(int(share * (2**64 - 1)))
 
     def run(batches):
         for batch in batches:
-            n, keys, out = [], [], []
+            n, keys, out, packed, lost = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text, words)
                 n.append(len(s))
@@ -115,6 +138,9 @@ def _sets(docs: DataFrame, words: int, percent: int, whole: bool) -> DataFrame:
                     out.append(s.tobytes())
                     continue
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                bits, over = sketch(s)
+                packed.append(bits)
+                lost.append(over)
                 size = len(s)
                 need = prefix_base(size, percent) + max(class_counts(size, percent)) if size else 0
                 out.append(s[: max(need, int(np.searchsorted(s, bound)))].view(np.int64))
@@ -124,10 +150,10 @@ def _sets(docs: DataFrame, words: int, percent: int, whole: bool) -> DataFrame:
                 offsets = np.cumsum([0, *map(len, out)])
                 flat = np.concatenate(out) if out else np.empty(0, np.int64)
                 tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), tokens], names=["doc_id", "n", "set_key", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), tokens, pa.array(packed, pa.binary()), pa.array(lost, pa.int32())], names=["doc_id", "n", "set_key", "tokens", "sketch", "lost"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, whole binary" if whole else f"doc_id {kind}, n long, set_key binary, tokens array<long>"
+    schema = f"doc_id {kind}, whole binary" if whole else f"doc_id {kind}, n long, set_key binary, tokens array<long>, sketch binary, lost int"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -172,11 +198,11 @@ def _index(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFra
     return single, entries.filter("paired"), reps
 
 
-def _linked(pairs: DataFrame, homes: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """Of candidate pairs (a, b) those whose sets link, by comparing the whole sets.
+def _compared(pairs: DataFrame, homes: DataFrame, data: DataFrame, test) -> DataFrame:
+    """The pairs (a, b) for which test(data of a, data of b) holds. data: doc_id and other columns, a row per document.
 
     Documents of one home, the smallest document that shares an entry, mostly pair among themselves. Pairs are dealt by
-    both homes, large homes in blocks of about BLOCK documents, so that a set travels once per block pair, not per pair.
+    both homes, large homes in blocks of about BLOCK documents, so that data travels once per block pair, not per pair.
     """
     kind = pairs.schema["a"].dataType.simpleString()
     block = F.pmod(F.xxhash64("doc"), F.ceil(F.col("size") / BLOCK))
@@ -184,18 +210,41 @@ def _linked(pairs: DataFrame, homes: DataFrame, whole: DataFrame, percent: int)
     keyed = pairs.join(at.select(F.col("doc").alias("a"), F.col("at").alias("at_a")), "a").join(at.select(F.col("doc").alias("b"), F.col("at").alias("at_b")), "b")
     keyed = stage(keyed.select(F.xxhash64(F.least("at_a", "at_b"), F.greatest("at_a", "at_b")).alias("key"), "a", "b"), "pairs")
     needed = keyed.select("key", F.col("a").alias("doc_id")).unionByName(keyed.select("key", F.col("b").alias("doc_id"))).distinct()
-    sets = needed.join(whole, "doc_id").select(F.col("key").alias("block"), "doc_id", "whole")
+    sent = needed.join(data, "doc_id").withColumnRenamed("key", "block")
 
-    def compare(both: pa.Table, sets: pa.Table) -> pa.Table:
-        of = dict(zip(sets.column("doc_id").to_pylist(), (np.frombuffer(x, np.uint64) for x in sets.column("whole").to_pylist()), strict=True))
-        keep = []
-        for a, b in zip(both.column("a").to_pylist(), both.column("b").to_pylist(), strict=True):
-            x, y = of[a], of[b]
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
+    def run(both: pa.Table, sent: pa.Table) -> pa.Table:
+        of = dict(zip(sent.column("doc_id").to_pylist(), sent.drop_columns(["block", "doc_id"]).to_pylist(), strict=True))
+        keep = [test(of[a], of[b]) for a, b in zip(both.column("a").to_pylist(), both.column("b").to_pylist(), strict=True)]
         return both.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return stage(keyed.groupBy("key").cogroup(sets.groupBy("block")).applyInArrow(compare, f"a {kind}, b {kind}"), "links")
+    return stage(keyed.groupBy("key").cogroup(sent.groupBy("block")).applyInArrow(run, f"a {kind}, b {kind}"), "compared")
+
+
+class Verifier:
+    """Decides candidate pairs: by bounds from sketches first, then, for what is left, by whole sets made from the texts."""
+
+    def __init__(self, docs: DataFrame, sets: DataFrame, homes: DataFrame, words: int, percent: int):
+        self.docs, self.homes, self.words, self.percent = docs, homes, words, percent
+        own = sets.join(homes.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
+        self.sketches = stage(own.select("doc_id", "n", "sketch", "lost").dropDuplicates(["doc_id"]), "sketches")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        percent = self.percent
+
+        def may(x: dict, y: dict) -> bool:
+            shared = min(most_shared(_counts(x["sketch"]), _counts(y["sketch"])) + x["lost"] + y["lost"], x["n"], y["n"])
+            return 100 * shared >= percent * (x["n"] + y["n"] - shared)
+
+        def do(x: dict, y: dict) -> bool:
+            x, y = np.frombuffer(x["whole"], np.uint64), np.frombuffer(y["whole"], np.uint64)
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+        close = _compared(pairs, self.homes, self.sketches, may)
+        ids = stage(close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct(), "close")
+        texts = self.docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi")
+        whole = stage(_sets(texts, self.words, percent, True).dropDuplicates(["doc_id"]), "whole-sets")
+        return _compared(close, self.homes, whole, do)
 
 
 def _pairs(entries: DataFrame, percent: int) -> DataFrame:
@@ -235,9 +284,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     homes = entries.groupBy("doc").agg(F.min("pivot").alias("home"))
     homes = stage(homes, "homes")
     homes = stage(homes.join(homes.groupBy("home").agg(F.count(F.lit(1)).alias("size")), "home"), "homes")
-    members = homes.select(F.col("doc").alias("doc_id"))
-    whole = stage(_sets(docs.select("doc_id", "text").join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"]), words, percent, True), "whole-sets")
-    links = _linked(_pairs(entries.filter(F.col("k") <= BLOCK), percent), homes, whole, percent)
+    verifier = Verifier(docs, sets, homes, words, percent)
+    links = verifier.links(_pairs(entries.filter(F.col("k") <= BLOCK), percent))
     rest = stage(entries.filter(F.col("k") > BLOCK).select("sig", "doc", "n"), "rest")
     parts, stars = connected_components(links), 1
     while rest.limit(1).count():
@@ -246,13 +294,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         per = named.groupBy("sig", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("sig").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
         count, pairs_left = per.agg(F.sum("k"), F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).first()
         if (pairs_left or 0) <= 8 * (count or 0) + 100_000:
-            links = links.unionByName(_linked(_pairs(named, percent), homes, whole, percent))
+            links = links.unionByName(verifier.links(_pairs(named, percent)))
             parts = connected_components(links)
             break
         pivots = named.groupBy("sig", F.pmod(F.xxhash64("doc"), F.lit(stars)).alias("star")).agg(F.min(F.struct("doc", "n", "c")).alias("p"))
         pivots = stage(pivots.select("sig", F.col("p.doc").alias("a"), F.col("p.n").alias("an"), F.col("p.c").alias("ac")), "pivots")
         pairs = named.join(pivots, "sig").filter((F.col("c") != F.col("ac")) & _close(percent, "n", "an")).select("a", F.col("doc").alias("b")).distinct()
-        links = links.unionByName(_linked(pairs, homes, whole, percent))
+        links = links.unionByName(verifier.links(pairs))
         parts = connected_components(links)
         # Pivots have met all of their entry.
         rest = stage(named.join(pivots.select("sig", F.col("a").alias("doc")), ["sig", "doc"], "left_anti").select("sig", "doc", "n"), "rest")

@@ -63,3 +63,16 @@ def test_odd_rows(spark, odd_docs):
     assert near_duplicates(odd_docs.limit(0), 3, 90).count() == 0
     kept = one_of_each(odd_docs)
     assert kept.count() == 8 and kept.columns == odd_docs.columns
+
+
+def test_sketch_never_refuses_a_link():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n = int(rng.integers(1, 700))
+        x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[: int(len(x) * rng.random())], rng.integers(0, 2**63, int(rng.integers(0, 300)), dtype=np.uint64)]))
+        (a, lost_a), (b, lost_b) = jaccard_join.sketch(x), jaccard_join.sketch(y)
+        bound = jaccard_join.most_shared(jaccard_join._counts(a), jaccard_join._counts(b)) + lost_a + lost_b
+        assert bound >= len(np.intersect1d(x, y))
