@@ -33,6 +33,8 @@ COMMON_DOCS = 16
 COMMON_ROWS = 200_000
 #: Entries of up to this many documents are compared pair by pair; larger ones by stars first.
 BLOCK = 64
+#: Pairs per row of large entries that are compared one by one rather than by more stars.
+PAIRS_PER_ROW = 40
 #: Share of the hash range, in proportion to the prefix, whose shingles are counted and can be common.
 COUNTED = 1.8
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
@@ -293,7 +295,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         named = left.select("sig", "doc", "n", "c")
         per = named.groupBy("sig", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("sig").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
         count, pairs_left = per.agg(F.sum("k"), F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).first()
-        if (pairs_left or 0) <= 8 * (count or 0) + 100_000:
+        if (pairs_left or 0) <= PAIRS_PER_ROW * (count or 0) + 1_000_000:
             links = links.unionByName(verifier.links(_pairs(named, percent)))
             parts = connected_components(links)
             break
