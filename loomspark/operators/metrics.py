@@ -14,13 +14,13 @@ def info_nce(views: DataFrame, batch: str, pair: str, view: str, vector: str, te
     Positives share the pair id, or the label if one is given (then the mean over them). The pair join is within
     batches, whose size the training fixes; log-sum-exp is shifted by the maximum cosine 1.
     """
-    v = views.select(batch, pair, view, *([label] if label else []), normalized(F.col(vector).cast("array<double>")).alias("v"))
+    v = views.select(batch, pair, view, *([label] if label else []), normalized(F.col(vector).cast("array<double>")).alias("_vec"))
     a, b = v.alias("a"), v.alias("b")
     other = (F.col(f"a.{batch}") == F.col(f"b.{batch}")) & ~((F.col(f"a.{pair}") == F.col(f"b.{pair}")) & (F.col(f"a.{view}") == F.col(f"b.{view}")))
-    s = dot(F.col("a.v"), F.col("b.v")) / temperature
+    s = dot(F.col("a._vec"), F.col("b._vec")) / temperature
     positive = F.col(f"a.{label}") == F.col(f"b.{label}") if label else F.col(f"a.{pair}") == F.col(f"b.{pair}")
-    p = a.join(b, other).select(F.col(f"a.{batch}").alias(batch), F.col(f"a.{pair}").alias("p"), F.col(f"a.{view}").alias("w"), s.alias("s"), positive.alias("pos"))
-    each = p.groupBy(batch, "p", "w").agg(F.avg(F.when(F.col("pos"), F.col("s"))).alias("s"), (F.log(F.sum(F.exp(F.col("s") - 1 / temperature))) + 1 / temperature).alias("z"))
+    p = a.join(b, other).select(F.col(f"a.{batch}").alias(batch), F.col(f"a.{pair}").alias("_p"), F.col(f"a.{view}").alias("_w"), s.alias("s"), positive.alias("pos"))
+    each = p.groupBy(batch, "_p", "_w").agg(F.avg(F.when(F.col("pos"), F.col("s"))).alias("s"), (F.log(F.sum(F.exp(F.col("s") - 1 / temperature))) + 1 / temperature).alias("z"))
     return each.filter("s IS NOT NULL").groupBy(batch).agg(F.avg(F.col("z") - F.col("s")).alias("loss"))
 
 

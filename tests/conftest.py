@@ -25,7 +25,7 @@ def events(spark):
     """make(values by key and milliseconds): a table (event_id, ts, key, value)."""
 
     def make(rows):
-        data = [(i, t, k, float(v)) for i, (k, t, v) in enumerate(rows)]
+        data = [(i, float(t), k, float(v)) for i, (k, t, v) in enumerate(rows)]
         return spark.createDataFrame(data, "event_id long, ms double, key string, value double").selectExpr("event_id", "timestamp_micros(cast(ms * 1000 as bigint)) AS ts", "key", "value")
 
     return make
