@@ -6,11 +6,11 @@ n - ceil(t * n) + 1 + m shingles of both share at least 1 + m. Common shingles f
 documents share either one rare shingle or two common shingles of one class. Rare shingles are indexed alone and common
 ones in pairs; m grows with the prefix, so that the pairs stay in proportion to it.
 
-Equal sets are one class from the start, and index entries with equal documents are one entry. Entries of up to BLOCK
-documents give all their pairs. In a larger one, some documents are compared with all others (stars, linear in the
-entry) and leave; documents then known to be connected need no comparison among themselves. Only pairs between
-different components remain, and stars, four times as many each round, repeat until those are few enough to compare one
-by one. No link between components is lost, and no entry is capped. A pair is refused by an upper bound from two-bit bucket counts where that
+Equal sets are one class from the start, and index entries with equal documents are one entry. A document's home is the
+smallest document that shares an entry with it. Stars compare each document with its home, and with some more documents
+of a large home; documents then known to be connected need no comparison among themselves. What is left of a home, pairs
+of different components, is compared block by block, and pairs that share an entry but no home one by one. No link
+between components is lost, and no entry is capped. A pair is refused by an upper bound from two-bit bucket counts where that
 suffices; otherwise whole sets decide.
 """
 
@@ -31,10 +31,10 @@ from .components import connected_components
 #: Shingles in at least this many documents count as common; the bound rises until at most COMMON_ROWS are.
 COMMON_DOCS = 16
 COMMON_ROWS = 200_000
-#: Entries of up to this many documents are compared pair by pair; larger ones by stars first.
+#: Documents of a home whose data travels together.
 BLOCK = 64
-#: Pairs per row of large entries that are compared one by one rather than by more stars.
-PAIRS_PER_ROW = 40
+#: Documents of a home that one comparison task takes from each side.
+HOME_BLOCK = 256
 #: Share of the hash range, in proportion to the prefix, whose shingles are counted and can be common.
 COUNTED = 1.8
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
@@ -222,13 +222,52 @@ def _compared(pairs: DataFrame, homes: DataFrame, data: DataFrame, test) -> Data
     return stage(keyed.groupBy("key").cogroup(sent.groupBy("block")).applyInArrow(run, f"a {kind}, b {kind}"), "compared")
 
 
+def _fold(counts: np.ndarray, buckets: int) -> np.ndarray:
+    """Rows of bucket counts over fewer buckets."""
+    return counts if counts.shape[1] == buckets else counts.reshape(len(counts), -1, buckets).sum(1)
+
+
+def close_pairs(left: list[dict], right: list[dict] | None, percent: int) -> list[tuple]:
+    """(a, b), a < b, of documents of different components whose sizes and sketches allow a link: one of left and one
+    of right, or two of left. Sketches of one length are compared as a matrix."""
+    other = left if right is None else right
+    groups: dict[int, list[int]] = {}
+    counts = [_counts(d["sketch"]) for d in other]
+    for j, c in enumerate(counts):
+        groups.setdefault(len(c), []).append(j)
+    blocks = {}
+    for size, js in groups.items():
+        at = np.array(js)
+        blocks[size] = (at, np.stack([counts[j] for j in js]), np.array([other[j]["n"] for j in js]), np.array([other[j]["lost"] for j in js]), np.array([other[j]["c"] for j in js], dtype=object))
+    folded: dict[tuple[int, int], np.ndarray] = {}
+    out = []
+    for i, d in enumerate(left):
+        own = counts[i] if right is None else _counts(d["sketch"])
+        for size, (at, matrix, n, lost, parts) in blocks.items():
+            fits = (100 * np.minimum(n, d["n"]) >= percent * np.maximum(n, d["n"])) & (parts != d["c"])
+            if right is None:
+                fits &= at > i
+            if not fits.any():
+                continue
+            buckets = min(size, len(own))
+            if (size, buckets) not in folded:
+                folded[size, buckets] = _fold(matrix, buckets)
+            mine = _fold(own[None], buckets)[0]
+            shared = np.minimum(folded[size, buckets][fits], mine).sum(1, dtype=np.int64) + lost[fits] + d["lost"]
+            shared = np.minimum(shared, np.minimum(n[fits], d["n"]))
+            ok = 100 * shared >= percent * (n[fits] + d["n"] - shared)
+            a = d["doc_id"]
+            out += [(min(a, other[j]["doc_id"]), max(a, other[j]["doc_id"])) for j in at[fits][ok]]
+    return out
+
+
 class Verifier:
     """Decides candidate pairs: by bounds from sketches first, then, for what is left, by whole sets made from the texts."""
 
     def __init__(self, docs: DataFrame, sets: DataFrame, homes: DataFrame, words: int, percent: int):
         self.docs, self.homes, self.words, self.percent = docs, homes, words, percent
-        own = sets.join(homes.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
-        self.sketches = stage(own.select("doc_id", "n", "sketch", "lost").dropDuplicates(["doc_id"]), "sketches")
+        h = homes.select(F.col("doc").alias("doc_id"), "home", "size")
+        self.sketches = stage(sets.select("doc_id", "n", "sketch", "lost").join(h, "doc_id").dropDuplicates(["doc_id"]), "sketches")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         percent = self.percent
@@ -237,31 +276,43 @@ class Verifier:
             shared = min(most_shared(_counts(x["sketch"]), _counts(y["sketch"])) + x["lost"] + y["lost"], x["n"], y["n"])
             return 100 * shared >= percent * (x["n"] + y["n"] - shared)
 
+        return self.verified(_compared(pairs, self.homes, self.sketches.select("doc_id", "n", "sketch", "lost"), may))
+
+    def verified(self, close: DataFrame) -> DataFrame:
+        """Of pairs that sketches allow those whose whole sets link."""
+        percent = self.percent
+
         def do(x: dict, y: dict) -> bool:
             x, y = np.frombuffer(x["whole"], np.uint64), np.frombuffer(y["whole"], np.uint64)
             shared = len(np.intersect1d(x, y, assume_unique=True))
             return 100 * shared >= percent * (len(x) + len(y) - shared)
 
-        close = _compared(pairs, self.homes, self.sketches, may)
         ids = stage(close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct(), "close")
         texts = self.docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi")
         whole = stage(_sets(texts, self.words, percent, True).dropDuplicates(["doc_id"]), "whole-sets")
         return _compared(close, self.homes, whole, do)
 
-
-def _pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b: documents of one entry, and of different components where those are given, whose sizes allow a link."""
-    columns = [c for c in ("doc", "n", "c") if c in entries.columns]
-    x, y = (entries.select("sig", *(F.col(c).alias(c + side) for c in columns)) for side in "xy")
-    apart = F.col("cx") != F.col("cy") if "c" in columns else F.lit(True)
-    return x.join(y, "sig").filter((F.col("docx") < F.col("docy")) & apart & _close(percent, "nx", "ny")).select(F.col("docx").alias("a"), F.col("docy").alias("b")).distinct()
-
-
-def _left(rest: DataFrame, parts: DataFrame) -> DataFrame:
-    """Entries that still hold documents of several components, with each document's component c."""
-    named = stage(rest.join(parts, rest.doc == parts.node, "left").select("sig", "doc", "n", F.coalesce("component", "doc").alias("c")), "rest")
-    mixed_sigs = named.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 != c1").select("sig")
-    return stage(named.join(mixed_sigs, "sig", "left_semi"), "rest")
+    def within_homes(self, parts: DataFrame) -> DataFrame:
+        """Close pairs of one home and different components. Large homes are compared block by block."""
+        percent, kind = self.percent, self.sketches.schema["doc_id"].dataType.simpleString()
+        named = self.sketches.filter("size > 1").join(parts, F.col("doc_id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "doc_id")).drop("node", "component")
+        named = stage(named, "named")
+        split = named.groupBy("home").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 != c1").select("home")
+        blocks = F.ceil(F.col("size") / HOME_BLOCK)
+        own = named.join(split, "home", "left_semi").withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks))
+        dealt = own.select("home", "doc_id", "n", "sketch", "lost", "c", "own", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+        dealt = dealt.select(F.xxhash64("home", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "doc_id", "n", "sketch", "lost", "c", "own")
+
+        def run(table: pa.Table) -> pa.Table:
+            rows = table.to_pylist()
+            first = min(r["own"] for r in rows)
+            left, right = [r for r in rows if r["own"] == first], [r for r in rows if r["own"] != first]
+            found = close_pairs(left, right or None, percent)
+            a, b = zip(*found, strict=True) if found else ((), ())
+            column = table.column("doc_id").type
+            return pa.table({"a": pa.array(a, column), "b": pa.array(b, column)})
+
+        return dealt.groupBy("key").applyInArrow(run, f"a {kind}, b {kind}")
 
 
 def _close(percent: int, x: str, y: str):
@@ -287,26 +338,30 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     homes = stage(homes, "homes")
     homes = stage(homes.join(homes.groupBy("home").agg(F.count(F.lit(1)).alias("size")), "home"), "homes")
     verifier = Verifier(docs, sets, homes, words, percent)
-    links = verifier.links(_pairs(entries.filter(F.col("k") <= BLOCK), percent))
-    rest = stage(entries.filter(F.col("k") > BLOCK).select("sig", "doc", "n"), "rest")
-    parts, stars = connected_components(links), 1
-    while rest.limit(1).count():
-        left = _left(rest, parts)
-        named = left.select("sig", "doc", "n", "c")
-        per = named.groupBy("sig", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("sig").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
-        count, pairs_left = per.agg(F.sum("k"), F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).first()
-        if (pairs_left or 0) <= PAIRS_PER_ROW * (count or 0) + 1_000_000:
-            links = links.unionByName(verifier.links(_pairs(named, percent)))
-            parts = connected_components(links)
-            break
-        pivots = named.groupBy("sig", F.pmod(F.xxhash64("doc"), F.lit(stars)).alias("star")).agg(F.min(F.struct("doc", "n", "c")).alias("p"))
-        pivots = stage(pivots.select("sig", F.col("p.doc").alias("a"), F.col("p.n").alias("an"), F.col("p.c").alias("ac")), "pivots")
-        pairs = named.join(pivots, "sig").filter((F.col("c") != F.col("ac")) & _close(percent, "n", "an")).select("a", F.col("doc").alias("b")).distinct()
+    # Stars: every document and its home. What they connect needs no comparison among itself.
+    links = verifier.links(homes.filter("doc != home").select(F.col("home").alias("a"), F.col("doc").alias("b")))
+    parts = connected_components(links)
+    sketches = verifier.sketches.select("doc_id", "home", "n")
+    for stars in (8, 64):  # further stars for homes that are large and in several components
+        named = sketches.join(homes.filter(F.col("size") > 8 * stars).select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").join(parts, F.col("doc_id") == F.col("node"), "left").select("home", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
+        named = stage(named, "named")
+        if not named.groupBy("home").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 != c1").limit(1).count():
+            continue
+        pivots = named.groupBy("home", F.pmod(F.xxhash64("doc_id"), F.lit(stars)).alias("star")).agg(F.min(F.struct("doc_id", "n", "c")).alias("p")).select("home", F.col("p.doc_id").alias("a"), F.col("p.n").alias("an"), F.col("p.c").alias("ac"))
+        pairs = named.join(stage(pivots, "pivots"), "home").filter((F.col("c") != F.col("ac")) & _close(percent, "n", "an")).select("a", F.col("doc_id").alias("b")).distinct()
         links = links.unionByName(verifier.links(pairs))
         parts = connected_components(links)
-        # Pivots have met all of their entry.
-        rest = stage(named.join(pivots.select("sig", F.col("a").alias("doc")), ["sig", "doc"], "left_anti").select("sig", "doc", "n"), "rest")
-        stars *= 4
+    links = links.unionByName(verifier.verified(stage(verifier.within_homes(parts), "close")))
+    parts = connected_components(links)
+    # Pairs that share an entry but no home.
+    named = entries.select("sig", "doc", "n").join(homes.select("doc", "home"), "doc").join(parts, F.col("doc") == F.col("node"), "left").select("sig", "doc", "n", "home", F.coalesce("component", "doc").alias("c"))
+    named = stage(named, "named")
+    split = named.groupBy("sig").agg(F.min("home").alias("h0"), F.max("home").alias("h1"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("h0 != h1 AND c0 != c1").select("sig")
+    named = stage(named.join(split, "sig", "left_semi"), "named")
+    x, y = (named.select("sig", *(F.col(c).alias(c + side) for c in ("doc", "n", "home", "c"))) for side in "xy")
+    pairs = x.join(y, "sig").filter((F.col("docx") < F.col("docy")) & (F.col("homex") != F.col("homey")) & (F.col("cx") != F.col("cy")) & _close(percent, "nx", "ny"))
+    links = links.unionByName(verifier.links(pairs.select(F.col("docx").alias("a"), F.col("docy").alias("b")).distinct()))
+    parts = connected_components(links)
     named = stage(reps.join(parts, reps.doc_id == parts.node, "left").select("set_key", F.coalesce("component", "doc_id").alias("component_id")), "classes")
     out = sets.select("doc_id", "n", "set_key").join(named, "set_key", "left")
     own = (F.col("n") == 0) | F.col("doc_id").isNull()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import SPACES, lower_ascii, small, stage
 
 
-def lines_of(text: str = "text") -> Column:
+def lines_of(text: str) -> Column:
     return F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
 
 
@@ -27,7 +27,7 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     text. Null and empty texts have one empty line.
     """
     key = lower_ascii(F.btrim("line", F.lit(SPACES)))
-    lines = docs.filter("doc_id IS NOT NULL").select("doc_id", F.posexplode(lines_of()).alias("pos", "line")).select("doc_id", "pos", key.alias("key")).filter(F.length("key") >= min_chars)
+    lines = docs.filter("doc_id IS NOT NULL").select("doc_id", F.posexplode(lines_of("text")).alias("pos", "line")).select("doc_id", "pos", key.alias("key")).filter(F.length("key") >= min_chars)
     hashed = lines.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), "doc_id", "pos")
     dealt = hashed.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos")
     held = stage(dealt.groupBy("h1", "h2", "doc_id").agg(F.collect_set("pos").alias("at")), "lines")
@@ -38,30 +38,29 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     return stage(runs.groupBy("doc_id").agg(F.sum("length").alias("n_dropped"), F.sort_array(F.collect_list(F.struct("start", "length"))).alias("runs")), "bitmaps")
 
 
-def kept_text(runs: str = "runs") -> Column:
-    """The text without its runs, or the text itself (null as empty) where runs is null. Slices between runs are joined."""
+def kept_text() -> tuple[Column, Column]:
+    """(lines, text) of columns row, runs and lines: the text without its runs, or the text itself (null as empty) where
+    runs is null. What is kept are the slices of lines between runs."""
 
     def end(j: Column) -> Column:  # of the run before slice j
-        r = F.get(runs, j - 1)
+        r = F.get("runs", j - 1)
         return F.when(j == 0, 0).otherwise(r["start"] + r["length"])
 
-    lines = lines_of()
-    slices = F.transform(F.sequence(F.lit(0), F.size(runs)), lambda j: F.slice("_lines", end(j) + 1, F.coalesce(F.get(runs, j)["start"], F.size("_lines")) - end(j)))
-    return lines, F.when(F.col(runs).isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.flatten(slices), "\n"))
+    slices = F.transform(F.sequence(F.lit(0), F.size("runs")), lambda j: F.slice("lines", end(j) + 1, F.coalesce(F.get("runs", j)["start"], F.size("lines")) - end(j)))
+    return lines_of("row.text"), F.when(F.col("runs").isNull(), F.coalesce("row.text", F.lit(""))).otherwise(F.array_join(F.flatten(slices), "\n"))
 
 
 def without_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """docs with the kept lines as text; also _n_lines and _n_dropped. Every row stays, in its columns and types."""
     bitmaps = drop_bitmaps(docs, min_chars, min_docs)
-    lines, text = kept_text("_runs")
-    right = bitmaps.select(F.col("doc_id").alias("_id"), F.col("n_dropped").alias("_n"), F.col("runs").alias("_runs"))
     # Hashing the small bitmaps spares a sort of the texts; the plan is the same at every size.
-    joined = docs.join(right.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left")
-    out = joined.withColumn("_lines", lines).withColumn("_kept", text)
+    joined = docs.select(F.struct("*").alias("row")).join(bitmaps.hint("shuffle_hash"), F.col("row.doc_id") == F.col("doc_id"), "left")
+    lines, text = kept_text()
+    out = joined.select("row", "n_dropped", "runs", lines.alias("lines")).select("row", "n_dropped", F.size("lines").alias("n_lines"), text.alias("kept"))
     return out.select(
-        *(F.col("_kept").alias("text") if c == "text" else F.col(c) for c in docs.columns),
-        F.size("_lines").cast("long").alias("_n_lines"),
-        F.coalesce("_n", F.lit(0)).cast("long").alias("_n_dropped"),
+        *(F.col("kept").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns),
+        F.col("n_lines").cast("long").alias("_n_lines"),
+        F.coalesce("n_dropped", F.lit(0)).cast("long").alias("_n_dropped"),
     )
 
 

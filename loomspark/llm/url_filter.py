@@ -71,17 +71,21 @@ def judge(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES, def
     url, html = F.col("url"), F.col("html")
     own = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), place(url).alias("place"))
     own = own.withColumn("own", rule_for(F.col("host"), F.col("path"), rules))
-    edges = pages.select(place(url).alias("a"), F.explode(F.transform(links(html), lambda x: place(_absolute(x, url)))).alias("b"))
+    linked = pages.select(url.alias("src"), F.explode(F.transform(links(html), lambda x: _absolute(x, url))).alias("dst")).filter("dst IS NOT NULL")
     if redirects is not None:
-        edges = edges.unionByName(redirects.select(place(F.col("src")).alias("a"), place(F.col("dst")).alias("b")))
-    edges = stage(edges.filter("a IS NOT NULL AND b IS NOT NULL AND a != b").distinct(), "aliases")
-    explicit = own.filter("own IS NOT NULL AND place IS NOT NULL").groupBy("place").agg(F.max((F.col("own.verdict") == "allow").cast("int")).alias("allowed"))
+        linked = linked.unionByName(redirects.select("src", "dst"))
+    s, d = F.col("src"), F.col("dst")
+    linked = stage(linked.select(place(s).alias("a"), place(d).alias("b"), rule_for(host_of(s), path_of(s), rules)["verdict"].alias("va"), rule_for(host_of(d), path_of(d), rules)["verdict"].alias("vb")), "aliases")
+    edges = linked.filter("a IS NOT NULL AND b IS NOT NULL AND a != b").select("a", "b").distinct()
+    # Rules also judge ends of links and redirects that are no pages of the table.
+    ruled = own.select("place", F.col("own.verdict").alias("v")).union(linked.select("a", "va")).union(linked.select("b", "vb"))
+    explicit = ruled.filter("v IS NOT NULL AND place IS NOT NULL").groupBy("place").agg(F.max((F.col("v") == "allow").cast("int")).alias("allowed"))
     if edges.limit(1).count():
         members = connected_components(edges)
         explicit = explicit.join(members, F.col("place") == F.col("node"), "left").groupBy(F.coalesce("component", "place").alias("component")).agg(F.max("allowed").alias("allowed"))
-        # every place of a decided component, and decided places that have no alias
+        # every place with an alias, and decided places without
         decided = stage(explicit, "decisions")
-        known = members.join(decided, "component").select(F.col("node").alias("at"), "component", "allowed")
+        known = members.join(decided, "component", "left").select(F.col("node").alias("at"), "component", "allowed")
         single = decided.join(members.select("node"), F.col("component") == F.col("node"), "left_anti").select(F.col("component").alias("at"), "component", "allowed")
         verdicts = stage(known.unionByName(single), "verdicts")
     else:
@@ -128,9 +132,13 @@ ruled AS (
   SELECT page.*, (SELECT max_by(struct_pack(rule := r.rule, verdict := r.verdict), length(r.rule)) FROM rules r
     WHERE (page.host = r.h OR ends_with(page.host, '.' || r.h)) AND starts_with(page.path, r.p)) AS own
   FROM page
+), ruled_urls AS (
+  SELECT n.url, (SELECT max_by(r.verdict, length(r.rule)) FROM rules r WHERE (n.host = r.h OR ends_with(n.host, '.' || r.h)) AND starts_with(n.path, r.p)) AS verdict
+  FROM (SELECT url, translate(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's') AS path FROM named WHERE url IS NOT NULL) n
 ), decided AS (
-  SELECT m.component, max((r.own.verdict = 'allow')::INT) AS allowed
-  FROM ruled r JOIN places pl USING (url) JOIN members m USING (place) WHERE r.own IS NOT NULL GROUP BY m.component
+  SELECT m.component, max((r.verdict = 'allow')::INT) AS allowed
+  FROM ruled_urls r JOIN places pl USING (url) JOIN members m USING (place) WHERE r.verdict IS NOT NULL GROUP BY m.component
 )
 SELECT r.page_id, r.host, r.path, r.own.rule AS rule,
   coalesce(r.own.verdict, CASE d.allowed WHEN 1 THEN 'allow' WHEN 0 THEN 'block' ELSE 'allow' END) AS verdict, pl.place, m.component

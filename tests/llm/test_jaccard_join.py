@@ -52,6 +52,7 @@ def corpus(seed, n=240):
 def test_components_equal_brute_force(spark, monkeypatch, words, percent, often, block):
     monkeypatch.setattr(jaccard_join, "COMMON_DOCS", often)
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "HOME_BLOCK", block)
     rows = corpus(words)
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words, percent).collect()
     assert {tuple(r) for r in got} == brute(rows, words, percent)
