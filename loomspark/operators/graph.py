@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut, in the folder that spark.checkpoint.dir names, or one of our own where it is unset."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
 _AGG = {"mean": F.sum, "sum": F.sum, "max": F.max}
 
 
-def neighbor_aggregate(nodes: DataFrame, edges: DataFrame, features: list[str], how: str = "mean", hops: int = 1, weight: str | None = None, normalise: str = "degree", shared_dir: str | None = None) -> DataFrame:
+def neighbor_aggregate(nodes: DataFrame, edges: DataFrame, features: list[str], how: str = "mean", hops: int = 1, weight: str | None = None, normalise: str = "degree") -> DataFrame:
     """(id, features): mean, sum or max of the features of each node's in-neighbours; 0 for isolated nodes; `hops` times.
 
     edges: dst, src and a weight column. mean divides by max(degree, 1), or by the weights' sum if normalise is
@@ -24,7 +36,7 @@ def neighbor_aggregate(nodes: DataFrame, edges: DataFrame, features: list[str],
         value = [F.coalesce(F.col(f"_m.{f}") / by if how == "mean" else F.col(f"_m.{f}"), F.lit(0.0)).alias(f) for f in features]
         x = nodes.select("id").join(total.alias("_m"), F.col("id") == F.col("_m.dst"), "left").select("id", *value)
         if hops > 2 and hop % 2:
-            x = x.checkpoint()
+            x = checkpointed(x)
     return x
 
 
