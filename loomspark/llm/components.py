@@ -11,18 +11,18 @@ from .common import stage
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the undirected edges (a, b); component is the smallest node reachable.
 
-    Each round takes the least label among neighbours, then the label's own label, so that chains halve. A hub's edges
-    are pre-aggregated before the shuffle; the joins' right sides hold one row per node. Edges with a null end are left
-    out; repeated edges and loops change nothing; no edges give an empty result.
+    Each round takes the least of a node's label, its neighbours' labels and its label's own label, so that chains halve.
+    A hub's edges are pre-aggregated before the shuffle; the joins' right sides hold one row per node. Edges with a null
+    end are left out; repeated edges and loops change nothing; no edges give an empty result.
     """
     both = edges.filter("a IS NOT NULL AND b IS NOT NULL").select("a", "b")
     both = stage(both.union(both.select("b", "a")).distinct(), "edges")
     labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
         near = both.join(labels, both.b == labels.node).groupBy(both.a.alias("node")).agg(F.min("label").alias("near"))
-        least = stage(labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was")), "labels")
-        root = least.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        labels = stage(least.join(root, "label").select("node", F.col("root").alias("label"), (F.col("root") != F.col("was")).alias("moved")), "labels")
+        root = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
+        joined = labels.select("node", "label").join(root, "label").join(near, "node")
+        least = F.least("label", "near", "root")
+        labels = stage(joined.select("node", least.alias("label"), (least != F.col("label")).alias("moved")), "labels")
         if not labels.filter("moved").limit(1).count():
             return labels.select("node", F.col("label").alias("component"))
-        labels = labels.drop("moved")

@@ -287,6 +287,8 @@ class Verifier:
             shared = len(np.intersect1d(x, y, assume_unique=True))
             return 100 * shared >= percent * (len(x) + len(y) - shared)
 
+        if not close.limit(1).count():
+            return close
         ids = stage(close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct(), "close")
         texts = self.docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi")
         whole = stage(_sets(texts, self.words, percent, True).dropDuplicates(["doc_id"]), "whole-sets")
@@ -343,6 +345,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     parts = connected_components(links)
     sketches = verifier.sketches.select("doc_id", "home", "n")
     for stars in (8, 64):  # further stars for homes that are large and in several components
+        if not homes.filter(F.col("size") > 8 * stars).limit(1).count():
+            break
         named = sketches.join(homes.filter(F.col("size") > 8 * stars).select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").join(parts, F.col("doc_id") == F.col("node"), "left").select("home", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
         named = stage(named, "named")
         if not named.groupBy("home").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 != c1").limit(1).count():
