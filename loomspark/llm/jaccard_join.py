@@ -7,7 +7,7 @@ documents share either one rare shingle or two common shingles of one class. Rar
 ones in pairs; m grows with the prefix, so that the pairs stay in proportion to it.
 
 Equal sets are one class from the start, and index entries with equal documents are one entry. A document's home is the
-smallest document that shares an entry with it. Stars compare each document with its home, and with some more documents
+smallest document that shares an entry with it, or that one's home. Stars compare each document with its home, and with some more documents
 of a large home; documents then known to be connected need no comparison among themselves. What is left of a home, pairs
 of different components, is compared block by block, and pairs that share an entry but no home one by one. No link
 between components is lost, and no entry is capped. A pair is refused by an upper bound from two-bit bucket counts where that
@@ -338,20 +338,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     entries = stage(entries.join(stage(shared, "entries"), "sig"), "index")
     homes = entries.groupBy("doc").agg(F.min("pivot").alias("home"))
     homes = stage(homes, "homes")
+    for _ in range(2):  # a home's own home, twice, so that what is alike meets in one
+        up = homes.select(F.col("doc").alias("home"), F.col("home").alias("up"))
+        homes = stage(homes.join(up, "home").select("doc", F.col("up").alias("home")), "homes")
     homes = stage(homes.join(homes.groupBy("home").agg(F.count(F.lit(1)).alias("size")), "home"), "homes")
     verifier = Verifier(docs, sets, homes, words, percent)
     # Stars: every document and its home. What they connect needs no comparison among itself.
     links = verifier.links(homes.filter("doc != home").select(F.col("home").alias("a"), F.col("doc").alias("b")))
     parts = connected_components(links)
     sketches = verifier.sketches.select("doc_id", "home", "n")
-    for stars in (8, 64):  # further stars for homes that are large and in several components
-        if not homes.filter(F.col("size") > 8 * stars).limit(1).count():
-            break
-        named = sketches.join(homes.filter(F.col("size") > 8 * stars).select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").join(parts, F.col("doc_id") == F.col("node"), "left").select("home", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
+    if homes.filter(F.col("size") > 64).limit(1).count():  # some more stars for large homes
+        large = homes.filter(F.col("size") > 64).select(F.col("doc").alias("doc_id"))
+        named = sketches.join(large, "doc_id", "left_semi").join(parts, F.col("doc_id") == F.col("node"), "left").select("home", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
         named = stage(named, "named")
-        if not named.groupBy("home").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 != c1").limit(1).count():
-            continue
-        pivots = named.groupBy("home", F.pmod(F.xxhash64("doc_id"), F.lit(stars)).alias("star")).agg(F.min(F.struct("doc_id", "n", "c")).alias("p")).select("home", F.col("p.doc_id").alias("a"), F.col("p.n").alias("an"), F.col("p.c").alias("ac"))
+        pivots = named.groupBy("home", F.pmod(F.xxhash64("doc_id"), F.lit(8)).alias("star")).agg(F.min(F.struct("doc_id", "n", "c")).alias("p")).select("home", F.col("p.doc_id").alias("a"), F.col("p.n").alias("an"), F.col("p.c").alias("ac"))
         pairs = named.join(stage(pivots, "pivots"), "home").filter((F.col("c") != F.col("ac")) & _close(percent, "n", "an")).select("a", F.col("doc_id").alias("b")).distinct()
         links = links.unionByName(verifier.links(pairs))
         parts = connected_components(links)
