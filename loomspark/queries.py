@@ -661,12 +661,12 @@ for _how, _expr in (("average", "(a.e[i] + b.e[i]) / 2"), ("product", "a.e[i] *
     @query(
         f"fuse_{_how}",
         f"""WITH a AS (SELECT vec_id, embedding[1:32]::DOUBLE[] AS e FROM embeddings), b AS (SELECT vec_id, embedding[33:64]::DOUBLE[] AS e FROM embeddings WHERE vec_id % 2 = 0)
-SELECT vec_id, (i - 1)::INT AS pos, round({_expr}, 6) AS value FROM a JOIN b USING (vec_id), unnest(generate_series(1, 32)) AS u(i)""",
+SELECT vec_id, (i - 1)::INT AS pos, round({_expr}, 6) + 0.0::DOUBLE AS value FROM a JOIN b USING (vec_id), unnest(generate_series(1, 32)) AS u(i)""",
     )
     def _(s, d, how=_how):
         v = _vectors(s, d)
         a, b = v.select("vec_id", F.slice("embedding", 1, 32).alias("a")), v.filter("vec_id % 2 = 0").select("vec_id", F.slice("embedding", 33, 32).alias("b"))
-        return joins.combine(a, b, "vec_id", "a", "b", how).select("vec_id", F.posexplode("fused").alias("pos", "value")).withColumn("value", F.round("value", 6))
+        return joins.combine(a, b, "vec_id", "a", "b", how).select("vec_id", F.posexplode("fused").alias("pos", "value")).withColumn("value", F.round("value", 6) + 0.0)  # no negative zero
 
 
 # Features and versions ---------------------------------------------------------------------------------------------

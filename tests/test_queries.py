@@ -25,7 +25,7 @@ def rows(columns, data):
     def plain(v):
         if v is None or isinstance(v, float) and math.isnan(v):
             return "null"
-        return f"{float(v):.5f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+        return f"{round(float(v), 5) + 0.0:.5f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
     return sorted(tuple(plain(r[i]) for i in order) for r in data)
 
