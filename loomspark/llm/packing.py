@@ -3,8 +3,9 @@
 Documents are range-partitioned by the least hash of their words, so that copies and texts of one language meet, with
 the id behind it, so that a large group of copies spreads over tasks. Each task takes its documents in shards of a
 bounded number of tokens, builds a BM25 inverted index over a shard's token ids, and fills windows: a seed document is
-placed, then its best unused neighbours that fit, and the best other one is cut where the window ends. Only a shard's
-last window can be short; it is cut into sequences of a power of two, which need no padding.
+placed, then its best unused neighbours that fit, down its whole ranking by all of its terms, and the best other one is
+cut where the window ends. Only a shard's last window can be short; it is cut into sequences of a power of two, which
+need no padding.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, END_ID, SHARD_TOKENS = 4096, 2, 2_000_000
-K1, B, QUERY_TERMS, NEIGHBOURS = 1.2, 0.75, 24, 48
+K1, B = 1.2, 0.75
+#: Neighbours that are ranked at first; the rest of the ranking is sorted only where these leave room.
+RANKED = 64
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 #: str.split() also splits at these four, which the tokenizer keeps.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -88,29 +91,44 @@ class Index:
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * lengths / max(lengths.mean(), 1))
         self.weight = idf[entry] * tf * (K1 + 1) / (tf + norm[self.doc])
-        self.by_doc = np.argsort(self.doc, kind="stable")
-        self.doc_start = np.searchsorted(self.doc[self.by_doc], np.arange(n + 1))
-        self.entry, self.n = entry, n
-
-    def neighbours(self, seed: int, free: np.ndarray) -> np.ndarray:
-        """Free documents that share the seed's weightiest terms, best first."""
-        own = self.by_doc[self.doc_start[seed] : self.doc_start[seed + 1]]
-        if len(own) > QUERY_TERMS:
-            own = own[np.argpartition(self.weight[own], len(own) - QUERY_TERMS)[-QUERY_TERMS:]]
-        scores = np.zeros(self.n)
-        for e in self.entry[own]:
-            at = slice(self.start[e], self.end[e])
-            scores[self.doc[at]] += self.weight[at]
+        by_doc = np.argsort(self.doc, kind="stable")
+        self.doc_start = np.searchsorted(self.doc[by_doc], np.arange(n + 1))
+        self.terms, self.n = entry[by_doc], n
+
+    def scores(self, seed: int, free: np.ndarray) -> np.ndarray:
+        """BM25 of every document for all terms of the seed; 0 where a document is not free."""
+        own = self.terms[self.doc_start[seed] : self.doc_start[seed + 1]]
+        counts = self.end[own] - self.start[own]
+        at = np.repeat(self.start[own] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        scores = np.bincount(self.doc[at], self.weight[at], self.n)
         scores[~free] = 0
-        k = min(NEIGHBOURS, self.n)
-        best = np.argpartition(scores, self.n - k)[-k:]
-        best = best[scores[best] > 0]
-        return best[np.lexsort((best, -scores[best]))]
+        return scores
+
+    def drop(self, free: np.ndarray) -> None:
+        """Forget the postings of documents that are not free; statistics and terms of seeds stay."""
+        keep = free[self.doc]
+        upto = np.concatenate(([0], np.cumsum(keep)))
+        self.start, self.end = upto[self.start], upto[self.end]
+        self.doc, self.weight = self.doc[keep], self.weight[keep]
+
+
+def ranking(scores: np.ndarray, first: int = RANKED) -> tuple[np.ndarray, np.ndarray]:
+    """Documents with a score: the `first` best and those equal to the last of them, best first, and the rest unsorted."""
+    found = np.flatnonzero(scores > 0)
+    if len(found) <= first:
+        return ordered(scores, found), found[:0]
+    top = scores[found] >= np.partition(scores[found], len(found) - first)[len(found) - first]
+    return ordered(scores, found[top]), found[~top]
+
+
+def ordered(scores: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    return docs[np.lexsort((docs, -scores[docs]))]
 
 
 def fill(ids: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
     """Windows as lists of (document, start, length), each full but the last."""
-    index, free = Index(ids), np.ones(len(ids), bool)
+    index, free, lengths = Index([x[:-1] for x in ids]), np.ones(len(ids), bool), np.array([len(x) for x in ids])  # the end id is no term
+    indexed = len(ids)
     windows, current, room = [], [], window
 
     def place(d: int) -> None:
@@ -133,23 +151,35 @@ def fill(ids: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, in
                 break
             place(following)
             continue
-        seed, cut = current[0][0], None
-        for d in index.neighbours(seed, free):
-            if len(ids[d]) <= room:
-                place(int(d))
-                if room == window:
-                    break
-            elif cut is None:
-                cut = int(d)
+        if 4 * (left := np.count_nonzero(free)) <= 3 * indexed:
+            index.drop(free)
+            indexed = left
+        scores, cut = index.scores(current[0][0], free), None
+        best, rest = ranking(scores)
+        while len(best):
+            for d in best.tolist():
+                if lengths[d] <= room:
+                    place(d)
+                    if room == window:
+                        break
+                elif cut is None:
+                    cut = d
+            if room == window:
+                break
+            # What is longer than the room can only be the one that is cut.
+            best, rest = ordered(scores, rest if cut is None else rest[lengths[rest] <= room]), rest[:0]
         if room == window:
             continue
-        if cut is None:
+        if cut is not None:
+            place(cut)
+            continue
+        full = len(windows)
+        while len(windows) == full:  # no free document shares a term with the seed
             while following < len(ids) and not free[following]:
                 following += 1
             if following == len(ids):
-                break
-            cut = following
-        place(cut)
+                return [*windows, current]
+            place(following)
     return windows + ([current] if current else [])
 
 

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -5,7 +6,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from loomspark.llm.packing import WordIds, pack
+from loomspark.llm.packing import Index, WordIds, fill, ordered, pack, ranking
 
 FILE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -56,3 +57,44 @@ def test_word_ids_equal_the_tokenizer():
         text = "".join(rng.choices(bits, k=rng.randrange(0, 9)))
         got = np.frombuffer(words.ids(text), "<u4").tolist()
         assert got == [*tokenizer.encode(text, add_special_tokens=False).ids, 2], repr(text)
+
+
+def bm25(ids, seed, k1=1.2, b=0.75):
+    texts = [x[:-1].tolist() for x in ids]
+    mean, scores = max(sum(map(len, texts)) / len(texts), 1), np.zeros(len(ids))
+    for term in set(texts[seed]):
+        df = sum(term in t for t in texts)
+        for i, t in enumerate(texts):
+            tf = t.count(term)
+            scores[i] += math.log1p((len(ids) - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(t) / mean)) if tf else 0
+    return scores
+
+
+def test_scores_count_all_terms_and_all_documents():
+    rng = np.random.default_rng(4)
+    ids = [np.array([*rng.integers(3, 300, rng.integers(0, 120)), 2], "<u4") for _ in range(150)]
+    index, free = Index([x[:-1] for x in ids]), np.ones(150, bool)
+    for seed in range(0, 150, 7):
+        free[seed] = False
+        want = np.where(free, bm25(ids, seed), 0)
+        assert np.allclose(index.scores(seed, free), want)
+        best, rest = ranking(want, 10)
+        assert [*best, *ordered(want, rest)] == sorted(np.flatnonzero(want > 0), key=lambda d: (-want[d], d))
+        if seed % 2:
+            index.drop(free)
+
+
+def test_windows_take_every_neighbour_that_fits():
+    # The seed has terms 3 to 42; 70 documents share three of them, 40 none.
+    seed = np.array([*range(3, 43), 2], "<u4")
+    strangers = [np.array([*range(1000 + 9 * i, 1009 + 9 * i), 2], "<u4") for i in range(40)]
+    weak = [np.array([40, 41, 42, 5000 + i, 2], "<u4") for i in range(70)]
+    windows = fill([seed, *strangers, *weak], 512)
+    assert sum(d > 40 for d, _, _ in windows[0]) == 70  # all 70 neighbours before any stranger
+
+
+def test_a_seed_whose_weightiest_terms_no_other_has():
+    seed = np.array([*range(100, 130), *range(3, 13), 2], "<u4")
+    others = [np.array([*range(200 + 9 * i, 209 + 9 * i), 2], "<u4") for i in range(20)]
+    windows = fill([seed, *others, np.array([*range(3, 13), 2], "<u4")], 64)
+    assert [d for d, _, _ in windows[0]][:2] == [0, 21]
