@@ -141,6 +141,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08) ->
     """docs without those that hold a test item. Documents with a null id stay unless their own text holds one."""
     from .common import small, stage
 
-    hits = stage(contaminated(docs, benchmark, rate).select("doc_id").distinct(), "contaminated")
+    # Rows with a null id are told apart by their text, which alone decides whether they hold an item.
+    key = F.when(F.col("doc_id").isNull(), F.concat(F.lit("text "), F.sha2("text", 256))).otherwise(F.concat(F.lit("id "), F.col("doc_id").cast("string")))
+    hits = stage(contaminated(docs.select(key.alias("doc_id"), "text"), benchmark, rate).select("doc_id").distinct(), "contaminated")
     bad = small(hits.select(F.col("doc_id").alias("_bad")))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.join(bad, key == F.col("_bad"), "left_anti")

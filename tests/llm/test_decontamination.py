@@ -65,3 +65,10 @@ def test_odd_rows(spark, odd_docs):
     kept = decontaminate(odd_docs, items)
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4] and kept.columns == odd_docs.columns
     assert contaminated(odd_docs.limit(0), items).count() == 0 and contaminated(odd_docs, items.limit(0)).count() == 0
+
+
+def test_null_ids_are_judged_by_their_own_text(spark, odd_docs):
+    items = spark.createDataFrame([(1, "the same text twice in this table")], "item_id long, text string")
+    clean = spark.createDataFrame([(None, "Another row without an id, and clean.", "en", "a", 9, "x", None, 1), (None, None, "en", "a", 9, "x", None, 1)], odd_docs.schema)
+    kept = decontaminate(odd_docs.unionByName(clean), items).filter("doc_id IS NULL").collect()
+    assert sorted(str(r.text) for r in kept) == ["Another row without an id, and clean.", "None"]
