@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.arrays import dot, doubles, normalized, squared_distance
+from ..functions.ordered import in_order, walk
 
 #: Queries that one block holds on every executor.
 QUERY_BLOCK = 2_000
@@ -110,22 +113,27 @@ def retain(entries: DataFrame, capacity: int, bank: str, slot: str, order: list[
 
 def retain_lfu(log: DataFrame, capacity: int, bank: str, slot: str, order: str, kind: str) -> DataFrame:
     """Least frequently used, exact: (bank, slot, uses) held at the end. kind is write or read. A write to a full bank
-    evicts the slot with the fewest reads, the oldest of them. State depends on order, so a bank is one pass."""
+    evicts the slot with the fewest reads, the oldest of them. State depends on order, so a bank is one pass in Arrow
+    batches, and a task holds `capacity` slots."""
     bt, st = log.schema[bank].dataType.simpleString(), log.schema[slot].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: dict = {}
-        for s, action in pdf.sort_values(order)[[slot, kind]].itertuples(index=False):
+    class Held(dict):
+        def step(self, s, action):
             if action == "read":
-                if s in held:
-                    held[s] += 1
-            elif s not in held:
-                if len(held) >= capacity:
-                    del held[min(held, key=held.get)]
-                held[s] = 0
-        return pd.DataFrame({bank: [pdf[bank].iloc[0]] * len(held), slot: list(held), "uses": list(held.values())})
-
-    return log.select(bank, slot, order, kind).groupBy(bank).applyInPandas(run, f"`{bank}` {bt}, `{slot}` {st}, uses long")
+                if s in self:
+                    self[s] += 1
+            elif s not in self:
+                if len(self) >= capacity:
+                    del self[min(self, key=self.get)]
+                self[s] = 0
+            return ()
+
+        def end(self):
+            return self.items()
+
+    slots = to_arrow_type(log.schema[slot].dataType)
+    dealt = in_order(log.select(bank, slot, kind, order), bank, [F.col(order).asc_nulls_last()]).select(bank, slot, kind)
+    return dealt.mapInArrow(walk(Held, [bank, slot, "uses"], [slots, pa.int64()]), f"`{bank}` {bt}, `{slot}` {st}, uses long")
 
 
 def usage(retrievals: DataFrame, slot: str) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import in_order, other, walk
 from ..functions.timeutil import DAY, micros, ordered_index, time_bucket
 
 
@@ -28,26 +29,38 @@ def tumbling_time(df: DataFrame, size: str, keys: Sequence[str], ts: str, aggs:
 def tumbling_anchored(df: DataFrame, size_us: int, key: str, ts: str, tie: str, value: str, include_partial: bool = False) -> DataFrame:
     """Windows anchored at a key's first event; the event that reaches the size closes the window, belongs to it, and
     its time anchors the next. Columns: key, window_id, n, first_us, last_us, sum. Order dependence per key is real, so
-    each key is one sequential pass over (time, value) pairs in Arrow batches."""
+    each key is one sequential pass in Arrow batches that keeps the open window's anchor, count and sum."""
     kind = df.schema[key].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", "tie"])
-        rows, anchor, held = [], None, []
-        for us, v in zip(pdf["us"].tolist(), pdf["v"].tolist(), strict=True):
-            if anchor is None:
-                anchor = us
-            held.append((us, v))
-            if us - anchor >= size_us:
-                rows.append(held)
-                anchor, held = us, []
-        if include_partial and held:
-            rows.append(held)
-        name = pdf["k"].iloc[0]
-        return pd.DataFrame([(name, i, len(h), h[0][0], h[-1][0], float(sum(v for _, v in h))) for i, h in enumerate(rows)], columns=[key, "window_id", "n", "first_us", "last_us", "sum"])
+    class Open:
+        def __init__(self):
+            self.anchor, self.id = None, 0
+            self.clear()
+
+        def clear(self):
+            self.n, self.first, self.last, self.sum = 0, None, None, 0.0
+
+        def end(self):
+            return [(self.id, self.n, self.first, self.last, self.sum)] if include_partial and self.n else []
+
+        def step(self, us, v):
+            if self.anchor is None:
+                self.anchor = us
+            if not self.n:
+                self.first = us
+            self.n, self.last = self.n + 1, us
+            self.sum = None if v is None or self.sum is None else self.sum + v
+            if us is None or us - self.anchor < size_us:
+                return ()
+            closed = (self.id, self.n, self.first, self.last, self.sum)
+            self.anchor, self.id = us, self.id + 1
+            self.clear()
+            return (closed,)
 
     slim = df.select(F.col(key).alias("k"), micros(ts).alias("us"), F.col(tie).alias("tie"), F.col(value).cast("double").alias("v"))
-    return slim.groupBy("k").applyInPandas(run, f"`{key}` {kind}, window_id long, n long, first_us long, last_us long, sum double")
+    dealt = in_order(slim, "k", [F.col("us").asc_nulls_last(), F.col("tie").asc_nulls_last()]).select("k", "us", "v")
+    names, kinds = [key, "window_id", "n", "first_us", "last_us", "sum"], [pa.int64()] * 4 + [pa.float64()]
+    return dealt.mapInArrow(walk(Open, names, kinds), f"`{key}` {kind}, window_id long, n long, first_us long, last_us long, sum double")
 
 
 def sliding_count(df: DataFrame, size: int, keys: Sequence[str], ts: str, tie: str, agg: Column, slide: int | None = None, mode: str = "min_rows", block: int = 100_000) -> DataFrame:
@@ -79,17 +92,22 @@ def sliding_time(df: DataFrame, size_us: int, keys: Sequence[str], ts: str, aggs
 
 
 def throttled(df: DataFrame, slide_us: int, key: str, us: str, tie: str) -> DataFrame:
-    """Of each key's rows the first, then each that is at least slide_us after the last one kept. One pass per key."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([us, tie])
-        keep, last = [], None
-        for t in pdf[us].tolist():
-            keep.append(last is None or t - last >= slide_us)
-            last = t if keep[-1] else last
-        return pdf[keep]
-
-    return df.groupBy(key).applyInPandas(run, df.schema)
+    """Of each key's rows the first, then each that is at least slide_us after the last one kept. One pass per key in
+    Arrow batches that keeps the last time."""
+    at = [df.columns.index(c) for c in (key, us)]
+
+    def run(batches):
+        now, last, begun = None, None, False
+        for batch in batches:
+            keep = []
+            for k, t in zip(*(batch.column(i).to_pylist() for i in at), strict=True):
+                first = not begun or other(k, now)
+                keep.append(first or t is not None and last is not None and t - last >= slide_us)
+                if keep[-1]:
+                    now, last, begun = k, t, True
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return in_order(df, key, [F.col(us).asc_nulls_last(), F.col(tie).asc_nulls_last()]).mapInArrow(run, df.schema)
 
 
 def sliding_hop(df: DataFrame, size: str, slide: str, keys: Sequence[str], ts: str, aggs: Sequence[Column]) -> DataFrame:
