@@ -47,16 +47,36 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
+def _without_dots(path: Column) -> Column:
+    """A path that begins with / with its . and .. segments resolved; .. at the root stays there."""
+    parts = F.split(F.substring(path, 2, 2**31 - 1), "/", -1)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x))))
+    ends = F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(ends, "/").otherwise(""))
+
+
 def _absolute(link: Column, url: Column) -> Column:
-    """A link as a URL; null for links relative to the page's folder."""
+    """A link as a URL, against the URL of its page; null for other schemes (mailto:), fragments and pages without ://."""
     scheme = F.regexp_extract(url, r"^(.*?)://", 1)
-    return F.when(link.contains("://"), link).when(link.startswith("//"), F.concat(scheme, F.lit(":"), link)).when(link.startswith("/"), F.concat(scheme, F.lit("://"), host_of(url), link))
+    site = F.concat(scheme, F.lit("://"), host_of(url))
+    rest = F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
+    own = F.regexp_extract(link, r"(?s)^([^?#]*)", 1)
+    folder = F.coalesce(F.nullif(F.regexp_extract(path_of(url), r"(?s)^(.*/)", 1), F.lit("")), F.lit("/"))
+    return (
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | link.startswith("#") | (F.instr(url, "://") == 0), None)
+        .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
+        .when(link.startswith("?"), F.concat(site, path_of(url), link))
+        .when(link.startswith("/"), F.concat(site, _without_dots(own), rest))
+        .otherwise(F.concat(site, _without_dots(F.concat(folder, own)), rest))
+    )
 
 
 def links(html: Column) -> Column:
     """Targets of canonical links and page refreshes. Pages without those words are not searched."""
     canonical = F.regexp_extract(F.regexp_extract(html, r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)", 1), r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract(html, r"(?is)<meta\b[^>]*http-equiv\s*=\s*[\"']?refresh\b[^>]*?url\s*=\s*['\"]?([^\"'\s>;]+)", 1)
+    # The first refresh tag that has a target, whatever the order of its attributes.
+    refresh = F.regexp_extract(html, r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\burl\s*=\s*['\"]?([^\"'\s>;]+)", 1)
     low = F.lower(html)
     return F.filter(F.array(F.when(low.contains("canonical"), canonical), F.when(low.contains("refresh"), refresh)), lambda x: x.isNotNull() & (x != ""))
 

@@ -32,3 +32,20 @@ def test_rules_and_aliases(spark):
     redirects = spark.createDataFrame([("http://z.net/b", "https://x.com/de/1")], "src string, dst string")
     assert {r.page_id: r.verdict for r in judge(alone, redirects).collect()}[7] == "block"
     assert judge(docs.limit(0)).count() == 0
+
+
+def test_relative_links_and_refresh_in_any_order(spark):
+    link = '<link rel="canonical" href="{}">'.format
+    refresh = '<meta content="0; url={}" http-equiv="refresh">'.format
+    targets = [
+        ("https://a.net/x/page", link("page2.html"), "a.net/x/page2.html"), ("https://b.net/x/y/page", link("../a"), "b.net/x/a"), ("https://c.net/x/page?old=1", link("?id=1"), "c.net/x/page?id=1"),
+        ("https://d.net", link("de/../../e"), "d.net/e"), ("https://e.net/x/", link("./?next=https://x.com/de/1"), "e.net/x?next=https://x.com/de/1"), ("https://f.net/a/b?c/d", link("e"), "f.net/a/e"),
+        ("https://g.net/a", refresh("https://b.example/x"), "b.example/x"), ("https://h.net/a/b", '<meta http-equiv="refresh" content="5"><meta content=\'0;URL="c"\' http-equiv=Refresh>', "h.net/a/c"),
+        ("https://i.net/a", link("mailto:a@b.example"), None), ("https://j.net/a", link("#top"), None), ("no url", link("a"), None), ("https://k.net/a", '<meta name="refresh" content="url=/b">', None),
+    ]
+    pages = [(2 * i, url, html) for i, (url, html, _) in enumerate(targets)] + [(2 * i + 1, f"https://{to}", "") for i, (_, _, to) in enumerate(targets) if to]
+    got = {r.page_id: r for r in judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i, (_, _, to) in enumerate(targets):
+        assert got[2 * i].component == (min(got[2 * i].place, to) if to else got[2 * i].place), targets[i]
+    blocked = [(1, "https://a.com/de/page", ""), (2, "https://a.com/x/old", link("../de/page")), (3, "https://b.net/", refresh("https://a.com/x/old"))]
+    assert {r.verdict for r in judge(spark.createDataFrame(blocked, "page_id long, url string, html string")).collect()} == {"block"}
