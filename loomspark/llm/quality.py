@@ -173,7 +173,7 @@ def robust_estimates(rows: DataFrame, coverage: float = 0.75, steps: int = 4) ->
     return stage(inner.mapInPandas(_invert(0.975 / chi2_cdf(q, P + 2)), _MODEL), "mcd-final")
 
 
-def quality(docs: DataFrame, cut: float = 1 - 1e-7, coverage: float = 0.75, min_group: int = 50) -> DataFrame:
+def quality(docs: DataFrame, cut: float = 0.999, coverage: float = 0.75, min_group: int = 50) -> DataFrame:
     """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance.
 
     base_failed: n_words < 20, or over 30 % of the words are in repeated 8-word windows. kept: not base_failed, and the

@@ -52,3 +52,14 @@ def test_odd_rows(spark, odd_docs):
     got = q.quality(odd_docs).collect()
     assert len(got) == 8 and {(r.doc_id, r.base_failed, r.kept) for r in got} == {(i, True, False) for i in (1, 2, 3, 4, 5, None, 7)}
     assert q.quality(odd_docs.limit(0)).count() == 0
+
+
+def test_cut_is_the_customary_quantile(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("etaoinshr", k=rng.randint(1, 9)))
+    rows = [(i, " ".join(word() for _ in range(150)), "en", "a") for i in range(300)]
+    rows += [(1000 + k, " ".join(word() + "*" * (i < k) for i in range(150)), "en", "a") for k in range(1, 60, 2)]
+    got = q.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    cut, loose = q.chi2_quantile(0.999, q.P), q.chi2_quantile(1 - 1e-7, q.P)
+    assert any(cut < r.distance <= loose for r in got)
+    assert all(r.kept == (not r.base_failed and r.distance <= cut) for r in got)
