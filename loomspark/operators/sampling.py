@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import walk
+
 STEPS = 1 << 48
 
 
@@ -94,11 +98,36 @@ def class_weights(df: DataFrame, label: str, how: str = "inverse", beta: float =
 
 
 def difficulty(losses: DataFrame, id_col: str, order: list[str], loss: str, keep: float = 0.9) -> DataFrame:
-    """(id, difficulty, last_loss): d = (1 - keep) * loss + keep * d in order, seeded by the first loss."""
-    seq = F.array_sort(F.collect_list(F.struct(*order, F.col(loss).cast("double").alias("_loss"))))
-    g = losses.groupBy(id_col).agg(seq.alias("_s"))
-    ema = F.aggregate(F.slice("_s", 2, F.size("_s")), F.col("_s")[0]["_loss"], lambda d, x: (1 - keep) * x["_loss"] + keep * d)
-    return g.select(id_col, ema.alias("difficulty"), F.element_at("_s", -1)["_loss"].alias("last_loss"))
+    """(id, difficulty, last_loss): d = (1 - keep) * loss + keep * d in order, seeded by the first loss.
+
+    A step is affine in d, so a block of losses is one factor and one offset. Rows are range-partitioned by id and order:
+    a hot id spreads over tasks, each of which folds its block, and only an id's blocks, one per task, meet in a row.
+    """
+    seen = [f"o{i}" for i in range(len(order))]
+    slim = losses.select(F.col(id_col).alias("k"), *(F.col(o).alias(s) for o, s in zip(order, seen, strict=True)), F.col(loss).cast("double").alias("x"))
+    kind = slim.schema["k"].dataType.simpleString()
+    names, kinds = ["k", "part", "seeded", "factor", "shift", "last"], [pa.int64(), *[pa.float64()] * 4]
+
+    class Block:
+        def __init__(self):
+            # d where the block is an id's first; else d becomes factor * d + shift.
+            self.seeded, self.factor, self.shift, self.last, self.begun = None, 1.0, 0.0, None, False
+
+        def step(self, x):
+            add = None if x is None else (1 - keep) * x
+            self.seeded = x if not self.begun else None if add is None or self.seeded is None else add + keep * self.seeded
+            self.shift = None if add is None or self.shift is None else add + keep * self.shift
+            self.factor, self.last, self.begun = keep * self.factor, x, True
+            return ()
+
+        def end(self):
+            return [(TaskContext.get().partitionId(), self.seeded, self.factor, self.shift, self.last)]
+
+    dealt = slim.repartitionByRange("k", *seen).sortWithinPartitions("k", *seen).select("k", "x")
+    blocks = dealt.mapInArrow(walk(Block, names, kinds), f"k {kind}, part long, seeded double, factor double, shift double, last double")
+    g = blocks.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("part", "seeded", "factor", "shift", "last"))).alias("_s"))
+    ema = F.aggregate(F.slice("_s", 2, F.size("_s")), F.col("_s")[0]["seeded"], lambda d, b: b["factor"] * d + b["shift"])
+    return g.select(F.col("k").alias(id_col), ema.alias("difficulty"), F.element_at("_s", -1)["last"].alias("last_loss"))
 
 
 def focal(df: DataFrame, size: int, id_col: str, label: str, scores: DataFrame | None, gamma: float = 2.0, seed: int = 0) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from loomspark.operators import vectors, windows
+from loomspark.operators import sampling, vectors, windows
 
 
 @pytest.fixture
@@ -78,3 +78,17 @@ def test_lfu(spark, small_batches):
         want |= {(bank, s, n) for s, n in held.items()}
     got = in_batches(vectors.retain_lfu(spark.createDataFrame(log, "bank string, slot long, t long, kind string"), 5, "bank", "slot", "t", "kind"))
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_difficulty_of_a_hot_id(spark, small_batches):
+    rng = random.Random(7)
+    rows = [(rng.choice([1, 1, 1, 2, None]), i, rng.random() * 9) for i in range(500)] + [(8, 1, 1.0), (8, 2, None), (8, 3, 2.0), (9, 1, 4.0)]
+    want = {}
+    for k, _, x in rows:
+        d = want[k][0] if k in want else x
+        want[k] = (None if d is None or x is None else d if k not in want else 0.9 * d + 0.1 * x, x)
+    rng.shuffle(rows)
+    got = sampling.difficulty(spark.createDataFrame(rows, "id long, t long, loss double").repartition(5), "id", ["t"], "loss")
+    plan = got._jdf.queryExecution().toString()
+    assert "rangepartitioning" in plan.lower()  # a hot id is not one task's
+    assert {r.id: (r.difficulty, r.last_loss) for r in got.collect()} == {k: (d if d is None else pytest.approx(d), x) for k, (d, x) in want.items()}
