@@ -3,7 +3,7 @@ import zlib
 
 import pytest
 
-from loomspark.llm.toxicity import toxicity, without_toxic
+from loomspark.llm.toxicity import PART, SENTENCE, sentences, toxicity, without_toxic
 
 
 @pytest.fixture(scope="module")
@@ -40,3 +40,36 @@ def test_odd_rows(spark, corpus, odd_docs):
     kept = without_toxic(odd_docs, nothing)
     assert kept.count() == 8 and kept.columns == odd_docs.columns
     assert toxicity(odd_docs.limit(0), labels).count() == 0
+
+
+def test_shared_stems_and_inserted_characters_in_several_languages(spark):
+    """Insults are stems with endings, half of which no taught text has; some have a character put in."""
+    rng = random.Random(2)
+    syllables = {"a": "tha er on in ed ti ou re".split(), "b": "äch lich ung ver sch keit ö ü".split(), "c": "éa ique oi eau tre ç ê le".split()}
+    stems, endings = {"a": "gobsh", "b": "trott", "c": "crét"}, ["el", "ine", "os", "ac", "uil", "ade", "ort", "imo"]
+    rows, labels = [], []
+    for i in range(1200):
+        lang = rng.choice("abc")
+        word = lambda: "".join(rng.choice(syllables[lang]) for _ in range(rng.randint(1, 4)))  # noqa: B023, E731
+        text, bad, taught = [word() for _ in range(rng.randint(8, 90))], rng.random() < 0.2, zlib.crc32(str(i).encode()) % 4 in (0, 1)
+        for _ in range(rng.randint(2, 4) if bad else 0):
+            w = stems[lang] + rng.choice(endings[:4] if taught else endings)
+            k = rng.randint(2, 4)
+            text.insert(rng.randrange(len(text)), rng.choice([w, w, w, w[:k] + rng.choice("x*-") + w[k:]]))
+        rows.append((i, " ".join(text), lang))
+        labels.append((i, int(bad)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    held = [r for r in toxicity(docs, labels).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect() if r.held_out]
+    for lang in "abc":
+        toxic, clean = ([r.predicted for r in held if r.lang == lang and r.toxic == t] for t in (1, 0))
+        assert sum(toxic) >= 0.85 * len(toxic) and sum(clean) <= 0.05 * len(clean)
+
+
+def test_sentences_cover_all_words():
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choice(["word ", "end. ", "x", "\n", "y" * 40 + " ", "(in) ", "! ", "é ", "s t u "]) for _ in range(rng.randrange(0, 60)))
+        words, starts = sentences(text)
+        assert list(starts) == sorted(set(starts)) and (not words or starts[0] == 0)
+        assert all(b - a <= SENTENCE for a, b in zip(starts, [*starts[1:], len(words)], strict=False))
+        assert all(len(w) <= PART for w in words) and len(words) >= len(text.split())
