@@ -47,6 +47,21 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: A key counts as hot with over a thousandth of the rows, and at least this many.
+HOT_ROWS = 10_000
+
+
+def join_sized(left: DataFrame, right: DataFrame, key: str, size: str, rows: int) -> DataFrame:
+    """Inner join on `key`, of which right has one row each, with its rows in left as `size`; left has `rows` rows.
+
+    Hot keys, at most a thousand as the sizes add up to `rows`, are broadcast and leave left's rows where they are; the
+    others are shuffled.
+    """
+    bound = max(HOT_ROWS, rows // 1000)
+    hot, cold = F.broadcast(right.filter(F.col(size) > bound)), right.filter(F.col(size) <= bound)
+    return left.join(hot, key).unionByName(left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
 def sliced(batches: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `size` bytes, so that what a task makes of a batch is bounded too."""
     for batch in batches:

@@ -7,11 +7,14 @@ documents share either one rare shingle or two common shingles of one class. Rar
 ones in pairs; m grows with the prefix, so that the pairs stay in proportion to it.
 
 Equal sets are one class from the start, and index entries with equal documents are one entry. A document's home is the
-smallest document that shares an entry with it, or that one's home. Stars compare each document with its home, and with some more documents
-of a large home; documents then known to be connected need no comparison among themselves. What is left of a home, pairs
-of different components, is compared block by block, and pairs that share an entry but no home one by one. No link
-between components is lost, and no entry is capped. A pair is refused by an upper bound from two-bit bucket counts where that
-suffices; otherwise whole sets decide.
+smallest document that shares an entry with it, or that one's home. Stars compare each document with its home, then with
+some more documents of it; documents then known to be connected need no comparison among themselves. What is left of a
+home is compared block by block: the documents outside its largest component with all others. So are entries that span
+homes. No link between components is lost, and no entry is capped. A pair is refused by an upper bound from two-bit bucket
+counts where that suffices; otherwise whole sets decide.
+
+Whether a shingle is common is read from a bitmap of bounded size. A rare shingle that shares its bit with a common one is
+common for every document alike, so it costs some more entries and loses nothing.
 """
 
 from __future__ import annotations
@@ -25,16 +28,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stage
+from .common import join_sized, sliced, small, stage
 from .components import connected_components
 
-#: Shingles in at least this many documents count as common; the bound rises until at most COMMON_ROWS are.
-COMMON_DOCS = 16
-COMMON_ROWS = 200_000
+#: Shingles in at least this many documents count as common. Their bitmap has 2 to this power bits at most (32 MB).
+COMMON_DOCS, MOST_BITS = 16, 28
 #: Documents of a home whose data travels together.
 BLOCK = 64
-#: Documents of a home that one comparison task takes from each side.
+#: Documents of a home or an entry that one comparison takes from each side.
 HOME_BLOCK = 256
+#: Index entries that a task holds before it sends them on.
+HELD = 200_000
 #: Share of the hash range, in proportion to the prefix, whose shingles are counted and can be common.
 COUNTED = 1.8
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
@@ -78,13 +82,15 @@ def class_counts(n: int, percent: int) -> set[int]:
     return {low << i for i in range((high // low).bit_length())}
 
 
-def signatures(tokens: np.ndarray, n: int, percent: int, common: np.ndarray, bound: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """(single, paired): index entries of a set, given its least shingles. common is sorted."""
-    if len(common):
-        at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
-        often = common[at] == tokens
-    else:
-        often = np.zeros(len(tokens), bool)
+def is_common(tokens: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """bitmap: 64-bit words, a power of two of them."""
+    place = tokens & np.uint64(64 * len(bitmap) - 1)
+    return (bitmap[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def signatures(tokens: np.ndarray, n: int, percent: int, bitmap: np.ndarray, bound: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """(single, paired): index entries of a set, given its least shingles."""
+    often = is_common(tokens, bitmap)
     rank = np.where(tokens >= bound, 2, often)
     order = np.argsort(rank, kind="stable")
     ordered, often = tokens[order], often[order]
@@ -131,7 +137,7 @@ def _sets(docs: DataFrame, words: int, percent: int, whole: bool) -> DataFrame:
     bound = np.uint64(int(share * (2**64 - 1)))
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             n, keys, out, packed, lost = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text, words)
@@ -145,7 +151,7 @@ def _sets(docs: DataFrame, words: int, percent: int, whole: bool) -> DataFrame:
                 lost.append(over)
                 size = len(s)
                 need = prefix_base(size, percent) + max(class_counts(size, percent)) if size else 0
-                out.append(s[: max(need, int(np.searchsorted(s, bound)))].view(np.int64))
+                out.append(s[: max(need, int(np.searchsorted(s, bound)))].view(np.int64).copy())
             if whole:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "whole"])
             else:
@@ -159,78 +165,94 @@ def _sets(docs: DataFrame, words: int, percent: int, whole: bool) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _common(counts: DataFrame) -> list[int]:
-    """At most COMMON_ROWS of the most frequent shingles, found from a histogram of their counts."""
-    least, kept = None, 0
-    sizes = counts.groupBy(F.floor(8 * F.log2("df")).alias("b")).agg(F.count(F.lit(1)).alias("k"), F.min("df").alias("df"))
-    for r in sizes.orderBy(F.desc("b")).collect():  # some hundred bins at most
-        kept += r.k
-        if kept > COMMON_ROWS or r.df < COMMON_DOCS:
-            break
-        least = r.df
-    return [] if least is None else counts.filter(F.col("df") >= least).select("token").toPandas()["token"].tolist()
+def _bitmap(counts: DataFrame) -> np.ndarray:
+    """A bit for each common shingle, at the place of its lowest bits; about one bit in eight is set, more beyond MOST_BITS."""
+    often = counts.filter(F.col("df") >= COMMON_DOCS)
+    bits = min(MOST_BITS, max(6, (8 * often.count()).bit_length()))
+    place = F.col("token").bitwiseAND(F.lit((1 << bits) - 1))
+    words = often.select(F.shiftright(place, 6).alias("word"), place.bitwiseAND(F.lit(63)).cast("int").alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("set"))
+    out = np.zeros(1 << (bits - 6), np.int64)
+    found = words.toPandas()  # at most 2 ** (MOST_BITS - 6) rows
+    out[found["word"].to_numpy(np.int64)] = found["set"].to_numpy(np.int64)
+    return out.view(np.uint64)
 
 
-def _index(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Entries (sig, paired, doc, n) of single and of paired shingles, and the representatives of equal sets."""
+def _index(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Entries (sig, doc, n) that may be shared, and the representatives of equal sets."""
     spark = sets.sparkSession
     counts = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     counts = stage(counts, "shingle-counts")
-    common = spark.sparkContext.broadcast(np.sort(np.array(_common(counts), np.int64).view(np.uint64)))
+    bitmap = spark.sparkContext.broadcast(_bitmap(counts))
     bound = np.uint64(int(min(1.0, COUNTED * (1 - percent / 100)) * (2**64 - 1)))
 
     def run(batches):
         for batch in batches:
             size = batch.column(1).to_numpy()
             offsets, flat = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy(zero_copy_only=False).view(np.uint64)
-            sig, row, paired = [], [], []
+            sig, row, paired, held = [], [], [], 0
             for i, n in enumerate(size):
-                one, two = signatures(flat[offsets[i] : offsets[i + 1]], int(n), percent, common.value, bound)
+                one, two = signatures(flat[offsets[i] : offsets[i + 1]], int(n), percent, bitmap.value, bound)
                 sig += [one, two]
                 row.append(np.full(len(one) + len(two), i, np.int32))
                 paired += [np.zeros(len(one), bool), np.ones(len(two), bool)]
-            take = pa.array(np.concatenate(row) if row else np.empty(0, np.int32))
-            sig, paired = (np.concatenate(sig), np.concatenate(paired)) if sig else (np.empty(0, np.uint64), np.empty(0, bool))
-            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(paired), batch.column(0).take(take), batch.column(1).take(take)], names=["sig", "paired", "doc", "n"])
+                held += len(row[-1])
+                if held >= HELD or i == len(size) - 1:
+                    take = pa.array(np.concatenate(row))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(paired)), batch.column(0).take(take), batch.column(1).take(take)], names=["sig", "paired", "doc", "n"])
+                    sig, row, paired, held = [], [], [], 0
 
     kind = sets.schema["doc_id"].dataType.simpleString()
-    reps = stage(sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("doc_id")), "representatives")
-    entries = sets.select("set_key", "doc_id", "n", "tokens").join(reps, ["set_key", "doc_id"], "left_semi").select("doc_id", "n", "tokens").mapInArrow(run, f"sig long, paired boolean, doc {kind}, n long")
+    reps = stage(sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("held")), "representatives")
+    own = sets.select("set_key", "doc_id", "n", "tokens").join(reps.drop("held"), ["set_key", "doc_id"], "left_semi").dropDuplicates(["set_key", "doc_id"])
+    entries = own.select("doc_id", "n", "tokens").mapInArrow(run, f"sig long, paired boolean, doc {kind}, n long")
     single = entries.filter("NOT paired").join(counts.select(F.col("token").alias("sig")), "sig", "left_semi")
-    return single, entries.filter("paired"), reps
+    return single.unionByName(entries.filter("paired")).select("sig", "doc", "n"), reps
 
 
-def _compared(pairs: DataFrame, homes: DataFrame, data: DataFrame, test) -> DataFrame:
-    """The pairs (a, b) for which test(data of a, data of b) holds. data: doc_id and other columns, a row per document.
+def _compared(pairs: DataFrame, data: DataFrame, test) -> DataFrame:
+    """The pairs (key, a, b) for which test(data of a, data of b) holds. data: doc_id and other columns, a row per document.
 
-    Documents of one home, the smallest document that shares an entry, mostly pair among themselves. Pairs are dealt by
-    both homes, large homes in blocks of about BLOCK documents, so that data travels once per block pair, not per pair.
+    Pairs of one key are compared together, so that data travels once per key and document, not per pair.
     """
     kind = pairs.schema["a"].dataType.simpleString()
-    block = F.pmod(F.xxhash64("doc"), F.ceil(F.col("size") / BLOCK))
-    at = homes.select("doc", F.struct("home", block.alias("block")).alias("at"))
-    keyed = pairs.join(at.select(F.col("doc").alias("a"), F.col("at").alias("at_a")), "a").join(at.select(F.col("doc").alias("b"), F.col("at").alias("at_b")), "b")
-    keyed = stage(keyed.select(F.xxhash64(F.least("at_a", "at_b"), F.greatest("at_a", "at_b")).alias("key"), "a", "b"), "pairs")
+    keyed = stage(pairs.select("key", "a", "b"), "pairs")
     needed = keyed.select("key", F.col("a").alias("doc_id")).unionByName(keyed.select("key", F.col("b").alias("doc_id"))).distinct()
     sent = needed.join(data, "doc_id").withColumnRenamed("key", "block")
 
     def run(both: pa.Table, sent: pa.Table) -> pa.Table:
         of = dict(zip(sent.column("doc_id").to_pylist(), sent.drop_columns(["block", "doc_id"]).to_pylist(), strict=True))
         keep = [test(of[a], of[b]) for a, b in zip(both.column("a").to_pylist(), both.column("b").to_pylist(), strict=True)]
-        return both.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        return both.select(["key", "a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return stage(keyed.groupBy("key").cogroup(sent.groupBy("block")).applyInArrow(run, f"key long, a {kind}, b {kind}"), "compared")
+
+
+def _dealt(members: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
+    """(outsiders, all) of the groups whose members are of several components c, in blocks: members of one key are to be
+    compared. Outsiders are those outside a group's largest component. members is a staged table.
 
-    return stage(keyed.groupBy("key").cogroup(sent.groupBy("block")).applyInArrow(run, f"a {kind}, b {kind}"), "compared")
+    A block holds about HOME_BLOCK members, so that a large group is many keys; if it has few outsiders, it is dealt once.
+    """
+    by = members.groupBy(group, "c").agg(F.count(F.lit(1)).alias("k")).groupBy(group).agg(F.max(F.struct("k", "c")).alias("most"), F.sum("k").alias("held")).filter("most.k < held")
+    rows = join_sized(members, stage(by, "groups"), group, "held", members.count())
+    n_out, n_all = (F.ceil(x / HOME_BLOCK) for x in (F.col("held") - F.col("most.k"), F.col("held")))
+    columns = [F.col(c) for c in members.columns if c != group] + [(F.col("c") != F.col("most.c")).alias("outside")]
+    key = lambda own, other: F.xxhash64(group, own, other).alias("key")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("other")
+    mine = lambda n: F.pmod(F.xxhash64("doc_id"), n).alias("own")
+    out = rows.filter(F.col("c") != F.col("most.c")).select(group, *columns, mine(n_out), upto(n_all)).select(key("own", "other"), *members.drop(group).columns, "outside")
+    every = rows.select(group, *columns, mine(n_all), upto(n_out)).select(key("other", "own"), *members.drop(group).columns, "outside")
+    return out, every
 
 
 def _fold(counts: np.ndarray, buckets: int) -> np.ndarray:
     """Rows of bucket counts over fewer buckets."""
-    return counts if counts.shape[1] == buckets else counts.reshape(len(counts), -1, buckets).sum(1)
+    return counts if counts.shape[1] == buckets else counts.reshape(len(counts), -1, buckets).sum(1, dtype=np.uint16)
 
 
-def close_pairs(left: list[dict], right: list[dict] | None, percent: int) -> list[tuple]:
-    """(a, b), a < b, of documents of different components whose sizes and sketches allow a link: one of left and one
-    of right, or two of left. Sketches of one length are compared as a matrix."""
-    other = left if right is None else right
+def close_pairs(left: list[dict], other: list[dict], percent: int) -> list[tuple]:
+    """(a, b), a < b, of documents of different components whose sizes and sketches allow a link: one of each list.
+    Sketches of one length are compared as a matrix."""
     groups: dict[int, list[int]] = {}
     counts = [_counts(d["sketch"]) for d in other]
     for j, c in enumerate(counts):
@@ -241,12 +263,10 @@ def close_pairs(left: list[dict], right: list[dict] | None, percent: int) -> lis
         blocks[size] = (at, np.stack([counts[j] for j in js]), np.array([other[j]["n"] for j in js]), np.array([other[j]["lost"] for j in js]), np.array([other[j]["c"] for j in js], dtype=object))
     folded: dict[tuple[int, int], np.ndarray] = {}
     out = []
-    for i, d in enumerate(left):
-        own = counts[i] if right is None else _counts(d["sketch"])
+    for d in left:
+        own = _counts(d["sketch"])
         for size, (at, matrix, n, lost, parts) in blocks.items():
             fits = (100 * np.minimum(n, d["n"]) >= percent * np.maximum(n, d["n"])) & (parts != d["c"])
-            if right is None:
-                fits &= at > i
             if not fits.any():
                 continue
             buckets = min(size, len(own))
@@ -265,7 +285,7 @@ class Verifier:
     """Decides candidate pairs: by bounds from sketches first, then, for what is left, by whole sets made from the texts."""
 
     def __init__(self, docs: DataFrame, sets: DataFrame, homes: DataFrame, words: int, percent: int):
-        self.docs, self.homes, self.words, self.percent = docs, homes, words, percent
+        self.docs, self.words, self.percent = docs, words, percent
         h = homes.select(F.col("doc").alias("doc_id"), "home", "size")
         self.sketches = stage(sets.select("doc_id", "n", "sketch", "lost").join(h, "doc_id").dropDuplicates(["doc_id"]), "sketches")
 
@@ -276,7 +296,7 @@ class Verifier:
             shared = min(most_shared(_counts(x["sketch"]), _counts(y["sketch"])) + x["lost"] + y["lost"], x["n"], y["n"])
             return 100 * shared >= percent * (x["n"] + y["n"] - shared)
 
-        return self.verified(_compared(pairs, self.homes, self.sketches.select("doc_id", "n", "sketch", "lost"), may))
+        return self.verified(_compared(pairs, self.sketches.select("doc_id", "n", "sketch", "lost"), may))
 
     def verified(self, close: DataFrame) -> DataFrame:
         """Of pairs that sketches allow those whose whole sets link."""
@@ -288,33 +308,45 @@ class Verifier:
             return 100 * shared >= percent * (len(x) + len(y) - shared)
 
         if not close.limit(1).count():
-            return close
+            return close.select("a", "b")
         ids = stage(close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct(), "close")
         texts = self.docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi")
         whole = stage(_sets(texts, self.words, percent, True).dropDuplicates(["doc_id"]), "whole-sets")
-        return _compared(close, self.homes, whole, do)
+        return _compared(close, whole, do).select("a", "b")
+
+    def named(self, parts: DataFrame) -> DataFrame:
+        """Sketches of documents that share a home with others, with their component c."""
+        named = self.sketches.filter("size > 1").join(parts, F.col("doc_id") == F.col("node"), "left")
+        return stage(named.withColumn("c", F.coalesce("component", "doc_id")).drop("node", "component"), "named")
+
+    def more_stars(self, parts: DataFrame) -> DataFrame:
+        """Pairs of a document and one of up to eight others of its home that are of another component."""
+        named = self.named(parts)
+        pivots = named.groupBy("home", F.pmod(F.xxhash64("doc_id"), F.lit(8)).alias("star")).agg(F.min(F.struct("doc_id", "n", "c")).alias("p"), F.first("size").alias("held"))
+        pivots = pivots.filter("p.doc_id != home").groupBy("home").agg(F.collect_list("p").alias("pivots"), F.first("held").alias("held"))  # at most eight
+        pairs = join_sized(named.select("home", "size", "doc_id", "n", "c"), stage(pivots, "pivots"), "home", "held", named.count())
+        pairs = pairs.select("home", "size", "doc_id", "n", "c", F.explode("pivots").alias("p")).filter((F.col("c") != F.col("p.c")) & _close(self.percent, "n", "p.n"))
+        return pairs.select(_block_key("home", "doc_id"), F.col("p.doc_id").alias("a"), F.col("doc_id").alias("b"))
 
     def within_homes(self, parts: DataFrame) -> DataFrame:
-        """Close pairs of one home and different components. Large homes are compared block by block."""
+        """Close pairs of one home and different components, block by block."""
         percent, kind = self.percent, self.sketches.schema["doc_id"].dataType.simpleString()
-        named = self.sketches.filter("size > 1").join(parts, F.col("doc_id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "doc_id")).drop("node", "component")
-        named = stage(named, "named")
-        split = named.groupBy("home").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 != c1").select("home")
-        blocks = F.ceil(F.col("size") / HOME_BLOCK)
-        own = named.join(split, "home", "left_semi").withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks))
-        dealt = own.select("home", "doc_id", "n", "sketch", "lost", "c", "own", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
-        dealt = dealt.select(F.xxhash64("home", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "doc_id", "n", "sketch", "lost", "c", "own")
+        out, every = _dealt(self.named(parts).drop("size"), "home")
+        role = lambda df, left: df.select("key", "doc_id", "n", "sketch", "lost", "c", F.lit(left).alias("is_left"))
 
         def run(table: pa.Table) -> pa.Table:
             rows = table.to_pylist()
-            first = min(r["own"] for r in rows)
-            left, right = [r for r in rows if r["own"] == first], [r for r in rows if r["own"] != first]
-            found = close_pairs(left, right or None, percent)
-            a, b = zip(*found, strict=True) if found else ((), ())
+            found = set(close_pairs([r for r in rows if r["is_left"]], [r for r in rows if not r["is_left"]], percent))
+            a, b = zip(*sorted(found), strict=True) if found else ((), ())
             column = table.column("doc_id").type
-            return pa.table({"a": pa.array(a, column), "b": pa.array(b, column)})
+            return pa.table({"key": pa.array([rows[0]["key"]] * len(a), pa.int64()), "a": pa.array(a, column), "b": pa.array(b, column)})
+
+        return role(out, True).unionByName(role(every, False)).groupBy("key").applyInArrow(run, f"key long, a {kind}, b {kind}")
+
 
-        return dealt.groupBy("key").applyInArrow(run, f"a {kind}, b {kind}")
+def _block_key(home: str, doc: str):
+    """Documents of one home travel in blocks of about BLOCK documents; its size is in column size."""
+    return F.xxhash64(home, F.pmod(F.xxhash64(doc), F.ceil(F.col("size") / BLOCK))).alias("key")
 
 
 def _close(percent: int, x: str, y: str):
@@ -322,6 +354,17 @@ def _close(percent: int, x: str, y: str):
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
+def _homes(entries: DataFrame) -> DataFrame:
+    """(doc, home, size): the smallest document of a shared entry, or rather its home's home, and how many documents it has."""
+    homes = stage(entries.groupBy("doc").agg(F.min("pivot").alias("home")), "homes")
+    held = stage(homes.groupBy("home").agg(F.count(F.lit(1)).alias("held")), "homes")
+    up = stage(held.join(homes.select(F.col("doc").alias("home"), F.col("home").alias("up")), "home"), "homes")
+    up = stage(up.join(up.select(F.col("home").alias("up"), F.col("up").alias("root")), "up").select("home", "held", "root"), "homes")
+    sizes = up.groupBy("root").agg(F.sum("held").alias("size"))
+    found = join_sized(homes, stage(up.join(sizes, "root"), "homes"), "home", "held", homes.count())
+    return stage(found.select("doc", F.col("root").alias("home"), "size"), "homes")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
 
@@ -330,46 +373,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     Extra columns of docs are not read. An empty table gives an empty result.
     """
     sets = stage(_sets(docs, words, percent, False), "sets")
-    single, paired, reps = _index(sets, percent)
-    entries = stage(single.unionByName(paired).select("sig", "doc", "n").distinct(), "index")
+    entries, reps = _index(sets, percent)
+    entries = stage(entries, "index")
     # Entries with the same documents say the same: one of them is kept.
     shared = entries.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.min("doc").alias("pivot"), F.sum(F.xxhash64("doc").cast("decimal(20,0)")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "doc")).alias("h2")).filter("k > 1")
     shared = shared.groupBy("k", "h1", "h2").agg(F.min(F.struct("sig", "pivot")).alias("s")).select("s.sig", "s.pivot", "k")
-    entries = stage(entries.join(stage(shared, "entries"), "sig"), "index")
-    homes = entries.groupBy("doc").agg(F.min("pivot").alias("home"))
-    homes = stage(homes, "homes")
-    for _ in range(2):  # a home's own home, twice, so that what is alike meets in one
-        up = homes.select(F.col("doc").alias("home"), F.col("home").alias("up"))
-        homes = stage(homes.join(up, "home").select("doc", F.col("up").alias("home")), "homes")
-    homes = stage(homes.join(homes.groupBy("home").agg(F.count(F.lit(1)).alias("size")), "home"), "homes")
+    entries = stage(join_sized(entries, stage(shared, "entries"), "sig", "k", entries.count()), "index")
+    homes = _homes(entries)
     verifier = Verifier(docs, sets, homes, words, percent)
     # Stars: every document and its home. What they connect needs no comparison among itself.
-    links = verifier.links(homes.filter("doc != home").select(F.col("home").alias("a"), F.col("doc").alias("b")))
-    parts = connected_components(links)
-    sketches = verifier.sketches.select("doc_id", "home", "n")
-    if homes.filter(F.col("size") > 64).limit(1).count():  # some more stars for large homes
-        large = homes.filter(F.col("size") > 64).select(F.col("doc").alias("doc_id"))
-        named = sketches.join(large, "doc_id", "left_semi").join(parts, F.col("doc_id") == F.col("node"), "left").select("home", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
-        named = stage(named, "named")
-        pivots = named.groupBy("home", F.pmod(F.xxhash64("doc_id"), F.lit(8)).alias("star")).agg(F.min(F.struct("doc_id", "n", "c")).alias("p")).select("home", F.col("p.doc_id").alias("a"), F.col("p.n").alias("an"), F.col("p.c").alias("ac"))
-        pairs = named.join(stage(pivots, "pivots"), "home").filter((F.col("c") != F.col("ac")) & _close(percent, "n", "an")).select("a", F.col("doc_id").alias("b")).distinct()
-        links = links.unionByName(verifier.links(pairs))
-        parts = connected_components(links)
-    links = links.unionByName(verifier.verified(stage(verifier.within_homes(parts), "close")))
+    links = verifier.links(homes.filter("doc != home").select(_block_key("home", "doc"), F.col("home").alias("a"), F.col("doc").alias("b")))
+    links = links.unionByName(verifier.links(verifier.more_stars(connected_components(links))))
+    links = links.unionByName(verifier.verified(stage(verifier.within_homes(connected_components(links)), "close")))
     parts = connected_components(links)
     # Pairs that share an entry but no home.
-    named = entries.select("sig", "doc", "n").join(homes.select("doc", "home"), "doc").join(parts, F.col("doc") == F.col("node"), "left").select("sig", "doc", "n", "home", F.coalesce("component", "doc").alias("c"))
-    named = stage(named, "named")
-    split = named.groupBy("sig").agg(F.min("home").alias("h0"), F.max("home").alias("h1"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("h0 != h1 AND c0 != c1").select("sig")
-    named = stage(named.join(split, "sig", "left_semi"), "named")
-    x, y = (named.select("sig", *(F.col(c).alias(c + side) for c in ("doc", "n", "home", "c"))) for side in "xy")
-    pairs = x.join(y, "sig").filter((F.col("docx") < F.col("docy")) & (F.col("homex") != F.col("homey")) & (F.col("cx") != F.col("cy")) & _close(percent, "nx", "ny"))
-    links = links.unionByName(verifier.links(pairs.select(F.col("docx").alias("a"), F.col("docy").alias("b")).distinct()))
+    named = entries.select("sig", F.col("doc").alias("doc_id"), "n").join(homes.select(F.col("doc").alias("doc_id"), "home", _block_key("home", "doc").alias("at")), "doc_id")
+    named = stage(named.join(parts, F.col("doc_id") == F.col("node"), "left").select("sig", "doc_id", "n", "home", "at", F.coalesce("component", "doc_id").alias("c")), "named")
+    x, y = (side.select("key", *(F.col(c).alias(c + name) for c in ("doc_id", "n", "home", "at", "c", "outside"))) for side, name in zip(_dealt(named, "sig"), "xy", strict=True))
+    pairs = x.join(y, "key").filter((F.col("homex") != F.col("homey")) & (F.col("cx") != F.col("cy")) & _close(percent, "nx", "ny") & (~F.col("outsidey") | (F.col("doc_idx") < F.col("doc_idy"))))
+    a, b = F.least("doc_idx", "doc_idy"), F.greatest("doc_idx", "doc_idy")
+    pairs = pairs.select(F.xxhash64(F.least("atx", "aty"), F.greatest("atx", "aty")).alias("key"), a.alias("a"), b.alias("b")).distinct()
+    links = links.unionByName(verifier.links(pairs))
     parts = connected_components(links)
-    named = stage(reps.join(parts, reps.doc_id == parts.node, "left").select("set_key", F.coalesce("component", "doc_id").alias("component_id")), "classes")
-    out = sets.select("doc_id", "n", "set_key").join(named, "set_key", "left")
+    classes = stage(reps.join(parts, reps.doc_id == parts.node, "left").select("set_key", "held", F.coalesce("component", "doc_id").alias("component_id")), "classes")
     own = (F.col("n") == 0) | F.col("doc_id").isNull()
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    of_set = join_sized(sets.filter(~own).select("doc_id", "n", "set_key"), classes, "set_key", "held", sets.count())
+    alone = sets.filter(own).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return of_set.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

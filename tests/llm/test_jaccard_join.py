@@ -58,6 +58,34 @@ def test_components_equal_brute_force(spark, monkeypatch, words, percent, often,
     assert {tuple(r) for r in got} == brute(rows, words, percent)
 
 
+def test_large_home_with_few_outsiders(spark):
+    """A thousand near copies and a few texts that share entries with them but are less alike, some alike among themselves."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[:-1] + [f"x{i}"])) for i in range(1, 1200)]
+    for i in range(4):
+        w = base[:]
+        w[20 + i] = w[35] = f"y{i}"
+        rows.append((5000 + i, " ".join(w)))
+        rows.append((6000 + i, " ".join([*w, "z"])))
+    rng.shuffle(rows)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    assert {tuple(r) for r in got} == brute(rows, 3, 90)
+    assert len({r.component_id for r in got}) == 5
+
+
+def test_common_shingles_have_a_bit(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(jaccard_join, "COMMON_DOCS", 3)
+    tokens = np.random.default_rng(1).integers(-(2**63), 2**63, 500)
+    df = spark.createDataFrame([(int(t), 3 if i < 300 else 2) for i, t in enumerate(tokens)], "token long, df long")
+    found = jaccard_join.is_common(tokens.view(np.uint64), jaccard_join._bitmap(df))
+    assert found[:300].all() and found[300:].sum() < 60
+    monkeypatch.setattr(jaccard_join, "MOST_BITS", 6)  # full: every shingle is common
+    assert len(jaccard_join._bitmap(df)) == 1
+
+
 def test_odd_rows(spark, odd_docs):
     got = {(r.doc_id, r.n_shingles > 0, r.component_id) for r in near_duplicates(odd_docs, 3, 90).collect()}
     assert got == {(1, False, 1), (2, False, 2), (3, False, 3), (4, True, 4), (5, True, 5), (None, True, None), (7, True, 7)}
