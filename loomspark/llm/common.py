@@ -24,13 +24,14 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: spark.checkpoint.dir, or one of our own where it is unset, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder for intermediate tables: spark.checkpoint.dir, or the context's own checkpoint folder. Only a local
+    session, as in tests, may have neither."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
-        folder = _own[app]
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = _own.setdefault(sc.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-"))
     return folder.rstrip("/")
 
 
@@ -42,6 +43,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more: what was made from them has been written."""
+    for df in tables:
+        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        for folder in (f for f in folders if "/loomspark/" in f):
+            path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `rows` rows, else df itself. df should be a staged table: it is counted."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -51,18 +61,18 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 HOT_ROWS = 10_000
 
 
-def join_sized(left: DataFrame, right: DataFrame, key: str, size: str, rows: int) -> DataFrame:
-    """Inner join on `key`, of which right has one row each, with its rows in left as `size`; left has `rows` rows.
+def join_sized(left: DataFrame, right: DataFrame, key: str | list[str], size: str, rows: int) -> DataFrame:
+    """Inner join on `key` (one or more columns), of which right has one row each, with its rows in left as `size`; left has `rows` rows.
 
     Hot keys, at most a thousand as the sizes add up to `rows`, are broadcast and leave left's rows where they are; the
     others are shuffled.
     """
-    bound = max(HOT_ROWS, rows // 1000)
+    keys, bound = [key] if isinstance(key, str) else key, max(HOT_ROWS, rows // 1000)
     hot, cold = F.broadcast(right.filter(F.col(size) > bound)), right.filter(F.col(size) <= bound)
-    return left.join(hot, key).unionByName(left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+    return left.join(hot, key).unionByName(left.join(F.broadcast(hot.select(*keys)), key, "left_anti").join(cold, key))
 
 
-def sliced(batches: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `size` bytes, so that what a task makes of a batch is bounded too."""
     for batch in batches:
         rows = max(1, int(size * batch.num_rows // max(batch.nbytes, 1)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_sized, stage
+from .common import join_sized, stage, unstage
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -27,6 +27,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         root = shared.join(labels.select(F.col("node").alias("label"), F.col("label").alias("root")), "label")
         joined = join_sized(labels, root, "label", "members", rows).join(near, "node")
         least = F.least("label", "near", "root")
-        labels = stage(joined.select("node", least.alias("label"), "degree", (least != F.col("label")).alias("moved")), "labels")
+        before, labels = labels, stage(joined.select("node", least.alias("label"), "degree", (least != F.col("label")).alias("moved")), "labels")
+        unstage(before)
         if not labels.filter("moved").limit(1).count():
+            unstage(both)
             return labels.select("node", F.col("label").alias("component"))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_sized, sliced, small, stage
+from .common import join_sized, sliced, small, stage, unstage
 from .components import connected_components
 
 #: Shingles in at least this many documents count as common. Their bitmap has 2 to this power bits at most (32 MB).
@@ -206,25 +206,30 @@ def _index(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     own = sets.select("set_key", "doc_id", "n", "tokens").join(reps.drop("held"), ["set_key", "doc_id"], "left_semi").dropDuplicates(["set_key", "doc_id"])
     entries = own.select("doc_id", "n", "tokens").mapInArrow(run, f"sig long, paired boolean, doc {kind}, n long")
     single = entries.filter("NOT paired").join(counts.select(F.col("token").alias("sig")), "sig", "left_semi")
-    return single.unionByName(entries.filter("paired")).select("sig", "doc", "n"), reps
+    every = stage(single.unionByName(entries.filter("paired")).select("sig", "doc", "n"), "index")
+    unstage(counts)
+    return every, reps
 
 
 def _compared(pairs: DataFrame, data: DataFrame, test) -> DataFrame:
-    """The pairs (key, a, b) for which test(data of a, data of b) holds. data: doc_id and other columns, a row per document.
+    """The pairs (key, a, b, ca, cb) for which test(data of a, data of b) holds. data: doc_id and other columns, a row per
+    document; ca and cb: the components of a and b, as far as they are known.
 
     Pairs of one key are compared together, so that data travels once per key and document, not per pair.
     """
     kind = pairs.schema["a"].dataType.simpleString()
-    keyed = stage(pairs.select("key", "a", "b"), "pairs")
+    keyed = stage(pairs.select("key", "a", "b", "ca", "cb"), "pairs")
     needed = keyed.select("key", F.col("a").alias("doc_id")).unionByName(keyed.select("key", F.col("b").alias("doc_id"))).distinct()
     sent = needed.join(data, "doc_id").withColumnRenamed("key", "block")
 
     def run(both: pa.Table, sent: pa.Table) -> pa.Table:
         of = dict(zip(sent.column("doc_id").to_pylist(), sent.drop_columns(["block", "doc_id"]).to_pylist(), strict=True))
         keep = [test(of[a], of[b]) for a, b in zip(both.column("a").to_pylist(), both.column("b").to_pylist(), strict=True)]
-        return both.select(["key", "a", "b"]).filter(pa.array(keep, pa.bool_()))
+        return both.select(["key", "a", "b", "ca", "cb"]).filter(pa.array(keep, pa.bool_()))
 
-    return stage(keyed.groupBy("key").cogroup(sent.groupBy("block")).applyInArrow(run, f"key long, a {kind}, b {kind}"), "compared")
+    out = stage(keyed.groupBy("key").cogroup(sent.groupBy("block")).applyInArrow(run, f"key long, a {kind}, b {kind}, ca {kind}, cb {kind}"), "compared")
+    unstage(keyed)
+    return out
 
 
 def _dealt(members: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
@@ -251,8 +256,8 @@ def _fold(counts: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def close_pairs(left: list[dict], other: list[dict], percent: int) -> list[tuple]:
-    """(a, b), a < b, of documents of different components whose sizes and sketches allow a link: one of each list.
-    Sketches of one length are compared as a matrix."""
+    """(a, b, ca, cb), a < b, of documents of different components whose sizes and sketches allow a link: one of each list,
+    with their components. Sketches of one length are compared as a matrix."""
     groups: dict[int, list[int]] = {}
     counts = [_counts(d["sketch"]) for d in other]
     for j, c in enumerate(counts):
@@ -276,9 +281,9 @@ def close_pairs(left: list[dict], other: list[dict], percent: int) -> list[tuple
             shared = np.minimum(folded[size, buckets][fits], mine).sum(1, dtype=np.int64) + lost[fits] + d["lost"]
             shared = np.minimum(shared, np.minimum(n[fits], d["n"]))
             ok = 100 * shared >= percent * (n[fits] + d["n"] - shared)
-            a = d["doc_id"]
-            out += [(min(a, other[j]["doc_id"]), max(a, other[j]["doc_id"])) for j in at[fits][ok]]
-    return out
+            a, ca = d["doc_id"], d["c"]
+            out += [(*x, *y) if (x := (a, ca)) < (y := (other[j]["doc_id"], other[j]["c"])) else (*y, *x) for j in at[fits][ok]]
+    return [(a, b, ca, cb) for a, ca, b, cb in out]
 
 
 class Verifier:
@@ -289,16 +294,16 @@ class Verifier:
         h = homes.select(F.col("doc").alias("doc_id"), "home", "size")
         self.sketches = stage(sets.select("doc_id", "n", "sketch", "lost").join(h, "doc_id").dropDuplicates(["doc_id"]), "sketches")
 
-    def links(self, pairs: DataFrame) -> DataFrame:
+    def links(self, pairs: DataFrame, stars: bool = False) -> DataFrame:
         percent = self.percent
 
         def may(x: dict, y: dict) -> bool:
             shared = min(most_shared(_counts(x["sketch"]), _counts(y["sketch"])) + x["lost"] + y["lost"], x["n"], y["n"])
             return 100 * shared >= percent * (x["n"] + y["n"] - shared)
 
-        return self.verified(_compared(pairs, self.sketches.select("doc_id", "n", "sketch", "lost"), may))
+        return self.verified(_compared(pairs, self.sketches.select("doc_id", "n", "sketch", "lost"), may), stars)
 
-    def verified(self, close: DataFrame) -> DataFrame:
+    def verified(self, close: DataFrame, stars: bool = False) -> DataFrame:
         """Of pairs that sketches allow those whose whole sets link."""
         percent = self.percent
 
@@ -308,11 +313,13 @@ class Verifier:
             return 100 * shared >= percent * (len(x) + len(y) - shared)
 
         if not close.limit(1).count():
-            return close.select("a", "b")
+            return _edges(close)
         ids = stage(close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct(), "close")
         texts = self.docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi")
         whole = stage(_sets(texts, self.words, percent, True).dropDuplicates(["doc_id"]), "whole-sets")
-        return _compared(close, whole, do).select("a", "b")
+        out = (_star_edges if stars else _edges)(_compared(close, whole, do))
+        unstage(ids, whole)
+        return out
 
     def named(self, parts: DataFrame) -> DataFrame:
         """Sketches of documents that share a home with others, with their component c."""
@@ -326,7 +333,7 @@ class Verifier:
         pivots = pivots.filter("p.doc_id != home").groupBy("home").agg(F.collect_list("p").alias("pivots"), F.first("held").alias("held"))  # at most eight
         pairs = join_sized(named.select("home", "size", "doc_id", "n", "c"), stage(pivots, "pivots"), "home", "held", named.count())
         pairs = pairs.select("home", "size", "doc_id", "n", "c", F.explode("pivots").alias("p")).filter((F.col("c") != F.col("p.c")) & _close(self.percent, "n", "p.n"))
-        return pairs.select(_block_key("home", "doc_id"), F.col("p.doc_id").alias("a"), F.col("doc_id").alias("b"))
+        return pairs.select(_block_key("home", "doc_id"), F.col("p.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("p.c").alias("ca"), F.col("c").alias("cb"))
 
     def within_homes(self, parts: DataFrame) -> DataFrame:
         """Close pairs of one home and different components, block by block."""
@@ -337,11 +344,27 @@ class Verifier:
         def run(table: pa.Table) -> pa.Table:
             rows = table.to_pylist()
             found = set(close_pairs([r for r in rows if r["is_left"]], [r for r in rows if not r["is_left"]], percent))
-            a, b = zip(*sorted(found), strict=True) if found else ((), ())
-            column = table.column("doc_id").type
-            return pa.table({"key": pa.array([rows[0]["key"]] * len(a), pa.int64()), "a": pa.array(a, column), "b": pa.array(b, column)})
+            columns = list(zip(*sorted(found), strict=True)) if found else [()] * 4
+            of = lambda x: pa.array(x, table.column("doc_id").type)
+            return pa.table({"key": pa.array([rows[0]["key"]] * len(columns[0]), pa.int64()), **dict(zip(("a", "b", "ca", "cb"), map(of, columns), strict=True))})
+
+        return role(out, True).unionByName(role(every, False)).groupBy("key").applyInArrow(run, f"key long, a {kind}, b {kind}, ca {kind}, cb {kind}")
+
+
+def _edges(linked: DataFrame) -> DataFrame:
+    """(a, b): the components that linked pairs join. One edge says it, however many links do."""
+    pairs = linked.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
+    return stage(pairs.distinct(), "edges")
+
 
-        return role(out, True).unionByName(role(every, False)).groupBy("key").applyInArrow(run, f"key long, a {kind}, b {kind}")
+def _star_edges(linked: DataFrame) -> DataFrame:
+    """As _edges, of pairs (pivot a, document b) with at most eight pivots per document: a document is joined to the least
+    of its pivots' components, and the others to that one, so that few edges differ between the documents of a home."""
+    near = linked.groupBy("b", "cb").agg(F.array_sort(F.collect_set("ca")).alias("all"))
+    first = F.col("all")[0]
+    own = near.select(first.alias("a"), F.col("cb").alias("b"))
+    others = near.select(first.alias("a"), F.explode(F.slice("all", 2, F.size("all"))).alias("b"))
+    return stage(own.unionByName(others).distinct(), "edges")
 
 
 def _block_key(home: str, doc: str):
@@ -373,17 +396,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     Extra columns of docs are not read. An empty table gives an empty result.
     """
     sets = stage(_sets(docs, words, percent, False), "sets")
-    entries, reps = _index(sets, percent)
-    entries = stage(entries, "index")
+    every, reps = _index(sets, percent)
     # Entries with the same documents say the same: one of them is kept.
-    shared = entries.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.min("doc").alias("pivot"), F.sum(F.xxhash64("doc").cast("decimal(20,0)")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "doc")).alias("h2")).filter("k > 1")
+    shared = every.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.min("doc").alias("pivot"), F.sum(F.xxhash64("doc").cast("decimal(20,0)")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "doc")).alias("h2")).filter("k > 1")
     shared = shared.groupBy("k", "h1", "h2").agg(F.min(F.struct("sig", "pivot")).alias("s")).select("s.sig", "s.pivot", "k")
-    entries = stage(join_sized(entries, stage(shared, "entries"), "sig", "k", entries.count()), "index")
+    shared = stage(shared, "entries")
+    entries = stage(join_sized(every, shared, "sig", "k", every.count()), "index")
+    unstage(every, shared)
     homes = _homes(entries)
     verifier = Verifier(docs, sets, homes, words, percent)
     # Stars: every document and its home. What they connect needs no comparison among itself.
-    links = verifier.links(homes.filter("doc != home").select(_block_key("home", "doc"), F.col("home").alias("a"), F.col("doc").alias("b")))
-    links = links.unionByName(verifier.links(verifier.more_stars(connected_components(links))))
+    links = verifier.links(homes.filter("doc != home").select(_block_key("home", "doc"), F.col("home").alias("a"), F.col("doc").alias("b"), F.col("home").alias("ca"), F.col("doc").alias("cb")))
+    links = links.unionByName(verifier.links(verifier.more_stars(connected_components(links)), stars=True))
     links = links.unionByName(verifier.verified(stage(verifier.within_homes(connected_components(links)), "close")))
     parts = connected_components(links)
     # Pairs that share an entry but no home.
@@ -391,10 +415,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     named = stage(named.join(parts, F.col("doc_id") == F.col("node"), "left").select("sig", "doc_id", "n", "home", "at", F.coalesce("component", "doc_id").alias("c")), "named")
     x, y = (side.select("key", *(F.col(c).alias(c + name) for c in ("doc_id", "n", "home", "at", "c", "outside"))) for side, name in zip(_dealt(named, "sig"), "xy", strict=True))
     pairs = x.join(y, "key").filter((F.col("homex") != F.col("homey")) & (F.col("cx") != F.col("cy")) & _close(percent, "nx", "ny") & (~F.col("outsidey") | (F.col("doc_idx") < F.col("doc_idy"))))
-    a, b = F.least("doc_idx", "doc_idy"), F.greatest("doc_idx", "doc_idy")
-    pairs = pairs.select(F.xxhash64(F.least("atx", "aty"), F.greatest("atx", "aty")).alias("key"), a.alias("a"), b.alias("b")).distinct()
+    x, y = F.struct(F.col("doc_idx").alias("doc_id"), F.col("cx").alias("c")), F.struct(F.col("doc_idy").alias("doc_id"), F.col("cy").alias("c"))
+    pairs = pairs.select(F.xxhash64(F.least("atx", "aty"), F.greatest("atx", "aty")).alias("key"), F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).distinct()
+    pairs = pairs.select("key", F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.c").alias("ca"), F.col("y.c").alias("cb"))
     links = links.unionByName(verifier.links(pairs))
     parts = connected_components(links)
+    unstage(entries, homes, verifier.sketches)
     classes = stage(reps.join(parts, reps.doc_id == parts.node, "left").select("set_key", "held", F.coalesce("component", "doc_id").alias("component_id")), "classes")
     own = (F.col("n") == 0) | F.col("doc_id").isNull()
     of_set = join_sized(sets.filter(~own).select("doc_id", "n", "set_key"), classes, "set_key", "held", sets.count())

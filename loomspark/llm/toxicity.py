@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, stage
+from .common import sliced, stage, unstage
 
 SPAN, DECAY, BITS = 5, 0.7, 18
 #: Offsets of a subsequence's characters, and its weight.
@@ -147,7 +147,7 @@ def sentences(text: str | None) -> tuple[list[str], np.ndarray]:
 class Scorer:
     """Sentence margins of texts. Keeps up to `limit` words' shares, then starts anew."""
 
-    def __init__(self, table: np.ndarray, bias: float, limit: int = 200_000):
+    def __init__(self, table: np.ndarray, bias: float, limit: int = 100_000):
         self.table, self.bias, self.limit, self.known = table, bias, limit, {}
 
     def sentence_margins(self, texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -303,6 +303,7 @@ def _train(teach: DataFrame, space: Landmarks, penalty: float = 1e-5) -> np.ndar
         beta = new
         if moved < 1e-4:
             break
+    unstage(rows)
     return beta
 
 
@@ -338,6 +339,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_texts: int = MAX_TEXTS) -> tuple
     if sample.agg(F.countDistinct("toxic")).first()[0] < 2:
         sample = texts
     rows = sample.select("text", "toxic").mapInArrow(pooled, "x binary, toxic int").collect()  # a row per labelled text
+    unstage(texts)
     return *model, logistic(np.stack([np.frombuffer(r.x) for r in rows]), np.array([float(r.toxic > 0) for r in rows]))
 
 
