@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, lower_ascii, small, stage
+from .common import SPACES, join_sized, lower_ascii, stage, unstage
 
 
 def lines_of(text: str) -> Column:
@@ -31,11 +31,13 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     hashed = lines.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), "doc_id", "pos")
     dealt = hashed.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos")
     held = stage(dealt.groupBy("h1", "h2", "doc_id").agg(F.collect_set("pos").alias("at")), "lines")
-    many = stage(held.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs).drop("n"), "repeated")
-    drops = held.join(small(many), ["h1", "h2"]).filter("doc_id != keeper").select("doc_id", F.explode("at").alias("pos"))
+    many = stage(held.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs), "repeated")
+    drops = join_sized(held, many, ["h1", "h2"], "n", held.count()).filter("doc_id != keeper").select("doc_id", F.explode("at").alias("pos"))
     island = F.col("pos") - F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))
     runs = drops.select("doc_id", "pos", island.alias("island")).groupBy("doc_id", "island").agg(F.min("pos").alias("start"), F.count(F.lit(1)).cast("int").alias("length"))
-    return stage(runs.groupBy("doc_id").agg(F.sum("length").alias("n_dropped"), F.sort_array(F.collect_list(F.struct("start", "length"))).alias("runs")), "bitmaps")
+    bitmaps = stage(runs.groupBy("doc_id").agg(F.sum("length").alias("n_dropped"), F.sort_array(F.collect_list(F.struct("start", "length"))).alias("runs")), "bitmaps")
+    unstage(held, many)
+    return bitmaps
 
 
 def kept_text() -> tuple[Column, Column]:
@@ -50,24 +52,25 @@ def kept_text() -> tuple[Column, Column]:
     return lines_of("row.text"), F.when(F.col("runs").isNull(), F.coalesce("row.text", F.lit(""))).otherwise(F.array_join(F.flatten(slices), "\n"))
 
 
-def without_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """docs with the kept lines as text; also _n_lines and _n_dropped. Every row stays, in its columns and types."""
+def _kept(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
+    """(row, kept, n_lines, n_dropped): every row of docs as a struct, so that no column name can clash."""
     bitmaps = drop_bitmaps(docs, min_chars, min_docs)
     # Hashing the small bitmaps spares a sort of the texts; the plan is the same at every size.
     joined = docs.select(F.struct("*").alias("row")).join(bitmaps.hint("shuffle_hash"), F.col("row.doc_id") == F.col("doc_id"), "left")
     lines, text = kept_text()
-    out = joined.select("row", "n_dropped", "runs", lines.alias("lines")).select("row", "n_dropped", F.size("lines").alias("n_lines"), text.alias("kept"))
-    return out.select(
-        *(F.col("kept").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns),
-        F.col("n_lines").cast("long").alias("_n_lines"),
-        F.coalesce("n_dropped", F.lit(0)).cast("long").alias("_n_dropped"),
-    )
+    out = joined.select("row", "n_dropped", "runs", lines.alias("lines"))
+    return out.select("row", text.alias("kept"), F.size("lines").cast("long").alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"))
+
+
+def without_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+    """docs with the kept lines as text. Every row stays, in its columns and types; a null text becomes empty."""
+    return _kept(docs, min_chars, min_docs).select(*(F.col("kept").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def line_digests(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """Per document: doc_id, n_lines, n_dropped and kept_sha256 of the kept lines joined by line feeds."""
-    kept = without_repeated_lines(docs.select("doc_id", "text"), min_chars, min_docs)
-    return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
+    kept = _kept(docs.select("doc_id", "text"), min_chars, min_docs)
+    return kept.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 SQL = """

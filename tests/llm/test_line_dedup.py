@@ -34,8 +34,18 @@ def test_equals_brute_force(spark):
 
 
 def test_odd_rows(spark, odd_docs):
-    out = without_repeated_lines(odd_docs, min_docs=1)
-    assert out.count() == 8 and out.columns[: len(odd_docs.columns)] == odd_docs.columns
-    kept = {(r.doc_id, r._n_lines, r._n_dropped) for r in out.collect()}
+    clash = odd_docs.selectExpr("*", "'mine' AS _n_lines", "'too' AS n_dropped", "1 AS runs", "2 AS row", "3 AS h1")
+    out = without_repeated_lines(clash, min_docs=1)
+    assert out.count() == 8 and out.columns == clash.columns and {r._n_lines + r.n_dropped for r in out.collect()} == {"minetoo"}
+    kept = {(r.doc_id, r.n_lines, r.n_dropped) for r in line_digests(clash, min_docs=1).collect()}
     assert kept == {(1, 1, 0), (2, 1, 0), (3, 2, 0), (4, 1, 0), (5, 1, 0), (None, 1, 0), (7, 1, 0)}
     assert line_digests(odd_docs.limit(0)).count() == 0
+
+
+def test_a_line_of_all_documents_is_joined_from_a_broadcast(spark, monkeypatch):
+    from loomspark.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    rows = [(i, f"The line that every document holds.\nOwn line of number {i}, long enough\n{'Another line, held by a few of them' if i % 50 == 0 else ''}") for i in range(300)]
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in line_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
