@@ -17,7 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
+from .common import sliced
+
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(id|class|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 _END = re.compile(r"[.!?…]")
@@ -40,10 +42,23 @@ class Node:
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
-    """Block elements in page order, the first the root, and text blocks (element, text) in page order."""
+    """Block elements in page order, the first the root, and text blocks (element, text) in page order.
+
+    Time is linear in the page, however deep or broken: no tag is looked for behind the last >, and where elements of
+    each name are open is kept, so that nothing searches the open elements.
+    """
     root = Node("html", None, ())
     nodes, blocks, stack, text, linked = [root], [], [root], [], 0
     inline: list[str] = []  # open <a> elements
+    opened: dict[str, list[int]] = {}  # by name, the places of open elements in stack
+
+    def innermost(names) -> int:
+        return max((opened[t][-1] for t in names if opened.get(t)), default=0)
+
+    def close(place: int) -> None:
+        for n in stack[place:]:
+            opened[n.tag].pop()
+        del stack[place:]
 
     def end_block() -> None:
         nonlocal linked
@@ -59,10 +74,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             text.clear()
         linked = 0
 
-    at, size = 0, len(page)
+    at, size, last, heads = 0, len(page), page.rfind(">") + 1, True
     while at < size:
-        m = _TOKEN.search(page, at)
-        chunk = page[at : m.start()] if m else page[at:]
+        m = _TOKEN.search(page, at, last) if at < last else None
+        chunk = page[at : m.start()] if m else page[at:].partition("<!--")[0]
         if chunk:
             if "&" in chunk:
                 chunk = html.unescape(chunk)
@@ -71,7 +86,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                 linked += len(chunk)
         if not m:
             break
-        at = m.end()
+        at = size if m[0].startswith("<!--") and not m[0].endswith("-->") else m.end()
         name = m[2] or m[5]
         if not name:
             continue
@@ -82,18 +97,17 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                     inline.pop()
             elif name in BLOCK:
                 end_block()
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == name:
-                        del stack[i:]
-                        break
+                if place := innermost([name]):
+                    close(place)
             continue
         stack[-1].tags += 1
         if name in RAW:
             if name != "head" and not rest.endswith("/"):
-                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at, last)
                 at = end.end() if end else size
-            elif name == "head":
-                end = re.compile(r"</head\b[^>]*>|<body\b", re.I).search(page, at)
+            elif name == "head" and heads:
+                end = re.compile(r"</head\b[^>]*>|<body\b", re.I).search(page, at, last)
+                heads = end is not None  # if there is none, none follows either
                 at = (end.end() if end[0][1] == "/" else end.start()) if end else at
             if name in ("textarea", "select", "button"):
                 stack[-1].inputs += 1
@@ -111,17 +125,14 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             if name in ("html", "hr"):
                 continue
             if stack[-1].tag == "p":
-                stack.pop()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in CLOSES.get(name, ()):
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("ul", "ol", "table", "dl"):
-                    break
+                close(len(stack) - 1)
+            if name in CLOSES and (place := innermost(CLOSES[name])) > innermost(("ul", "ol", "table", "dl")):
+                close(place)
             tokens = tuple(t for a in _ATTRIBUTE.finditer(rest) for t in _PART.findall((a[2] or a[3] or a[4] or "").lower())) if "=" in rest else ()
             node = Node(name, stack[-1], tokens)
             stack[-1].children.append(node)
             nodes.append(node)
+            opened.setdefault(name, []).append(len(stack))
             stack.append(node)
     end_block()
     for n in reversed(nodes):
@@ -418,7 +429,7 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         vocabulary, trees = sent.value
-        for batch in batches:
+        for batch in sliced(batches):
             texts = extract(batch.column(2).to_pylist(), vocabulary, trees)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 from loomspark.llm.html_extract import _MARK, extract, generated_page, main_text, parse, trained
 
@@ -15,6 +16,35 @@ def test_held_out_layouts():
     assert sum(a == truth(p) for a, p in zip(got, pages, strict=True)) >= 185
 
 
+def test_broken_deep_and_long_pages_take_linear_time():
+    n = 30_000
+    pages = ["<a " * n, "<div>" * n + "</p>" * n, "<div>" * n + "<li>" * n, "<li><ul>" + "<div>" * n + "<li>" * n, '<b ">" ' * n, "<head>" * n, "<!--" * n, "<title>" * n, "<a '" * n + ">", "x<p>" * n, "word " * n * 4]
+    began = time.process_time()
+    texts = extract(pages, *trained())
+    assert time.process_time() - began < 60 and len(texts) == len(pages)
+    for page in pages:
+        nodes, blocks = parse(page[:3000])
+        assert nodes[0].parent is None and all(n.depth == n.parent.depth + 1 for n in nodes[1:])
+    assert parse("<div><p>one<p>two</div>three<!-- four")[1][-1][1] == "three"
+    assert [t for _, t in parse('<p title="a > b">one</p> < two <b')[1]] == ["one", "< two <b"]
+    assert parse("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>")[0][-1].depth == 2
+
+
+def test_pages_written_by_hand():
+    """Layouts that the page generator does not make."""
+    blog = """<body><div id="top-bar"><a href="/">Home</a> | <a href="/about">About</a></div>
+    <div class="post-body entry"><h2>On rivers and their names</h2><p>Rivers were named long before towns were. The oldest names are short, and nobody knows what they mean.</p>
+    <p>Some of them return across the continent, from the hills down to the sea, and scholars have argued about them for a century.</p></div>
+    <div class="sidebar widget"><h3>Archive</h3><ul><li><a href="/1">May</a></li><li><a href="/2">June</a></li></ul></div>
+    <div id="comments"><div class="comment"><p>Nice post, thank you.</p></div></div><div class="footer">Copyright 2020. All rights reserved.</div></body>"""
+    news = """<html><body><header><h1>The Daily Paper</h1><nav><a href="/w">World</a><a href="/s">Sport</a></nav></header><main><article>
+    <p>The council agreed on Tuesday to mend the old bridge. Work begins in spring and will take two years.</p><aside class="related"><a href="/x">More on bridges</a></aside>
+    <blockquote>We could not wait any longer, said the mayor after the meeting.</blockquote></article></main><footer><p>Contact us. Terms of use.</p></footer></body></html>"""
+    got = extract([blog, news], *trained())
+    assert "Rivers were named" in got[0] and "scholars have argued" in got[0] and not any(x in got[0] for x in ("Archive", "June", "Nice post", "Copyright", "About"))
+    assert "council agreed" in got[1] and "said the mayor" in got[1] and not any(x in got[1] for x in ("Sport", "More on bridges", "Terms of use"))
+
+
 def test_blocks_and_references(spark):
     page = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p>";</script></head><body>
     <nav><ul><li><a href="/a">Menu</a><li><a href="/b">More</a></ul></nav><!-- ad --><div class="ad">Buy it now.</div>
