@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced, stage
+
 #: Characters of test items searched for at once; more items are taken in blocks of about this size.
 BLOCK_CHARS = 4_000_000
 
@@ -120,7 +122,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, bloc
 
         def run(batches, sent=sent):
             matcher = Matcher(sent.value, rate) if sent.value else None
-            for batch in batches:
+            for batch in sliced(batches):
                 ids, rows = [], []
                 if matcher:
                     for i, text in enumerate(batch.column(1).to_pylist()):
@@ -138,11 +140,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, bloc
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08) -> DataFrame:
-    """docs without those that hold a test item. Documents with a null id stay unless their own text holds one."""
-    from .common import small, stage
+    """docs without those that hold a test item. Documents with a null id stay unless their own text holds one.
 
+    Rows that share an id go if any of them holds an item. All columns are kept, whatever their names.
+    """
     # Rows with a null id are told apart by their text, which alone decides whether they hold an item.
     key = F.when(F.col("doc_id").isNull(), F.concat(F.lit("text "), F.sha2("text", 256))).otherwise(F.concat(F.lit("id "), F.col("doc_id").cast("string")))
-    hits = stage(contaminated(docs.select(key.alias("doc_id"), "text"), benchmark, rate).select("doc_id").distinct(), "contaminated")
-    bad = small(hits.select(F.col("doc_id").alias("_bad")))
-    return docs.join(bad, key == F.col("_bad"), "left_anti")
+    hits = stage(contaminated(docs.select(key.alias("doc_id"), "text"), benchmark, rate).select(F.col("doc_id").alias("key")).distinct(), "contaminated")
+    return docs.select(F.struct("*").alias("row"), key.alias("key")).join(hits, "key", "left_anti").select("row.*")

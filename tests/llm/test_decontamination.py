@@ -62,6 +62,7 @@ def test_odd_rows(spark, odd_docs):
     items = spark.createDataFrame([(1, "the same text twice in this table"), (2, None), (3, "  "), (None, "token = 'abcdefgh12345'")], "item_id long, text string")
     got = contaminated(odd_docs, items).collect()
     assert sorted((str(r.doc_id), str(r.item_id), r.distance) for r in got) == [("5", "1", 0), ("5", "1", 0), ("7", "None", 0), ("None", "1", 0)]
+    odd_docs = odd_docs.selectExpr("*", "1 AS _bad", "2 AS key", "3 AS row")
     kept = decontaminate(odd_docs, items)
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4] and kept.columns == odd_docs.columns
     assert contaminated(odd_docs.limit(0), items).count() == 0 and contaminated(odd_docs, items.limit(0)).count() == 0
