@@ -1,7 +1,7 @@
 """URL filters with redirect equivalence (operator 9). DataFrame functions only.
 
-Pages whose URLs name the same place, and places joined by canonical links, page refreshes or given redirects, are
-aliases. A rule's decision on one alias holds for all of its connected component; an explicit allow comes before a block.
+Places joined by canonical links, page refreshes or given redirects are aliases. A rule's decision on one alias holds for
+all of its connected component; an explicit allow comes before a block.
 """
 
 from __future__ import annotations
@@ -26,11 +26,14 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _PARTS, 2), F.lit(""))
 
 
-def place(url: Column) -> Column:
-    """What a URL names: host without www., path without a last slash, query without tracking; null if there is no ://."""
+def place(url: Column, merge_variants: bool = False) -> Column:
+    """What a URL names: host, path and query; null if there is no ://. With merge_variants also without www., a last
+    slash and tracking parameters, so that such variants count as one place though no link says so."""
     query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*\?([^#]*)", 1)
-    query = F.regexp_replace(F.regexp_replace(query, _TRACKING, ""), "^&+", "")
-    name = F.concat(F.regexp_replace(host_of(url), r"^www\.", ""), F.regexp_replace(path_of(url), r"/+\z", ""))
+    name = F.concat(host_of(url), path_of(url))
+    if merge_variants:
+        query = F.regexp_replace(F.regexp_replace(query, _TRACKING, ""), "^&+", "")
+        name = F.concat(F.regexp_replace(host_of(url), r"^www\.", ""), F.regexp_replace(path_of(url), r"/+\z", ""))
     return F.when(F.instr(url, "://") > 0, F.when(query != "", F.concat_ws("?", name, query)).otherwise(name))
 
 
@@ -73,29 +76,31 @@ def _absolute(link: Column, url: Column) -> Column:
 
 
 def links(html: Column) -> Column:
-    """Targets of canonical links and page refreshes. Pages without those words are not searched."""
-    canonical = F.regexp_extract(F.regexp_extract(html, r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)", 1), r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
+    """Targets of all canonical links and of the first page refresh. Pages without those words are not searched."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)"), F.lit(1))
+    canonical = F.transform(tags, lambda t: F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
     # The first refresh tag that has a target, whatever the order of its attributes.
     refresh = F.regexp_extract(html, r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\burl\s*=\s*['\"]?([^\"'\s>;]+)", 1)
-    low = F.lower(html)
-    return F.filter(F.array(F.when(low.contains("canonical"), canonical), F.when(low.contains("refresh"), refresh)), lambda x: x.isNotNull() & (x != ""))
+    low, none = F.lower(html), F.array().cast("array<string>")
+    found = F.concat(F.when(low.contains("canonical"), canonical).otherwise(none), F.when(low.contains("refresh"), F.array(refresh)).otherwise(none))
+    return F.transform(F.filter(found, lambda x: x != ""), lambda x: F.regexp_replace(x, r"(?i)&(?:amp|#38|#x26);", "&"))
 
 
-def judge(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES, default: str = "allow") -> DataFrame:
+def judge(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES, default: str = "allow", merge_variants: bool = False) -> DataFrame:
     """Per page: page_id, host, path, rule, verdict, place, component.
 
     redirects: optional (src, dst) URLs. A page with a rule has the rule's verdict; else its component's: allow if any
     page there is explicitly allowed, else block if any is blocked, else `default`. Null URLs and URLs without :// have
     empty host and path, no place and the default verdict. Repeated rows are kept; extra columns are not read.
     """
-    url, html = F.col("url"), F.col("html")
-    own = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), place(url).alias("place"))
+    url, html, named = F.col("url"), F.col("html"), lambda u: place(u, merge_variants)
+    own = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), named(url).alias("place"))
     own = own.withColumn("own", rule_for(F.col("host"), F.col("path"), rules))
     linked = pages.select(url.alias("src"), F.explode(F.transform(links(html), lambda x: _absolute(x, url))).alias("dst")).filter("dst IS NOT NULL")
     if redirects is not None:
         linked = linked.unionByName(redirects.select("src", "dst"))
     s, d = F.col("src"), F.col("dst")
-    linked = stage(linked.select(place(s).alias("a"), place(d).alias("b"), rule_for(host_of(s), path_of(s), rules)["verdict"].alias("va"), rule_for(host_of(d), path_of(d), rules)["verdict"].alias("vb")), "aliases")
+    linked = stage(linked.select(named(s).alias("a"), named(d).alias("b"), rule_for(host_of(s), path_of(s), rules)["verdict"].alias("va"), rule_for(host_of(d), path_of(d), rules)["verdict"].alias("vb")), "aliases")
     edges = linked.filter("a IS NOT NULL AND b IS NOT NULL AND a != b").select("a", "b").distinct()
     # Rules also judge ends of links and redirects that are no pages of the table.
     ruled = own.select("place", F.col("own.verdict").alias("v")).union(linked.select("a", "va")).union(linked.select("b", "vb"))
@@ -125,17 +130,18 @@ WITH RECURSIVE page AS (
   VALUES ('allow', 'org/', 'org', '/'), ('block', 'example.org/es/', 'example.org', '/es/'), ('block', 'example.org/en/1', 'example.org', '/en/1'),
          ('allow', 'com/fr/', 'com', '/fr/'), ('block', 'com/de/', 'com', '/de/')
 ), targets AS (
-  SELECT url AS src, regexp_extract(url, '^(.*?)://', 1) AS scheme, host, unnest([
-    CASE WHEN lower(html) LIKE '%canonical%' THEN regexp_extract(regexp_extract(html, '(<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>)', 1, 'is'), '\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'is') END,
-    CASE WHEN lower(html) LIKE '%refresh%' THEN regexp_extract(html, '<meta\b[^>]*http-equiv\s*=\s*["'']?refresh\b[^>]*?url\s*=\s*[''"]?([^"''\s>;]+)', 1, 'is') END]) AS link
-  FROM page
+  SELECT src, scheme, host, regexp_replace(link, '&(amp|#38|#x26);', '&', 'gi') AS link FROM (
+    SELECT url AS src, regexp_extract(url, '^(.*?)://', 1) AS scheme, host, unnest(list_concat(
+      CASE WHEN lower(html) LIKE '%canonical%' THEN list_transform(regexp_extract_all(html, '(<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>)', 1, 'is'), lambda t: regexp_extract(t, '\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'is')) ELSE [] END,
+      CASE WHEN lower(html) LIKE '%refresh%' THEN [regexp_extract(html, '<meta\b[^>]*http-equiv\s*=\s*["'']?refresh\b[^>]*?url\s*=\s*[''"]?([^"''\s>;]+)', 1, 'is')] ELSE [] END)) AS link
+    FROM page)
 ), named AS (
   SELECT src AS url FROM targets UNION SELECT url FROM pages
   UNION SELECT CASE WHEN contains(link, '://') THEN link WHEN starts_with(link, '//') THEN scheme || ':' || link WHEN starts_with(link, '/') THEN scheme || '://' || host || link END FROM targets WHERE link != ''
 ), parts AS (
-  SELECT url, regexp_replace(translate(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^www\.', '')
-      || regexp_replace(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '/+$', '') AS name,
-    regexp_replace(regexp_replace(regexp_extract(url, '^.*?://[^?#]*\?([^#]*)', 1, 's'), '(?:^|&)(?:utm_[^&=]*|ref|gclid|fbclid)(?:=[^&]*)?', '', 'g'), '^&+', '') AS query
+  SELECT url, translate(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+      || regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's') AS name,
+    regexp_extract(url, '^.*?://[^?#]*\?([^#]*)', 1, 's') AS query
   FROM named WHERE contains(url, '://')
 ), places AS (
   SELECT url, CASE WHEN query != '' THEN name || '?' || query ELSE name END AS place FROM parts

@@ -23,7 +23,9 @@ def test_rules_and_aliases(spark):
         (9, None, None), (10, "not a url", ""), (10, "not a url", ""), (None, "HTTP://Q.COM/fr", ""),
     ]
     docs = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r.page_id: r for r in judge(docs).collect()}
+    plain = {r.page_id: r for r in judge(docs).collect()}
+    assert plain[6].verdict == "block" and plain[5].place == "y.net/a?utm_source=feed" and plain[6].place == "www.y.net/a/"  # no link joins 5 and 6
+    got = {r.page_id: r for r in judge(docs, merge_variants=True).collect()}
     assert {i: r.verdict for i, r in got.items()} == {1: "block", 2: "allow", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "allow", 8: "allow", 9: "allow", 10: "allow", None: "allow"}
     assert got[1].rule == "example.org/es/" and got[2].rule == "org/" and got[4].rule is None and got[9].host == got[10].path == "" and got[None].host == "q.com"
     assert got[7].component == got[8].component and got[5].place == got[6].place == "y.net/a"
@@ -39,8 +41,9 @@ def test_relative_links_and_refresh_in_any_order(spark):
     refresh = '<meta content="0; url={}" http-equiv="refresh">'.format
     targets = [
         ("https://a.net/x/page", link("page2.html"), "a.net/x/page2.html"), ("https://b.net/x/y/page", link("../a"), "b.net/x/a"), ("https://c.net/x/page?old=1", link("?id=1"), "c.net/x/page?id=1"),
-        ("https://d.net", link("de/../../e"), "d.net/e"), ("https://e.net/x/", link("./?next=https://x.com/de/1"), "e.net/x?next=https://x.com/de/1"), ("https://f.net/a/b?c/d", link("e"), "f.net/a/e"),
+        ("https://d.net", link("de/../../e"), "d.net/e"), ("https://e.net/x/", link("./?next=https://x.com/de/1"), "e.net/x/?next=https://x.com/de/1"), ("https://f.net/a/b?c/d", link("e"), "f.net/a/e"),
         ("https://g.net/a", refresh("https://b.example/x"), "b.example/x"), ("https://h.net/a/b", '<meta http-equiv="refresh" content="5"><meta content=\'0;URL="c"\' http-equiv=Refresh>', "h.net/a/c"),
+        ("https://l.net/a", link("/b?x=1&amp;y=2"), "l.net/b?x=1&y=2"), ("https://m.net/a", link("#") + link("/second"), "m.net/second"),
         ("https://i.net/a", link("mailto:a@b.example"), None), ("https://j.net/a", link("#top"), None), ("no url", link("a"), None), ("https://k.net/a", '<meta name="refresh" content="url=/b">', None),
     ]
     pages = [(2 * i, url, html) for i, (url, html, _) in enumerate(targets)] + [(2 * i + 1, f"https://{to}", "") for i, (_, _, to) in enumerate(targets) if to]
@@ -49,3 +52,11 @@ def test_relative_links_and_refresh_in_any_order(spark):
         assert got[2 * i].component == (min(got[2 * i].place, to) if to else got[2 * i].place), targets[i]
     blocked = [(1, "https://a.com/de/page", ""), (2, "https://a.com/x/old", link("../de/page")), (3, "https://b.net/", refresh("https://a.com/x/old"))]
     assert {r.verdict for r in judge(spark.createDataFrame(blocked, "page_id long, url string, html string")).collect()} == {"block"}
+
+
+def test_entities_and_long_pages(spark):
+    link = '<link rel="canonical" href="{}">'.format
+    long = "<p>text</p>" * 200_000
+    rows = [(1, "https://a.net/x", link("/t?a=1&amp;b=2")), (2, "https://b.net/x", link("https://a.net/t?a=1&#38;b=2") + long), (3, "https://c.net/x", long + link("https://a.net/t?a=1&b=2")), (4, "https://d.net/" + "y" * 100_000, None)]
+    got = {r.page_id: r for r in judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len({got[i].component for i in (1, 2, 3)}) == 1 and len(got[4].path) == 100_001
