@@ -1,9 +1,11 @@
 """Quality rules with robust multivariate outlier rejection (operator 1).
 
-Each text gives a vector of transformed statistics. Per language and source, a minimum-covariance-determinant estimate
-of centre and scatter is found by concentration steps over all rows: every step measures all Mahalanobis distances,
-puts them into fine bins, sums moments by group and bin, and takes the closest bins that hold the share `coverage`.
-Rows beyond the chi-squared cut of the reweighted estimate are rejected.
+Each text gives a vector of transformed statistics. Per language and source a minimum-covariance-determinant estimate of
+centre and scatter is found by concentration steps over all rows, from two deterministic starts and until they converge:
+a step measures all Mahalanobis distances, puts them into fine bins, sums moments by group and bin, and takes the closest
+bins that hold the share `coverage`. The start of the smaller determinant is reweighted once. The same is done per
+language and for all rows; a group's estimate is shrunk towards its language's and that towards the whole's by its rows,
+so that small groups are judged by their own estimate as far as it carries. Rows beyond the chi-squared cut are rejected.
 """
 
 from __future__ import annotations
@@ -17,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, small, stage
+from .common import SPACES, sliced, small, stage
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOLS = np.frombuffer(b"#*$%&|<>", dtype=np.uint8)
 WINDOW = 8
 FEATURES = ["f_length", "f_symbols", "f_lines", "f_repeats", "f_upper"]
-#: Standard deviations below which no feature's scatter is taken to be; a constant feature would otherwise reject any change.
+#: Standard deviations of the statistics' own noise. Distances are measured with the estimated scatter plus this, as a
+#: constant feature would otherwise reject any change; the estimates are made without it.
 FLOORS = [0.15, 0.045, 0.12, 0.12, 0.08]
 P = len(FEATURES)
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
@@ -77,7 +80,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and the statistics of each whole text (null: no words). One pass, no shuffle."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [text_stats(t) for t in batch.column(3).to_pylist()]
             cols = list(zip(*rows, strict=True)) or [[]] * len(_STATS)
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(3)] + [pa.array(c, pa.int64()) for c in cols], names=["doc_id", "lang", "source", *_STATS])
@@ -123,23 +126,34 @@ def _distance() -> Column:
     return F.greatest(total, F.lit(0.0))
 
 
-_MODEL = "grp string, n long, " + ", ".join(f"m{i} double" for i in range(P)) + ", " + ", ".join(f"p{i}{j} double" for i, j in PAIRS)
+_UPPER = ", ".join(f"p{i}{j} double" for i, j in PAIRS)
+#: One row per group and start: rows, centre, inverse scatter, and the logarithm of the scatter's determinant.
+_MODEL = "grp string, start int, n long, " + ", ".join(f"m{i} double" for i in range(P)) + f", {_UPPER}, logdet double"
+
+
+def _scatter(r: dict, factor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and scatter of the rows whose moments r holds. A singular scatter, and no other, gets a small ridge."""
+    mean = np.array([r[f"s{i}"] for i in range(P)]) / r["cnt"]
+    cov = np.zeros((P, P))
+    for i, j in PAIRS:
+        cov[i, j] = cov[j, i] = factor * (r[f"q{i}{j}"] / r["cnt"] - mean[i] * mean[j])
+    ridge = np.diag(np.square(FLOORS)) * 1e-4
+    if np.linalg.eigvalsh(cov / np.outer(FLOORS, FLOORS)).min() < 1e-8:
+        cov = cov + ridge
+    return mean, cov
 
 
 def _invert(factor: float):
-    """From moments of the chosen rows of a group to its centre and precision matrix."""
+    """From moments of the chosen rows of a group to its model."""
 
     def run(frames):
         for pdf in frames:
             out = []
             for r in pdf.to_dict("records"):
-                mean = np.array([r[f"s{i}"] for i in range(P)]) / r["cnt"]
-                cov = np.zeros((P, P))
-                for i, j in PAIRS:
-                    cov[i, j] = cov[j, i] = r[f"q{i}{j}"] / r["cnt"] - mean[i] * mean[j]
-                inverse = np.linalg.inv(factor * cov + np.diag(np.square(FLOORS)))
-                out.append([r["grp"], int(r["n"]), *mean, *(inverse[i, j] for i, j in PAIRS)])
-            yield pd.DataFrame(out, columns=["grp", "n", *(f"m{i}" for i in range(P)), *(f"p{i}{j}" for i, j in PAIRS)])
+                mean, cov = _scatter(r, factor)
+                inverse = np.linalg.inv(cov)
+                out.append([r["grp"], int(r["start"]), int(r["n"]), *mean, *(inverse[i, j] for i, j in PAIRS), float(np.linalg.slogdet(cov)[1])])
+            yield pd.DataFrame(out, columns=["grp", "start", "n", *(f"m{i}" for i in range(P)), *(f"p{i}{j}" for i, j in PAIRS), "logdet"])
 
     return run
 
@@ -149,52 +163,114 @@ def _moments() -> list[Column]:
     return [F.count(F.lit(1)).alias("cnt")] + [F.sum(v).alias(f"s{i}") for i, v in enumerate(x)] + [F.sum(x[i] * x[j]).alias(f"q{i}{j}") for i, j in PAIRS]
 
 
+def _starts(rows: DataFrame) -> DataFrame:
+    """Two models per group, from medians and quartiles: start 0 without correlations, start 1 with those of the
+    hyperbolic tangents of the standardised features, which outliers move little."""
+    quartiles = F.array(*map(F.lit, (0.25, 0.5, 0.75)))
+    q = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *(F.percentile(F.round(f, 3), quartiles).alias(f"q_{f}") for f in FEATURES))
+    spread = [F.greatest((F.col(f"q_{f}")[2] - F.col(f"q_{f}")[0]) / 1.349, F.lit(s)).alias(f"d{i}") for i, (f, s) in enumerate(zip(FEATURES, FLOORS, strict=True))]
+    q = stage(q.select("grp", "n", *(F.col(f"q_{f}")[1].alias(f"c{i}") for i, f in enumerate(FEATURES)), *spread), "mcd-quartiles")
+    y = [F.tanh((F.col(f) - F.col(f"c{i}")) / F.col(f"d{i}")) for i, f in enumerate(FEATURES)]
+    bent = rows.join(small(q), "grp").groupBy("grp").agg(F.count(F.lit(1)).alias("cnt"), *(F.sum(v).alias(f"s{i}") for i, v in enumerate(y)), *(F.sum(y[i] * y[j]).alias(f"q{i}{j}") for i, j in PAIRS))
+
+    def both(frames):
+        for pdf in frames:
+            out = []
+            for r in pdf.to_dict("records"):
+                centre, scale = np.array([r[f"c{i}"] for i in range(P)]), np.array([r[f"d{i}"] for i in range(P)])
+                cov = np.zeros((P, P))
+                for i, j in PAIRS:
+                    cov[i, j] = cov[j, i] = r[f"q{i}{j}"] / r["cnt"] - r[f"s{i}"] * r[f"s{j}"] / r["cnt"] ** 2
+                sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+                corr = cov / np.outer(sd, sd)
+                np.fill_diagonal(corr, 1.0)
+                for start, c in ((0, np.eye(P)), (1, 0.95 * corr + 0.05 * np.eye(P))):
+                    scatter = c * np.outer(scale, scale)
+                    inverse = np.linalg.inv(scatter)
+                    out.append([r["grp"], start, int(r["n"]), *centre, *(inverse[i, j] for i, j in PAIRS), float(np.linalg.slogdet(scatter)[1])])
+            yield pd.DataFrame(out, columns=["grp", "start", "n", *(f"m{i}" for i in range(P)), *(f"p{i}{j}" for i, j in PAIRS), "logdet"])
+
+    return stage(bent.join(q, "grp").mapInPandas(both, _MODEL), "mcd-start")
+
+
 def _concentrate(rows: DataFrame, model: DataFrame, coverage: float) -> DataFrame:
     """One concentration step over all rows. Bins are 1/16 of a doubling of the squared distance wide."""
     near = rows.join(small(model), "grp").withColumn("bin", F.floor(16 * F.log2(_distance() + 1e-6)))
-    by_bin = near.groupBy("grp", "bin").agg(F.first("n").alias("n"), *_moments())
-    upto = Window.partitionBy("grp").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    sums = by_bin.select("grp", "n", "bin", *(F.sum(m).over(upto).alias(m) for m in MOMENTS)).filter(F.col("cnt") >= F.ceil(coverage * F.col("n")))
-    chosen = sums.groupBy("grp").agg(F.min_by(F.struct("n", *MOMENTS), "bin").alias("x")).select("grp", "x.*")
+    by_bin = near.groupBy("grp", "start", "bin").agg(F.first("n").alias("n"), *_moments())
+    upto = Window.partitionBy("grp", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    sums = by_bin.select("grp", "start", "n", "bin", *(F.sum(m).over(upto).alias(m) for m in MOMENTS)).filter(F.col("cnt") >= F.ceil(coverage * F.col("n")))
+    chosen = sums.groupBy("grp", "start").agg(F.min_by(F.struct("n", *MOMENTS), "bin").alias("x")).select("grp", "start", "x.*")
     q = chi2_quantile(coverage, P)
     return stage(chosen.mapInPandas(_invert(coverage / chi2_cdf(q, P + 2)), _MODEL), "mcd")
 
 
-def robust_estimates(rows: DataFrame, coverage: float = 0.75, steps: int = 4) -> DataFrame:
-    """Centre and precision per `grp`: from medians and quartiles, `steps` concentration steps, then one reweighting."""
-    quartiles = F.array(*map(F.lit, (0.25, 0.5, 0.75)))
-    start = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *(F.percentile(F.round(f, 3), quartiles).alias(f) for f in FEATURES))
-    spread = [F.greatest((F.col(f)[2] - F.col(f)[0]) / 1.349, F.lit(s)) for f, s in zip(FEATURES, FLOORS, strict=True)]
-    model = stage(start.select("grp", "n", *(F.col(f)[1].alias(f"m{i}") for i, f in enumerate(FEATURES)), *((1 / (spread[i] * spread[i]) if i == j else F.lit(0.0)).alias(f"p{i}{j}") for i, j in PAIRS)), "mcd-start")
-    for _ in range(steps):
-        model = _concentrate(rows, model, coverage)
-    q = chi2_quantile(0.975, P)
-    inner = rows.join(small(model), "grp").filter(_distance() <= q).groupBy("grp").agg(F.first("n").alias("n"), *_moments())
-    return stage(inner.mapInPandas(_invert(0.975 / chi2_cdf(q, P + 2)), _MODEL), "mcd-final")
+def raw_estimates(rows: DataFrame, coverage: float = 0.75, most_steps: int = 30) -> DataFrame:
+    """The converged model of the smaller determinant per `grp`. A step that moves no determinant by 1e-4 is the last."""
+    model = _starts(rows)
+    for _ in range(most_steps):
+        new = _concentrate(rows, model, coverage)
+        old = model.select("grp", "start", F.col("logdet").alias("before"))
+        moved = new.join(old, ["grp", "start"]).filter(F.abs(F.col("logdet") - F.col("before")) > 1e-4).limit(1).count()
+        model = new
+        if not moved:
+            break
+    best = model.groupBy("grp").agg(F.min_by(F.struct(*(c for c in model.columns if c != "grp")), F.struct("logdet", "start")).alias("x"))
+    return stage(best.select("grp", "x.*"), "mcd-raw")
+
+
+def robust_estimates(rows: DataFrame, coverage: float = 0.75) -> DataFrame:
+    """Moments of the rows within the 0.975 quantile of the raw estimates, per `grp`; n is the group's rows."""
+    inner = rows.join(small(raw_estimates(rows, coverage)), "grp").filter(_distance() <= chi2_quantile(0.975, P))
+    return stage(inner.groupBy("grp").agg(F.first("n").alias("n"), *_moments()), "mcd-final")
+
+
+def _shrunk(prior: float):
+    """From moments of a group, its language and the whole to the group's centre and inverse scatter with noise."""
+    factor = 0.975 / chi2_cdf(chi2_quantile(0.975, P), P + 2)
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for r in pdf.to_dict("records"):
+                mean, cov = None, None
+                for level in ("whole", "lang", "own"):
+                    if r[level] is None:
+                        continue
+                    own_mean, own_cov = _scatter(dict(r[level]), factor)
+                    share = 1.0 if mean is None else r[level]["n"] / (r[level]["n"] + prior)
+                    mean = own_mean if mean is None else share * own_mean + (1 - share) * mean
+                    cov = own_cov if cov is None else share * own_cov + (1 - share) * cov
+                inverse = np.linalg.inv(cov + np.diag(np.square(FLOORS)))
+                out.append([r["grp"], *mean, *(inverse[i, j] for i, j in PAIRS)])
+            yield pd.DataFrame(out, columns=["grp", *(f"m{i}" for i in range(P)), *(f"p{i}{j}" for i, j in PAIRS)])
+
+    return run
 
 
-def quality(docs: DataFrame, cut: float = 0.999, coverage: float = 0.75, min_group: int = 50) -> DataFrame:
+def quality(docs: DataFrame, cut: float = 0.999, coverage: float = 0.75, prior: float = 50.0) -> DataFrame:
     """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance.
 
     base_failed: n_words < 20, or over 30 % of the words are in repeated 8-word windows. kept: not base_failed, and the
     squared Mahalanobis distance from the group's robust centre is at most the chi-squared quantile `cut`. Groups are
-    language and source; those under `min_group` rows with 20 words join their language's rest, and rests that small a
-    common rest, each estimated together. Null text: no words, so base_failed. Null language or source: a group like
-    any other. Repeated rows count each; extra columns of docs are not read. An empty table gives an empty result.
+    language and source; estimates are made from rows with 20 words. A group of n rows counts n / (n + prior) against its
+    language, and the language against the whole, at every size. Null text: no words, so base_failed. Null language or
+    source: a group like any other. A group without any usable row is judged by its language's or the whole's estimate.
+    Repeated rows count each; extra columns of docs are not read. An empty table gives an empty result.
     """
     stats = stage(statistics(docs), "quality-stats")
-    usable = F.col("n_words") >= 20
-    name = [F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in ("lang", "source")]
-    sizes = stage(stats.groupBy("lang", "source").agg(F.count(F.when(usable, 1)).alias("k")), "quality-groups")
-    # A window over the table of groups, which has one row per language and source.
-    rest = F.sum(F.when(F.col("k") < min_group, F.col("k"))).over(Window.partitionBy("lang"))
-    grp = F.when(F.col("k") >= min_group, F.concat_ws("\x1f", *name)).when(rest >= min_group, F.concat_ws("\x1f", name[0], F.lit("\0rest"))).otherwise(F.lit("\0rest"))
-    groups = stage(sizes.select("lang", "source", grp.alias("grp")), "quality-keys")
-    g, s = small(groups).alias("g"), stats.alias("s")
-    rows = s.join(g, F.col("s.lang").eqNullSafe(F.col("g.lang")) & F.col("s.source").eqNullSafe(F.col("g.source")), "left").select("s.*", F.col("g.grp").alias("grp"), *features())
-    model = robust_estimates(rows.filter(usable), coverage)
+    name = [F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("null")) for c in ("lang", "source")]
+    levels = {"own": F.concat_ws("\x1f", F.lit("own"), *name), "lang": F.concat_ws("\x1f", F.lit("lang"), name[0]), "whole": F.lit("whole")}
+    rows = stats.select("*", *(c.alias(n) for n, c in levels.items()), *features())
+    every = rows.filter("n_words >= 20").select(*FEATURES, F.explode(F.array(*levels)).alias("grp"))
+    moments = robust_estimates(every, coverage)
+    packed = moments.select("grp", F.struct("n", *MOMENTS).alias("x"))
+    # One row per language and source.
+    groups = rows.groupBy("own", "lang", "whole").agg(F.count(F.lit(1)).alias("rows"))
+    for level in levels:
+        groups = groups.join(packed.select(F.col("grp").alias(level), F.col("x").alias(f"x_{level}")), level, "left")
+    model = groups.filter("x_whole IS NOT NULL").select(F.col("own").alias("grp"), *(F.col(f"x_{level}").alias(level) for level in levels))
+    model = stage(model.mapInPandas(_shrunk(prior), "grp string, " + ", ".join(f"m{i} double" for i in range(P)) + f", {_UPPER}"), "mcd-shrunk")
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     far = F.coalesce(F.col("distance") > chi2_quantile(cut, P), F.lit(False))
-    out = rows.join(small(model).drop("n"), "grp", "left").withColumn("distance", _distance())
+    out = rows.join(small(model), F.col("own") == F.col("grp"), "left").withColumn("distance", _distance())
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & ~far).alias("kept"), "distance")
-

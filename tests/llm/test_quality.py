@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 import re
 
@@ -32,7 +34,7 @@ def test_estimates_resist_contamination(spark):
     clean = rng.normal(0.5, 0.2, (900, q.P))
     bad = rng.normal(4.0, 0.1, (100, q.P))
     rows = [("g", *map(float, r)) for r in np.vstack([clean, bad])]
-    model = q.robust_estimates(spark.createDataFrame(rows, "grp string, " + ", ".join(f"{f} double" for f in q.FEATURES))).first()
+    model = q.raw_estimates(spark.createDataFrame(rows, "grp string, " + ", ".join(f"{f} double" for f in q.FEATURES))).first()
     assert [model[f"m{i}"] for i in range(q.P)] == pytest.approx([0.5] * q.P, abs=0.05)
 
 
@@ -63,3 +65,53 @@ def test_cut_is_the_customary_quantile(spark):
     cut, loose = q.chi2_quantile(0.999, q.P), q.chi2_quantile(1 - 1e-7, q.P)
     assert any(cut < r.distance <= loose for r in got)
     assert all(r.kept == (not r.base_failed and r.distance <= cut) for r in got)
+
+
+def test_small_groups_reach_the_least_determinant(spark):
+    """Against every subset of three quarters of the rows."""
+    rng, rows, best = np.random.default_rng(5), [], {}
+    mix = rng.normal(0, 0.4, (q.P, q.P)) + np.eye(q.P)
+    for g in range(6):
+        x = rng.normal(0, 1, (16, q.P)) @ mix
+        x[:3] += 12
+        rows += [(f"g{g}", *map(float, r)) for r in x]
+        dets = [(float(np.linalg.slogdet(np.cov(x[list(s)].T, bias=True))[1]), s) for s in itertools.combinations(range(16), 12)]
+        best[f"g{g}"] = min(dets)
+    got = q.raw_estimates(spark.createDataFrame(rows, "grp string, " + ", ".join(f"{f} double" for f in q.FEATURES))).collect()
+    factor = q.P * math.log(0.75 / q.chi2_cdf(q.chi2_quantile(0.75, q.P), q.P + 2))
+    assert len(got) == 6
+    for r in got:  # bins can take a row more than three quarters, so the determinant may be somewhat above the least
+        assert r.logdet - factor <= best[r.grp][0] + 1.0 and not set(range(3)) & set(best[r.grp][1])
+        assert all(abs(r[f"m{i}"]) < 2 for i in range(q.P))
+
+
+def test_verdict_equals_brute_force(spark):
+    """distance and kept, made again with numpy from the moments of the reweighted estimates."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("etaoinshr", k=rng.randint(1, 9)))
+    rows = [(i, " ".join(word() + "*" * (i % 37 == 0) for _ in range(rng.randint(10, 150))), rng.choice(["en", None]), rng.choice("ab")) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in q.quality(docs).collect()}
+    stats = q.statistics(docs).select("doc_id", "lang", "source", "n_words", *q.features()).toPandas()
+    names = {"own": lambda r: (r.lang, r.source), "lang": lambda r: r.lang, "whole": lambda r: 0}
+    use = stats[stats.n_words >= 20]
+    moments = {}
+    for level, of in names.items():
+        keys = use.apply(lambda r: repr(of(r)), axis=1)  # noqa: B023
+        for k in sorted(set(keys)):
+            x = use[keys == k]
+            frame = spark.createDataFrame([(k, *map(float, v)) for v in x[q.FEATURES].to_numpy()], "grp string, " + ", ".join(f"{f} double" for f in q.FEATURES))
+            moments[level, k] = q.robust_estimates(frame).first().asDict()
+    factor, noise = 0.975 / q.chi2_cdf(q.chi2_quantile(0.975, q.P), q.P + 2), np.diag(np.square(q.FLOORS))
+    for r in stats.sample(40, random_state=1).itertuples():
+        mean = cov = None
+        for level in ("whole", "lang", "own"):
+            m = moments.get((level, repr(names[level](r))))
+            if m:
+                own_mean, own_cov = q._scatter(m, factor)
+                share = 1 if mean is None else m["n"] / (m["n"] + 50)
+                mean, cov = (own_mean, own_cov) if mean is None else (share * own_mean + (1 - share) * mean, share * own_cov + (1 - share) * cov)
+        d = np.array([getattr(r, f) for f in q.FEATURES]) - mean
+        distance = d @ np.linalg.inv(cov + noise) @ d
+        assert got[r.doc_id].distance == pytest.approx(distance, rel=1e-6)
+        assert got[r.doc_id].kept == (not got[r.doc_id].base_failed and distance <= q.chi2_quantile(0.999, q.P))
