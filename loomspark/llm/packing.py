@@ -10,6 +10,7 @@ need no padding.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from functools import lru_cache
@@ -20,57 +21,110 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 WINDOW, END_ID, SHARD_TOKENS = 4096, 2, 2_000_000
 K1, B = 1.2, 0.75
 #: Neighbours that are ranked at first; the rest of the ranking is sorted only where these leave room.
 RANKED = 64
+#: The settings of a tokenizer whose ids can be looked up word by word.
+_NORMALIZER = ["NFC", "Replace", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 #: str.split() also splits at these four, which the tokenizer keeps.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _WORDS = re.compile("(?:[^\\s]|[\x1c-\x1f])+")
+#: Words longer than this are encoded alone and not kept.
+LONG = 200
+
+
+def word_wise(settings: dict) -> bool:
+    """Whether a tokenizer, by its file, drops white space, never joins across it and marks the last token of a part."""
+    normalizers = [n["type"] for n in (settings.get("normalizer") or {}).get("normalizers", [])]
+    splits = [t.get("pattern", {}).get("Regex") for t in (settings.get("pre_tokenizer") or {}).get("pretokenizers", []) if t["type"] == "Split"]
+    spaces = [n.get("content") for n in (settings.get("normalizer") or {}).get("normalizers", []) if n["type"] == "Replace"]
+    model = settings["model"]
+    return normalizers == _NORMALIZER and spaces == [" "] and splits == [_SPLIT] and model.get("end_of_word_suffix") == "</w>" and not settings.get("post_processor")
 
 
-class WordIds(dict):
-    """Token ids, as little-endian unsigned 32-bit bytes, of white-space-separated words.
+class WordIds:
+    """Token ids of texts as little-endian unsigned 32-bit bytes, with an end id behind each.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its words. Words of printable
-    ASCII, whose characters stand for themselves in the byte-level alphabet, go straight to the merges; others through
-    the whole tokenizer. Keeps up to `limit` words, then starts anew.
+    If the tokenizer is word-wise, a text's ids are those of its white-space-separated words. Words not met before are
+    encoded together, and their ids are told apart by the marks of last tokens, or, for words beyond ASCII, by offsets.
+    Keeps up to `limit` words, then starts anew. With any other tokenizer whole texts are encoded.
     """
 
-    def __init__(self, file: str, limit: int = 800_000):
+    def __init__(self, file: str, end_id: int = END_ID, limit: int = 300_000):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer, self.limit, self.parts = Tokenizer.from_file(file), limit, {}
-        self.model = self.tokenizer.model
-
-    def __missing__(self, word: str) -> bytes:
-        if word.isascii() and word.isprintable() and "<|" not in word and len(word) <= 200:
-            ids = b"".join(self._part(p) for p in _ASCII_WORDS.findall(word.lower()))
-        else:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= 200:
-            if len(self) >= self.limit:
-                self.clear()
-                self.parts.clear()
-            self[word] = ids
-        return ids
-
-    def _part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            ids = self.parts[part] = np.array([t.id for t in self.model.tokenize(part)], "<u4").tobytes()
-        return ids
-
-    def ids(self, text: str | None) -> bytes:
-        words = [] if not text else _WORDS.findall(text) if _SEPARATORS.search(text) else text.split()
-        return b"".join(map(self.__getitem__, words)) + END_ID.to_bytes(4, "little")
+        self.tokenizer, self.limit, self.known = Tokenizer.from_file(file), limit, {}
+        self.tokenizer.no_padding()
+        self.tokenizer.no_truncation()
+        with open(file, encoding="utf-8") as f:
+            self.fast = word_wise(json.load(f))
+        self.end = end_id.to_bytes(4, "little")
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.last[i] = token.endswith("</w>")
+
+    def _encoded(self, text: str):
+        return self.tokenizer.encode(text, add_special_tokens=False)
+
+    def _alone(self, word: str) -> bytes:
+        return np.array(self._encoded(word).ids, "<u4").tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        ascii_words, others = [], []
+        for w in words:
+            if "<|" in w:
+                self.known[w] = self._alone(w)
+            elif w.isascii() and w.isprintable():
+                ascii_words.append(w)
+            else:
+                others.append(w)
+        if ascii_words:
+            ids = np.array(self._encoded(" ".join(ascii_words)).ids, "<u4")
+            parts = np.cumsum([1 if w.isalpha() else len(_ASCII_WORDS.findall(w.lower())) for w in ascii_words])
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == parts[-1]:
+                self._keep(ascii_words, ids, ends[parts - 1])
+            else:
+                others += ascii_words
+        if others:
+            found = self._encoded(" ".join(others))
+            begin = np.cumsum([0, *(len(w) + 1 for w in others)])
+            owner = np.searchsorted(begin, np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids)), "right") - 1
+            self._keep(others, np.array(found.ids, "<u4"), np.searchsorted(owner, np.arange(len(others)), "right"))
+
+    def _keep(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        raw, at = ids.tobytes(), 0
+        for w, end in zip(words, (4 * ends).tolist(), strict=True):
+            self.known[w] = raw[at:end]
+            at = end
+
+    def of(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text; a null text has the end id alone. There should be few texts at once."""
+        if not self.fast:
+            return [np.array(self._encoded(t).ids, "<u4").tobytes() + self.end if t else self.end for t in texts]
+        split = [[] if not t else _WORDS.findall(t) if _SEPARATORS.search(t) else t.split() for t in texts]
+        new = [w for w in dict.fromkeys(w for words in split for w in words) if w not in self.known]
+        if len(self.known) + len(new) > self.limit:
+            self.known.clear()
+            new = list(dict.fromkeys(w for words in split for w in words))
+        long = [w for w in new if len(w) > LONG]
+        for w in long:
+            self.known[w] = self._alone(w)
+        self._learn([w for w in new if len(w) <= LONG])
+        out = [b"".join(map(self.known.__getitem__, words)) + self.end for words in split]
+        for w in long:
+            del self.known[w]
+        return out
 
 
 @lru_cache(maxsize=2)
-def _words(file: str) -> WordIds:
-    return WordIds(file)
+def _words(file: str, end_id: int) -> WordIds:
+    return WordIds(file, end_id)
 
 
 class Index:
@@ -203,16 +257,16 @@ def powers(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]
 _SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A document's ids are its text's, then id 2; every id is in one piece. A sequence has `window` ids, or a power of two.
-    A null or empty text has id 2 alone. Repeated rows are packed each; null ids are kept; extra columns are not read.
+    A document's ids are its text's, then `end_id`; every id is in one piece. A sequence has `window` ids, or a power of two.
+    A null or empty text has the end id alone. Repeated rows are packed each; null ids are kept; extra columns are not read.
     sequence_id is unique over the table, not dense. `window` is a power of two.
     """
 
     def run(batches):
-        words, task = _words(tokenizer_file), TaskContext.get()
+        words, task = _words(tokenizer_file, end_id), TaskContext.get()
         sequence = (task.partitionId() if task else 0) << 32
         held, rows, total = [], [], 0
 
@@ -237,10 +291,10 @@ def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, shard_token
             held, rows, total = [], [], 0
             return pa.RecordBatch.from_arrays([source, *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", *(f.split()[0] for f in _SCHEMA.split(", "))])
 
-        for batch in batches:
-            texts, at = batch.column(1).to_pylist(), 0
-            for i, text in enumerate(texts):
-                held.append(words.ids(text))
+        for batch in sliced(batches):
+            texts, at = words.of(batch.column(1).to_pylist()), 0
+            for i, ids in enumerate(texts):
+                held.append(ids)
                 total += len(held[-1]) // 4
                 if total >= shard_tokens:
                     rows.append(batch.column(0).slice(at, i + 1 - at))
@@ -252,7 +306,7 @@ def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, shard_token
             yield last
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    least = F.array_min(F.transform(F.split(text, r"\s+"), lambda w: F.xxhash64(w)))
+    least = F.array_min(F.transform(F.split(text, " "), lambda w: F.xxhash64(w)))
     dealt = docs.select("doc_id", "text", least.alias("_least")).repartitionByRange("_least", "doc_id").sortWithinPartitions("_least", "doc_id")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return dealt.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {_SCHEMA}")

@@ -52,11 +52,55 @@ def test_odd_rows(spark, odd_docs):
 
 def test_word_ids_equal_the_tokenizer():
     tokenizer, words, rng = Tokenizer.from_file(FILE), WordIds(FILE, limit=500), random.Random(1)
-    bits = ["The", "it's", "'RE", "x", "9", "12", "é", "É", "é", "ß", "İ", "ΣΑΣ", "日本", "🙂", "<|endoftext|>", "<|", "...", "_", " ", " ", "\t", "\n", " ", " ", "--", "\x00", "\x1c", "ﬁ", "don't", "'s"]
-    for _ in range(20_000):
-        text = "".join(rng.choices(bits, k=rng.randrange(0, 9)))
-        got = np.frombuffer(words.ids(text), "<u4").tolist()
-        assert got == [*tokenizer.encode(text, add_special_tokens=False).ids, 2], repr(text)
+    bits = ["The", "it's", "'RE", "x", "9", "12", "é", "É", "e\u0301", "\u0301", "ß", "İ", "ΣΑΣ", "日本", "🙂", "<|endoftext|>", "<|", "...", "_", " ", " ", "\t", "\n", "\u00a0", "\u3000", "--", "\x00", "\x1c", "\x85", "\u200b", "ﬁ", "don't", "'s", "w" * 250]
+    assert words.fast
+    texts = ["".join(rng.choices(bits, k=rng.randrange(0, 9))) for _ in range(20_000)]
+    for a in range(0, len(texts), 40):
+        for text, got in zip(texts[a : a + 40], words.of(texts[a : a + 40]), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2], repr(text)
+
+
+def test_other_tokenizers_encode_whole_texts(spark):
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    words, tokenizer = WordIds(file, 50256), Tokenizer.from_file(file)
+    text = "The  same words,\n twice  over. The  same words"
+    assert not words.fast and np.frombuffer(words.of([text])[0], "<u4").tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 50256]
+
+
+def test_greedy_filling_equals_brute_force():
+    """Whole windows against a plain ranking: the seed, then its neighbours by BM25 that fit, then the best one cut."""
+    rng = np.random.default_rng(11)
+    ids = [np.array([*rng.zipf(1.6, rng.integers(5, 60)) % 400 + 3, 2], "<u4") for _ in range(120)]
+    free, window, want = [True] * len(ids), 128, []
+    current, room = [], window
+
+    def place(d):
+        nonlocal current, room
+        free[d], at = False, 0
+        while at < len(ids[d]):
+            n = min(room, len(ids[d]) - at)
+            current.append((d, at, n))
+            at, room = at + n, room - n
+            if not room:
+                want.append(current)
+                current, room = [], window
+
+    while any(free):
+        if not current:
+            place(free.index(True))
+            continue
+        scores, full, cut = bm25(ids, current[0][0]), len(want), None
+        for d in sorted((d for d in range(len(ids)) if free[d] and scores[d] > 0), key=lambda d: (-scores[d], d)):
+            if len(ids[d]) <= room:
+                place(d)
+            elif cut is None:
+                cut = d
+            if len(want) > full:
+                break
+        if len(want) == full:
+            place(free.index(True) if cut is None and any(free) else cut) if cut is not None or any(free) else None
+    got = fill(ids, window)
+    assert got == want + ([current] if current else [])
 
 
 def bm25(ids, seed, k1=1.2, b=0.75):
