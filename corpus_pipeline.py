@@ -21,7 +21,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of 20 characters in three documents or more stay in the largest doc_id alone; n_chars follows the text."""
-    out = without_repeated_lines(docs).drop("_n_lines", "_n_dropped")
+    out = without_repeated_lines(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
