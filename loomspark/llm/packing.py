@@ -30,7 +30,11 @@ RANKED = 64
 #: The settings of a tokenizer whose ids can be looked up word by word.
 _NORMALIZER = ["NFC", "Replace", "Lowercase"]
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Characters that are the same in every version of Unicode and are their own normal form, and the split for them alone.
+_PLAIN = "\u0250"
+_LETTERS = "".join(chr(c) for c in range(128, 0x250) if chr(c).isalpha())
+_NUMBERS = "".join(chr(c) for c in range(128, 0x250) if chr(c).isnumeric())
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LETTERS}]+|[0-9{_NUMBERS}]|[^a-z0-9{_LETTERS}{_NUMBERS}]+")
 #: str.split() also splits at these four, which the tokenizer keeps.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _WORDS = re.compile("(?:[^\\s]|[\x1c-\x1f])+")
@@ -47,12 +51,20 @@ def word_wise(settings: dict) -> bool:
     return normalizers == _NORMALIZER and spaces == [" "] and splits == [_SPLIT] and model.get("end_of_word_suffix") == "</w>" and not settings.get("post_processor")
 
 
+def byte_letters() -> list[str]:
+    """The letter of each byte in a byte-level alphabet: printable ones stand for themselves, others follow from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return [chr(b) if b in own else chr(256 + others.index(b)) for b in range(256)]
+
+
 class WordIds:
     """Token ids of texts as little-endian unsigned 32-bit bytes, with an end id behind each.
 
-    If the tokenizer is word-wise, a text's ids are those of its white-space-separated words. Words not met before are
-    encoded together, and their ids are told apart by the marks of last tokens, or, for words beyond ASCII, by offsets.
-    Keeps up to `limit` words, then starts anew. With any other tokenizer whole texts are encoded.
+    If the tokenizer is word-wise, a text's ids are those of its white-space-separated words. Words of common characters
+    not met before go part by part to the tokenizer's merges; others go through the whole tokenizer together, and their
+    ids are told apart by offsets. Keeps up to `limit` words, then starts anew. With any other tokenizer whole texts are
+    encoded.
     """
 
     def __init__(self, file: str, end_id: int = END_ID, limit: int = 300_000):
@@ -63,10 +75,8 @@ class WordIds:
         self.tokenizer.no_truncation()
         with open(file, encoding="utf-8") as f:
             self.fast = word_wise(json.load(f))
-        self.end = end_id.to_bytes(4, "little")
-        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.last[i] = token.endswith("</w>")
+        self.end, self.letters = end_id.to_bytes(4, "little"), dict(enumerate(byte_letters()))
+        self.model = self.tokenizer.model
 
     def _encoded(self, text: str):
         return self.tokenizer.encode(text, add_special_tokens=False)
@@ -75,22 +85,26 @@ class WordIds:
         return np.array(self._encoded(word).ids, "<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        ascii_words, others = [], []
+        plain, others, ids, ends = [], [], [], []
+        tokenize = self.model.tokenize
         for w in words:
             if "<|" in w:
                 self.known[w] = self._alone(w)
-            elif w.isascii() and w.isprintable():
-                ascii_words.append(w)
+                continue
+            if w.isascii():
+                low = w.lower()
+            elif max(w) < _PLAIN and "\u0130" not in w:
+                low = w.lower()
             else:
                 others.append(w)
-        if ascii_words:
-            ids = np.array(self._encoded(" ".join(ascii_words)).ids, "<u4")
-            parts = np.cumsum([1 if w.isalpha() else len(_ASCII_WORDS.findall(w.lower())) for w in ascii_words])
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == parts[-1]:
-                self._keep(ascii_words, ids, ends[parts - 1])
-            else:
-                others += ascii_words
+                continue
+            for part in (low,) if low.isalpha() else _PARTS.findall(low):
+                if not (part.isascii() and part.isprintable()):
+                    part = part.encode().decode("latin-1").translate(self.letters)
+                ids += [t.id for t in tokenize(part)]
+            plain.append(w)
+            ends.append(len(ids))
+        self._keep(plain, np.array(ids, "<u4"), np.array(ends, np.int64))
         if others:
             found = self._encoded(" ".join(others))
             begin = np.cumsum([0, *(len(w) + 1 for w in others)])
@@ -108,10 +122,11 @@ class WordIds:
         if not self.fast:
             return [np.array(self._encoded(t).ids, "<u4").tobytes() + self.end if t else self.end for t in texts]
         split = [[] if not t else _WORDS.findall(t) if _SEPARATORS.search(t) else t.split() for t in texts]
-        new = [w for w in dict.fromkeys(w for words in split for w in words) if w not in self.known]
+        every = set().union(*split)
+        new = [w for w in every if w not in self.known]
         if len(self.known) + len(new) > self.limit:
             self.known.clear()
-            new = list(dict.fromkeys(w for words in split for w in words))
+            new = list(every)
         long = [w for w in new if len(w) > LONG]
         for w in long:
             self.known[w] = self._alone(w)
