@@ -260,7 +260,7 @@ def quality(docs: DataFrame, cut: float = 0.999, coverage: float = 0.75, prior:
     stats = stage(statistics(docs), "quality-stats")
     name = [F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("null")) for c in ("lang", "source")]
     levels = {"own": F.concat_ws("\x1f", F.lit("own"), *name), "lang": F.concat_ws("\x1f", F.lit("lang"), name[0]), "whole": F.lit("whole")}
-    rows = stats.select("*", *(c.alias(n) for n, c in levels.items()), *features())
+    rows = stats.select("doc_id", *_STATS, *(c.alias(n) for n, c in levels.items()), *features())
     every = rows.filter("n_words >= 20").select(*FEATURES, F.explode(F.array(*levels)).alias("grp"))
     moments = robust_estimates(every, coverage)
     packed = moments.select("grp", F.struct("n", *MOMENTS).alias("x"))
