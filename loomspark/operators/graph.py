@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the folder that spark.checkpoint.dir names, or one of our own where it is unset."""
+    """df with its lineage cut, in the folder that spark.checkpoint.dir names. Only a local session may go without one."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 

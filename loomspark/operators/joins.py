@@ -58,18 +58,24 @@ def _type(df: DataFrame, c: str) -> str:
 
 def nearest_within(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, tie: str, value: str, window_us: int, out: str = "right_value", inner: bool = True) -> DataFrame:
     """left with its nearest right value of abs time difference <= window_us. A banded equi-join: right rows go to the
-    time bucket before, at and after their own, and are matched by key and bucket; the nearest is taken per left row."""
+    time bucket before, at and after their own, and are matched by key and bucket. The nearest is found once per key and
+    time of left, then joined to left's rows, so that equal rows all stay."""
     keys = list(keys)
     width = max(window_us, 1)
     r = _side(right, keys, ts, tie, value)
     r = r.select(*(F.col(k).alias(f"_{k}") for k in keys), F.struct("us", "tie", "value").alias("_r"), F.explode(F.array(*(time_bucket(F.col("us"), width) + d for d in (-1, 0, 1)))).alias("_rb"))
-    l = left.withColumn("_lus", micros(ts)).withColumn("_lb", time_bucket(F.col("_lus"), width))  # noqa: E741
+    l = left.withColumn("_lus", micros(ts))  # noqa: E741
+    asked = l.select("_lus", *keys).distinct().withColumn("_lb", time_bucket(F.col("_lus"), width))
     on = reduce(lambda x, y: x & y, (F.col(k) == F.col(f"_{k}") for k in keys), F.col("_lb") == F.col("_rb"))
     near = F.abs(F.col("_r.us") - F.col("_lus"))
-    pairs = l.join(r, on & (near <= window_us), "inner" if inner else "left")
-    row = F.struct(*(F.col(c) for c in left.columns))
-    best = pairs.groupBy(F.col(tie).alias("_id"), "_lus", *(F.col(k).alias(f"_g{k}") for k in keys)).agg(F.first(row).alias("_row"), F.min(F.when(F.col("_r").isNotNull(), F.struct(near.alias("gap"), F.col("_r")))).alias("hit"))
-    return best.select("_row.*", F.col("hit._r.value").alias(out), F.col("hit._r.us").alias(out + "_us"))
+    best = asked.join(r, on & (near <= window_us)).groupBy(F.col("_lus").alias("_gus"), *(F.col(k).alias(f"_g{k}") for k in keys)).agg(F.min(F.struct(near.alias("gap"), F.col("_r"))).alias("_hit"))
+    same = reduce(lambda x, y: x & y, (F.col(k) == F.col(f"_g{k}") for k in keys), F.col("_lus") == F.col("_gus"))
+    return l.join(best, same, "inner" if inner else "left").select(*left.columns, F.col("_hit._r.value").alias(out), F.col("_hit._r.us").alias(out + "_us"))
+
+
+def nearest_many(left: DataFrame, rights: dict[str, DataFrame], keys: Sequence[str], ts: str, tie: str, value: str, window_us: int) -> DataFrame:
+    """left with the nearest value of every named right stream; only rows that all of them match."""
+    return reduce(lambda acc, item: nearest_within(acc, item[1], keys, ts, tie, value, window_us, item[0]).drop(item[0] + "_us"), rights.items(), left)
 
 
 def left_nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, tie: str, value: str, window_us: int, fallback: str = "none", out: str = "right_value") -> DataFrame:
@@ -119,14 +125,15 @@ def asof_many(left: DataFrame, rights: dict[str, DataFrame], keys: Sequence[str]
     return reduce(lambda acc, item: asof_backward(acc, item[1], keys, ts, tie, value, tolerance_us, True, item[0]), rights.items(), left)
 
 
-def within_retention(df: DataFrame, stream: str, ts: str, window_us: int, cap: int | None = 1000) -> DataFrame:
-    """Rows no older than twice the window before their stream's newest, at most the newest `cap` per stream."""
+def within_retention(df: DataFrame, stream: str, ts: str, window_us: int, cap: int | None = 1000, tie: str | None = None) -> DataFrame:
+    """Rows no older than twice the window before their stream's newest, at most the newest `cap` per stream; of rows of
+    one time those with the larger `tie`, or, without one, the larger hash of the row."""
     us = micros(ts)
     newest = df.groupBy(F.col(stream).alias("_s")).agg(F.max(us).alias("_newest"))
     out = df.join(newest, df[stream] == newest["_s"]).filter(us >= F.col("_newest") - 2 * window_us).drop("_s", "_newest")
     if cap is None:
         return out
-    return out.withColumn("_r", F.row_number().over(Window.partitionBy(stream).orderBy(us.desc()))).filter(F.col("_r") <= cap).drop("_r")
+    return out.withColumn("_r", F.row_number().over(Window.partitionBy(stream).orderBy(us.desc(), F.col(tie).desc() if tie else F.xxhash64(*df.columns).desc()))).filter(F.col("_r") <= cap).drop("_r")
 
 
 def point_in_time(labels: DataFrame, history: DataFrame, keys: Sequence[str], ts: str, tie: str, value: str, ttl_us: int | None = None, out: str = "feature") -> DataFrame:

@@ -23,9 +23,39 @@ def uniform(seed: str | int, id_col: str | Column) -> Column:
     return F.greatest(uniform_int(seed, id_col), F.lit(1)) / F.lit(float(STEPS))
 
 
-def sample_uniform(df: DataFrame, size: int, id_col: str, seed: int = 0) -> DataFrame:
-    """min(size, rows) distinct rows. A top-k by hash: every task keeps at most `size` rows."""
-    return df.orderBy(uniform_int(seed, id_col), id_col).limit(size)
+def epoch_seed(seed: str | int, epoch: int) -> str:
+    """The seed of an epoch's draws: another sample each epoch, the same again after a reset to an epoch."""
+    return f"{seed}/{epoch}"
+
+
+def smallest(df: DataFrame, size: int, value: Column, id_col: str) -> DataFrame:
+    """The `size` rows of least (value, id); value is positive.
+
+    A histogram of the values' logarithms, 64 bins to a doubling, gives the bin that holds the last of them. Rows of
+    lower bins stay where they are; only that bin, about a hundredth of `size` where values are evenly dense, is sorted.
+    """
+    binned = df.withColumn("_v", value.cast("double")).withColumn("_b", F.floor(64 * F.log2(F.greatest("_v", F.lit(1e-300)))))
+    counts = binned.groupBy("_b").agg(F.count(F.lit(1)).alias("_k"))
+    upto = counts.select("_b", "_k", F.sum("_k").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"))  # a row per bin
+    last = upto.filter(F.col("_upto") >= size).orderBy("_b").first()
+    if last is None:
+        return df
+    edge = binned.filter(F.col("_b") == last["_b"]).orderBy(value, id_col).limit(size - (last["_upto"] - last["_k"]))
+    return binned.filter(F.col("_b") < last["_b"]).unionByName(edge).select(df.columns)
+
+
+def sample_uniform(df: DataFrame, size: int, id_col: str, seed: int | str = 0) -> DataFrame:
+    """min(size, rows) distinct rows: those of the smallest hashes."""
+    return smallest(df, size, uniform_int(seed, id_col) + 1, id_col)
+
+
+#: Rows up to which a table of labels, which was just counted, is sent to every executor.
+FEW = 100_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, one row per label, with a broadcast hint if it has at most FEW rows."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
@@ -36,13 +66,14 @@ def _by_quota(df: DataFrame, quotas: DataFrame, label: str, id_col: str, seed: i
     """Of each class the quota's first rows by hash. Rows that cannot be among them are dropped by a hash bound with
     slack before any class is ranked, so a hot class is not sorted whole."""
     u = uniform_int(seed, id_col)
-    marked = df.join(F.broadcast(quotas), label).withColumn("_u", u)  # one row per class
+    marked = df.join(few(quotas), label).withColumn("_u", u)  # one row per class
     slack = F.least(F.lit(1.0), (F.col("quota") + 6 * F.sqrt(F.col("quota") + 10.0) + 40) / F.col("n"))
     near = marked.filter(F.col("_u") < slack * float(STEPS))
     short = near.groupBy(label).agg(F.count(F.lit(1)).alias("_k"), F.first("quota").alias("_q")).filter(F.col("_k") < F.col("_q")).select(label)
+    short = few(short)
     # A class that the bound left too few rows, which is very unlikely, is ranked whole.
-    whole = marked.join(F.broadcast(short), label, "left_semi")
-    rows = near.join(F.broadcast(short), label, "left_anti").unionByName(whole)
+    whole = marked.join(short, label, "left_semi")
+    rows = near.join(short, label, "left_anti").unionByName(whole)
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy("_u", id_col))).filter(F.col("_r") <= F.col("quota"))
 
 
@@ -51,7 +82,7 @@ def stratified(df: DataFrame, size: int, label: str, id_col: str, seed: int = 0)
     counts = class_counts(df, label)
     total = counts.agg(F.sum("n").alias("_total"))
     quotas = counts.crossJoin(F.broadcast(total)).select(label, "n", F.greatest(F.lit(1), F.floor(size * F.col("n") / F.col("_total"))).alias("quota"))
-    return _by_quota(df, quotas, label, id_col, seed).orderBy(uniform_int(f"{seed}b", id_col), id_col).limit(size).select(df.columns)
+    return smallest(_by_quota(df, quotas, label, id_col, seed), size, uniform_int(f"{seed}b", id_col) + 1, id_col).select(df.columns)
 
 
 def balanced(df: DataFrame, size: int, label: str, id_col: str, seed: int = 0) -> DataFrame:
@@ -66,16 +97,28 @@ def balanced(df: DataFrame, size: int, label: str, id_col: str, seed: int = 0) -
 def weighted(df: DataFrame, size: int, weight: Column, id_col: str, seed: int = 0) -> DataFrame:
     """min(size, rows with weight > 0) rows, drawn one after another by weight without replacement: the smallest of
     -ln(u) / weight (Efraimidis and Spirakis)."""
-    return df.withColumn("_w", weight.cast("double")).filter(F.col("_w") > 0).orderBy(-F.log(uniform(seed, id_col)) / F.col("_w"), id_col).limit(size).drop("_w")
+    return smallest(df.withColumn("_w", weight.cast("double")).filter(F.col("_w") > 0), size, -F.log(uniform(seed, id_col)) / F.col("_w"), id_col).drop("_w")
+
+
+def class_weighted(df: DataFrame, size: int, label: str, weights: dict, id_col: str, seed: int | str = 0, default: float = 1.0) -> DataFrame:
+    """Weighted by class weights given by the caller; classes that are not named have the default."""
+    weight = F.coalesce(F.create_map(*(F.lit(x) for item in weights.items() for x in item))[F.col(label)], F.lit(default)) if weights else F.lit(default)
+    return weighted(df, size, weight, id_col, seed)
+
+
+#: Rows that one bucket of a draw with replacement or of batches should hold.
+BUCKET_ROWS = 1_000_000
 
 
 def with_replacement(df: DataFrame, size: int, id_col: str, seed: int = 0, weight: Column | None = None) -> DataFrame:
     """`size` draws as rows of df with `draw`: uniform, or by weight. Draws meet cumulative weights in a range join that
     runs by hash bucket: each bucket of rows knows its span, each draw its bucket."""
     w = (F.lit(1.0) if weight is None else weight.cast("double"))
-    rows = df.withColumn("_w", w).filter(F.col("_w") > 0).withColumn("_bucket", F.pmod(F.xxhash64(id_col), F.lit(256)))
+    rows = df.withColumn("_w", w).filter(F.col("_w") > 0)
+    buckets = 1 << max(8, (rows.count() // BUCKET_ROWS).bit_length())
+    rows = rows.withColumn("_bucket", F.floor(uniform_int(f"{seed}p", id_col) / F.lit(STEPS / buckets)))
     spans = rows.groupBy("_bucket").agg(F.sum("_w").alias("_span"))
-    order = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)  # over 256 rows
+    order = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)  # over a row per bucket
     spans = spans.select("_bucket", F.sum("_span").over(order).alias("_to"), "_span", F.sum("_span").over(Window.partitionBy()).alias("_all"))
     draws = df.sparkSession.range(size).select(F.col("id").alias("draw"), uniform(f"{seed}r", "id").alias("_u"))
     placed = draws.join(F.broadcast(spans), (F.col("_u") * F.col("_all") < F.col("_to")) & (F.col("_u") * F.col("_all") >= F.col("_to") - F.col("_span")))
@@ -133,7 +176,7 @@ def difficulty(losses: DataFrame, id_col: str, order: list[str], loss: str, keep
 def focal(df: DataFrame, size: int, id_col: str, label: str, scores: DataFrame | None, gamma: float = 2.0, seed: int = 0) -> DataFrame:
     """Weighted by difficulty (1 where unknown), or by 1 / class count if there are no scores; to the power gamma."""
     if scores is None:
-        joined = df.join(F.broadcast(class_counts(df, label)), label).withColumn("_d", 1.0 / F.col("n"))
+        joined = df.join(few(class_counts(df, label)), label).withColumn("_d", 1.0 / F.col("n"))
     else:
         joined = df.join(scores.select(id_col, F.col("difficulty").alias("_d")), id_col, "left")
     return weighted(joined, size, F.pow(F.coalesce("_d", F.lit(1.0)), F.lit(gamma)), id_col, seed).select(df.columns)
@@ -153,7 +196,8 @@ def batches(df: DataFrame, size: int, id_col: str, seed: int = 0, drop_last: boo
     from ..functions.timeutil import ordered_index
 
     u = df.withColumn("_u", uniform_int(seed, id_col))
-    out = ordered_index(u, [], ["_u", id_col], F.floor(F.col("_u") / F.lit(STEPS // 256)), "_i").withColumn("batch", F.floor(F.col("_i") / size))
+    ranges = 1 << max(8, (df.count() // BUCKET_ROWS).bit_length())
+    out = ordered_index(u, [], ["_u", id_col], F.floor(F.col("_u") / F.lit(STEPS // ranges)), "_i").withColumn("batch", F.floor(F.col("_i") / size))
     if drop_last:
         out = out.join(F.broadcast(df.agg(F.count(F.lit(1)).alias("_n"))), F.col("batch") < F.floor(F.col("_n") / size)).drop("_n")
     return out.drop("_u", "_i")

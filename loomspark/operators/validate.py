@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,7 +26,8 @@ def dtype(name: str, kind: str) -> Rule:
 
 
 def shape(name: str, dims: list) -> Rule:
-    """dims: the first is the row count, the others the lengths of (nested) arrays; "*" is any."""
+    """dims: the first is the row count, the others the lengths of (nested) arrays; "*" is any. Every array of an axis must
+    have its length, and the field's type as many axes as dims."""
     return Rule(name, "shape", {"dims": dims})
 
 
@@ -45,13 +47,15 @@ def required(name: str) -> Rule:
     return Rule(name, "required")
 
 
-def custom(name: str, condition: str, message: str) -> Rule:
-    """condition: a SQL expression that holds for valid rows."""
+def custom(name: str, condition: str | Callable[[Column], Column], message: str = "Custom validation failed") -> Rule:
+    """condition holds for valid rows: a SQL expression, or a function from the field's column to a condition."""
     return Rule(name, "custom", {"condition": condition}, message)
 
 
 def save_schema(rules: list[Rule], strict: bool = False) -> str:
-    """The rules with their parameters as JSON."""
+    """The rules with their parameters as JSON. Conditions given as functions cannot be saved."""
+    if any(callable(r.params.get("condition")) for r in rules):
+        raise ValueError("a condition given as a function cannot be saved")
     return json.dumps({"strict": strict, "rules": [asdict(r) for r in rules]}, sort_keys=True)
 
 
@@ -84,12 +88,50 @@ def row_error(df: DataFrame, rule: Rule) -> Column | None:
     elif rule.kind == "required":
         bad, text = c.isNull(), f"{rule.field}: contains null"
     elif rule.kind == "custom":
-        bad, text = ~F.expr(p["condition"]), f"{rule.field}: {rule.message}"
+        given = p["condition"]
+        bad, text = ~(given(c) if callable(given) else F.expr(given)), f"{rule.field}: {rule.message}"
     else:
         return None
     return F.when(bad, F.lit(text))
 
 
+def _axes(kind: T.DataType) -> int:
+    return 1 + _axes(kind.elementType) if isinstance(kind, T.ArrayType) else 0
+
+
+def _shape_errors(df: DataFrame, rule: Rule) -> list[Column]:
+    """One error array or null per fixed axis: from the least and the greatest length among all arrays of the axis."""
+    dims, axes = rule.params["dims"], 1 + _axes(df.schema[rule.field].dataType)
+    if len(dims) != axes:
+        return [F.array(F.lit(f"{rule.field}: Expected {len(dims)} dimensions, got {axes}"))]
+    out, inner = [], F.col(rule.field)
+    for i, want in enumerate(dims):
+        if i > 2:
+            inner = F.flatten(F.filter(inner, lambda x: x.isNotNull()))
+        if want == "*":
+            continue
+        if i == 0:
+            low = high = F.count(F.lit(1))
+        else:
+            sizes = F.transform(inner, F.size) if i > 1 else F.array(F.size(inner))
+            low, high = F.min(F.array_min(sizes)), F.max(F.array_max(sizes))
+        got = F.when(low != want, low).otherwise(high).cast("long").cast("string")
+        out.append(F.when((low != want) | (high != want), F.array(F.concat(F.lit(f"{rule.field}: Dimension {i}: expected {want}, got "), got))))
+    return out
+
+
+def _trial(df: DataFrame, rule: Rule) -> tuple[Column | None, str | None]:
+    """row_error, or what a custom condition that cannot be built or analysed says."""
+    if rule.kind != "custom":
+        return row_error(df, rule), None
+    try:
+        error = row_error(df, rule)
+        df.select(error)  # analysis only
+        return error, None
+    except Exception as e:  # noqa: BLE001 - whatever the given condition raises is the finding
+        return None, f"{rule.field}: Validation error: {str(e).splitlines()[0] if str(e) else type(e).__name__}"
+
+
 def validate(df: DataFrame, rules: list[Rule], strict: bool = False) -> DataFrame:
     """One row (ok, errors sorted). All rules share one aggregate; field names and types need no job.
 
@@ -106,26 +148,27 @@ def validate(df: DataFrame, rules: list[Rule], strict: bool = False) -> DataFram
             if actual != r.params["type"]:
                 parts.append(F.array(F.lit(f"{r.field}: Expected dtype {r.params['type']}, got {actual}")))
         elif r.kind == "shape":
-            c = F.col(r.field)
-            for i, want in enumerate(r.params["dims"]):
-                if i == 0:
-                    low = high = F.count(F.lit(1))
-                else:
-                    inner = c
-                    for _ in range(i - 1):
-                        inner = F.flatten(inner)
-                    size = F.size(inner) if i == 1 else F.size(inner) / F.size(c)
-                    low, high = F.min(size), F.max(size)
-                if want != "*":
-                    got = F.when(low != want, low).otherwise(high).cast("long").cast("string")
-                    parts.append(F.when((low != want) | (high != want), F.array(F.concat(F.lit(f"{r.field}: Dimension {i}: expected {want}, got "), got))))
+            parts += _shape_errors(df, r)
         else:
-            parts.append(F.when(F.count(row_error(df, r)) > 0, F.array(F.max(row_error(df, r)))))
+            error, text = _trial(df, r)
+            parts.append(F.array(F.lit(text)) if text else F.when(F.count(error) > 0, F.array(F.max(error))))
     none = F.array().cast("array<string>")
     errors = F.array_sort(F.flatten(F.array(*(F.coalesce(p, none) for p in parts)))) if parts else none
     return df.agg(F.count(F.lit(1)).alias("_n"), errors.alias("errors")).select((F.size("errors") == 0).alias("ok"), "errors")
 
 
+def validate_batches(df: DataFrame, rules: list[Rule], batch: str, tracked: list[str], strict: bool = False, **options) -> DataFrame:
+    """(ok, errors) as validate, with the mean and range shifts that a tracked field's batches show against earlier ones.
+    options are drift's."""
+    out = validate(df, rules, strict)
+    for f in tracked:
+        d = drift(df, batch, f, **options)
+        found = lambda flag, kind: F.when(F.max(F.col(flag).cast("int")) == 1, F.lit(f"{f}: Significant {kind} shift detected"))  # noqa: B023, E731
+        out = out.crossJoin(d.agg(F.array_compact(F.array(found("mean_shift", "mean"), found("range_shift", "range"))).alias("_more")))  # one row each
+        out = out.select(F.array_sort(F.concat("errors", "_more")).alias("errors"))
+    return out.select((F.size("errors") == 0).alias("ok"), "errors")
+
+
 def split(df: DataFrame, rules: list[Rule]) -> tuple[DataFrame, DataFrame]:
     """(valid, quarantined with an errors array) by the row rules. A plain projection, so it also works on streams."""
     marks = [e for r in rules if (e := row_error(df, r)) is not None]

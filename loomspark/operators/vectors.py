@@ -136,5 +136,12 @@ def retain_lfu(log: DataFrame, capacity: int, bank: str, slot: str, order: str,
     return dealt.mapInArrow(walk(Held, [bank, slot, "uses"], [slots, pa.int64()]), f"`{bank}` {bt}, `{slot}` {st}, uses long")
 
 
+def since_clear(log: DataFrame, bank: str, order: str, kind: str, clear: str = "clear") -> DataFrame:
+    """The log without what a later `clear` of its bank has emptied, and without the clears."""
+    last = log.filter(F.col(kind) == clear).groupBy(F.col(bank).alias("_bank")).agg(F.max(order).alias("_cleared"))
+    rows = log.filter(F.col(kind) != clear).join(last, F.col(bank).eqNullSafe(F.col("_bank")), "left")
+    return rows.filter(F.col("_cleared").isNull() | (F.col(order) > F.col("_cleared"))).select(log.columns)
+
+
 def usage(retrievals: DataFrame, slot: str) -> DataFrame:
     return retrievals.groupBy(slot).agg(F.count(F.lit(1)).alias("uses"))

@@ -37,6 +37,7 @@ class FeatureStore:
     def __init__(self):
         self._history: dict[str, list[tuple[Feature, datetime]]] = {}
         self.computed = 0
+        self._kinds: dict[tuple[str, str], str] = {}
 
     def register(self, feature: Feature) -> None:
         """Dependencies must be registered features; a cycle is refused."""
@@ -82,13 +83,20 @@ class FeatureStore:
         return self.order([name])[:-1]
 
     def compute(self, df: DataFrame, names: Sequence[str], versions: dict[str, str] | None = None) -> DataFrame:
-        """df with the named features as columns: one chain of projections, which Catalyst collapses. df is not changed."""
-        out = df
-        for n in self.order(names):
-            if n not in df.columns:
-                out = out.withColumn(n, self.current(n, (versions or {}).get(n)).compute(out))
-                self.computed += 1
-        return out.select(*df.columns, *(n for n in names if n not in df.columns))
+        """df with the named features as columns: one chain of projections, which Catalyst collapses. df is not changed.
+
+        A column of df that has the name of a needed feature is an error, as it would hide the feature.
+        """
+        out, order = df, self.order(names)
+        hidden = [n for n in order if n in df.columns]
+        if hidden:
+            raise ValueError(f"columns would hide features: {hidden}")
+        for n in order:
+            f = self.current(n, (versions or {}).get(n))
+            out = out.withColumn(n, f.compute(out))
+            self._kinds[n, f.version] = out.schema[n].dataType.simpleString()
+            self.computed += 1
+        return out.select(*df.columns, *dict.fromkeys(names))
 
     def lineage(self, spark: SparkSession) -> DataFrame:
         """(feature, dependency, depth, version, hash): every dependency with its least distance; one row without any."""
@@ -105,7 +113,8 @@ class FeatureStore:
         return spark.createDataFrame(rows, "feature string, dependency string, depth int, version string, hash string")
 
     def versions(self, spark: SparkSession) -> DataFrame:
-        rows = [(f.name, f.version, at, None, None, f.compute_hash, list(f.dependencies), {str(k): str(v) for k, v in f.metadata.items()}) for h in self._history.values() for f, at in h]
+        """Every registered version, with its type once it was computed; rows are counted by save alone."""
+        rows = [(f.name, f.version, at, None, self._kinds.get((f.name, f.version)), f.compute_hash, list(f.dependencies), {str(k): str(v) for k, v in f.metadata.items()}) for h in self._history.values() for f, at in h]
         return spark.createDataFrame(rows, METADATA)
 
     def statistics(self, spark: SparkSession) -> DataFrame:
@@ -116,7 +125,8 @@ class FeatureStore:
         """Values as Parquet at path/data, then versions and types at path/meta."""
         out = self.compute(df, names)
         out.write.parquet(f"{path}/data")
-        rows = [(n, self.current(n).version, datetime.now(timezone.utc), None, out.schema[n].dataType.simpleString(), self.current(n).compute_hash, list(self.current(n).dependencies), {}) for n in names]
+        n_rows = df.sparkSession.read.parquet(f"{path}/data").count()  # from the files' footers
+        rows = [(n, self.current(n).version, datetime.now(timezone.utc), n_rows, out.schema[n].dataType.simpleString(), self.current(n).compute_hash, list(self.current(n).dependencies), {}) for n in names]
         df.sparkSession.createDataFrame(rows, METADATA).coalesce(1).write.parquet(f"{path}/meta")
 
     def load(self, spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -361,7 +361,12 @@ def _(s, d):
     return sampling.focal(table(s, d, "labels"), 60, "doc_id", "toxic", None, seed=9).select("doc_id")
 
 
-@query("sample_with_replacement")
+@query(
+    "sample_with_replacement",
+    f"""WITH w AS (SELECT p_partkey, p_size, sum(p_size) OVER (ORDER BY {_u('2p', 'p_partkey')} // 1099511627776, p_partkey) AS upto, sum(p_size) OVER () AS total FROM part WHERE p_size > 0),
+d AS (SELECT i AS draw, greatest({_u('2r', 'i')}, 1) / 281474976710656.0 AS u FROM unnest(generate_series(0, 199)) AS g(i))
+SELECT draw::BIGINT AS draw, p_partkey FROM d JOIN w ON u * total >= upto - p_size AND u * total < upto""",
+)
 def _(s, d):
     return sampling.with_replacement(table(s, d, "part"), 200, "p_partkey", 2, F.col("p_size")).select("draw", "p_partkey")
 
@@ -416,12 +421,12 @@ for _metric, _expr in _SCORE.items():
     @query(
         f"knn_{_metric}",
         f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-p AS (SELECT q.vec_id AS query_id, k.vec_id AS key_id, {_expr} AS score FROM v q JOIN v k ON q.vec_id < 20)
+p AS (SELECT q.vec_id AS query_id, k.vec_id AS key_id, {_expr} AS score FROM v q JOIN v k ON q.vec_id % 100 = 0)
 SELECT query_id, key_id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, key_id) AS rank FROM p) WHERE rank <= 5""",
     )
     def _(s, d, metric=_metric):
         v = _vectors(s, d).withColumnRenamed("embedding", "vector")
-        out = vectors.knn(v.filter("vec_id < 20").withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "key_id"), 5, metric)
+        out = vectors.knn(v.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "key_id"), 5, metric)
         return out.withColumn("score", F.round("score", 6))
 
 
@@ -608,11 +613,12 @@ def _(s, d):
 
 
 def _views(s, d):
-    v = _vectors(s, d).filter("vec_id < 400")
-    return v.select((F.col("vec_id") % 5).alias("batch"), F.floor(F.col("vec_id") / 10).alias("pair"), (F.floor(F.col("vec_id") / 5) % 2).alias("view"), "label", "embedding")
+    """All vectors in batches of 80; vectors n and n + 1 are two views of one pair."""
+    v = F.col("vec_id")
+    return _vectors(s, d).select(F.floor(v / 80).alias("batch"), F.floor(v / 2).alias("pair"), (v % 2).alias("view"), "label", "embedding")
 
 
-_VIEWS = "v AS (SELECT vec_id, vec_id % 5 AS batch, vec_id // 10 AS pair, (vec_id // 5) % 2 AS view, label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 400)"
+_VIEWS = "v AS (SELECT vec_id, vec_id // 80 AS batch, vec_id // 2 AS pair, vec_id % 2 AS view, label, embedding::DOUBLE[] AS e FROM embeddings)"
 
 
 def _nce(same: str) -> str:
@@ -759,9 +765,146 @@ def _(s, d):
     return versions.merged(c, theirs, "c_custkey", "mean").withColumn("c_acctbal", F.round("c_acctbal", 4))
 
 
-@query("fingerprint")
+_HASHED = {"orders": ["o_orderkey", "o_custkey", "o_orderstatus"], "customer": ["c_custkey", "c_name", "c_mktsegment"], "lineitem": ["l_orderkey", "l_linenumber", "l_returnflag"], "events": ["event_id", "user_id", "event_type", "props"], "documents": ["doc_id", "lang", "text"]}
+
+
+@query(
+    "fingerprint",
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS \"table\", count(*)::BIGINT AS n, sum(('0x' || substr(h, 1, 12))::BIGINT)::VARCHAR AS total, bit_xor(('0x' || substr(h, 13, 12))::BIGINT)::BIGINT AS mix FROM (SELECT md5(concat_ws('|', {', '.join(c)})) AS h FROM {t})"
+        for t, c in _HASHED.items()
+    ),
+)
 def _(s, d):
-    names = ["orders", "customer", "lineitem", "events", "embeddings"]
     from functools import reduce
 
-    return reduce(DataFrame.unionByName, (table(s, d, n).agg(*versions._hashes(table(s, d, n))).withColumn("table", F.lit(n)) for n in names))
+    return reduce(DataFrame.unionByName, (versions.content_sums(table(s, d, t), c).withColumn("table", F.lit(t)) for t, c in _HASHED.items()))
+
+
+@query(
+    "stats_diff",
+    """WITH o AS (SELECT * FROM orders), e AS (SELECT o_custkey, o_totalprice FROM """
+    + _EDITED
+    + """), s AS (
+SELECT 'o_custkey' AS "column", 'old' AS side, avg(o_custkey) AS mean, stddev_samp(o_custkey) AS std, min(o_custkey)::DOUBLE AS min, max(o_custkey)::DOUBLE AS max, sqrt(sum(o_custkey::DOUBLE * o_custkey)) AS norm FROM o
+UNION ALL SELECT 'o_totalprice', 'old', avg(o_totalprice), stddev_samp(o_totalprice), min(o_totalprice), max(o_totalprice), sqrt(sum(o_totalprice * o_totalprice)) FROM o
+UNION ALL SELECT 'o_custkey', 'new', avg(o_custkey), stddev_samp(o_custkey), min(o_custkey), max(o_custkey), sqrt(sum(o_custkey::DOUBLE * o_custkey)) FROM e
+UNION ALL SELECT 'o_totalprice', 'new', avg(o_totalprice), stddev_samp(o_totalprice), min(o_totalprice), max(o_totalprice), sqrt(sum(o_totalprice * o_totalprice)) FROM e),
+u AS (SELECT "column", side, 'mean' AS stat, mean AS v FROM s UNION ALL SELECT "column", side, 'std', std FROM s UNION ALL SELECT "column", side, 'min', min FROM s UNION ALL SELECT "column", side, 'max', max FROM s UNION ALL SELECT "column", side, 'norm', norm FROM s)
+SELECT a."column", a.stat, round(a.v, 3) AS old, round(b.v, 3) AS new, round(b.v - a.v, 3) + 0.0 AS change FROM u a JOIN u b ON a."column" = b."column" AND a.stat = b.stat AND a.side = 'old' AND b.side = 'new'""",
+)
+def _(s, d):
+    out = versions.stats_diff(_orders(s, d), _edited(_orders(s, d)), "o_orderkey")
+    return out.select("column", "stat", *((F.round(c, 3) + 0.0).alias(c) for c in ("old", "new", "change")))
+
+
+@query(
+    "first_changed_cells",
+    f"""WITH j AS (SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, a.o_custkey AS c0, b.o_custkey AS c1, a.o_orderstatus AS s0, b.o_orderstatus AS s1, a.o_totalprice AS p0, b.o_totalprice AS p1
+FROM orders a FULL JOIN {_EDITED} b ON a.o_orderkey = b.o_orderkey),
+c AS (SELECT o_orderkey, 'o_custkey' AS "column" FROM j WHERE c0 IS DISTINCT FROM c1 UNION ALL SELECT o_orderkey, 'o_orderstatus' FROM j WHERE s0 IS DISTINCT FROM s1 UNION ALL SELECT o_orderkey, 'o_totalprice' FROM j WHERE p0 IS DISTINCT FROM p1)
+SELECT * FROM c ORDER BY o_orderkey, "column" LIMIT 100""",
+)
+def _(s, d):  # a report of the first hundred
+    return versions.changed_cells(_orders(s, d), _edited(_orders(s, d)), "o_orderkey").orderBy("o_orderkey", "column").limit(100).select("o_orderkey", "column")
+
+
+@query(
+    "feature_ttl",
+    f"""SELECT l.event_id, round(CASE WHEN epoch_us(l.ts) - epoch_us(r.ts) <= {6 * HOUR} THEN r.value END, 6) AS feature FROM (SELECT * FROM events WHERE event_type = 'purchase') l
+ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') r ON l.user_id = r.user_id AND l.ts >= r.ts""",
+)
+def _(s, d):
+    j = joins.point_in_time(_events(s, d, "purchase"), _events(s, d, "view"), ["user_id"], "ts", "event_id", "value", 6 * HOUR)
+    return j.select("event_id", r6(F.col("feature"), "feature"))
+
+
+@query(
+    "nearest_nway",
+    " JOIN ".join(
+        f"""(SELECT event_id, round(value, 6) AS {k}_value FROM (SELECT l.event_id, r.value, row_number() OVER (PARTITION BY l.event_id ORDER BY abs(epoch_us(l.ts) - epoch_us(r.ts)), r.ts, r.event_id) AS k
+FROM events l JOIN events r ON l.user_id = r.user_id AND l.event_type = 'purchase' AND r.event_type = '{k}' AND abs(epoch_us(l.ts) - epoch_us(r.ts)) <= {24 * HOUR}) WHERE k = 1)"""
+        for k in ("view", "click")
+    ).join(["SELECT event_id, view_value, click_value FROM ", " USING (event_id)"]),
+)
+def _(s, d):
+    j = joins.nearest_many(_events(s, d, "purchase"), {"view_value": _events(s, d, "view"), "click_value": _events(s, d, "click")}, ["user_id"], "ts", "event_id", "value", 24 * HOUR)
+    return j.select("event_id", r6(F.col("view_value"), "view_value"), r6(F.col("click_value"), "click_value"))
+
+
+@query(
+    "shape_rules",
+    """WITH p AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1)
+SELECT rule, n = 0 AS ok, CASE WHEN n = 0 THEN '' ELSE error END AS errors FROM (
+SELECT 'any' AS rule, 0 AS n, '' AS error
+UNION ALL SELECT 'width', 1, 'pairs: Dimension 2: expected 3, got 2'
+UNION ALL SELECT 'axes', 1, 'pairs: Expected 2 dimensions, got 3'
+UNION ALL SELECT 'length', (SELECT (min(n) != 5 OR max(n) != 5)::INT FROM p), (SELECT 'pairs: Dimension 1: expected 5, got ' || CASE WHEN min(n) != 5 THEN min(n) ELSE max(n) END FROM p)
+UNION ALL SELECT 'rows', (SELECT (count(*) != 7)::INT FROM p), (SELECT 'pairs: Dimension 0: expected 7, got ' || count(*) FROM p))""",
+)
+def _(s, d):
+    from functools import reduce
+
+    pairs = table(s, d, "events").groupBy("user_id").agg(F.collect_list(F.array("value", F.col("event_id").cast("double"))).alias("pairs"))
+    shapes = {"any": ["*", "*", 2], "width": ["*", "*", 3], "axes": ["*", "*"], "length": ["*", 5, "*"], "rows": [7, "*", "*"]}
+    each = (validate.validate(pairs, [validate.shape("pairs", dims)]).select(F.lit(k).alias("rule"), "ok", F.array_join("errors", "; ").alias("errors")) for k, dims in shapes.items())
+    return reduce(DataFrame.unionByName, each)
+
+
+@query(
+    "validate_drift",
+    """WITH b AS (SELECT epoch_us(ts) // 86400000000 AS day, avg(value) AS mean, stddev_samp(value) AS std FROM events GROUP BY 1),
+w AS (SELECT mean, count(*) OVER p AS seen, avg(mean) OVER p AS mu, avg(std) OVER p AS sigma FROM b WINDOW p AS (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+e AS (SELECT CASE WHEN (SELECT max(value) FROM events) > 480 THEN 'value: value outside [0, 480]' END AS m UNION ALL SELECT CASE WHEN (SELECT count(*) FROM w WHERE seen >= 10 AND abs(mean - mu) > 0.3 * sigma) > 0 THEN 'value: Significant mean shift detected' END)
+SELECT count(m) = 0 AS ok, coalesce(string_agg(m, '; ' ORDER BY m), '') AS errors FROM e""",
+)
+def _(s, d):
+    e = table(s, d, "events").withColumn("day", F.floor(micros("ts") / 86_400_000_000))
+    out = validate.validate_batches(e, [validate.in_range("value", 0, 480)], "day", ["value"], sigmas=0.3)
+    return out.select("ok", F.array_join("errors", "; ").alias("errors"))
+
+
+@query("sample_epochs", " UNION ALL ".join(f"(SELECT {e}::INT AS epoch, doc_id FROM labels ORDER BY {_u(f'7/{e}')}, doc_id LIMIT 40)" for e in (0, 1)))
+def _(s, d):
+    pick = lambda e: sampling.sample_uniform(table(s, d, "labels"), 40, "doc_id", sampling.epoch_seed(7, e)).select(F.lit(e).alias("epoch"), "doc_id")
+    return pick(0).unionByName(pick(1))
+
+
+@query(
+    "sample_class_weighted",
+    f"SELECT c_custkey FROM customer ORDER BY -ln(greatest({_u('6', 'c_custkey')}, 1) / 281474976710656.0) / CASE c_mktsegment WHEN 'BUILDING' THEN 5.0 WHEN 'MACHINERY' THEN 0.5 ELSE 1.0 END, c_custkey LIMIT 70",
+)
+def _(s, d):
+    return sampling.class_weighted(table(s, d, "customer"), 70, "c_mktsegment", {"BUILDING": 5.0, "MACHINERY": 0.5}, "c_custkey", 6).select("c_custkey")
+
+
+_LOSSES = "(SELECT user_id AS c_custkey, list_reduce(list(value ORDER BY ts, event_id), lambda a, x: 0.1 * x + 0.9 * a) AS difficulty, arg_max(value, (ts, event_id)) AS last_loss FROM events GROUP BY 1)"
+
+
+@query("sample_adaptive", f"SELECT c_custkey FROM customer LEFT JOIN {_LOSSES} USING (c_custkey) ORDER BY -ln(greatest({_u('8', 'c_custkey')}, 1) / 281474976710656.0) / coalesce(greatest(0.1, least(10.0, last_loss)), 1.0), c_custkey LIMIT 60")
+def _(s, d):
+    losses = sampling.difficulty(table(s, d, "events").withColumnRenamed("user_id", "c_custkey"), "c_custkey", ["ts", "event_id"], "value")
+    return sampling.adaptive(table(s, d, "customer"), 60, "c_custkey", "c_mktsegment", losses, 9, 8).select("c_custkey")
+
+
+@query("sample_focal_scores", f"SELECT c_custkey FROM customer LEFT JOIN {_LOSSES} USING (c_custkey) ORDER BY -ln(greatest({_u('8', 'c_custkey')}, 1) / 281474976710656.0) / pow(coalesce(difficulty, 1.0), 2), c_custkey LIMIT 60")
+def _(s, d):
+    losses = sampling.difficulty(table(s, d, "events").withColumnRenamed("user_id", "c_custkey"), "c_custkey", ["ts", "event_id"], "value")
+    return sampling.focal(table(s, d, "customer"), 60, "c_custkey", "c_mktsegment", losses, seed=8).select("c_custkey")
+
+
+@query(
+    "retention_cleared",
+    """WITH c AS (SELECT event_type, max(event_id) AS cleared FROM events WHERE event_id % 997 = 0 GROUP BY 1)
+SELECT event_type, user_id, uses FROM (SELECT event_type, user_id, count(*)::BIGINT AS uses FROM events e LEFT JOIN c USING (event_type) WHERE event_id % 997 != 0 AND (cleared IS NULL OR event_id > cleared) GROUP BY ALL)""",
+)
+def _(s, d):
+    e = table(s, d, "events").withColumn("kind", F.when(F.col("event_id") % 997 == 0, "clear").otherwise("write"))
+    return vectors.since_clear(e, "event_type", "event_id", "kind").groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("uses"))
+
+
+@query("fuse_concat", "SELECT vec_id, (i - 1)::INT AS pos, round((embedding[1:8]::DOUBLE[] || embedding[33:36]::DOUBLE[])[i], 6) + 0.0::DOUBLE AS value FROM embeddings, unnest(generate_series(1, 12)) AS u(i) WHERE vec_id % 2 = 0")
+def _(s, d):
+    v = _vectors(s, d)
+    a, b = v.select("vec_id", F.slice("embedding", 1, 8).alias("a")), v.filter("vec_id % 2 = 0").select("vec_id", F.slice("embedding", 33, 4).alias("b"))
+    return joins.combine(a, b, "vec_id", "a", "b", "concat").select("vec_id", F.posexplode("fused").alias("pos", "value")).withColumn("value", F.round("value", 6) + 0.0)

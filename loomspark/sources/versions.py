@@ -31,16 +31,33 @@ def fingerprint(df: DataFrame) -> str:
     return hashlib.sha256(json.dumps([schema, row.n, row.total, row.mix]).encode()).hexdigest()[:12]
 
 
+def content_sums(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row (n, total, mix): a fingerprint that other engines can make, too. Of each row's md5 over its columns, joined
+    by | without nulls, the sum of the first 48 bits and the exclusive or of the next. The order of rows does not matter."""
+    digest = F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in columns)))
+    part = lambda at: F.conv(F.substring(digest, at, 12), 16, 10).cast("long")
+    return df.agg(F.count(F.lit(1)).alias("n"), F.sum(part(1).cast("decimal(38,0)")).cast("string").alias("total"), F.bit_xor(part(13)).alias("mix"))
+
+
 def statistics(df: DataFrame, key: str) -> DataFrame:
-    """(column, mean, std, min, max, norm) of each numeric column but the key."""
+    """(column, mean, std, min, max, norm) of each numeric column but the key; no rows if there is none."""
     rows = []
     for f in df.schema.fields:
         if f.name != key and isinstance(f.dataType, T.NumericType):
             c = F.col(f.name).cast("double")
             rows.append(F.struct(F.lit(f.name).alias("column"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), F.sqrt(F.sum(c * c)).alias("norm")))
+    if not rows:
+        return df.sparkSession.createDataFrame([], "column string, mean double, std double, min double, max double, norm double")
     return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
+def _sides(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Full join of rows named a and b by key, a null key being a key like others. a._here and b._here are null where a
+    side has no row."""
+    a, b = (df.withColumn("_here", F.lit(True)).alias(n) for df, n in ((old, "a"), (new, "b")))
+    return a.join(b, F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}")), "full")
+
+
 def _columns(df: DataFrame, key: str) -> list[str]:
     return [c for c in df.columns if c != key]
 
@@ -54,13 +71,11 @@ def _same(f: T.StructField, a: Column, b: Column) -> Column:
 def changed_cells(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """(key, column, old, new) as strings for every cell that differs, rows on one side only included. One full join."""
     fields = [f for f in old.schema.fields if f.name != key]
-    a, b = old.alias("a"), new.alias("b")
     cells = []
     for f in fields:
         x, y = F.col(f"a.{f.name}"), F.col(f"b.{f.name}")
         cells.append(F.when(~_same(f, x, y), F.struct(F.lit(f.name).alias("column"), x.cast("string").alias("old"), y.cast("string").alias("new"))))
-    j = a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full")
-    return j.select(F.coalesce(f"a.{key}", f"b.{key}").alias(key), F.explode(F.array_compact(F.array(*cells))).alias("c")).select(key, "c.*")
+    return _sides(old, new, key).select(F.coalesce(f"a.{key}", f"b.{key}").alias(key), F.explode(F.array_compact(F.array(*cells))).alias("c")).select(key, "c.*")
 
 
 def stats_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -74,11 +89,13 @@ def stats_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def delta(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rows of new that are new or differ, with _deleted false, and keys that went, with _deleted true."""
-    a, b = old.alias("a"), new.alias("b")
+    """Rows of new that are new or differ, with _deleted false, and keys that went, with _deleted true.
+
+    A null key is a key like others. Keys must be unique in each table; VersionStore refuses tables where they are not.
+    """
     differ = reduce(lambda x, y: x | y, (~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in _columns(new, key)), F.lit(False))
-    j = a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full").filter(F.col(f"a.{key}").isNull() | F.col(f"b.{key}").isNull() | differ)
-    gone = F.col(f"b.{key}").isNull()
+    gone = F.col("b._here").isNull()
+    j = _sides(old, new, key).filter(F.col("a._here").isNull() | gone | differ)
     return j.select(F.coalesce(f"b.{key}", f"a.{key}").alias(key), *(F.col(f"b.{c}").alias(c) for c in _columns(new, key)), gone.alias("_deleted"))
 
 
@@ -99,9 +116,8 @@ def merged(ours: DataFrame, theirs: DataFrame, key: str, how: str) -> DataFrame:
         raise ValueError(f"unknown merge {how}")
     if ours.schema != theirs.schema:
         raise ValueError("schemas differ")
-    a, b = ours.alias("a"), theirs.alias("b")
-    j = a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full")
-    if j.filter(F.col(f"a.{key}").isNull() | F.col(f"b.{key}").isNull()).limit(1).count():
+    j = _sides(ours, theirs, key)
+    if j.filter(F.col("a._here").isNull() | F.col("b._here").isNull()).limit(1).count():
         raise ValueError("keys differ")
     out = []
     for f in ours.schema.fields:
@@ -124,6 +140,7 @@ class Version:
     rows: int
     schema: str
     statistics: list = field(default_factory=list)
+    folder: str = ""
 
 
 class VersionStore:
@@ -157,6 +174,8 @@ class VersionStore:
 
     def commit(self, df: DataFrame, message: str = "", metadata: dict | None = None) -> str:
         """The version's id. Known content, if deduplicated, keeps its id; the branch's head moves in any case."""
+        if df.groupBy(self.key).count().filter("count > 1").limit(1).count():
+            raise ValueError(f"keys in {self.key} are not unique")
         content, parent = fingerprint(df), self.branches[self.branch]
         vid = content if self.deduplicate else hashlib.sha256(f"{content}{parent}{self.number}".encode()).hexdigest()[:12]
         if vid not in self.versions:
@@ -169,10 +188,13 @@ class VersionStore:
             if full:
                 df.write.mode("overwrite").parquet(f"{self.folder}/data/{vid}")
             stats = [r.asDict() for r in statistics(df, self.key).collect()]  # a row per column
-            self.versions[vid] = Version(vid, parent, self.branch, datetime.now(timezone.utc).isoformat(), message, metadata or {}, content, full, rows, df.schema.json(), stats)
+            self.versions[vid] = Version(vid, parent, self.branch, datetime.now(timezone.utc).isoformat(), message, metadata or {}, content, full, rows, df.schema.json(), stats, vid)
         self.branches[self.branch] = vid
-        self._retain()
+        unused = self._retain()
         self._write()
+        for folder in unused:  # only after no manifest that readers take names them
+            fs, p = self._fs(f"{self.folder}/data/{folder}")
+            fs.delete(p, True)
         return vid
 
     def lineage(self, version: str) -> list[str]:
@@ -192,7 +214,7 @@ class VersionStore:
             chain.append(v)
             if self.versions[v].full:
                 break
-        read = [self.spark.read.parquet(f"{self.folder}/data/{v}") for v in reversed(chain)]
+        read = [self.spark.read.parquet(f"{self.folder}/data/{self.versions[v].folder or v}") for v in reversed(chain)]
         return read[0] if len(read) == 1 else apply_deltas(read[0], read[1:], self.key)
 
     def create_branch(self, name: str, version: str | None = None) -> None:
@@ -223,27 +245,26 @@ class VersionStore:
         out = merged(self.load(ours), self.load(theirs), self.key, how)
         return self.commit(out, message, {"merge": how, "ours": ours, "theirs": theirs})
 
-    def _retain(self) -> None:
-        """The oldest versions go, heads never; deltas that need one become snapshots first."""
-        if self.max_versions is None:
-            return
+    def _retain(self) -> list[str]:
+        """The oldest versions go, heads never; deltas that need one become snapshots, in folders of their own, first.
+        Gives the data folders that are no longer used."""
+        unused: list[str] = []
         heads = set(self.branches.values())
-        for v in sorted(self.versions.values(), key=lambda v: v.at):
+        for v in sorted(self.versions.values(), key=lambda v: v.at) if self.max_versions is not None else ():
             if len(self.versions) <= self.max_versions:
                 break
             if v.id in heads:
                 continue
             for child in [c for c in self.versions.values() if c.parent == v.id]:
                 if not child.full:
-                    self.load(child.id).write.mode("overwrite").parquet(f"{self.folder}/data/{child.id}-full")
-                    fs, old = self._fs(f"{self.folder}/data/{child.id}")
-                    fs.delete(old, True)
-                    fs.rename(self._fs(f"{self.folder}/data/{child.id}-full")[1], old)
-                    child.full = True
+                    snapshot = f"{child.id}-{self.number + 1}"
+                    self.load(child.id).write.mode("overwrite").parquet(f"{self.folder}/data/{snapshot}")
+                    unused.append(child.folder or child.id)
+                    child.full, child.folder = True, snapshot
                 child.parent = v.parent
             del self.versions[v.id]
-            fs, p = self._fs(f"{self.folder}/data/{v.id}")
-            fs.delete(p, True)
+            unused.append(v.folder or v.id)
+        return unused
 
     def statistics(self) -> DataFrame:
         full = sum(v.full for v in self.versions.values())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -114,12 +115,175 @@ def asof(left: DataFrame, right: DataFrame, key: str, ts: str, tie: str, value:
     return _stateful(both.groupBy(key), run, f"`{key}` {kind}, tie long, us long, right_value double", "lu array<long>, li array<long>, ru array<long>, ri array<long>, rv array<double>")
 
 
+def nearest_left(left: DataFrame, right: DataFrame, key: str, ts: str, tie: str, value: str, window_us: int, fallback: str = "none", reach_us: int | None = None, cap: int | None = None) -> DataFrame:
+    """(key, tie, us, right_value, how): every left row with the nearest right value within window_us, else by `fallback`:
+    none, nearest, linear or zero, as the batch join has it, from right rows at most reach_us (window_us if null) away.
+
+    A left row is given out when the watermark has passed it by reach_us. how: joined, fallback, interpolated or missed.
+    Right rows out of reach leave the state; with `cap`, so do the oldest ones beyond that many per key.
+    """
+    if fallback not in ("none", "nearest", "linear", "zero"):
+        raise ValueError(f"unknown fallback {fallback}")
+    kind, reach = dict(left.dtypes)[key], max(reach_us or window_us, window_us)
+    side = lambda df, s: df.select(key, ts, micros(ts).alias("us"), F.col(tie).cast("long").alias("tie"), F.col(value).cast("double").alias("value"), F.lit(s).alias("side"))
+
+    def decide(us: int, times: list[int], rights: list[tuple]) -> tuple[float | None, str]:
+        at = bisect_right(times, us)
+        p = rights[at - 1] if at and us - times[at - 1] <= reach else None
+        q = rights[at] if at < len(times) and times[at] - us <= reach else None
+        both = [r for r in (p, q) if r]
+        near = min(both, key=lambda r: abs(r[0] - us)) if both else None  # p is first, so a tie goes to the earlier
+        if near and abs(near[0] - us) <= window_us:
+            return near[2], "joined"
+        if fallback == "zero":
+            return 0.0, "fallback"
+        if fallback == "nearest" and near:
+            return near[2], "fallback"
+        if fallback == "linear" and p and q:
+            alpha = (us - p[0]) / (q[0] - p[0])
+            return (1 - alpha) * p[2] + alpha * q[2], "interpolated"
+        return None, "missed"
+
+    def run(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        lu, li, ru, ri, rv = map(list, state.get) if state.exists else ([], [], [], [], [])
+        for pdf in frames:
+            a, b = pdf[pdf["side"] == 1], pdf[pdf["side"] == 0]
+            lu += a["us"].tolist()
+            li += a["tie"].tolist()
+            ru += b["us"].tolist()
+            ri += b["tie"].tolist()
+            rv += b["value"].tolist()
+        done = state.getCurrentWatermarkMs() * 1000
+        rights, lefts, out = sorted(zip(ru, ri, rv, strict=True)), sorted(zip(lu, li, strict=True)), []
+        times = [r[0] for r in rights]
+        for us, i in lefts:
+            if us + reach >= done:
+                break
+            out.append((k[0], i, us, *decide(us, times, rights)))
+        wait = lefts[len(out) :]
+        oldest = min([done, *(u for u, _ in wait)]) - reach
+        keep = [r for r in rights if r[0] >= oldest]
+        keep = keep[-cap:] if cap else keep
+        if wait or keep:
+            state.update(([u for u, _ in wait], [i for _, i in wait], [r[0] for r in keep], [r[1] for r in keep], [r[2] for r in keep]))
+            until = (wait[0][0] if wait else keep[-1][0]) + reach
+            state.setTimeoutTimestamp(max(int(until // 1000) + 1, int(done // 1000) + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=[key, "tie", "us", "right_value", "how"])
+
+    both = side(left, 1).unionByName(side(right, 0))
+    return _stateful(both.groupBy(key), run, f"`{key}` {kind}, tie long, us long, right_value double, how string", "lu array<long>, li array<long>, ru array<long>, ri array<long>, rv array<double>")
+
+
+def last_known(stream: DataFrame, names: Sequence[str], key: str, ts: str, tie: str, value: str, source: str = "stream", retention_us: int | None = None) -> DataFrame:
+    """(key, tie, us, and a column per name): on every event the latest value of each named stream of its key, null before
+    its first or past the retention. Events are given out in event order once the watermark has passed them; the state is
+    one value per name and the events that wait."""
+    kind, names = dict(stream.dtypes)[key], list(names)
+
+    def run(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        us, ids, values, who, at, held = map(list, state.get) if state.exists else ([], [], [], [], [None] * len(names), [None] * len(names))
+        for pdf in frames:
+            us += pdf["us"].tolist()
+            ids += pdf["tie"].tolist()
+            values += pdf["value"].tolist()
+            who += pdf["source"].tolist()
+        done = state.getCurrentWatermarkMs() * 1000
+        rows, out = sorted(zip(us, ids, values, who, strict=True), key=lambda r: r[:2]), []
+        for t, i, v, w in rows:
+            if t >= done:
+                break
+            if w in names:
+                at[names.index(w)], held[names.index(w)] = t, v
+            fresh = [v if a is not None and (retention_us is None or t - a <= retention_us) else None for a, v in zip(at, held, strict=True)]
+            out.append((k[0], i, t, *fresh))
+        rest = rows[len(out) :]
+        state.update(([r[0] for r in rest], [r[1] for r in rest], [r[2] for r in rest], [r[3] for r in rest], at, held))
+        if rest:
+            state.setTimeoutTimestamp(max(int(rest[0][0] // 1000) + 1, int(done // 1000) + 1))
+        yield pd.DataFrame(out, columns=[key, "tie", "us", *names]).astype({n: "float64" for n in names})
+
+    slim = stream.select(key, ts, micros(ts).alias("us"), F.col(tie).cast("long").alias("tie"), F.col(value).cast("double").alias("value"), F.col(source).alias("source"))
+    columns = ", ".join(f"`{n}` double" for n in names)
+    return _stateful(slim.groupBy(key), run, f"`{key}` {kind}, tie long, us long, {columns}", "us array<long>, tie array<long>, value array<double>, source array<string>, at array<long>, held array<double>")
+
+
+def throttled(stream: DataFrame, key: str, ts: str, tie: str, value: str, size_us: int, slide_us: int) -> DataFrame:
+    """(key, tie, us, total): the sum over the last size_us at the events that come at least slide_us after the last one
+    given out. Events count in event order, once the watermark has passed them; those out of the window leave the state."""
+    kind = dict(stream.dtypes)[key]
+
+    def run(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        us, ids, values, last, seen = [list(x) if isinstance(x, (list, tuple)) else x for x in state.get] if state.exists else ([], [], [], None, None)
+        for pdf in frames:
+            us += pdf["us"].tolist()
+            ids += pdf["tie"].tolist()
+            values += pdf["value"].tolist()
+        done = state.getCurrentWatermarkMs() * 1000
+        rows, out, first, total = sorted(zip(us, ids, values, strict=True)), [], 0, 0.0
+        for t, i, v in rows:  # those before `seen` are only part of later windows
+            if t >= done:
+                break
+            total += v
+            while rows[first][0] < t - size_us:
+                total -= rows[first][2]
+                first += 1
+            if (seen is None or t >= seen) and (last is None or t - last >= slide_us):
+                out.append((k[0], i, t, total))
+                last = t
+        rest = [r for r in rows if r[0] >= done - size_us]
+        state.update(([r[0] for r in rest], [r[1] for r in rest], [r[2] for r in rest], last, done))
+        waiting = [r[0] for r in rest if r[0] >= done]
+        if waiting:
+            state.setTimeoutTimestamp(max(int(waiting[0] // 1000) + 1, int(done // 1000) + 1))
+        yield pd.DataFrame(out, columns=[key, "tie", "us", "total"])
+
+    slim = stream.select(key, ts, micros(ts).alias("us"), F.col(tie).cast("long").alias("tie"), F.col(value).cast("double").alias("value"))
+    return _stateful(slim.groupBy(key), run, f"`{key}` {kind}, tie long, us long, total double", "us array<long>, tie array<long>, value array<double>, last long, seen long")
+
+
 def shed(stream: DataFrame, cap: int, ts: str, window: str) -> DataFrame:
     """Per window the number of events, of those a cap lets through and of those it drops; for append output."""
     n = windows.tumbling_time(stream, window, [], ts, [F.count(F.lit(1)).alias("n")])
     return n.select("window_start", "n", F.least("n", F.lit(cap)).alias("n_kept"), F.greatest(F.col("n") - cap, F.lit(0)).alias("n_dropped"))
 
 
+def shed_rows(stream: DataFrame, cap: int, ts: str, tie: str, value: str, window_us: int) -> DataFrame:
+    """(window, tie, us, value, n_dropped): the first `cap` events of each window, and how many others it has dropped.
+
+    Events beyond the cap are shed on arrival, so the state holds at most `cap` per window; a window is given out when
+    the watermark has passed its end.
+    """
+
+    def run(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        us, ids, values, dropped = [list(x) if isinstance(x, (list, tuple)) else x for x in state.get] if state.exists else ([], [], [], 0)
+        rows = list(zip(us, ids, values, strict=True))
+        for pdf in frames:
+            rows = sorted([*rows, *zip(pdf["us"].tolist(), pdf["tie"].tolist(), pdf["value"].tolist(), strict=True)])
+            rows, dropped = rows[:cap], dropped + len(rows[cap:])
+        end = (int(k[0]) + 1) * window_us
+        if end <= state.getCurrentWatermarkMs() * 1000:
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame([(k[0], i, u, v, dropped) for u, i, v in rows], columns=["window", "tie", "us", "value", "n_dropped"])
+            return
+        state.update(([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], dropped))
+        state.setTimeoutTimestamp(end // 1000)
+        yield pd.DataFrame([], columns=["window", "tie", "us", "value", "n_dropped"])
+
+    slim = stream.select(ts, micros(ts).alias("us"), F.col(tie).cast("long").alias("tie"), F.col(value).cast("double").alias("value"))
+    slim = slim.withColumn("window", F.floor(F.col("us") / window_us).cast("long"))
+    return _stateful(slim.groupBy("window"), run, "window long, tie long, us long, value double, n_dropped long", "us array<long>, tie array<long>, value array<double>, dropped long")
+
+
+def join_statistics(joined: DataFrame, name: str) -> DataFrame:
+    """joined (of nearest_left) whose micro-batches also count rows, joins, misses, interpolations and fallbacks: they are
+    in the query's progress under `name`."""
+    how = lambda kind: F.count(F.when(F.col("how") == kind, 1))
+    return joined.observe(name, F.count(F.lit(1)).alias("rows"), how("joined").alias("joins"), how("missed").alias("misses"), how("interpolated").alias("interpolations"), how("fallback").alias("fallbacks"))
+
+
 def late_rows(query) -> int:
     """Rows that the watermark has dropped in a query so far."""
     return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p.get("stateOperators", []))

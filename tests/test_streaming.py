@@ -79,6 +79,78 @@ def test_interval_join(spark, folder):
     assert len(got) == want
 
 
+def brute_left(lefts, rights, window, fallback, reach):
+    out = {}
+    for k, t, i, _ in lefts:
+        own = sorted((u, j, v) for kk, u, j, v in rights if kk == k and abs(u - t) <= reach)
+        p, q = [r for r in own if r[0] <= t][-1:], [r for r in own if r[0] > t][:1]
+        near = min(p + q, key=lambda r: abs(r[0] - t), default=None)
+        if near and abs(near[0] - t) <= window:
+            out[i] = near[2]
+        elif fallback == "linear" and p and q:
+            a = (t - p[0][0]) / (q[0][0] - p[0][0])
+            out[i] = (1 - a) * p[0][2] + a * q[0][2]
+        else:
+            out[i] = {"zero": 0.0, "nearest": near[2] if near else None}.get(fallback)
+    return out
+
+
+@pytest.mark.parametrize("fallback", ["none", "nearest", "linear", "zero"])
+def test_left_join_with_fallback(spark, folder, fallback):
+    s, reach = stream(spark, folder, max_files=1), 96 * HOUR
+    joined = stateful.join_statistics(stateful.nearest_left(s.filter("event_type = 'purchase'"), s.filter("event_type = 'view'"), "user_id", "ts", "event_id", "value", HOUR, fallback, reach), f"seen_{fallback}")
+    got, q = run(spark, joined, f"left_{fallback}")
+    e = [(r.user_id, r.us, r.event_id, r.value, r.event_type) for r in spark.read.parquet(folder).withColumn("us", micros("ts")).collect()]
+    want = brute_left([r[:4] for r in e if r[4] == "purchase" and r[1] + reach < closed(spark, folder)], [r[:4] for r in e if r[4] == "view"], HOUR, fallback, reach)
+    near = lambda x: None if x is None else round(x, 6)
+    assert {r.tie: near(r.right_value) for r in got} == {i: near(x) for i, x in want.items()} and want
+    seen = [p["observedMetrics"][f"seen_{fallback}"] for p in q.recentProgress if p["observedMetrics"]]
+    assert sum(m["rows"] for m in seen) == len(got) == sum(m[k] for m in seen for k in ("joins", "misses", "interpolations", "fallbacks"))
+
+
+def test_nearest_join_equals_batch(spark, folder):
+    s = stream(spark, folder)
+    left = s.filter("event_type = 'purchase'").select("user_id", "ts", "event_id")
+    right = s.filter("event_type = 'click'").select("user_id", F.col("ts").alias("rts"), F.col("value").alias("rv"))
+    got, _ = run(spark, stateful.nearest_join(left, right, ["user_id"], "ts", "rts", "event_id", "12 hours", "rv"), "nearest")
+    e = spark.read.parquet(folder)
+    batch = joins.nearest_within(e.filter("event_type = 'purchase'"), e.filter("event_type = 'click'"), ["user_id"], "ts", "event_id", "value", 12 * HOUR)
+    want = {r.event_id: round(r.right_value, 6) for r in batch.collect()}
+    assert got and all(round(r.rv, 6) == want[r.event_id] for r in got)
+
+
+def test_last_known_equals_batch(spark, folder):
+    s = stream(spark, folder, max_files=1).withColumnRenamed("event_type", "stream")
+    got, _ = run(spark, stateful.last_known(s, ["view", "click"], "user_id", "ts", "event_id", "value", retention_us=100 * HOUR), "known")
+    e = spark.read.parquet(folder).withColumnRenamed("event_type", "stream")
+    batch = joins.last_known(e, ["view", "click"], ["user_id"], "ts", "event_id", "value", retention_us=100 * HOUR).filter(micros("ts") < closed(spark, folder)).collect()
+    assert sorted((r.tie, str(r.view), str(r.click)) for r in got) == sorted((r.event_id, str(r.view), str(r.click)) for r in batch)
+
+
+def test_throttled_equals_batch(spark, folder):
+    got, _ = run(spark, stateful.throttled(stream(spark, folder, max_files=1), "event_type", "ts", "event_id", "value", 12 * HOUR, 6 * HOUR), "throttled")
+    e = windows.sliding_time(spark.read.parquet(folder), 12 * HOUR, ["event_type"], "ts", {"total": F.sum("value")})
+    want = windows.throttled(e.filter(micros("ts") < closed(spark, folder)), 6 * HOUR, "event_type", "us", "event_id").collect()
+    assert sorted((r.tie, round(r.total, 4)) for r in got) == sorted((r.event_id, round(r.total, 4)) for r in want)
+
+
+def test_rows_over_the_cap_are_shed(spark, folder):
+    day = 24 * HOUR
+    got, _ = run(spark, stateful.shed_rows(stream(spark, folder, max_files=1), 5, "ts", "event_id", "value", day), "shed_rows")
+    e = [(r.us // day, r.us, r.event_id) for r in spark.read.parquet(folder).withColumn("us", micros("ts")).collect()]
+    want = {}
+    for w, us, i in sorted(e):
+        if (w + 1) * day <= closed(spark, folder) // 1000 * 1000:
+            want.setdefault(w, []).append(i)
+    assert sorted((r.window, r.tie, r.n_dropped) for r in got) == sorted((w, i, max(0, len(x) - 5)) for w, x in want.items() for i in x[:5]) and want
+
+
+def test_state_is_capped(spark, folder):
+    s = stream(spark, folder, max_files=1)
+    got, _ = run(spark, stateful.nearest_left(s.filter("event_type = 'purchase'"), s.filter("event_type = 'view'"), "user_id", "ts", "event_id", "value", HOUR, "nearest", 96 * HOUR, cap=1), "capped")
+    assert got and all(r.how in ("joined", "fallback", "missed") for r in got)
+
+
 def test_shed_union_and_observe(spark, folder):
     got, _ = run(spark, stateful.shed(stream(spark, folder), 1, "ts", "1 hour"), "shed")
     assert got and all(r.n == r.n_kept + r.n_dropped for r in got)

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from loomspark.sources import versions
 from loomspark.sources.versions import VersionStore, changed_cells, fingerprint, merged, statistics
 
 
@@ -58,3 +59,38 @@ def test_fingerprint_and_cells(spark):
     assert fingerprint(a) == fingerprint(a.orderBy(F.desc("id"))) != fingerprint(a.filter("id < 3"))
     assert [(r.id, r.new) for r in changed_cells(a, a.withColumn("x", F.when(F.col("id") == 1, 1.0 + 1e-9).otherwise(F.col("x"))), "id").collect()] == [(2, "NaN")]
     assert statistics(a.filter("id = 1"), "id").first().std is None
+
+
+def test_null_keys_and_tables_without_numbers(spark, tmp_path):
+    store = versions.VersionStore(spark, f"file://{tmp_path}/words", "k", delta_share=2.0)
+    first = spark.createDataFrame([("a", "x"), (None, "y"), ("b", "z")], "k string, w string")
+    second = spark.createDataFrame([("a", "x"), (None, "changed"), ("c", "new")], "k string, w string")
+    a, b = store.commit(first), store.commit(second)
+    assert not store.versions[b].full and store.versions[a].statistics == []
+    assert sorted(map(str, store.load(b).collect())) == sorted(map(str, second.collect()))
+    assert sorted(str(r.k) for r in versions.changed_cells(first, second, "k").collect()) == ["None", "b", "c"]
+    third = spark.createDataFrame([("a", "x")], "k string, w string")
+    assert [tuple(r) for r in store.load(store.commit(third)).collect()] == [("a", "x")]
+    with pytest.raises(ValueError):
+        store.commit(first.union(first))
+
+
+def test_retention_writes_before_it_deletes(spark, tmp_path, monkeypatch):
+    folder = f"file://{tmp_path}/kept"
+    store = versions.VersionStore(spark, folder, "k", max_versions=2, delta_share=2.0)
+    table = lambda n: spark.range(10).selectExpr("id AS k", f"id * {n} AS v")
+    store.commit(table(1))
+    second = store.commit(table(2))
+
+    def stop(self):
+        raise OSError("lost before the manifest")
+
+    monkeypatch.setattr(versions.VersionStore, "_write", stop)
+    with pytest.raises(OSError):
+        store.commit(table(3))
+    monkeypatch.undo()
+    again = versions.VersionStore(spark, folder, "k", max_versions=2, delta_share=2.0)
+    assert sorted(map(tuple, again.load(second).collect())) == sorted(map(tuple, table(2).collect()))
+    again.commit(table(3))
+    fresh = versions.VersionStore(spark, folder, "k")
+    assert len(fresh.versions) == 2 and sorted(map(tuple, fresh.load(second).collect())) == sorted(map(tuple, table(2).collect()))
