@@ -27,6 +27,8 @@ WINDOW, END_ID, SHARD_TOKENS = 4096, 2, 2_000_000
 K1, B = 1.2, 0.75
 #: Neighbours that are ranked at first; the rest of the ranking is sorted only where these leave room.
 RANKED = 64
+#: Postings that are added up at once.
+POSTINGS = 400_000
 #: The settings of a tokenizer whose ids can be looked up word by word.
 _NORMALIZER = ["NFC", "Replace", "Lowercase"]
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -67,7 +69,7 @@ class WordIds:
     encoded.
     """
 
-    def __init__(self, file: str, end_id: int = END_ID, limit: int = 300_000):
+    def __init__(self, file: str, end_id: int = END_ID, limit: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.known = Tokenizer.from_file(file), limit, {}
@@ -167,9 +169,13 @@ class Index:
     def scores(self, seed: int, free: np.ndarray) -> np.ndarray:
         """BM25 of every document for all terms of the seed; 0 where a document is not free."""
         own = self.terms[self.doc_start[seed] : self.doc_start[seed + 1]]
-        counts = self.end[own] - self.start[own]
-        at = np.repeat(self.start[own] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-        scores = np.bincount(self.doc[at], self.weight[at], self.n)
+        every, scores = self.end[own] - self.start[own], np.zeros(self.n)
+        # Terms in runs of about POSTINGS postings, so that memory does not grow with the terms of a long seed.
+        runs = np.append(np.searchsorted(np.cumsum(every), np.arange(0, every.sum(), POSTINGS), "right"), len(own))
+        for a, b in zip(runs, runs[1:], strict=False):
+            counts = every[a:b]
+            at = np.repeat(self.start[own[a:b]] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            scores += np.bincount(self.doc[at], self.weight[at], self.n)
         scores[~free] = 0
         return scores
 

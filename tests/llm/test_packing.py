@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from loomspark.llm import packing
 from loomspark.llm.packing import Index, WordIds, fill, ordered, pack, ranking
 
 FILE = public_tokenizers.path("word_bpe_49k.json")
@@ -114,9 +115,10 @@ def bm25(ids, seed, k1=1.2, b=0.75):
     return scores
 
 
-def test_scores_count_all_terms_and_all_documents():
+def test_scores_count_all_terms_and_all_documents(monkeypatch):
     rng = np.random.default_rng(4)
     ids = [np.array([*rng.integers(3, 300, rng.integers(0, 120)), 2], "<u4") for _ in range(150)]
+    monkeypatch.setattr(packing, "POSTINGS", 300)
     index, free = Index([x[:-1] for x in ids]), np.ones(150, bool)
     for seed in range(0, 150, 7):
         free[seed] = False
