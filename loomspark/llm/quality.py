@@ -205,15 +205,17 @@ def _concentrate(rows: DataFrame, model: DataFrame, coverage: float) -> DataFram
 
 
 def raw_estimates(rows: DataFrame, coverage: float = 0.75, most_steps: int = 30) -> DataFrame:
-    """The converged model of the smaller determinant per `grp`. A step that moves no determinant by 1e-4 is the last."""
-    model = _starts(rows)
+    """The converged model of the smaller determinant per `grp`. A step that lowers no determinant by 1e-4 is the last; one
+    that raises a determinant, as bins are not quite exact, is not taken."""
+    fields = [c for c in (f.split()[0] for f in _MODEL.split(", ")) if c not in ("grp", "start")]
+    model = _concentrate(rows, _starts(rows), coverage)
     for _ in range(most_steps):
         new = _concentrate(rows, model, coverage)
         old = model.select("grp", "start", F.col("logdet").alias("before"))
-        moved = new.join(old, ["grp", "start"]).filter(F.abs(F.col("logdet") - F.col("before")) > 1e-4).limit(1).count()
-        model = new
-        if not moved:
+        if not new.join(old, ["grp", "start"]).filter(F.col("logdet") < F.col("before") - 1e-4).limit(1).count():
             break
+        lower = model.unionByName(new).groupBy("grp", "start").agg(F.min_by(F.struct(*fields), "logdet").alias("x"))
+        model = stage(lower.select("grp", "start", "x.*"), "mcd")
     best = model.groupBy("grp").agg(F.min_by(F.struct(*(c for c in model.columns if c != "grp")), F.struct("logdet", "start")).alias("x"))
     return stage(best.select("grp", "x.*"), "mcd-raw")
 
