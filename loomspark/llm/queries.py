@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, url_filter
+from . import line_dedup, negatives, simhash, spelling, url_filter
 from .common import documents
 from .decontamination import contaminated
 from .html_extract import main_text
@@ -57,5 +57,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_outliers, op2_token_counts, op3_decontamination, op4_html_extract, op5_toxicity, op6_ngram_jaccard, op7_line_dedup, op8_secret_scan, op9_url_filter, op10_packing)}
-ORACLE = {"op7_line_dedup": line_dedup.SQL, "op9_url_filter": url_filter.SQL}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(documents(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_outliers, op2_token_counts, op3_decontamination, op4_html_extract, op5_toxicity, op6_ngram_jaccard, op7_line_dedup, op8_secret_scan, op9_url_filter, op10_packing, op11_spelling_variants, op12_simhash, op13_hard_negatives)}
+ORACLE = {"op7_line_dedup": line_dedup.SQL, "op9_url_filter": url_filter.SQL, "op11_spelling_variants": spelling.SQL, "op13_hard_negatives": negatives.SQL}
