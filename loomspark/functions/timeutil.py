@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .names import unused
+
 SECOND = 1_000_000
 HOUR = 3600 * SECOND
 DAY = 24 * HOUR
@@ -22,19 +24,21 @@ def time_bucket(us: Column, width: int) -> Column:
 
 
 def ordered_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, name: str = "idx") -> DataFrame:
-    """Adds the 0-based position of each row within `keys` by `order`, null keys forming one group.
+    """Adds the 0-based position of each row within `keys` by `order`, null keys forming one group. A column of df that is
+    called `name` is replaced; see unused().
 
     bucket must not decrease along `order`. Rows are numbered within (keys, bucket); the running count of earlier
     buckets comes from a table with one row per key and bucket. So a key with a third of all rows, or no key at all,
     is numbered by many tasks.
     """
-    keys = list(keys)
-    b = df.withColumn("_b", bucket)
-    counts = b.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1) if keys else Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_b").alias("_ob"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    match = b["_b"].eqNullSafe(offsets["_ob"])
+    keys, part, place = list(keys), unused(df, "_b"), unused(df, "_place")
+    b = df.withColumn(part, bucket)
+    counts = b.groupBy(*keys, part).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1) if keys else Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    at = F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col(part).alias("b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("before"))
+    offsets = counts.select(at.alias(place))
+    match = b[part].eqNullSafe(offsets[place]["b"])
     for i, k in enumerate(keys):
-        match = match & b[k].eqNullSafe(offsets[f"_k{i}"])
-    inside = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order)) - 1
-    return b.withColumn(name, inside).join(offsets, match).withColumn(name, F.col(name) + F.col("_offset")).drop("_b", "_ob", "_offset", *(f"_k{i}" for i in range(len(keys))))
+        match = match & b[k].eqNullSafe(offsets[place][f"k{i}"])
+    inside = F.row_number().over(Window.partitionBy(*keys, part).orderBy(*order)) - 1
+    return b.withColumn(name, inside).join(offsets, match).withColumn(name, F.col(name) + F.col(place)["before"]).drop(part, place)

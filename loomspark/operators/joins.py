@@ -12,7 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.timeutil import micros, time_bucket
+from ..functions.carry import carried
+from ..functions.timeutil import HOUR, micros, time_bucket
 
 
 def _side(df: DataFrame, keys: Sequence[str], ts: str, tie: str, value: Column | str) -> DataFrame:
@@ -23,37 +24,39 @@ def _side(df: DataFrame, keys: Sequence[str], ts: str, tie: str, value: Column |
 def asof_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, tie: str, value: str, tolerance_us: int | None = None, inner: bool = True, out: str = "right_value", bucket_us: int | None = None) -> DataFrame:
     """left with the most recent right value at or before it, at most tolerance_us old (both ends inclusive).
 
-    One shuffle: both sides are unioned and the last right row carried forward. With a tolerance, keys are cut into time
-    buckets no narrower than it, and right rows also sent to the next bucket, so that a hot key spreads.
+    Both sides are unioned and the last right row carried forward. With a tolerance, keys are cut into time buckets no
+    narrower than it, and right rows also sent to the next bucket; without one, the last values of buckets are carried
+    over a table of buckets. Either way a hot key spreads. A row without a time has no value.
     """
     keys = list(keys)
-    r = _side(right, keys, ts, tie, value).filter(_present(keys))
-    l = left.withColumn("_us", micros(ts))  # noqa: E741
-    part = keys
-    if tolerance_us is not None:
-        width = max(bucket_us or 0, tolerance_us, 1)
-        l = l.withColumn("_b", time_bucket(F.col("_us"), width))  # noqa: E741
-        own = r.withColumn("_b", time_bucket(F.col("us"), width))
-        r = own.unionByName(own.withColumn("_b", F.col("_b") + 1))
-        part = [*keys, "_b"]
-    row = F.struct(*(F.col(c) for c in left.columns)).alias("_row")
-    a = l.select(*part, F.col("_us").alias("us"), F.col(tie).alias("tie"), F.lit(1).alias("side"), row, F.lit(None).cast("struct<us:bigint,value:" + _type(r, "value") + ">").alias("hit"))
-    b = r.select(*part, "us", "tie", F.lit(0).alias("side"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), F.struct("us", "value").alias("hit"))
-    last = F.last("hit", ignorenulls=True).over(Window.partitionBy(*part).orderBy("us", "side", "tie").rowsBetween(Window.unboundedPreceding, 0))
-    ok = F.col("hit").isNotNull() & _present(keys)
-    if tolerance_us is not None:
-        ok = ok & (F.col("us") - F.col("hit.us") <= tolerance_us)
-    joined = a.unionByName(b).withColumn("hit", last).filter("side = 1")
-    found = joined.select("_row.*", F.when(ok, F.col("hit.value")).alias(out), F.when(ok, F.col("hit.us")).alias(out + "_us"))
+    named = [f"_k{i}" for i in range(len(keys))]
+    u = _aligned(left, right, keys, ts, tie, F.col(value))
+    if tolerance_us is None:
+        u = carried(u, named, "_us", ["_side", "_tie"], ["_hit"], bucket_us=bucket_us or HOUR)
+        ok = F.col("_hit").isNotNull()
+    else:
+        own = time_bucket(F.col("_us"), max(bucket_us or 0, tolerance_us, 1))
+        u = u.withColumn("_b", F.explode(F.when(F.col("_side") == 1, F.array(own)).otherwise(F.array(own, own + 1))))
+        w = Window.partitionBy(*named, "_b").orderBy("_us", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+        u = u.withColumn("_hit", F.last("_hit", ignorenulls=True).over(w))
+        ok = F.col("_us") - F.col("_hit.us") <= tolerance_us
+    found = u.filter("_side = 1").select("_row.*", F.when(ok, F.col("_hit.value")).alias(out), F.when(ok, F.col("_hit.us")).alias(out + "_us"))
     return found.filter(F.col(out + "_us").isNotNull()) if inner else found
 
 
-def _present(keys: Sequence[str]) -> Column:
-    return reduce(lambda x, y: x & y, (F.col(k).isNotNull() for k in keys), F.lit(True))
+def _aligned(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, tie: str, value: Column) -> DataFrame:
+    """Both sides as rows (keys as _k0, ..., _us, _side, _tie, _row of left, _hit of right): no name of a caller's clashes.
+    Rows of right without a key or time are left out."""
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    row = F.struct(*(F.col(c) for c in left.columns))
+    hit = F.struct(micros(ts).alias("us"), value.alias("value"))
+    b = right.filter(_present(keys)).select(*named, micros(ts).alias("_us"), F.lit(0).alias("_side"), F.col(tie).alias("_tie"), hit.alias("_hit")).filter("_us IS NOT NULL")
+    a = left.select(*named, micros(ts).alias("_us"), F.lit(1).alias("_side"), F.col(tie).alias("_tie"), row.alias("_row"))
+    return a.unionByName(b, allowMissingColumns=True)
 
 
-def _type(df: DataFrame, c: str) -> str:
-    return df.schema[c].dataType.simpleString()
+def _present(keys: Sequence[str]) -> Column:
+    return reduce(lambda x, y: x & y, (F.col(k).isNotNull() for k in keys), F.lit(True))
 
 
 def nearest_within(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, tie: str, value: str, window_us: int, out: str = "right_value", inner: bool = True) -> DataFrame:
@@ -81,43 +84,42 @@ def nearest_many(left: DataFrame, rights: dict[str, DataFrame], keys: Sequence[s
 def left_nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, tie: str, value: str, window_us: int, fallback: str = "none", out: str = "right_value") -> DataFrame:
     """Every left row with the nearest right value within window_us, else by `fallback`: none, nearest, linear or zero.
 
-    One shuffle: union, the last right row backward and the first forward. linear: (1 - a) * before + a * after with
-    a = (t - t1) / (t2 - t1); before has ts <= t, after ts > t; a missing side gives null.
+    The last right row is carried backward and the next one forward, over time buckets of a key. linear: (1 - a) * before
+    + a * after with a = (t - t1) / (t2 - t1); before has ts <= t, after ts > t; a missing side gives null. A row without
+    a key or time has no nearest value, and zero gives 0.
     """
     if fallback not in ("none", "nearest", "linear", "zero"):
         raise ValueError(f"unknown fallback {fallback}")
     keys = list(keys)
-    r = _side(right, keys, ts, tie, F.col(value).cast("double")).filter(_present(keys))
-    row = F.struct(*(F.col(c) for c in left.columns)).alias("_row")
-    kind = "struct<us:bigint,value:double>"
-    a = left.select(*keys, micros(ts).alias("us"), F.col(tie).alias("tie"), F.lit(1).alias("side"), row, F.lit(None).cast(kind).alias("hit"))
-    b = r.select(*keys, "us", "tie", F.lit(0).alias("side"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), F.struct("us", "value").alias("hit"))
-    w = Window.partitionBy(*keys).orderBy("us", "side", "tie")
-    u = a.unionByName(b).withColumn("p", F.last("hit", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("q", F.first("hit", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))).filter("side = 1")
+    u = _aligned(left, right, keys, ts, tie, F.col(value).cast("double")).withColumn("_ahead", F.col("_hit"))
+    u = carried(u, [f"_k{i}" for i in range(len(keys))], "_us", ["_side", "_tie"], ["_hit"], ["_ahead"]).filter("_side = 1")
+    u = u.select("_row", *(f"_k{i}" for i in range(len(keys))), F.col("_us").alias("us"), F.col("_hit").alias("p"), F.col("_ahead").alias("q"))
     dp, dq = F.col("us") - F.col("p.us"), F.col("q.us") - F.col("us")
     near = F.when(F.col("q.us").isNull() | (dp <= dq), F.col("p.value")).otherwise(F.col("q.value"))
     gap = F.least(dp, dq)
     alpha = dp / (F.col("q.us") - F.col("p.us"))
     other = {"none": F.lit(None).cast("double"), "zero": F.lit(0.0), "nearest": near, "linear": (1 - alpha) * F.col("p.value") + alpha * F.col("q.value")}[fallback]
-    ok = _present(keys)
+    ok = _present([f"_k{i}" for i in range(len(keys))]) & F.col("us").isNotNull()
     value_out = F.when(~ok, F.lit(0.0) if fallback == "zero" else F.lit(None)).when(gap <= window_us, near).otherwise(other)
     return u.select("_row.*", value_out.alias(out))
 
 
 def last_known(streams: DataFrame, names: Sequence[str], keys: Sequence[str], ts: str, tie: str, value: str, stream: str = "stream", retention_us: int | None = None) -> DataFrame:
-    """On every arrival the latest value of each named stream of its key, null before its first or past the retention."""
-    keys = list(keys)
-    s = streams.withColumn("us", micros(ts))
-    w = Window.partitionBy(*keys).orderBy("us", tie).rowsBetween(Window.unboundedPreceding, 0)
-    out = s
-    for n in names:
-        hit = F.last(F.when(F.col(stream) == n, F.struct("us", value)), ignorenulls=True).over(w)
-        out = out.withColumn(f"_{n}", hit)
-    for n in names:
-        fresh = F.col(f"_{n}")[value]
-        own = F.when(_present(keys) | (F.col(stream) == n), fresh)
-        out = out.withColumn(n, own if retention_us is None else F.when(F.col("us") - F.col(f"_{n}")["us"] <= retention_us, own))
-    return out.drop("us", *(f"_{n}" for n in names))
+    """On every arrival the latest value of each named stream of its key, null before its first or past the retention.
+    A row without a key or time knows its own value alone. Names replace columns of streams that are called so."""
+    keys, names = list(keys), list(names)
+    hits = [F.when(F.col(stream) == n, F.struct(micros(ts).alias("us"), F.col(value).alias("value"))).alias(f"_h{i}") for i, n in enumerate(names)]
+    row = F.struct(*(F.col(c) for c in streams.columns)).alias("_row")
+    s = streams.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), micros(ts).alias("_us"), F.col(tie).alias("_tie"), F.col(stream).alias("_stream"), row, *hits)
+    s = carried(s, [f"_k{i}" for i in range(len(keys))], "_us", ["_tie"], [f"_h{i}" for i in range(len(names))])
+    out = {}
+    for i, n in enumerate(names):
+        hit = F.col(f"_h{i}")
+        known = _present([f"_k{j}" for j in range(len(keys))]) | (F.col("_stream") == n)
+        if retention_us is not None:
+            known = known & (F.col("_us") - hit["us"] <= retention_us)
+        out[n] = F.when(known, hit["value"])
+    return s.select(*(F.col("_row")[c].alias(c) for c in streams.columns if c not in out), *(c.alias(n) for n, c in out.items()))
 
 
 def asof_many(left: DataFrame, rights: dict[str, DataFrame], keys: Sequence[str], ts: str, tie: str, value: str, tolerance_us: int | None = None) -> DataFrame:

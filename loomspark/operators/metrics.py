@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,18 +29,27 @@ def info_nce(views: DataFrame, batch: str, pair: str, view: str, vector: str, te
 def queue_loss(pairs: DataFrame, queue: DataFrame, query: str, key: str, vector: str, temperature: float, queue_rows: int = 65_536) -> DataFrame:
     """One row (n, loss): cross entropy of the positive logit against a stored queue of negatives.
 
-    The queue is FIFO and of fixed capacity; more than queue_rows rows are an error, so it is safe to broadcast.
+    The queue is FIFO and of fixed capacity; more than queue_rows rows are an error, so it is safe to broadcast. Arrow
+    batches of pairs meet it in blocks, as matrix products. Pairs and queue rows with a null vector do not count.
     """
-    if queue.limit(queue_rows + 1).count() > queue_rows:
+    held = queue.filter(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v")).limit(queue_rows + 1).toArrow()
+    if held.num_rows > queue_rows:
         raise ValueError("the queue is over its capacity")
-    q = pairs.select(F.monotonically_increasing_id().alias("_i"), normalized(F.col(query).cast("array<double>")).alias("q"), normalized(F.col(key).cast("array<double>")).alias("k"))
-    n = queue.select(normalized(F.col(vector).cast("array<double>")).alias("n"))
-    # The queue's rows travel as one array, so each pair is one row throughout.
-    held = n.agg(F.collect_list("n").alias("all"))
-    x = q.crossJoin(F.broadcast(held))
-    pos = dot(F.col("q"), F.col("k")) / temperature
-    negatives = total(F.transform("all", lambda v: F.exp((dot(F.col("q"), v) - 1) / temperature)))
-    return x.select((F.log(F.exp(pos - 1 / temperature) + negatives) + 1 / temperature - pos).alias("l")).agg(F.count(F.lit(1)).alias("n"), F.avg("l").alias("loss"))
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    negatives = unit(np.array(held.column("v").to_pylist(), np.float64)) if held.num_rows else None
+    sent = pairs.sparkSession.sparkContext.broadcast(negatives)
+
+    def losses(batches):
+        for batch in batches:
+            q, k = (unit(np.array(batch.column(i).to_pylist(), np.float64).reshape(batch.num_rows, -1)) for i in (0, 1))
+            positive = (q * k).sum(1) / temperature
+            z = np.exp(positive - 1 / temperature)  # shifted by the largest cosine
+            for a in range(0, len(sent.value) if sent.value is not None else 0, 4096):
+                z += np.exp((q @ sent.value[a : a + 4096].T - 1) / temperature).sum(1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.log(z) + 1 / temperature - positive)], names=["l"])
+
+    vectors = pairs.select(F.col(query).cast("array<double>").alias("q"), F.col(key).cast("array<double>").alias("k")).filter("q IS NOT NULL AND k IS NOT NULL")
+    return vectors.mapInArrow(losses, "l double").agg(F.count("l").alias("n"), F.avg("l").alias("loss"))
 
 
 def gaussian_kl(mu: Column, logvar: Column) -> Column:

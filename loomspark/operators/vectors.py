@@ -3,102 +3,139 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.arrays import dot, doubles, normalized, squared_distance
+from ..functions.arrays import doubles
 from ..functions.ordered import in_order, walk
 
-#: Queries that one block holds on every executor.
+#: Queries of a block.
 QUERY_BLOCK = 2_000
 
 
-def _measure(metric: str, q, k):
-    if metric == "cosine":
-        return dot(normalized(q), normalized(k))
-    if metric == "dot":
-        return dot(q, k)
-    if metric == "l2":
-        return -squared_distance(q, k)
-    raise ValueError(f"unknown metric {metric}")
+#: Vectors of a block of queries and of keys.
+KEY_BLOCK = 4_000
 
 
-def knn(queries: DataFrame, keys: DataFrame, k: int, metric: str = "cosine", query_id: str = "query_id", key_id: str = "key_id", vector: str = "vector", block: int = QUERY_BLOCK) -> DataFrame:
+def _blocks(df: DataFrame, id_col: str, vector: str, rows: int, name: str) -> tuple[DataFrame, int]:
+    """(id, v, name) with name the row's block, of `rows` rows on average, and how many blocks there are."""
+    slim = df.filter(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), doubles(vector).alias("v"))
+    parts = max(1, -(-slim.count() // rows))
+    return slim.withColumn(name, F.pmod(F.xxhash64("id", "v"), F.lit(parts)).cast("int")), parts
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return np.array(column.to_pylist(), dtype=np.float64)
+
+
+def knn(queries: DataFrame, keys: DataFrame, k: int, metric: str = "cosine", query_id: str = "query_id", key_id: str = "key_id", vector: str = "vector", block: int = QUERY_BLOCK, key_block: int = KEY_BLOCK) -> DataFrame:
     """(query_id, key_id, score, rank): each query's k best keys, higher is better, ties by key_id.
 
-    The stated query set meets all keys in blocks: queries are numbered into blocks of bounded size, each sent to all
-    executors; every partition of keys keeps its own top k by block matrix products, and the final top k per query is a
-    shuffle of partitions x queries x k rows. Null vectors match nothing; fewer keys than k give what there is.
+    The stated query set meets all keys on a grid: blocks of queries and blocks of keys, both shuffled, one matrix product
+    per cell that keeps a partial top k, and a final top k per query. Keys are read once, and nothing goes through the
+    driver. Null vectors match nothing; fewer keys than k give what there is.
     """
     if metric not in ("cosine", "dot", "l2"):
         raise ValueError(f"unknown metric {metric}")
-    q = queries.filter(F.col(vector).isNotNull()).select(query_id, doubles(vector).alias("v"))
-    n = q.count()
-    keys = keys.filter(F.col(vector).isNotNull()).select(key_id, doubles(vector).alias("v"))
+    q, rows = _blocks(queries, query_id, vector, block, "qb")
+    x, columns = _blocks(keys, key_id, vector, key_block, "kb")
     qt, kt = queries.schema[query_id].dataType.simpleString(), keys.schema[key_id].dataType.simpleString()
-    out, parts = None, n // block + 1
-    for p in range(parts):
-        rows = (q if parts == 1 else q.filter(F.pmod(F.xxhash64(query_id), F.lit(parts)) == p)).toPandas()
-        if rows.empty:
-            continue
-        sent = queries.sparkSession.sparkContext.broadcast((rows[query_id].to_numpy(), np.array(rows["v"].tolist(), dtype=np.float64)))
-
-        def partial(frames, sent=sent):
-            ids, m = sent.value
+    to = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q, x = q.withColumn("kb", to(columns)), x.withColumn("qb", to(rows))
+
+    def best(asked: pa.Table, held: pa.Table) -> pa.Table:
+        out = {query_id: asked.column("id").slice(0, 0), key_id: held.column("id").slice(0, 0), "score": pa.array([], pa.float64())}
+        if asked.num_rows and held.num_rows:
+            held = held.take(pa.compute.sort_indices(held, sort_keys=[("id", "ascending")]))
+            m, c = _matrix(asked.column("v")), _matrix(held.column("v"))
             if metric == "cosine":
-                m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-            best: pd.DataFrame | None = None
-            for pdf in frames:
-                if pdf.empty:
-                    continue
-                x = np.array(pdf["v"].tolist(), dtype=np.float64)
-                if metric == "cosine":
-                    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                s = m @ x.T if metric != "l2" else -((m * m).sum(1)[:, None] - 2 * m @ x.T + (x * x).sum(1)[None])
-                top = min(2 * k + 8, s.shape[1])
-                at = np.argpartition(-s, top - 1, axis=1)[:, :top]
-                edge = np.take_along_axis(s, at, 1).min(1)
-                tied = [np.flatnonzero(s[i] >= edge[i] - 1e-12) for i in range(len(s))] if top < s.shape[1] else list(at)
-                got = pd.DataFrame({query_id: np.repeat(ids, [len(t) for t in tied]), key_id: np.concatenate([pdf[key_id].to_numpy()[t] for t in tied]), "score": np.concatenate([s[i][t] for i, t in enumerate(tied)])})
-                best = got if best is None else pd.concat([best, got])
-                best = best.assign(r=best["score"].round(12)).sort_values([query_id, "r", key_id], ascending=[True, False, True]).drop(columns="r").groupby(query_id, sort=False).head(k)
-            if best is not None:
-                yield best
-
-        part = keys.mapInPandas(partial, f"`{query_id}` {qt}, `{key_id}` {kt}, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return queries.sparkSession.createDataFrame([], f"`{query_id}` {qt}, `{key_id}` {kt}, score double, rank int")
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(F.round("score", 12).desc(), key_id))).filter(F.col("rank") <= k)
+                m, c = (a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12) for a in (m, c))
+            s = m @ c.T if metric != "l2" else -((m * m).sum(1)[:, None] - 2 * m @ c.T + (c * c).sum(1)[None])
+            at = np.argsort(-np.round(s, 12), axis=1, kind="stable")[:, :k]  # keys are in order of their ids
+            out = {query_id: asked.column("id").take(np.repeat(np.arange(len(s)), at.shape[1])), key_id: held.column("id").take(at.ravel()), "score": np.take_along_axis(s, at, 1).ravel()}
+        return pa.table(out)
+
+    part = q.groupBy("qb", "kb").cogroup(x.groupBy("qb", "kb")).applyInArrow(best, f"`{query_id}` {qt}, `{key_id}` {kt}, score double")
+    return part.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(F.round("score", 12).desc(), key_id))).filter(F.col("rank") <= k)
+
+
+def cells(vectors: np.ndarray, pivots: int) -> list[np.ndarray]:
+    """Rows of each cell: every row is with the nearest of some rows that lie far apart (farthest-first)."""
+    chosen, far = [0], ((vectors - vectors[0]) ** 2).sum(1)
+    of = np.zeros(len(vectors), np.int64)
+    while len(chosen) < min(pivots, len(vectors)) and far.max() > 0:
+        chosen.append(int(far.argmax()))
+        d = ((vectors - vectors[chosen[-1]]) ** 2).sum(1)
+        of, far = np.where(d < far, len(chosen) - 1, of), np.minimum(d, far)
+    return [np.flatnonzero(of == c) for c in range(len(chosen))]
+
+
+def nearest_rows(a: np.ndarray, c: np.ndarray, k: int, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of c, squared distance to nine digits) of each row's k nearest, ties by the row of c.
+
+    Both sides are cut into cells around pivots. Of two cells with pivots D apart and radii r and s no rows are nearer than
+    D - r - s; cells are visited by that bound, and no more once it exceeds every row's k-th distance. counts: receives
+    the pairs there are and the pairs compared.
+    """
+    mine, other = (cells(x, int(np.sqrt(len(x))) + 1) for x in (a, c))
+    centre = lambda x, cell: x[cell].mean(0)
+    pivots = np.stack([centre(c, cell) for cell in other])
+    radius = np.array([np.sqrt(((c[cell] - p) ** 2).sum(1).max()) for cell, p in zip(other, pivots, strict=True)])
+    rows, cols, dist = [], [], []
+    for cell in mine:
+        p = centre(a, cell)
+        bound = np.maximum(np.sqrt(((pivots - p) ** 2).sum(1)) - radius - np.sqrt(((a[cell] - p) ** 2).sum(1).max()), 0)
+        best_d, best_at = np.full((len(cell), 0), 0.0), np.zeros((len(cell), 0), np.int64)
+        for o in np.argsort(bound, kind="stable"):
+            if best_d.shape[1] >= k and bound[o] ** 2 > best_d[:, k - 1].max() + 1e-6 * (1 + best_d[:, k - 1].max()):
+                break
+            x = c[other[o]]
+            d = np.round(np.maximum((a[cell] ** 2).sum(1)[:, None] - 2 * a[cell] @ x.T + (x * x).sum(1)[None], 0), 9)
+            d, at = np.concatenate([best_d, d], 1), np.concatenate([best_at, np.broadcast_to(other[o], d.shape)], 1)
+            order = np.lexsort((at, d), axis=1)[:, :k]
+            best_d, best_at = np.take_along_axis(d, order, 1), np.take_along_axis(at, order, 1)
+            if counts is not None:
+                counts[1] += len(cell) * len(x)
+        rows.append(np.repeat(cell, best_at.shape[1]))
+        cols.append(best_at.ravel())
+        dist.append(best_d.ravel())
+    if counts is not None:
+        counts[0] += len(a) * len(c)
+    return np.concatenate(rows), np.concatenate(cols), np.concatenate(dist)
+
+
+#: Nodes of a group in one block.
+GRAPH_BLOCK = 4_000
 
 
 def knn_graph(nodes: DataFrame, k: int, group: str, node: str, vector: str) -> DataFrame:
     """(group, src, dst, distance, rank): each node's k nearest of its group by squared distance, itself included.
 
-    The pairs of a group are streamed: nodes of a group are cut into blocks by hash, every block pair is one task's
-    matrix product that keeps a partial top k, and the final top k per node is a shuffle of blocks x nodes x k rows.
+    Nodes of a group are cut into blocks by hash; every pair of blocks is one task's work, which visits pairs of cells by
+    the least distance they allow and keeps a partial top k; the final top k per node is a shuffle of blocks x nodes x k
+    rows. Null vectors and null groups match nothing.
     """
     gt, nt = nodes.schema[group].dataType.simpleString(), nodes.schema[node].dataType.simpleString()
-    slim = nodes.select(F.col(group).alias("g"), F.col(node).alias("n"), doubles(vector).alias("v"))
-    sizes = slim.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(1000)).alias("parts"))
+    slim = nodes.select(F.col(group).alias("g"), F.col(node).alias("n"), doubles(vector).alias("v")).filter("g IS NOT NULL AND v IS NOT NULL")
+    sizes = slim.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(GRAPH_BLOCK)).alias("parts"))
     b = slim.join(sizes, "g").withColumn("b", F.pmod(F.xxhash64("n"), F.col("parts")))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     asked = b.select("g", F.col("b").alias("qb"), every.alias("kb"), "n", "v", F.lit(True).alias("asks"))
     held = b.select("g", every.alias("qb"), F.col("b").alias("kb"), "n", "v", F.lit(False).alias("asks"))
 
-    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, x = pdf[pdf["asks"]], pdf[~pdf["asks"]].sort_values("n")
-        if q.empty or x.empty:
-            return pd.DataFrame({"g": [], "src": [], "dst": [], "distance": []})
-        a, c = np.array(q["v"].tolist()), np.array(x["v"].tolist())
-        d = np.round(np.maximum((a * a).sum(1)[:, None] - 2 * a @ c.T + (c * c).sum(1)[None], 0), 9)
-        at = np.argsort(d, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"g": q["g"].iloc[0], "src": np.repeat(q["n"].to_numpy(), at.shape[1]), "dst": x["n"].to_numpy()[at.ravel()], "distance": np.take_along_axis(d, at, 1).ravel()})
+    def nearest(table: pa.Table) -> pa.Table:
+        q, x = table.filter(table.column("asks")), table.filter(pa.compute.invert(table.column("asks")))
+        out = {"g": q.column("g").slice(0, 0), "src": q.column("n").slice(0, 0), "dst": x.column("n").slice(0, 0), "distance": pa.array([], pa.float64())}
+        if q.num_rows and x.num_rows:
+            x = x.take(pa.compute.sort_indices(x, sort_keys=[("n", "ascending")]))
+            row, at, d = nearest_rows(_matrix(q.column("v")), _matrix(x.column("v")), k)
+            out = {"g": q.column("g").take(row), "src": q.column("n").take(row), "dst": x.column("n").take(at), "distance": d}
+        return pa.table(out)
 
-    part = asked.unionByName(held).groupBy("g", "qb", "kb").applyInPandas(nearest, f"g {gt}, src {nt}, dst {nt}, distance double")
+    part = asked.unionByName(held).groupBy("g", "qb", "kb").applyInArrow(nearest, f"g {gt}, src {nt}, dst {nt}, distance double")
     ranked = part.withColumn("rank", F.row_number().over(Window.partitionBy("g", "src").orderBy("distance", "dst"))).filter(F.col("rank") <= k)
     return ranked.withColumnRenamed("g", group)
 

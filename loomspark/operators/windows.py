@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import unused
 from ..functions.ordered import in_order, other, walk
 from ..functions.timeutil import DAY, micros, ordered_index, time_bucket
 
@@ -16,8 +17,9 @@ def tumbling_count(df: DataFrame, size: int, keys: Sequence[str], ts: str, tie:
     """Groups of `size` rows in (ts, tie) order per key: keys, window_id, n, aggs. The open rest only if asked for."""
     if size < 1:
         raise ValueError("size must be positive")
-    numbered = ordered_index(df, keys, [ts, tie], time_bucket(micros(ts), DAY))
-    out = numbered.withColumn("window_id", F.floor(F.col("idx") / size)).groupBy(*keys, "window_id").agg(F.count(F.lit(1)).alias("n"), *aggs)
+    idx = unused(df, "_idx")
+    numbered = ordered_index(df, keys, [ts, tie], time_bucket(micros(ts), DAY), idx)
+    out = numbered.groupBy(*keys, F.floor(F.col(idx) / size).alias("window_id")).agg(F.count(F.lit(1)).alias("n"), *aggs)
     return out if include_partial else out.filter(F.col("n") == size)
 
 
@@ -67,18 +69,21 @@ def sliding_count(df: DataFrame, size: int, keys: Sequence[str], ts: str, tie: s
     """The last `size` rows at each row, agg over them as `agg`. slide defaults to size.
 
     min_rows: a row once the frame has `slide` rows. every_slide: each slide-th row. Rows are dealt in blocks of
-    positions, each with the size - 1 rows before it, so that a hot key spreads.
+    positions, each with the size - 1 rows before it, so that a hot key spreads. Columns idx and agg are added; if df has
+    them, they are called idx_ and agg_.
     """
     slide = size if slide is None else slide
     if slide < 1 or size < 1:
         raise ValueError("size and slide must be positive")
     block = max(block, size)
-    numbered = ordered_index(df, keys, [ts, tie], time_bucket(micros(ts), DAY)).withColumn("_block", F.floor(F.col("idx") / block))
-    halo = numbered.filter(F.col("idx") % block > block - size).withColumn("_block", F.col("_block") + 1)
-    both = numbered.withColumn("_own", F.lit(True)).unionByName(halo.withColumn("_own", F.lit(False)))
-    frame = Window.partitionBy(*keys, "_block").orderBy("idx").rowsBetween(-(size - 1), 0)
-    ready = F.least(F.col("idx") + 1, F.lit(size)) >= slide if mode == "min_rows" else (F.col("idx") + 1) % slide == 0
-    return both.withColumn("agg", agg.over(frame)).filter("_own").filter(ready).drop("_block", "_own")
+    name, held, own = (unused(df, c) for c in ("idx", "_block", "_own"))
+    idx = F.col(name)
+    numbered = ordered_index(df, keys, [ts, tie], time_bucket(micros(ts), DAY), name).withColumn(held, F.floor(idx / block))
+    halo = numbered.filter(idx % block > block - size).withColumn(held, F.col(held) + 1)
+    both = numbered.withColumn(own, F.lit(True)).unionByName(halo.withColumn(own, F.lit(False)))
+    frame = Window.partitionBy(*keys, held).orderBy(name).rowsBetween(-(size - 1), 0)
+    ready = F.least(idx + 1, F.lit(size)) >= slide if mode == "min_rows" else (idx + 1) % slide == 0
+    return both.withColumn(unused(df, "agg"), agg.over(frame)).filter(own).filter(ready).drop(held, own)
 
 
 def sliding_time(df: DataFrame, size_us: int, keys: Sequence[str], ts: str, aggs: dict[str, Column], block_us: int = DAY) -> DataFrame:
@@ -135,10 +140,12 @@ def array_window(df: DataFrame, keys: Sequence[str], array: str, how: str = "mea
 def shed(df: DataFrame, cap: int, ts: str, tie: str, window: str = "1 hour") -> tuple[DataFrame, DataFrame]:
     """(kept, counts): the first `cap` rows of each window in (ts, tie) order; n, n_kept and n_dropped per window.
 
-    Rows are ranked within minutes first, and only those that can still be kept within the window.
+    Rows are ranked within minutes first, and only those that can still be kept within the window. kept has columns
+    window_start and rank; if df has them, they are called window_start_ and rank_.
     """
-    w = df.withColumn("window_start", F.window(ts, window)["start"]).withColumn("_minute", F.date_trunc("minute", ts))
-    first = w.withColumn("_r", F.row_number().over(Window.partitionBy("window_start", "_minute").orderBy(ts, tie))).filter(F.col("_r") <= cap)
-    kept = first.withColumn("rank", F.row_number().over(Window.partitionBy("window_start").orderBy(ts, tie))).filter(F.col("rank") <= cap).drop("_r", "_minute")
-    counts = w.groupBy("window_start").agg(F.count(F.lit(1)).alias("n")).select("window_start", "n", F.least("n", F.lit(cap)).cast("long").alias("n_kept"), F.greatest(F.col("n") - cap, F.lit(0)).cast("long").alias("n_dropped"))
-    return kept, counts
+    start, minute, place, rank = (unused(df, c) for c in ("window_start", "_minute", "_place", "rank"))
+    w = df.withColumn(start, F.window(ts, window)["start"]).withColumn(minute, F.date_trunc("minute", ts))
+    first = w.withColumn(place, F.row_number().over(Window.partitionBy(start, minute).orderBy(ts, tie))).filter(F.col(place) <= cap)
+    kept = first.withColumn(rank, F.row_number().over(Window.partitionBy(start).orderBy(ts, tie))).filter(F.col(rank) <= cap).drop(place, minute)
+    counts = w.groupBy(F.col(start).alias("window_start")).agg(F.count(F.lit(1)).alias("n"))
+    return kept, counts.select("window_start", "n", F.least("n", F.lit(cap)).cast("long").alias("n_kept"), F.greatest(F.col("n") - cap, F.lit(0)).cast("long").alias("n_dropped"))

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.timeutil import micros
 from ..operators import windows
+from .keyed import asof, asof_many, buffer_status, evictions, last_known, nearest_many, sliding_count, throttled, tumbling_anchored, tumbling_count
+
+__all__ = ["asof", "asof_many", "buffer_status", "evictions", "interval_join", "join_statistics", "last_known", "late_rows", "nearest_join", "nearest_left", "nearest_many", "shed", "shed_rows", "sliding_count", "throttled", "tumbling_anchored", "tumbling_count", "windowed"]
 
 
 def windowed(stream: DataFrame, kind: str, ts: str, keys: Sequence[str], aggs: Sequence[Column], size: str, slide: str | None = None) -> DataFrame:
@@ -46,75 +49,6 @@ def _stateful(grouped, run, out: str, state: str) -> DataFrame:
     return grouped.applyInPandasWithState(run, out, state, "append", "EventTimeTimeout")
 
 
-def tumbling_count(stream: DataFrame, size: int, key: str, ts: str, tie: str, value: str) -> DataFrame:
-    """(key, window_id, n, total): sums of each `size` events of a key in event order. An event is placed once the
-    watermark has passed it, so that late ones cannot change earlier windows. The open window stays in the state."""
-    kind = dict(stream.dtypes)[key]
-
-    def run(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        window, us, ids, values = [list(x) if isinstance(x, (list, tuple)) else x for x in state.get] if state.exists else (0, [], [], [])
-        for pdf in frames:
-            us += pdf["us"].tolist()
-            ids += pdf["tie"].tolist()
-            values += pdf["value"].tolist()
-        done = state.getCurrentWatermarkMs() * 1000
-        rows = sorted(zip(us, ids, values, strict=True))
-        ready = [r for r in rows if r[0] < done]
-        out = []
-        for a in range(0, len(ready) - size + 1, size):
-            out.append((k[0], window, size, float(sum(v for _, _, v in ready[a : a + size]))))
-            window += 1
-        rest = rows[len(out) * size :]
-        state.update((window, [r[0] for r in rest], [r[1] for r in rest], [r[2] for r in rest]))
-        waiting = [r[0] for r in rest if r[0] >= done]
-        if waiting:
-            state.setTimeoutTimestamp(max(int(waiting[0] // 1000) + 1, int(done // 1000) + 1))
-        yield pd.DataFrame(out, columns=[key, "window_id", "n", "total"])
-
-    slim = stream.select(F.col(key).alias(key), ts, micros(ts).alias("us"), F.col(tie).cast("long").alias("tie"), F.col(value).cast("double").alias("value"))
-    return _stateful(slim.groupBy(key), run, f"`{key}` {kind}, window_id long, n long, total double", "window long, us array<long>, tie array<long>, value array<double>")
-
-
-def asof(left: DataFrame, right: DataFrame, key: str, ts: str, tie: str, value: str, tolerance_us: int) -> DataFrame:
-    """(key, tie, us, right_value): each left row with the last right value at or before it within the tolerance, null if
-    there is none. A left row is given out when the watermark has passed it; right rows no longer in reach leave the state."""
-    kind = dict(left.dtypes)[key]
-    side = lambda df, s: df.select(key, ts, micros(ts).alias("us"), F.col(tie).cast("long").alias("tie"), F.col(value).cast("double").alias("value"), F.lit(s).alias("side"))
-
-    def run(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        lu, li, ru, ri, rv = map(list, state.get) if state.exists else ([], [], [], [], [])
-        for pdf in frames:
-            a, b = pdf[pdf["side"] == 1], pdf[pdf["side"] == 0]
-            lu += a["us"].tolist()
-            li += a["tie"].tolist()
-            ru += b["us"].tolist()
-            ri += b["tie"].tolist()
-            rv += b["value"].tolist()
-        done = state.getCurrentWatermarkMs() * 1000
-        rights, lefts = sorted(zip(ru, ri, rv, strict=True)), sorted(zip(lu, li, strict=True))
-        out, at = [], 0
-        for us, i in lefts:
-            if us >= done:
-                break
-            while at < len(rights) and rights[at][0] <= us:
-                at += 1
-            hit = rights[at - 1] if at and us - rights[at - 1][0] <= tolerance_us else None
-            out.append((k[0], i, us, hit[2] if hit else None))
-        wait = lefts[len(out) :]
-        oldest = min([done, *(u for u, _ in wait)]) - tolerance_us
-        keep = [r for r in rights if r[0] >= oldest]
-        if wait or keep:
-            state.update(([u for u, _ in wait], [i for _, i in wait], [r[0] for r in keep], [r[1] for r in keep], [r[2] for r in keep]))
-            until = wait[0][0] if wait else keep[-1][0] + tolerance_us
-            state.setTimeoutTimestamp(max(int(until // 1000) + 1, int(done // 1000) + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=[key, "tie", "us", "right_value"])
-
-    both = side(left, 1).unionByName(side(right, 0))
-    return _stateful(both.groupBy(key), run, f"`{key}` {kind}, tie long, us long, right_value double", "lu array<long>, li array<long>, ru array<long>, ri array<long>, rv array<double>")
-
-
 def nearest_left(left: DataFrame, right: DataFrame, key: str, ts: str, tie: str, value: str, window_us: int, fallback: str = "none", reach_us: int | None = None, cap: int | None = None) -> DataFrame:
     """(key, tie, us, right_value, how): every left row with the nearest right value within window_us, else by `fallback`:
     none, nearest, linear or zero, as the batch join has it, from right rows at most reach_us (window_us if null) away.
@@ -176,73 +110,6 @@ def nearest_left(left: DataFrame, right: DataFrame, key: str, ts: str, tie: str,
     return _stateful(both.groupBy(key), run, f"`{key}` {kind}, tie long, us long, right_value double, how string", "lu array<long>, li array<long>, ru array<long>, ri array<long>, rv array<double>")
 
 
-def last_known(stream: DataFrame, names: Sequence[str], key: str, ts: str, tie: str, value: str, source: str = "stream", retention_us: int | None = None) -> DataFrame:
-    """(key, tie, us, and a column per name): on every event the latest value of each named stream of its key, null before
-    its first or past the retention. Events are given out in event order once the watermark has passed them; the state is
-    one value per name and the events that wait."""
-    kind, names = dict(stream.dtypes)[key], list(names)
-
-    def run(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        us, ids, values, who, at, held = map(list, state.get) if state.exists else ([], [], [], [], [None] * len(names), [None] * len(names))
-        for pdf in frames:
-            us += pdf["us"].tolist()
-            ids += pdf["tie"].tolist()
-            values += pdf["value"].tolist()
-            who += pdf["source"].tolist()
-        done = state.getCurrentWatermarkMs() * 1000
-        rows, out = sorted(zip(us, ids, values, who, strict=True), key=lambda r: r[:2]), []
-        for t, i, v, w in rows:
-            if t >= done:
-                break
-            if w in names:
-                at[names.index(w)], held[names.index(w)] = t, v
-            fresh = [v if a is not None and (retention_us is None or t - a <= retention_us) else None for a, v in zip(at, held, strict=True)]
-            out.append((k[0], i, t, *fresh))
-        rest = rows[len(out) :]
-        state.update(([r[0] for r in rest], [r[1] for r in rest], [r[2] for r in rest], [r[3] for r in rest], at, held))
-        if rest:
-            state.setTimeoutTimestamp(max(int(rest[0][0] // 1000) + 1, int(done // 1000) + 1))
-        yield pd.DataFrame(out, columns=[key, "tie", "us", *names]).astype({n: "float64" for n in names})
-
-    slim = stream.select(key, ts, micros(ts).alias("us"), F.col(tie).cast("long").alias("tie"), F.col(value).cast("double").alias("value"), F.col(source).alias("source"))
-    columns = ", ".join(f"`{n}` double" for n in names)
-    return _stateful(slim.groupBy(key), run, f"`{key}` {kind}, tie long, us long, {columns}", "us array<long>, tie array<long>, value array<double>, source array<string>, at array<long>, held array<double>")
-
-
-def throttled(stream: DataFrame, key: str, ts: str, tie: str, value: str, size_us: int, slide_us: int) -> DataFrame:
-    """(key, tie, us, total): the sum over the last size_us at the events that come at least slide_us after the last one
-    given out. Events count in event order, once the watermark has passed them; those out of the window leave the state."""
-    kind = dict(stream.dtypes)[key]
-
-    def run(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        us, ids, values, last, seen = [list(x) if isinstance(x, (list, tuple)) else x for x in state.get] if state.exists else ([], [], [], None, None)
-        for pdf in frames:
-            us += pdf["us"].tolist()
-            ids += pdf["tie"].tolist()
-            values += pdf["value"].tolist()
-        done = state.getCurrentWatermarkMs() * 1000
-        rows, out, first, total = sorted(zip(us, ids, values, strict=True)), [], 0, 0.0
-        for t, i, v in rows:  # those before `seen` are only part of later windows
-            if t >= done:
-                break
-            total += v
-            while rows[first][0] < t - size_us:
-                total -= rows[first][2]
-                first += 1
-            if (seen is None or t >= seen) and (last is None or t - last >= slide_us):
-                out.append((k[0], i, t, total))
-                last = t
-        rest = [r for r in rows if r[0] >= done - size_us]
-        state.update(([r[0] for r in rest], [r[1] for r in rest], [r[2] for r in rest], last, done))
-        waiting = [r[0] for r in rest if r[0] >= done]
-        if waiting:
-            state.setTimeoutTimestamp(max(int(waiting[0] // 1000) + 1, int(done // 1000) + 1))
-        yield pd.DataFrame(out, columns=[key, "tie", "us", "total"])
-
-    slim = stream.select(key, ts, micros(ts).alias("us"), F.col(tie).cast("long").alias("tie"), F.col(value).cast("double").alias("value"))
-    return _stateful(slim.groupBy(key), run, f"`{key}` {kind}, tie long, us long, total double", "us array<long>, tie array<long>, value array<double>, last long, seen long")
-
-
 def shed(stream: DataFrame, cap: int, ts: str, window: str) -> DataFrame:
     """Per window the number of events, of those a cap lets through and of those it drops; for append output."""
     n = windows.tumbling_time(stream, window, [], ts, [F.count(F.lit(1)).alias("n")])

@@ -11,6 +11,13 @@ from loomspark.streaming import stateful
 DATA = "/root/testdata/sf0.001/events.parquet"
 
 
+@pytest.fixture(autouse=True)
+def store(spark):
+    """Operators on keyed streams choose a state store; the next test starts from the default one."""
+    yield
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
 @pytest.fixture(scope="module")
 def folder(spark):
     path = tempfile.mkdtemp(prefix="spark-") + "/events"
