@@ -31,7 +31,7 @@ def ordered_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], buck
     buckets comes from a table with one row per key and bucket. So a key with a third of all rows, or no key at all,
     is numbered by many tasks.
     """
-    keys, part, place = list(keys), unused(df, "_b"), unused(df, "_place")
+    keys, part, place = list(keys), unused(df, f"{name}_part"), unused(df, f"{name}_before")
     b = df.withColumn(part, bucket)
     counts = b.groupBy(*keys, part).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1) if keys else Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)

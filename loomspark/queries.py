@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.arrays import doubles
 from .functions.timeutil import HOUR, micros
 from .plans import features
 from .sources import versions
-from .operators import graph, joins, metrics, pooling, sampling, signal, validate, vectors, windows
+from .operators import graph, joins, lineage, metrics, pooling, quantiles, sampling, signal, validate, vectors, windows
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -141,8 +141,8 @@ def _(s, d):
 
 @query("window_p90", "SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS start_us, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY ALL")
 def _(s, d):
-    w = windows.tumbling_time(table(s, d, "events"), "1 day", [], "ts", [r6(F.percentile("value", 0.9), "p90")])
-    return w.select(micros("window_start").alias("start_us"), "p90")
+    days = table(s, d, "events").select("value", micros(F.window("ts", "1 day")["start"]).alias("start_us"))
+    return quantiles.exact_quantile(days, ["start_us"], "value", 0.9).select("start_us", r6(F.col("quantile"), "p90"))
 
 
 @query("array_window_mean", "SELECT label, (generate_subscripts(embedding, 1) - 1)::INT AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings".join(["SELECT label, pos, round(avg(x), 6) AS value FROM (", ") GROUP BY ALL"]))
@@ -561,7 +561,62 @@ SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, sum(value) AS total FROM eve
 )
 def _(s, d):
     days = table(s, d, "events").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.sum("value").alias("total"))
-    return signal.causal_filter(days, [1.0, 0.5, 0.25], "total", ["event_type"], ["day"], 2).select("event_type", "day", r6(F.col("filtered"), "filtered"))
+    return signal.causal_filter(days, [1.0, 0.5, 0.25], "total", ["event_type"], ["day"], 2, bucket=F.substring("day", 1, 7), block=3).select("event_type", "day", r6(F.col("filtered"), "filtered"))
+
+
+_LAYERS = [([1.0, 0.5], 1), ([1.0, 0.5], 2), ([1.0, 0.5], 4)]
+
+
+def _stacked() -> str:
+    sql = "SELECT user_id, event_id, ts, value AS x FROM events"
+    for weights, dilation in _LAYERS:
+        sql = f"SELECT user_id, event_id, ts, x * {weights[0]} + {weights[1]} * coalesce(lag(x, {dilation}) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS x FROM ({sql})"
+    return f"SELECT event_id, round(x, 5) AS filtered FROM ({sql})"
+
+
+@query("causal_stack", _stacked())
+def _(s, d):
+    out = signal.causal_stack(table(s, d, "events"), _LAYERS, "value", ["user_id"], ["ts", "event_id"], block=10)
+    return out.select("event_id", F.round("filtered", 5).alias("filtered"))
+
+
+_CHAIN = "SELECT o_orderkey AS node, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS parent FROM orders"
+
+
+def _chain(s, d) -> DataFrame:
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("node"), F.lag("o_orderkey").over(w).alias("parent"))
+
+
+@query(
+    "version_lineage",
+    f"""WITH RECURSIVE c AS ({_CHAIN}), walk AS (SELECT node, node AS root, 0 AS depth FROM c WHERE parent IS NULL
+UNION ALL SELECT c.node, root, depth + 1 FROM walk JOIN c ON c.parent = walk.node) SELECT node, root, depth::BIGINT AS depth FROM walk WHERE depth > 0""",
+)
+def _(s, d):
+    return lineage.roots(_chain(s, d), "node", "parent")
+
+
+_PARTS = "SELECT p_partkey AS node, unnest([p_partkey // 2, p_partkey // 3]) AS parent FROM part"
+_REACHED = f"""WITH RECURSIVE e AS (SELECT DISTINCT node, parent FROM ({_PARTS}) WHERE parent > 0),
+walk AS (SELECT node, parent AS ancestor, 1 AS depth FROM e UNION SELECT walk.node, e.parent, depth + 1 FROM walk JOIN e ON e.node = walk.ancestor),
+reached AS (SELECT node, ancestor, min(depth)::BIGINT AS depth FROM walk GROUP BY ALL)"""
+
+
+def _parts(s, d) -> DataFrame:
+    key = F.col("p_partkey")
+    return table(s, d, "part").select(key.alias("node"), F.explode(F.array(F.floor(key / 2), F.floor(key / 3))).alias("parent")).filter("parent > 0")
+
+
+@query("feature_closure", f"{_REACHED} SELECT * FROM reached")
+def _(s, d):
+    return lineage.closure(_parts(s, d), "node", "parent")
+
+
+@query("feature_lineage", f"{_REACHED} SELECT node, count(*)::BIGINT AS n_dependencies, (count(*) FILTER (depth = 1))::BIGINT AS n_direct, max(depth)::BIGINT AS depth FROM reached GROUP BY node")
+def _(s, d):
+    reached = lineage.closure(_parts(s, d), "node", "parent")
+    return reached.groupBy("node").agg(F.count(F.lit(1)).alias("n_dependencies"), F.count(F.when(F.col("depth") == 1, 1)).alias("n_direct"), F.max("depth").alias("depth"))
 
 
 @query("positional_time", "SELECT event_id, round(sin(h), 6) AS sin_0, round(cos(h), 6) AS cos_0, round(sin(h * 0.01), 6) AS sin_1, round(cos(h * 0.01), 6) AS cos_1 FROM (SELECT event_id, hour(ts)::DOUBLE AS h FROM events)")
