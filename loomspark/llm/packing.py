@@ -1,7 +1,7 @@
 """Lexical retrieval packing (operator 10).
 
-Documents are range-partitioned by the least hash of their words, so that copies and texts of one language meet, with
-the id behind it, so that a large group of copies spreads over tasks. Each task takes its documents in shards of a
+Texts are encoded once and staged as token ids. Documents are then range-partitioned by the least hash of their ids, so
+that copies meet, with the id behind it, so that a large group of copies spreads over tasks. Each task takes its documents in shards of a
 bounded number of tokens, builds a BM25 inverted index over a shard's token ids, and fills windows: a seed document is
 placed, then its best unused neighbours that fit, down its whole ranking by all of its terms, and the best other one is
 cut where the window ends. Only a shard's last window can be short; it is cut into sequences of a power of two, which
@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import sliced, stage
 
 WINDOW, END_ID, SHARD_TOKENS = 4096, 2, 2_000_000
 K1, B = 1.2, 0.75
@@ -144,6 +144,29 @@ def _words(file: str, end_id: int) -> WordIds:
     return WordIds(file, end_id)
 
 
+_MIX = np.uint32(0x9E3779B1)
+
+
+def encoded(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID) -> DataFrame:
+    """(doc_id, ids, narrow, least) per row of docs: token ids with the end id, in 16 bits where that suffices for a text,
+    and the least hash of its ids."""
+
+    def run(batches):
+        words = _words(tokenizer_file, end_id)
+        for batch in sliced(batches):
+            raw, narrow, least = words.of(batch.column(1).to_pylist()), [], []
+            for i, x in enumerate(raw):
+                ids = np.frombuffer(x, "<u4")
+                h = ids[:-1] * _MIX
+                least.append(int((h ^ (h >> np.uint32(15))).min()) if len(h) else -1)
+                narrow.append(bool(ids.max() < 1 << 16))
+                if narrow[-1]:
+                    raw[i] = ids.astype("<u2").tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), pa.array(narrow), pa.array(least, pa.int64())], names=["doc_id", "ids", "narrow", "least"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, narrow boolean, least long")
+
+
 class Index:
     """BM25 over the token ids of one shard."""
 
@@ -286,8 +309,10 @@ def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, shard_token
     sequence_id is unique over the table, not dense. `window` is a power of two.
     """
 
+    ids = stage(encoded(docs, tokenizer_file, end_id), "token-ids")
+
     def run(batches):
-        words, task = _words(tokenizer_file, end_id), TaskContext.get()
+        task = TaskContext.get()
         sequence = (task.partitionId() if task else 0) << 32
         held, rows, total = [], [], 0
 
@@ -295,16 +320,15 @@ def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, shard_token
             nonlocal held, rows, total, sequence
             if not held:
                 return None
-            ids = [np.frombuffer(x, "<u4") for x in held]
             doc, cols = [], [[] for _ in range(6)]
-            windows = fill(ids, window)
+            windows = fill(held, window)
             if sum(n for _, _, n in windows[-1]) < window:
                 windows = windows[:-1] + powers(windows[-1])
             for pieces in windows:
                 offset = 0
                 for d, start, n in pieces:
                     doc.append(d)
-                    for c, v in zip(cols, (start, n, zlib.crc32(memoryview(held[d])[4 * start : 4 * (start + n)]), len(ids[d]), sequence, offset), strict=True):
+                    for c, v in zip(cols, (start, n, zlib.crc32(held[d][start : start + n].astype("<u4")), len(held[d]), sequence, offset), strict=True):
                         c.append(v)
                     offset += n
                 sequence += 1
@@ -313,21 +337,20 @@ def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, shard_token
             return pa.RecordBatch.from_arrays([source, *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", *(f.split()[0] for f in _SCHEMA.split(", "))])
 
         for batch in sliced(batches):
-            texts, at = words.of(batch.column(1).to_pylist()), 0
-            for i, ids in enumerate(texts):
-                held.append(ids)
-                total += len(held[-1]) // 4
+            at = 0
+            for i, (raw, narrow) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                held.append(np.frombuffer(raw, "<u2" if narrow else "<u4"))
+                total += len(held[-1])
                 if total >= shard_tokens:
                     rows.append(batch.column(0).slice(at, i + 1 - at))
                     at = i + 1
                     yield flush()
-            if at < len(texts):
+            if at < batch.num_rows:
                 rows.append(batch.column(0).slice(at))
         if (last := flush()) is not None:
             yield last
 
-    text = F.coalesce(F.col("text"), F.lit(""))
-    least = F.array_min(F.transform(F.split(text, " "), lambda w: F.xxhash64(w)))
-    dealt = docs.select("doc_id", "text", least.alias("_least")).repartitionByRange("_least", "doc_id").sortWithinPartitions("_least", "doc_id")
+    # Rows that share id and least hash are told apart by their ids, so that a task that is run again packs them alike.
+    dealt = ids.withColumn("mark", F.xxhash64("ids")).repartitionByRange("least", "doc_id").sortWithinPartitions("least", "doc_id", "mark")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return dealt.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {_SCHEMA}")
+    return dealt.select("doc_id", "ids", "narrow").mapInArrow(run, f"doc_id {kind}, {_SCHEMA}")
