@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -60,83 +61,70 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(256 + others.index(b)) for b in range(256)]
 
 
+class Known(dict):
+    """What `make` gives for strings, kept for those met of late: when `limit` are held they become the old ones, of which
+    those met again are kept on."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.make(word)
+        if len(word) <= LONG:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class WordIds:
     """Token ids of texts as little-endian unsigned 32-bit bytes, with an end id behind each.
 
-    If the tokenizer is word-wise, a text's ids are those of its white-space-separated words. Words of common characters
-    not met before go part by part to the tokenizer's merges; others go through the whole tokenizer together, and their
-    ids are told apart by offsets. Keeps up to `limit` words, then starts anew. With any other tokenizer whole texts are
+    If the tokenizer is word-wise, a text's ids are those of its white-space-separated words. The ids of a word of common
+    characters are those of its parts in lower case, which go to the tokenizer's merges; another word goes through the
+    whole tokenizer. Words and parts are kept, about twice `limit` at most. With any other tokenizer whole texts are
     encoded.
     """
 
     def __init__(self, file: str, end_id: int = END_ID, limit: int = 200_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(file), limit, {}
+        self.tokenizer, self.known = Tokenizer.from_file(file), Known(self._word, limit)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         with open(file, encoding="utf-8") as f:
             self.fast = word_wise(json.load(f))
         self.end, self.letters = end_id.to_bytes(4, "little"), dict(enumerate(byte_letters()))
-        self.model = self.tokenizer.model
-
-    def _encoded(self, text: str):
-        return self.tokenizer.encode(text, add_special_tokens=False)
-
-    def _alone(self, word: str) -> bytes:
-        return np.array(self._encoded(word).ids, "<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        plain, others, ids, ends = [], [], [], []
-        tokenize = self.model.tokenize
-        for w in words:
-            if "<|" in w:
-                self.known[w] = self._alone(w)
-                continue
-            if w.isascii():
-                low = w.lower()
-            elif max(w) < _PLAIN and "\u0130" not in w:
-                low = w.lower()
-            else:
-                others.append(w)
-                continue
-            for part in (low,) if low.isalpha() else _PARTS.findall(low):
-                if not (part.isascii() and part.isprintable()):
-                    part = part.encode().decode("latin-1").translate(self.letters)
-                ids += [t.id for t in tokenize(part)]
-            plain.append(w)
-            ends.append(len(ids))
-        self._keep(plain, np.array(ids, "<u4"), np.array(ends, np.int64))
-        if others:
-            found = self._encoded(" ".join(others))
-            begin = np.cumsum([0, *(len(w) + 1 for w in others)])
-            owner = np.searchsorted(begin, np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids)), "right") - 1
-            self._keep(others, np.array(found.ids, "<u4"), np.searchsorted(owner, np.arange(len(others)), "right"))
-
-    def _keep(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
-        raw, at = ids.tobytes(), 0
-        for w, end in zip(words, (4 * ends).tolist(), strict=True):
-            self.known[w] = raw[at:end]
-            at = end
+        self.merges = self.tokenizer.model.tokenize
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        plain = word.isascii() or (max(word) < _PLAIN and "\u0130" not in word)
+        if not plain or "<|" in word:
+            return self._whole(word)
+        low = word.lower()
+        if not low.isalpha():
+            parts = _PARTS.findall(low)
+            if len(parts) > 1:
+                return b"".join(map(self.known.__getitem__, parts))
+        if low != word:
+            return self.known[low]
+        if not (low.isascii() and low.isprintable()):
+            low = low.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.merges(low)]).tobytes()
 
     def of(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text; a null text has the end id alone. There should be few texts at once."""
+        """The ids of each text; a null text has the end id alone."""
         if not self.fast:
-            return [np.array(self._encoded(t).ids, "<u4").tobytes() + self.end if t else self.end for t in texts]
-        split = [[] if not t else _WORDS.findall(t) if _SEPARATORS.search(t) else t.split() for t in texts]
-        every = set().union(*split)
-        new = [w for w in every if w not in self.known]
-        if len(self.known) + len(new) > self.limit:
-            self.known.clear()
-            new = list(every)
-        long = [w for w in new if len(w) > LONG]
-        for w in long:
-            self.known[w] = self._alone(w)
-        self._learn([w for w in new if len(w) <= LONG])
-        out = [b"".join(map(self.known.__getitem__, words)) + self.end for words in split]
-        for w in long:
-            del self.known[w]
-        return out
+            return [self._whole(t) + self.end if t else self.end for t in texts]
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, _WORDS.findall(t) if _SEPARATORS.search(t) else t.split())) + self.end if t else self.end for t in texts]
 
 
 @lru_cache(maxsize=2)
