@@ -39,7 +39,7 @@ _LETTERS = "".join(chr(c) for c in range(128, 0x250) if chr(c).isalpha())
 _NUMBERS = "".join(chr(c) for c in range(128, 0x250) if chr(c).isnumeric())
 _PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LETTERS}]+|[0-9{_NUMBERS}]|[^a-z0-9{_LETTERS}{_NUMBERS}]+")
 #: str.split() also splits at these four, which the tokenizer keeps.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 _WORDS = re.compile("(?:[^\\s]|[\x1c-\x1f])+")
 #: Words longer than this are encoded alone and not kept.
 LONG = 200
@@ -90,7 +90,7 @@ class WordIds:
     encoded.
     """
 
-    def __init__(self, file: str, end_id: int = END_ID, limit: int = 200_000):
+    def __init__(self, file: str, end_id: int = END_ID, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(file), Known(self._word, limit)
@@ -124,7 +124,8 @@ class WordIds:
         if not self.fast:
             return [self._whole(t) + self.end if t else self.end for t in texts]
         ids = self.known.__getitem__
-        return [b"".join(map(ids, _WORDS.findall(t) if _SEPARATORS.search(t) else t.split())) + self.end if t else self.end for t in texts]
+        split = lambda t: _WORDS.findall(t) if any(c in t for c in _SEPARATORS) else t.split()
+        return [b"".join(map(ids, split(t))) + self.end if t else self.end for t in texts]
 
 
 @lru_cache(maxsize=2)
