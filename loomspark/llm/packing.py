@@ -41,8 +41,8 @@ _PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LETTERS}]+|[0-9{_NUMBERS}]|[
 #: str.split() also splits at these four, which the tokenizer keeps.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 _WORDS = re.compile("(?:[^\\s]|[\x1c-\x1f])+")
-#: Words longer than this are encoded alone and not kept.
-LONG = 200
+#: Words longer than this are not kept; words that a worker keeps.
+LONG, KEPT = 200, 400_000
 
 
 def word_wise(settings: dict) -> bool:
@@ -90,7 +90,7 @@ class WordIds:
     encoded.
     """
 
-    def __init__(self, file: str, end_id: int = END_ID, limit: int = 400_000):
+    def __init__(self, file: str, end_id: int = END_ID, limit: int = KEPT):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(file), Known(self._word, limit)
@@ -129,19 +129,19 @@ class WordIds:
 
 
 @lru_cache(maxsize=2)
-def _words(file: str, end_id: int) -> WordIds:
-    return WordIds(file, end_id)
+def _words(file: str, end_id: int, limit: int) -> WordIds:
+    return WordIds(file, end_id, limit)
 
 
 _MIX = np.uint32(0x9E3779B1)
 
 
-def encoded(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID, words_kept: int = KEPT) -> DataFrame:
     """(doc_id, ids, narrow, least) per row of docs: token ids with the end id, in 16 bits where that suffices for a text,
     and the least hash of its ids."""
 
     def run(batches):
-        words = _words(tokenizer_file, end_id)
+        words = _words(tokenizer_file, end_id, words_kept)
         for batch in sliced(batches):
             raw, narrow, least = words.of(batch.column(1).to_pylist()), [], []
             for i, x in enumerate(raw):
@@ -290,15 +290,16 @@ def powers(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]
 _SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, end_id: int = END_ID, words_kept: int = KEPT) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's ids are its text's, then `end_id`; every id is in one piece. A sequence has `window` ids, or a power of two.
     A null or empty text has the end id alone. Repeated rows are packed each; null ids are kept; extra columns are not read.
-    sequence_id is unique over the table, not dense. `window` is a power of two.
+    sequence_id is unique over the table, not dense. `window` is a power of two. A worker keeps the ids of up to about twice
+    `words_kept` words, 0.2 KB each, whatever the input.
     """
 
-    ids = stage(encoded(docs, tokenizer_file, end_id), "token-ids")
+    ids = stage(encoded(docs, tokenizer_file, end_id, words_kept), "token-ids")
 
     def run(batches):
         task = TaskContext.get()
