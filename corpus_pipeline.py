@@ -36,8 +36,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of full windows."""
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Pieces of full windows. Workers that earlier stages have filled keep fewer words."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), words_kept=100_000)
 
 
 STAGES = [("toxicity", toxicity), ("line dedup", line_dedup), ("n-gram Jaccard join", jaccard_join), ("benchmark decontamination", decontamination), ("packing", packing)]
