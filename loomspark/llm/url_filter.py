@@ -1,16 +1,19 @@
 """URL filters with redirect equivalence (operator 9). DataFrame functions only.
 
-Places joined by canonical links, page refreshes or given redirects are aliases. A rule's decision on one alias holds for
+Places joined by canonical links, page refreshes (page_links.py) or given redirects are aliases. A rule's decision on one alias holds for
 all of its connected component; an explicit allow comes before a block.
 """
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import lower_ascii, stage
 from .components import connected_components
+from .page_links import ATTRIBUTE, C1, FOR_C1, REFRESH, TAG, W, absolute, page_links
 
 #: (verdict, rule): the rule's text is a host followed by a path prefix.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -50,42 +53,6 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def _without_dots(path: Column) -> Column:
-    """A path that begins with / with its . and .. segments resolved; .. at the root stays there."""
-    parts = F.split(F.substring(path, 2, 2**31 - 1), "/", -1)
-    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x))))
-    ends = F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0)
-    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(ends, "/").otherwise(""))
-
-
-def _absolute(link: Column, url: Column) -> Column:
-    """A link as a URL, against the URL of its page; null for other schemes (mailto:), fragments and pages without ://."""
-    scheme = F.regexp_extract(url, r"^(.*?)://", 1)
-    site = F.concat(scheme, F.lit("://"), host_of(url))
-    rest = F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
-    own = F.regexp_extract(link, r"(?s)^([^?#]*)", 1)
-    folder = F.coalesce(F.nullif(F.regexp_extract(path_of(url), r"(?s)^(.*/)", 1), F.lit("")), F.lit("/"))
-    return (
-        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
-        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | link.startswith("#") | (F.instr(url, "://") == 0), None)
-        .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("?"), F.concat(site, path_of(url), link))
-        .when(link.startswith("/"), F.concat(site, _without_dots(own), rest))
-        .otherwise(F.concat(site, _without_dots(F.concat(folder, own)), rest))
-    )
-
-
-def links(html: Column) -> Column:
-    """Targets of all canonical links and of the first page refresh. Pages without those words are not searched."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)"), F.lit(1))
-    canonical = F.transform(tags, lambda t: F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    # The first refresh tag that has a target, whatever the order of its attributes.
-    refresh = F.regexp_extract(html, r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\burl\s*=\s*['\"]?([^\"'\s>;]+)", 1)
-    low, none = F.lower(html), F.array().cast("array<string>")
-    found = F.concat(F.when(low.contains("canonical"), canonical).otherwise(none), F.when(low.contains("refresh"), F.array(refresh)).otherwise(none))
-    return F.transform(F.filter(found, lambda x: x != ""), lambda x: F.regexp_replace(x, r"(?i)&(?:amp|#38|#x26);", "&"))
-
-
 def judge(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES, default: str = "allow", merge_variants: bool = False) -> DataFrame:
     """Per page: page_id, host, path, rule, verdict, place, component.
 
@@ -96,7 +63,10 @@ def judge(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES, def
     url, html, named = F.col("url"), F.col("html"), lambda u: place(u, merge_variants)
     own = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), named(url).alias("place"))
     own = own.withColumn("own", rule_for(F.col("host"), F.col("path"), rules))
-    linked = pages.select(url.alias("src"), F.explode(F.transform(links(html), lambda x: _absolute(x, url))).alias("dst")).filter("dst IS NOT NULL")
+    read = pages.select(url.alias("src"), page_links(html).alias("found")).filter(F.size("found.targets") > 0)
+    # Links are relative to the page's first <base>, itself relative to the page; a base of another scheme does not count.
+    against = F.coalesce(absolute(F.col("found.base"), F.col("src")), F.col("src"))
+    linked = read.select("src", against.alias("base"), F.explode("found.targets").alias("link")).select("src", absolute(F.col("link"), F.col("base")).alias("dst")).filter("dst IS NOT NULL")
     if redirects is not None:
         linked = linked.unionByName(redirects.select("src", "dst"))
     s, d = F.col("src"), F.col("dst")
@@ -120,24 +90,50 @@ def judge(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES, def
     return out.select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.coalesce("own.verdict", by_alias).alias("verdict"), "place", F.coalesce("component", "place").alias("component"))
 
 
-SQL = r"""
+_SQL = r"""
 WITH RECURSIVE page AS (
-  SELECT page_id, url, html,
+  SELECT row_number() OVER () AS row, page_id, url, html,
     coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path
   FROM pages
 ), rules(verdict, rule, h, p) AS (
   VALUES ('allow', 'org/', 'org', '/'), ('block', 'example.org/es/', 'example.org', '/es/'), ('block', 'example.org/en/1', 'example.org', '/en/1'),
          ('allow', 'com/fr/', 'com', '/fr/'), ('block', 'com/de/', 'com', '/de/')
+), tag AS (
+  SELECT row, src, lower(names[1]) AS name, list_transform(names, lambda n: lower(n)) AS names, vals FROM (
+    SELECT row, src, regexp_extract_all(tag, '{attribute}', 1) AS names, regexp_extract_all(tag, '{attribute}', 2) AS vals FROM (
+      SELECT row, url AS src, unnest(regexp_extract_all(regexp_replace(html, '{text}', ' ', 'gis'), '{tag}', 0, 'i')) AS tag
+      FROM page WHERE regexp_matches(html, 'canonical|refresh', 'i')
+    ) WHERE ends_with(tag, '>')
+  )
+), attribute AS (
+  SELECT tag.* EXCLUDE (names, vals), key, n AS place, CASE WHEN v[1] IN (chr(34), chr(39)) THEN v[2:length(v) - 1] ELSE v END AS written FROM (
+    SELECT row_number() OVER () AS n, * FROM tag
+  ) tag, (VALUES ('rel'), ('href'), ('http-equiv'), ('content')) keys(key), LATERAL (SELECT coalesce(vals[list_position(names, key)], CASE WHEN list_contains(names, key) THEN '' END) AS v)
+  WHERE v IS NOT NULL
+), decoded AS (
+  SELECT * EXCLUDE (written), array_to_string(list_transform(regexp_extract_all(written, '&#[xX][0-9A-Fa-f]+;?|&#[0-9]+;?|&[A-Za-z][A-Za-z0-9]*[;=]?|&|[^&]+'), lambda p:
+    CASE WHEN regexp_matches(p, '^&#[xX]?[0-9A-Fa-f]') THEN (
+        CASE WHEN code(p) BETWEEN 1 AND 55295 OR code(p) BETWEEN 57344 AND 1114111 THEN translate(chr(code(p)::INT), '{c1}', '{for_c1}') ELSE chr(65533) END)
+      WHEN starts_with(p, '&') THEN coalesce(known[p[2:]], p) ELSE p END), '') AS value
+  FROM attribute, (SELECT map(list(reference), list(x)) AS known FROM reference)
+), one AS (
+  SELECT row, src, place, name, max(value) FILTER (key = 'rel') AS rel, max(value) FILTER (key = 'href') AS href,
+    max(value) FILTER (key = 'http-equiv') AS equiv, max(value) FILTER (key = 'content') AS content
+  FROM decoded GROUP BY ALL
+), based AS (
+  SELECT row, coalesce({base}, src) AS base FROM (
+    SELECT row, src, {trimmed_href} AS link FROM one WHERE name = '<base' AND href IS NOT NULL QUALIFY row_number() OVER (PARTITION BY row ORDER BY place) = 1)
 ), targets AS (
-  SELECT src, scheme, host, regexp_replace(link, '&(amp|#38|#x26);', '&', 'gi') AS link FROM (
-    SELECT url AS src, regexp_extract(url, '^(.*?)://', 1) AS scheme, host, unnest(list_concat(
-      CASE WHEN lower(html) LIKE '%canonical%' THEN list_transform(regexp_extract_all(html, '(<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>)', 1, 'is'), lambda t: regexp_extract(t, '\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'is')) ELSE [] END,
-      CASE WHEN lower(html) LIKE '%refresh%' THEN [regexp_extract(html, '<meta\b[^>]*http-equiv\s*=\s*["'']?refresh\b[^>]*?url\s*=\s*[''"]?([^"''\s>;]+)', 1, 'is')] ELSE [] END)) AS link
-    FROM page)
+  SELECT src, {absolute} AS link FROM (
+    SELECT one.src, coalesce(based.base, one.src) AS base, {trimmed_aim} AS link FROM (
+      SELECT row, src, href AS aim FROM one WHERE name = '<link' AND list_contains(regexp_split_to_array(lower(rel), '[{w}]+'), 'canonical')
+      UNION ALL SELECT row, src, concat(regexp_extract(content, '{refresh}', 1, 'is'), regexp_extract(content, '{refresh}', 2, 'is'), regexp_extract(content, '{refresh}', 3, 'is'))
+      FROM one WHERE name = '<meta' AND lower(trim(equiv)) = 'refresh'
+    ) one LEFT JOIN based USING (row)
+  ) WHERE link != ''
 ), named AS (
-  SELECT src AS url FROM targets UNION SELECT url FROM pages
-  UNION SELECT CASE WHEN contains(link, '://') THEN link WHEN starts_with(link, '//') THEN scheme || ':' || link WHEN starts_with(link, '/') THEN scheme || '://' || host || link END FROM targets WHERE link != ''
+  SELECT src AS url FROM targets WHERE link IS NOT NULL UNION SELECT url FROM pages UNION SELECT link FROM targets
 ), parts AS (
   SELECT url, translate(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
       || regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's') AS name,
@@ -147,15 +143,14 @@ WITH RECURSIVE page AS (
   SELECT url, CASE WHEN query != '' THEN name || '?' || query ELSE name END AS place FROM parts
 ), edges AS (
   SELECT DISTINCT a.place AS a, b.place AS b
-  FROM targets t JOIN places a ON a.url = t.src
-  JOIN places b ON b.url = CASE WHEN contains(link, '://') THEN link WHEN starts_with(link, '//') THEN scheme || ':' || link WHEN starts_with(link, '/') THEN scheme || '://' || host || link END
-  WHERE link != '' AND a.place != b.place
+  FROM targets t JOIN places a ON a.url = t.src JOIN places b ON b.url = t.link
+  WHERE a.place != b.place
 ), both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 reach(a, b) AS (
   SELECT DISTINCT place, place FROM places UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a
 ), members AS (SELECT a AS place, min(b) AS component FROM reach GROUP BY a),
 ruled AS (
-  SELECT page.*, (SELECT max_by(struct_pack(rule := r.rule, verdict := r.verdict), length(r.rule)) FROM rules r
+  SELECT page.* EXCLUDE (row), (SELECT max_by(struct_pack(rule := r.rule, verdict := r.verdict), length(r.rule)) FROM rules r
     WHERE (page.host = r.h OR ends_with(page.host, '.' || r.h)) AND starts_with(page.path, r.p)) AS own
   FROM page
 ), ruled_urls AS (
@@ -170,3 +165,45 @@ SELECT r.page_id, r.host, r.path, r.own.rule AS rule,
   coalesce(r.own.verdict, CASE d.allowed WHEN 1 THEN 'allow' WHEN 0 THEN 'block' ELSE 'allow' END) AS verdict, pl.place, m.component
 FROM ruled r LEFT JOIN places pl USING (url) LEFT JOIN members m USING (place) LEFT JOIN decided d USING (component)
 """
+
+
+def _sql_absolute(link: str, url: str) -> str:
+    """`absolute` as an SQL expression."""
+    scheme = f"regexp_extract({url}, '^(.*?)://', 1)"
+    site, path = (f"regexp_extract({url}, '^.*?://([^/?#]*)([^?#]*)', {i}, 's')" for i in (1, 2))
+    site, own, rest = f"{scheme} || '://' || {site}", f"regexp_extract({link}, '^[^?#]*', 0, 's')", f"regexp_extract({link}, '^[^?#]*(.*)$', 1, 's')"
+    folder = f"coalesce(nullif(regexp_extract({path}, '^(.*/)', 1, 's'), ''), '/')"
+
+    def without_dots(name: str) -> str:
+        parts = f"string_split(substring({name}, 2), '/')"
+        step = "CASE x[1] WHEN '.' THEN done WHEN '..' THEN done[1:greatest(len(done) - 1, 0)] ELSE list_concat(done, x) END"
+        kept = f"list_reduce(list_prepend([]::VARCHAR[], list_transform({parts}, lambda y: [y])), lambda done, x: {step})"
+        return f"('/' || array_to_string({kept}, '/') || CASE WHEN {parts}[-1] IN ('.', '..') AND len({kept}) > 0 THEN '/' ELSE '' END)"
+
+    return rf"""CASE WHEN regexp_matches({link}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {link}
+      WHEN regexp_matches({link}, '^[A-Za-z][A-Za-z0-9+.-]*:') OR NOT contains({url}, '://') THEN NULL
+      WHEN {link} = '' OR starts_with({link}, '#') THEN {url} WHEN starts_with({link}, '//') THEN {scheme} || ':' || {link}
+      WHEN starts_with({link}, '?') THEN {site} || {path} || {link} WHEN starts_with({link}, '/') THEN {site} || {without_dots(own)} || {rest}
+      ELSE {site} || {without_dots(f"({folder} || {own})")} || {rest} END"""
+
+
+def _sql() -> str:
+    """The rules of page_links.py and `judge` in DuckDB's SQL."""
+    quoted = lambda text: text.replace("'", "''")
+    plain = lambda pattern: quoted(pattern.replace("*+", "*").replace("?+", "?").replace("++", "+"))
+    elements = ("script", "style", "title", "textarea", "xmp", "iframe", "noembed", "noframes")
+    text = "|".join([r"<!--(?:>|->|.*?(?:--!?>|\z))", *(rf"<{e}[{W}/>].*?(?:</{e}[{W}/>]|\z)" for e in elements)])
+    code = r"try_cast(CASE WHEN p[3] IN ('x', 'X') THEN '0x' || nullif(regexp_extract(p, '^&#[xX]0*([0-9A-Fa-f]{0,7});?$', 1), '') ELSE regexp_extract(p, '^&#0*([0-9]{0,7});?$', 1) END AS BIGINT)"
+    trimmed = r"trim(translate({}, chr(9) || chr(10) || chr(12) || chr(13), ''))"
+    names = ", ".join(f"('{quoted(k)}', '{quoted(v)}')" for k, v in html5.items())
+    out = _SQL.replace("), tag AS (", f"), reference(reference, x) AS (VALUES {names}), tag AS (", 1).replace("code(p)", code)
+    parts = {
+        "attribute": plain(ATTRIBUTE), "text": quoted(text), "tag": plain(TAG.removeprefix("(?i)")), "c1": C1, "for_c1": FOR_C1, "w": W, "refresh": quoted(REFRESH.removeprefix("(?is)")),
+        "base": _sql_absolute("link", "src"), "absolute": _sql_absolute("link", "base"), "trimmed_href": trimmed.format("href"), "trimmed_aim": trimmed.format("aim"),
+    }
+    for name, part in parts.items():
+        out = out.replace("{" + name + "}", part)
+    return out
+
+
+SQL = _sql()

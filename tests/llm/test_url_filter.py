@@ -1,5 +1,11 @@
+import time
+
+import duckdb
+from pyspark.sql import functions as F
+
 from loomspark.llm.components import connected_components
-from loomspark.llm.url_filter import judge
+from loomspark.llm.page_links import decode_references
+from loomspark.llm.url_filter import SQL, judge
 
 
 def test_components(spark):
@@ -60,3 +66,62 @@ def test_entities_and_long_pages(spark):
     rows = [(1, "https://a.net/x", link("/t?a=1&amp;b=2")), (2, "https://b.net/x", link("https://a.net/t?a=1&#38;b=2") + long), (3, "https://c.net/x", long + link("https://a.net/t?a=1&b=2")), (4, "https://d.net/" + "y" * 100_000, None)]
     got = {r.page_id: r for r in judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert len({got[i].component for i in (1, 2, 3)}) == 1 and len(got[4].path) == 100_001
+
+
+def test_bases_references_comments_and_all_refreshes(spark):
+    canonical = '<link rel="canonical" href="{}">'.format
+    refresh = '<meta http-equiv="refresh" content="{}">'.format
+    to = "https://x.com/de/1"
+    pages = [  # url, html, whether the page is an alias of `to`
+        ("https://a1.net/p", '<base href="https://x.com/de/">' + canonical("1"), True),
+        ("https://a2.net/p", '<base target=_top><base href="//x.com/fr/"><base href="https://other.net/">' + canonical("../de/./1"), True),
+        ("https://a3.net/p", '<base href="data:,x">' + canonical("/de/1"), False),
+        ("https://a4.net/p", canonical("https&#58;//x&#x2e;com&sol;de&#0047;1"), True),
+        ("https://a5.net/p", canonical("https&colon;&sol;&sol;x&period;com/de/1"), True),
+        ("https://a6.net/p", refresh("5") + refresh("0; url=https://x.com/de/1") + refresh("9;url=/later"), True),
+        ("https://a7.net/p", refresh("9; https://other.net/") + refresh("1, URL = 'https://x.com/de/1' ; more"), True),
+        ("https://a8.net/p", f"<!-- {canonical(to)} -->", False),
+        ("https://a9.net/p", f"<!-- open {canonical(to)}", False),
+        ("https://b1.net/p", f"<script>var s = '{canonical(to)}';</script>", False),
+        ("https://b2.net/p", f"<script>1</script><style>p</style ><!---->{canonical(to)}", True),
+        ("https://b3.net/p", f"<textarea>{canonical(to)}</textarea><titles>" + canonical("/x"), False),
+        ("https://b4.net/p", f"<link title='a > b' data-href=\"/x\" href={to} href=/y rel='nofollow\nCANONICAL'>", True),
+        ("https://b5.net/p", f"<link rel=canonical href={to}", False),  # the tag does not end
+        ("https://b6.net/p", f"<linked rel=canonical href={to}>", False),
+        ("https://b7.net/p", canonical(" https://x.com/\n  \tde/1 ".replace("  ", "")), True),
+        ("https://b8.net/p", '<meta name="refresh" content="0;url=https://x.com/de/1">', False),
+        ("https://b9.net/p", canonical("") + '<link rel="canonicals" href="https://x.com/de/1">', False),
+        ("https://c1.net/p", canonical("https://x.com/de/1?a=1&copy=2"), False),
+        ("no url", canonical(to), False),
+        (None, canonical(to), False), ("https://c2.net/p", None, False),
+        ("https://x.com/de/1", "", True),
+        ("https://x.com/de/1?a=1&copy=2", "", False),
+    ]
+    rows = [(i, url, html) for i, (url, html, _) in enumerate(pages)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in judge(table).collect()}
+    home = next(r.component for r in got.values() if r.place == "x.com/de/1")
+    for i, (url, html, alias) in enumerate(pages):
+        assert (got[i].component == home) == alias, (url, html)
+    assert got[18].component == got[23].component == "c1.net/p"
+    con = duckdb.connect()
+    con.register("pages", table.toPandas())
+    sql = con.execute(SQL).fetchall()
+    key = lambda rows: sorted(map(str, rows))
+    assert key(sql) == key(tuple(r) for r in judge(table).collect())
+
+
+def test_references(spark):
+    texts = ["a&amp;b", "&AMP;&amp=1&ampx&amp", "&#65;&#x41;&#0;&#128;&#xD800;&#99999999999999999999999;&#x110000;", "&#128578;&;&#;&#x;&nosuch;", "&notin;&not;&notit;", "x", "", "&" * 50_000]
+    want = ["a&b", "&&amp=1&ampx&", "AA�€���", "\U0001f642&;&#;&#x;&nosuch;", "∉¬&notit;", "x", "", "&" * 50_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    assert [r.d for r in df.select("i", decode_references(F.col("t")).alias("d")).orderBy("i").collect()] == want
+
+
+def test_broken_pages_take_linear_time(spark):
+    many = 60_000
+    bodies = ["<link " * many, "<!-- " * many, "<script>" * many, '<link rel="canonical" href="' * many, "<link rel=canonical href='/a'>" * 2_000, "<link" + " a='>'" * many + ">", "&" * many, "<meta http-equiv=refresh content='" + "0;" * many + "'>"]
+    pages = spark.createDataFrame([(i, f"https://p{i}.net/", "canonical refresh " + b) for i, b in enumerate(bodies)], "page_id long, url string, html string")
+    begin = time.monotonic()
+    assert judge(pages).count() == len(bodies)
+    assert time.monotonic() - begin < 60
