@@ -1,7 +1,11 @@
+import itertools
+import math
 import random
 import time
 
-from loomspark.llm.html_extract import _MARK, extract, generated_page, main_text, parse, trained
+import numpy as np
+
+from loomspark.llm.html_extract import _MARK, Node, decode, extract, generated_page, main_text, parse, trained
 
 
 def truth(page):
@@ -57,3 +61,35 @@ def test_blocks_and_references(spark):
     assert first.text == "A title & more\nFirst <line>. Same block.\nSecond one, with inline."
     assert all(r.n_chars == len(r.text) for r in got) and next(r for r in got if r.page_id == 2).text == ""
     assert main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_decoding_is_the_best_of_all_consistent_labellings():
+    rng = random.Random(5)
+    seen = set()
+    for _ in range(150):
+        nodes = [Node("div", None, ())]
+        for _ in range(rng.randint(0, 6)):  # page order: a new element's parent is the last one or an ancestor of it
+            parent = nodes[-1]
+            while parent.parent and rng.random() < 0.4:
+                parent = parent.parent
+            nodes.append(Node("div", parent, ()))
+            parent.children.append(nodes[-1])
+        for n in nodes:
+            n.own = rng.choice([0, 0, 3, 80, 2000])
+        margins = np.array([rng.gauss(0, 3) for _ in nodes])
+        at = {id(n): i for i, n in enumerate(nodes)}
+        best, labels = -math.inf, None
+        for states in itertools.product("open kept out".split(), repeat=len(nodes)):
+            total = 0.0
+            for n, m, state in zip(nodes, margins, states, strict=True):
+                above = states[at[id(n.parent)]] if n.parent else "open"
+                if (state == "open" and not n.children) or (above == "out" and state != "out") or (above == "kept" and state == "open"):
+                    break
+                p = 1 / (1 + math.exp(-m))
+                total += -(0.8 + 2 * math.log1p(n.own)) if state == "open" else (1 + math.log1p(n.own)) * math.log(p if state == "kept" else 1 - p)
+            else:
+                if total > best:
+                    best, labels = total, states
+        assert [x == "kept" for x in labels] == decode(nodes, margins).tolist()
+        seen.update(labels)
+    assert seen == {"open", "kept", "out"}
