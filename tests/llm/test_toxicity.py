@@ -1,9 +1,12 @@
+import itertools
 import random
 import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 
-from loomspark.llm.toxicity import PART, SENTENCE, sentences, toxicity, without_toxic
+from loomspark.llm.toxicity import PART, SENTENCE, Landmarks, margins, marked, sentences, toxicity, without_toxic
 
 
 @pytest.fixture(scope="module")
@@ -73,3 +76,34 @@ def test_sentences_cover_all_words():
         assert list(starts) == sorted(set(starts)) and (not words or starts[0] == 0)
         assert all(b - a <= SENTENCE for a, b in zip(starts, [*starts[1:], len(words)], strict=False))
         assert all(len(w) <= PART for w in words) and len(words) >= len(text.split())
+
+def plain_subsequences(string):
+    """Subsequences of three to five characters within a span of five, by the rule and not by the library's patterns."""
+    out = []
+    for at in range(len(string)):
+        for size in (3, 4, 5):
+            for rest in itertools.combinations(range(at + 1, min(at + 5, len(string))), size - 1):
+                gaps = rest[-1] - at + 1 - size
+                weight = 0.7**gaps if size == 3 else {4: (1.5, 0.9), 5: (2.0,)}[size][gaps]
+                out.append(("".join(string[i] for i in (at, *rest)), weight))
+    return out
+
+
+def test_kernel_and_landmark_space_against_plain_enumeration():
+    known = ["idiot", "stupid", "moron", "table", "window", "a"]
+    words = ["idiot", "idi-ot", "ixdiot", "stupidity", "morn", "tables", "wind", "a", "zzz", "größe"]
+    vectors = {w: Counter() for w in {*known, *words}}
+    for w, v in vectors.items():
+        for s, weight in plain_subsequences(f"\1{w}\2"):
+            v[s] += weight
+    inner = lambda a, b: sum(x * vectors[b][s] for s, x in vectors[a].items())
+    scale = {w: sum(x * x for _, x in plain_subsequences(f"\1{w}\2")) ** 0.25 for w in vectors}
+    space = Landmarks(marked(known))
+    assert space.size == len(known)
+    # Where all landmarks' directions are kept, products with a landmark are the kernel itself.
+    got = space.embed(words) @ space.embed(known).T
+    want = np.array([[inner(a, b) / (scale[a] * scale[b]) for b in known] for a in words])
+    assert np.allclose(got, want, atol=2e-3 * want.max())
+    assert want[2, 0] > 0.5 * want[0, 0] and want[5, 0] == 0  # an inserted character does not break the likeness
+    beta = np.random.default_rng(3).normal(size=space.size)
+    assert np.allclose(margins(words, space.table(beta)), space.embed(words) @ beta, atol=1e-3)
