@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, sliced, small, stage
+from .common import BROADCAST_ROWS, SPACES, sliced, small, stage, unstage
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOLS = np.frombuffer(b"#*$%&|<>", dtype=np.uint8)
@@ -127,8 +127,12 @@ def _distance() -> Column:
 
 
 _UPPER = ", ".join(f"p{i}{j} double" for i, j in PAIRS)
-#: One row per group and start: rows, centre, inverse scatter, and the logarithm of the scatter's determinant.
-_MODEL = "grp string, start int, n long, " + ", ".join(f"m{i} double" for i in range(P)) + f", {_UPPER}, logdet double"
+#: Centre, inverse scatter, and the logarithm of the scatter's determinant.
+ESTIMATE = [*(f"m{i}" for i in range(P)), *(f"p{i}{j}" for i, j in PAIRS), "logdet"]
+#: One row per group and start; moved: the last step still lowered the determinant.
+_MODEL = "grp string, start int, n long, " + ", ".join(f"{c} double" for c in ESTIMATE) + ", moved boolean"
+#: By how much a step must lower the determinant's logarithm for another to follow.
+LEAST_GAIN = 1e-4
 
 
 def _scatter(r: dict, factor: float) -> tuple[np.ndarray, np.ndarray]:
@@ -143,17 +147,23 @@ def _scatter(r: dict, factor: float) -> tuple[np.ndarray, np.ndarray]:
     return mean, cov
 
 
-def _invert(factor: float):
-    """From moments of the chosen rows of a group to its model."""
+def _step(factor: float):
+    """From moments of the chosen rows of a group to its next model: the new one if its determinant is smaller, else the old."""
 
     def run(frames):
         for pdf in frames:
             out = []
             for r in pdf.to_dict("records"):
+                old = dict(r["old"])
                 mean, cov = _scatter(r, factor)
-                inverse = np.linalg.inv(cov)
-                out.append([r["grp"], int(r["start"]), int(r["n"]), *mean, *(inverse[i, j] for i, j in PAIRS), float(np.linalg.slogdet(cov)[1])])
-            yield pd.DataFrame(out, columns=["grp", "start", "n", *(f"m{i}" for i in range(P)), *(f"p{i}{j}" for i, j in PAIRS), "logdet"])
+                logdet = float(np.linalg.slogdet(cov)[1])
+                if logdet < old["logdet"]:
+                    inverse = np.linalg.inv(cov)
+                    fields = [*mean, *(inverse[i, j] for i, j in PAIRS), logdet]
+                else:
+                    fields = [old[c] for c in ESTIMATE]
+                out.append([r["grp"], int(r["start"]), int(r["n"]), *fields, bool(logdet < old["logdet"] - LEAST_GAIN)])
+            yield pd.DataFrame(out, columns=["grp", "start", "n", *ESTIMATE, "moved"])
 
     return run
 
@@ -187,37 +197,36 @@ def _starts(rows: DataFrame) -> DataFrame:
                 for start, c in ((0, np.eye(P)), (1, 0.95 * corr + 0.05 * np.eye(P))):
                     scatter = c * np.outer(scale, scale)
                     inverse = np.linalg.inv(scatter)
-                    out.append([r["grp"], start, int(r["n"]), *centre, *(inverse[i, j] for i, j in PAIRS), float(np.linalg.slogdet(scatter)[1])])
-            yield pd.DataFrame(out, columns=["grp", "start", "n", *(f"m{i}" for i in range(P)), *(f"p{i}{j}" for i, j in PAIRS), "logdet"])
+                    out.append([r["grp"], start, int(r["n"]), *centre, *(inverse[i, j] for i, j in PAIRS), math.inf, True])
+            yield pd.DataFrame(out, columns=["grp", "start", "n", *ESTIMATE, "moved"])
 
     return stage(bent.join(q, "grp").mapInPandas(both, _MODEL), "mcd-start")
 
 
 def _concentrate(rows: DataFrame, model: DataFrame, coverage: float) -> DataFrame:
-    """One concentration step over all rows. Bins are 1/16 of a doubling of the squared distance wide."""
-    near = rows.join(small(model), "grp").withColumn("bin", F.floor(16 * F.log2(_distance() + 1e-6)))
+    """One concentration step over all rows of the groups in `model`. Bins are 1/16 of a doubling of the squared distance wide."""
+    near = rows.join(model, "grp").withColumn("bin", F.floor(16 * F.log2(_distance() + 1e-6)))
     by_bin = near.groupBy("grp", "start", "bin").agg(F.first("n").alias("n"), *_moments())
     upto = Window.partitionBy("grp", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     sums = by_bin.select("grp", "start", "n", "bin", *(F.sum(m).over(upto).alias(m) for m in MOMENTS)).filter(F.col("cnt") >= F.ceil(coverage * F.col("n")))
     chosen = sums.groupBy("grp", "start").agg(F.min_by(F.struct("n", *MOMENTS), "bin").alias("x")).select("grp", "start", "x.*")
+    old = model.select("grp", "start", F.struct(*ESTIMATE).alias("old"))
     q = chi2_quantile(coverage, P)
-    return stage(chosen.mapInPandas(_invert(coverage / chi2_cdf(q, P + 2)), _MODEL), "mcd")
+    return chosen.join(old, ["grp", "start"]).mapInPandas(_step(coverage / chi2_cdf(q, P + 2)), _MODEL)
 
 
 def raw_estimates(rows: DataFrame, coverage: float = 0.75) -> DataFrame:
-    """The converged model of the smaller determinant per `grp`. A step that lowers no determinant by 1e-4 is the last; one
-    that raises a determinant, as bins are not quite exact, is not taken. Each further step lowers a determinant by at least
-    1e-4, and ridges bound determinants from below, so the search ends without a limit on its steps."""
-    fields = [c for c in (f.split()[0] for f in _MODEL.split(", ")) if c not in ("grp", "start")]
-    model = _concentrate(rows, _starts(rows), coverage)
-    while True:
-        new = _concentrate(rows, model, coverage)
-        old = model.select("grp", "start", F.col("logdet").alias("before"))
-        if not new.join(old, ["grp", "start"]).filter(F.col("logdet") < F.col("before") - 1e-4).limit(1).count():
-            break
-        lower = model.unionByName(new).groupBy("grp", "start").agg(F.min_by(F.struct(*fields), "logdet").alias("x"))
-        model = stage(lower.select("grp", "start", "x.*"), "mcd")
-    best = model.groupBy("grp").agg(F.min_by(F.struct(*(c for c in model.columns if c != "grp")), F.struct("logdet", "start")).alias("x"))
+    """The converged model of the smaller determinant per `grp`. Each group and start goes on by itself: a step that lowers
+    its determinant by less than `LEAST_GAIN` is its last, and one that raises it, as bins are not quite exact, is not
+    taken. Only the rows of groups that still move are measured again. As each further step lowers a determinant by at
+    least that much, and ridges bound determinants from below, the search ends without a limit on its steps."""
+    model = _starts(rows)
+    while moving := model.agg(F.count_if("moved")).first()[0]:
+        active, done = model.filter("moved"), model.filter("NOT moved")
+        new = stage(_concentrate(rows, F.broadcast(active) if moving <= BROADCAST_ROWS else active, coverage).unionByName(done), "mcd")
+        unstage(model)
+        model = new
+    best = model.groupBy("grp").agg(F.min_by(F.struct("n", *ESTIMATE), F.struct("logdet", "start")).alias("x"))
     return stage(best.select("grp", "x.*"), "mcd-raw")
 
 
