@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -28,6 +29,23 @@ def test_closure_and_roots(spark):
     assert lineage.roots(chain.limit(0), "c", "p").collect() == [] == lineage.closure(chain.limit(0), "c", "p").collect()
 
 
+def test_closure_keeps_one_table_and_bounded_lists(spark):
+    """Earlier rounds leave nothing in the shared folder, and a node with many ancestors is several rows there."""
+    edges = [(5000, i) for i in range(1, 3000)] + [(i, i - 1) for i in range(1, 20)] + [(6000, 5000)]
+    lineage.closure(spark.createDataFrame([(2, 1)], "c long, p long"), "c", "p").collect()
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    size = lambda: {os.path.join(d, f) for d, _, files in os.walk(folder) for f in files if f.startswith("part-")}
+    before = size()
+    out = lineage.closure(spark.createDataFrame(edges, "c long, p long"), "c", "p")
+    left = {os.path.dirname(f) for f in size() - before}
+    assert len(left) == 1
+    assert spark.read.parquet(*left).selectExpr("max(size(far)) AS n").collect()[0].n <= lineage.LIST
+    got = {(r.node, r.ancestor): r.depth for r in out.collect()}
+    want = {(5000, i): 1 for i in range(1, 3000)} | {(5000, 0): 2, (6000, 5000): 1, (6000, 0): 3} | {(6000, i): 2 for i in range(1, 3000)}
+    want |= {(i, j): i - j for i in range(1, 20) for j in range(i)}
+    assert got == want
+
+
 @pytest.mark.parametrize("f", [lineage.closure, lineage.roots])
 def test_a_cycle_is_an_error(spark, f):
     with pytest.raises(ValueError, match="cycle"):
