@@ -1,10 +1,10 @@
-"""Secret scans: base patterns and a randomness test battery (operator 8). DataFrame functions only.
+"""Secret scans: base patterns and a randomness test battery (operator 8).
 
 Candidates are long runs of letters and digits of an inferred encoding. Three tests ask how well a candidate fits uniform
 randomness over its alphabet: chi-squared, runs about the alphabet's middle, and lag-one serial correlation; Fisher's
 method combines them into a score. What is controlled are false discoveries among the reported strings, so the null
-hypothesis is a structured string: every stretch of a text, its candidates left out, gives windows of its own letters,
-brought into encodings and cut to the least length of each class, whose scores are the null distribution of that encoding
+hypothesis is a structured string: every text, its candidates left out, is brought into each encoding and laid out in
+windows of the least length of each class, all of them, whose scores are the null distribution of that encoding
 and length. A p-value is the greater of the share of windows that look as random and the tail of a log-normal
 distribution with the windows' moments, so that it is finer than the number of windows. A Benjamini-Hochberg step per
 length class, over the candidates of all documents, decides which are reported. Short strings that the tests cannot tell from
@@ -13,10 +13,12 @@ structured ones have large p-values and stay out.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import sliced, stage
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -28,8 +30,10 @@ CLASSES = [(16, 0.05), (20, 0.05), (24, 0.05), (32, 0.05), (48, 0.05), (80, 0.05
 BINS = 240  # of scores, 20 to a power of ten
 #: Matches whose positions are added up together.
 CHUNK = 256
-#: Characters of a stretch; each stretch of a text gives windows in two encodings.
+#: Characters of a stretch, of which `structured` draws windows in two encodings.
 STRETCH = 2000
+#: Characters in windows that are scored together.
+SCORED = 1 << 19
 #: Windows of the least bin that each null distribution is given beforehand, so that few windows show little; and the least
 #: deviation of the logarithms of its bins.
 PRIOR, SPREAD = 3, 0.25
@@ -171,8 +175,7 @@ def candidates(text: Column) -> Column:
 
 
 def structured(text: Column) -> Column:
-    """Windows of a text's own characters outside candidates: an array of (kind, c, bin). Each stretch of the whole text
-    gives, in two encodings that its hash picks, one window per length class for which it has enough characters; where in
+    """A draw of windows of one text, to look at; `scan` takes all windows (`null_counts`). An array of (kind, c, bin). Each stretch gives, in two encodings that its hash picks, one window per length class for which it has enough characters; where in
     the stretch follows the hash, too."""
 
     def letters(part: Column, kind: Column) -> Column:
@@ -196,9 +199,88 @@ def structured(text: Column) -> Column:
     return F.flatten(F.transform(F.regexp_extract_all(rest, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0)), of))
 
 
-def thresholds(scored: DataFrame) -> dict[tuple[int, int], int]:
-    """Per encoding and length class, the greatest bin that is reported. From histograms of encodings x classes x bins."""
-    null = scored.select(F.explode("null").alias("s")).groupBy("s.kind", "s.c", "s.bin").agg(F.count(F.lit(1)).alias("k"), F.lit(0).cast("long").alias("m"))
+def window_scores(codes: np.ndarray, size: int) -> np.ndarray:
+    """`battery` of many strings of one length: rows of places in an alphabet of `size` letters."""
+    k, n = codes.shape
+    counts = np.bincount((np.arange(k)[:, None] * size + codes).ravel(), minlength=k * size).reshape(k, size)
+    x, high = codes.astype(np.float32), codes >= size / 2  # sums of products stay whole numbers below 2 ** 24
+    dot = lambda a, b: np.einsum("ij,ij->i", a, b).astype(np.float64)
+    squares, total, up = (counts * counts).sum(1), codes.sum(1, dtype=np.int64).astype(np.float64), high.sum(1).astype(np.float64)
+    changes, mean = (high[:, 1:] != high[:, :-1]).sum(1), total / n
+    variance = (n * dot(x, x) - total * total) / n
+    lagged = dot(x[:, 1:], x[:, :-1]) - mean * (2 * total - codes[:, 0] - codes[:, -1]) + (n - 1) * mean * mean
+    upper = lambda z: 1 / (1 + np.exp(np.clip(1.5976 * z + 0.07056 * z**3, -300, 300)))
+    chi2 = lambda x, df: upper((np.cbrt(x / df) - (1 - 2 / (9 * df))) / np.sqrt(2 / (9 * df)))
+    part = lambda p: np.log(np.clip(p, 1e-12, 1))
+    product = 2 * up * (n - up)
+    spread = product * (product - n) / (n * n * (n - 1))
+    ok, varied = spread > 0, variance > 0
+    runs = np.where(ok, 2 * upper(np.abs((changes - product / n) / np.sqrt(np.where(ok, spread, 1)))), 1e-6)
+    serial = np.where(varied, 2 * upper(np.abs(lagged / np.where(varied, variance, 1) * np.sqrt(n))), 1e-6)
+    return chi2(-2 * (part(chi2(np.maximum(squares * size / n - n, 0), size - 1)) + part(runs) + part(serial)), 6)
+
+
+def _places() -> np.ndarray:
+    """Per encoding, the place of each byte's letter, or -1. Letters are brought to the encoding's case."""
+    out = np.full((len(ENCODINGS), 256), -1, np.int8)
+    for own, (_, alphabet, _) in zip(out, ENCODINGS, strict=True):
+        for i, c in enumerate(alphabet):
+            own[ord(c)] = i
+        for up, low in zip(_UPPER, _LOWER, strict=True):
+            if max(own[ord(up)], own[ord(low)]) >= 0 and min(own[ord(up)], own[ord(low)]) < 0 and not (_LOWER[1] in alphabet and _UPPER[1] in alphabet):
+                own[ord(up)] = own[ord(low)] = max(own[ord(up)], own[ord(low)])
+    return out
+
+
+def null_histogram(texts: list[bytes], out: np.ndarray) -> None:
+    """Add to out[kind, c, bin] all windows of these UTF-8 texts: a text's characters of an encoding, without candidates,
+    laid out end to end, the last window moved back so that it ends with the text."""
+    flat = np.frombuffer(b"\xff".join(texts), np.uint8)  # a byte that no text has parts them
+    of = np.cumsum(flat == 255, dtype=np.int32)
+    edge = np.diff((_places()[-1] >= 0)[flat].astype(np.int8), prepend=0, append=0)
+    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    long = last - first >= CLASSES[0][0]
+    inside = np.zeros(len(flat) + 1, np.int8)
+    inside[first[long]], inside[last[long]] = 1, -1
+    rest = np.cumsum(inside[:-1], dtype=np.int8) == 0
+    flat, of = flat[rest], of[rest]
+    for kind, places in enumerate(_places()):
+        codes = places[flat]
+        own, size = codes[codes >= 0], len(ENCODINGS[kind][1])
+        held = np.bincount(of[codes >= 0], minlength=len(texts))
+        begin = np.cumsum(held) - held
+        for c, (n, _) in enumerate(CLASSES):
+            k = np.where(held >= n, -(-held // n), 0)
+            text = np.repeat(np.arange(len(held)), k)
+            number = np.arange(len(text)) - np.repeat(np.cumsum(k) - k, k)
+            at = begin[text] + np.minimum(number * n, held[text] - n)
+            for a in range(0, len(at), SCORED // n):
+                scores = window_scores(own[at[a : a + SCORED // n, None] + np.arange(n)], size)
+                bins = np.clip(np.floor(-20 * np.log10(np.maximum(scores, 1e-15))), 0, BINS).astype(np.int64)
+                out[kind, c] += np.bincount(bins, minlength=BINS + 1)
+
+
+def null_counts(docs: DataFrame) -> DataFrame:
+    """(kind, c, bin, k): how many windows of all texts score so, a histogram per task."""
+
+    def run(batches):
+        out = np.zeros((len(ENCODINGS), len(CLASSES), BINS + 1), np.int64)
+        for batch in batches:
+            for part in sliced([batch]):
+                null_histogram(part.column(0).to_pylist(), out)
+        kind, c, bin_ = np.nonzero(out)
+        columns = [pa.array(x.astype(np.int32)) for x in (kind, c, bin_)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(out[kind, c, bin_])], names=["kind", "c", "bin", "k"])
+
+    return docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(run, "kind int, c int, bin int, k long")
+
+
+def thresholds(scored: DataFrame, null: DataFrame | None = None) -> dict[tuple[int, int], int]:
+    """Per encoding and length class, the greatest bin that is reported. From histograms of encodings x classes x bins.
+    null: (kind, c, bin, k) as of `null_counts`; without it, the windows in the column null of scored."""
+    if null is None:
+        null = scored.select(F.explode("null").alias("s")).groupBy("s.kind", "s.c", "s.bin").agg(F.count(F.lit(1)).alias("k"))
+    null = null.withColumn("m", F.lit(0).cast("long"))
     found = scored.select(F.explode("r").alias("s")).groupBy("s.kind", "s.c", "s.bin").agg(F.lit(0).cast("long").alias("k"), F.count(F.lit(1)).alias("m"))
     cell = Window.partitionBy("kind", "c")
     counts = stage(null.unionByName(found).groupBy("kind", "c", "bin").agg(F.sum("k").alias("k"), F.sum("m").alias("m")), "scores")
@@ -225,17 +307,17 @@ def scan(docs: DataFrame) -> DataFrame:
 
     base_sha256 is of the base spans kind:start:end by start, then kind, comma-joined; spans also has the battery's
     finds that overlap no base span. A null text counts as empty: no spans. Repeated rows and null ids are kept; other
-    columns are not read. Matches are found in whole texts, which are read once. With very few texts the null
+    columns are not read. Matches are found in whole texts, which are read twice: for spans and for the null distributions. With very few texts the null
     distributions have few windows, so that p-values are large and little or nothing is reported beyond the base spans.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     bare = lambda a: F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end")))
     value = lambda found: F.length(F.regexp_extract(found, ASSIGN, 2)) >= 8
     scored = docs.select(
-        "doc_id", bare(spans(text, ASSIGN, "assign", value)).alias("a"), bare(spans(text, ACCESS, "access")).alias("k"), bare(spans(text, HEX, "hex")).alias("h"), candidates(text).alias("r"), structured(text).alias("null")
+        "doc_id", bare(spans(text, ASSIGN, "assign", value)).alias("a"), bare(spans(text, ACCESS, "access")).alias("k"), bare(spans(text, HEX, "hex")).alias("h"), candidates(text).alias("r")
     )
     scored = stage(scored, "scored")
-    greatest = thresholds(scored)
+    greatest = thresholds(scored, null_counts(docs))
 
     def is_random(s: Column) -> Column:
         bound = F.lit(-1)

@@ -3,7 +3,9 @@ import math
 import random
 import re
 
-from loomspark.llm.secrets_scan import CLASSES, KINDS, PRIOR, SPREAD, STRETCH, battery, encoding, scan, structured, thresholds
+from pyspark.sql import functions as F
+
+from loomspark.llm.secrets_scan import CANDIDATE, CLASSES, ENCODINGS, KINDS, PRIOR, SPREAD, STRETCH, _bin, battery, encoding, null_counts, scan, structured, thresholds
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -145,3 +147,22 @@ def test_whole_texts_give_the_null_distribution(spark):
     stretches = -(-len(long) // STRETCH)
     assert 2 * (stretches - 1) <= sum(x.c == 0 for x in got[0]) <= 2 * stretches and not got[1] and not got[2]
     assert len({x.kind for x in got[0]}) == 8
+
+
+def test_the_null_distribution_has_all_windows(spark):
+    """Every window of every text counts, in all encodings, and scores as in the battery."""
+    rng = random.Random(4)
+    texts = [prose(rng, n) for n in (0, 3, 40, 700)] + ["q7" * 40 + " é " + prose(rng, 30), "Straße 12 " * 9, "", None, "0" * 15 + " " + "A" * 15]
+    windows = []
+    for text in texts:
+        rest = re.sub(CANDIDATE, "", text or "")
+        for kind, (chars, _, _) in enumerate(ENCODINGS):
+            case = [str.lower, str.upper, str.upper, str.lower, str.upper, str, str, str][kind]
+            own = re.sub(f"[^{chars}]", "", case("".join(c for c in rest if ord(c) < 128)))
+            for c, (n, _) in enumerate(CLASSES):
+                if len(own) >= n:
+                    windows += [(own[i : i + n], kind, c) for i in (min(j, len(own) - n) for j in range(0, len(own), n))]
+    df = spark.createDataFrame(windows, "t string, kind int, c int")
+    want = df.withColumn("bin", _bin(battery(df.t, df.kind))).groupBy("kind", "c", "bin").count().collect()
+    got = null_counts(spark.createDataFrame([(t,) for t in texts], "text string")).groupBy("kind", "c", "bin").agg(F.sum("k").alias("k")).collect()
+    assert {(r.kind, r.c, r.bin): r["count"] for r in want} == {(r.kind, r.c, r.bin): r.k for r in got}
