@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from array import array
 from functools import lru_cache
@@ -70,7 +71,7 @@ class Known(dict):
         self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.old.get(word)
+        ids = self.old.get(word) if self.old else None
         if ids is None:
             ids = self.make(word)
         if len(word) <= LONG:
@@ -98,26 +99,28 @@ class WordIds:
         self.tokenizer.no_truncation()
         with open(file, encoding="utf-8") as f:
             self.fast = word_wise(json.load(f))
-        self.end, self.letters = end_id.to_bytes(4, "little"), dict(enumerate(byte_letters()))
-        self.merges = self.tokenizer.model.tokenize
+        self.end, self.letters = end_id.to_bytes(4, "little"), byte_letters().__getitem__
+        self.merges, self.packed = self.tokenizer.model.tokenize, [struct.Struct(f"<{n}I").pack for n in range(LONG)]
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _word(self, word: str) -> bytes:
-        plain = word.isascii() or (max(word) < _PLAIN and "\u0130" not in word)
-        if not plain or "<|" in word:
+        ascii_ = word.isascii()
+        if "<|" in word or not (ascii_ or (max(word) < _PLAIN and "\u0130" not in word)):
             return self._whole(word)
         low = word.lower()
         if not low.isalpha():
             parts = _PARTS.findall(low)
             if len(parts) > 1:
-                return b"".join(map(self.known.__getitem__, parts))
+                known = self.known
+                return b"".join([known[p] for p in parts])
         if low != word:
             return self.known[low]
-        if not (low.isascii() and low.isprintable()):
-            low = low.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.merges(low)]).tobytes()
+        if not (ascii_ and low.isprintable()):
+            low = "".join(map(self.letters, low.encode()))
+        ids = [t.id for t in self.merges(low)]
+        return self.packed[len(ids)](*ids) if len(ids) < LONG else array("I", ids).tobytes()
 
     def of(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; a null text has the end id alone."""
