@@ -52,3 +52,22 @@ def test_planted_cases_are_decided(spark):
     assert groups == {i for i, _ in rows} - {201, 202, 203}
     kept = {r.doc_id for r in run["benchmark decontamination"](spark, lines, SF).collect()}
     assert kept == {i for i, _ in rows} - {300}
+
+
+def test_workers_get_bounded_batches(spark):
+    """However long the texts, an Arrow batch stays small: an executor holds one for each task in its JVM and in Python."""
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": pa.array([batch.nbytes], pa.int64()), "rows": pa.array([batch.num_rows], pa.int64())})
+
+    docs = spark.range(0, 400, 1, 1).selectExpr("id AS doc_id", "repeat('some text ', 5000) AS text", "'en' AS lang", "'a' AS source", "50000L AS n_chars")
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for name, stage in corpus_pipeline.STAGES:
+        if name != "line dedup":  # which runs no Python
+            spark.conf.unset(setting)
+            stage(spark, docs.limit(0), SF)
+            got = docs.mapInArrow(sizes, "bytes long, rows long").collect()
+            assert sum(r.rows for r in got) == 400 and max(r.bytes for r in got) < 4_000_000, name
+    spark.conf.unset(setting)
