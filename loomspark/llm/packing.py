@@ -31,6 +31,8 @@ K1, B = 1.2, 0.75
 RANKED = 64
 #: Postings that are added up at once.
 POSTINGS = 400_000
+#: The share of a shard's documents from which on a term counts as common is one in so many.
+DENSE = 4
 #: The settings of a tokenizer whose ids can be looked up word by word.
 _NORMALIZER = ["NFC", "Replace", "Lowercase"]
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -62,6 +64,19 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(256 + others.index(b)) for b in range(256)]
 
 
+def lowered(text: str) -> str:
+    """The text in lower case, so that fewer words are met, if its ids are surely the same: where all its characters are
+    of Latin 1, in which neither composition nor a letter's neighbours matter, and it holds no special string."""
+    if "<|" in text:
+        return text
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+    return text.lower()
+
+
 class Known(dict):
     """What `make` gives for strings, kept for those met of late: when `limit` are held they become the old ones, of which
     those met again are kept on."""
@@ -99,7 +114,7 @@ class WordIds:
         self.tokenizer.no_truncation()
         with open(file, encoding="utf-8") as f:
             self.fast = word_wise(json.load(f))
-        self.end, self.letters = end_id.to_bytes(4, "little"), byte_letters().__getitem__
+        self.end, self.letters = end_id.to_bytes(4, "little"), dict(enumerate(byte_letters()))
         self.merges, self.packed = self.tokenizer.model.tokenize, [struct.Struct(f"<{n}I").pack for n in range(LONG)]
 
     def _whole(self, text: str) -> bytes:
@@ -107,19 +122,20 @@ class WordIds:
 
     def _word(self, word: str) -> bytes:
         ascii_ = word.isascii()
-        if "<|" in word or not (ascii_ or (max(word) < _PLAIN and "\u0130" not in word)):
-            return self._whole(word)
-        low = word.lower()
-        if not low.isalpha():
-            parts = _PARTS.findall(low)
-            if len(parts) > 1:
-                known = self.known
-                return b"".join([known[p] for p in parts])
-        if low != word:
-            return self.known[low]
-        if not (ascii_ and low.isprintable()):
-            low = "".join(map(self.letters, low.encode()))
-        ids = [t.id for t in self.merges(low)]
+        if not (ascii_ and word.isalpha() and word.islower()):
+            if "<|" in word or not (ascii_ or (max(word) < _PLAIN and "\u0130" not in word)):
+                return self._whole(word)
+            low = word.lower()
+            if not low.isalpha():
+                parts = _PARTS.findall(low)
+                if len(parts) > 1:
+                    known = self.known
+                    return b"".join([known[p] for p in parts])
+            if low != word:
+                return self.known[low]
+            if not (ascii_ and word.isprintable()):
+                word = word.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.merges(word)]
         return self.packed[len(ids)](*ids) if len(ids) < LONG else array("I", ids).tobytes()
 
     def of(self, texts: list[str | None]) -> list[bytes]:
@@ -128,7 +144,7 @@ class WordIds:
             return [self._whole(t) + self.end if t else self.end for t in texts]
         ids = self.known.__getitem__
         split = lambda t: _WORDS.findall(t) if any(c in t for c in _SEPARATORS) else t.split()
-        return [b"".join(map(ids, split(t))) + self.end if t else self.end for t in texts]
+        return [b"".join(map(ids, split(lowered(t)))) + self.end if t else self.end for t in texts]
 
 
 @lru_cache(maxsize=2)
@@ -160,16 +176,21 @@ def encoded(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID, words_ke
 
 
 class Index:
-    """BM25 over the token ids of one shard."""
+    """BM25 over the token ids of one shard. Weights of terms that are in at least a `DENSE`-th of the documents are rows of
+    a matrix, which has at most `DENSE` cells for each posting; the others are lists of postings."""
 
     def __init__(self, ids: list[np.ndarray]):
         n = len(ids)
         lengths = np.array([len(x) for x in ids])
-        doc = np.repeat(np.arange(n, dtype=np.int64), lengths)
-        keys = np.sort((np.concatenate(ids).astype(np.int64) << 32) | doc)
-        new = np.flatnonzero(np.diff(keys, prepend=-1))
+        every = np.concatenate(ids)
+        # Keys of 32 bits where a term and a document fit, which sort in half the time.
+        shift = max(n - 1, 1).bit_length()
+        wide = len(every) and int(every.max()) >> (32 - shift)
+        kind = np.uint64 if wide else np.uint32
+        keys = np.sort((every.astype(kind) << kind(shift)) | np.repeat(np.arange(n, dtype=kind), lengths))
+        new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
         tf = np.diff(new, append=len(keys)).astype(np.float64)
-        term, self.doc = keys[new] >> 32, (keys[new] & 0xFFFFFFFF).astype(np.int64)
+        term, self.doc = (keys[new] >> kind(shift)).astype(np.int64), (keys[new] & kind((1 << shift) - 1)).astype(np.int64)
         first = np.flatnonzero(np.diff(term, prepend=-1))
         df = np.diff(first, append=len(term))
         self.start, self.end = first, first + df
@@ -180,11 +201,24 @@ class Index:
         by_doc = np.argsort(self.doc, kind="stable")
         self.doc_start = np.searchsorted(self.doc[by_doc], np.arange(n + 1))
         self.terms, self.n = entry[by_doc], n
+        # Rows of the matrix for the common terms, whose lists are then empty.
+        common = df * DENSE >= n
+        self.row = np.where(common, np.cumsum(common) - 1, -1)
+        self.column, self.dense = np.arange(n), np.zeros((np.count_nonzero(common), n))
+        at = common[entry]
+        self.dense[self.row[entry[at]], self.doc[at]] = self.weight[at]
+        upto = np.concatenate(([0], np.cumsum(~at)))
+        self.start, self.end = upto[self.start], upto[self.end]
+        self.doc, self.weight = self.doc[~at], self.weight[~at]
 
     def scores(self, seed: int, free: np.ndarray) -> np.ndarray:
         """BM25 of every document for all terms of the seed; 0 where a document is not free."""
         own = self.terms[self.doc_start[seed] : self.doc_start[seed + 1]]
-        every, scores = self.end[own] - self.start[own], np.zeros(self.n)
+        every, scores, rows = self.end[own] - self.start[own], np.zeros(self.n), self.row[own]
+        rows, total = rows[rows >= 0], np.zeros(len(self.column))
+        for r in rows.tolist():
+            total += self.dense[r]
+        scores[self.column] = total
         # Terms in runs of about POSTINGS postings, so that memory does not grow with the terms of a long seed.
         runs = np.append(np.searchsorted(np.cumsum(every), np.arange(0, every.sum(), POSTINGS), "right"), len(own))
         for a, b in zip(runs, runs[1:], strict=False):
@@ -200,6 +234,8 @@ class Index:
         upto = np.concatenate(([0], np.cumsum(keep)))
         self.start, self.end = upto[self.start], upto[self.end]
         self.doc, self.weight = self.doc[keep], self.weight[keep]
+        keep = free[self.column]
+        self.column, self.dense = self.column[keep], self.dense[:, keep]
 
 
 def ranking(scores: np.ndarray, first: int = RANKED) -> tuple[np.ndarray, np.ndarray]:

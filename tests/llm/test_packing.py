@@ -144,3 +144,24 @@ def test_a_seed_whose_weightiest_terms_no_other_has():
     others = [np.array([*range(200 + 9 * i, 209 + 9 * i), 2], "<u4") for i in range(20)]
     windows = fill([seed, *others, np.array([*range(3, 13), 2], "<u4")], 64)
     assert [d for d, _, _ in windows[0]][:2] == [0, 21]
+
+
+def test_words_of_latin_texts_are_kept_once_in_lower_case():
+    tokenizer, words = Tokenizer.from_file(FILE), WordIds(FILE)
+    words.of(["The THE the tHE"])
+    assert len(words.known) == 1
+    for text in ["H\u0331 h\u0331 I\u0307", "<|ENDOFTEXT|> <|endoftext|>", "ÀÉ ÞÞ µ ß Ÿ ÿ", "ΑΣ ΑΣ."]:
+        assert np.frombuffer(words.of([text])[0], "<u4").tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2], text
+
+
+def test_common_terms_in_a_matrix_score_as_lists_do(monkeypatch):
+    rng = np.random.default_rng(8)
+    ids = [np.array(rng.zipf(1.4, rng.integers(0, 90)) % 70_000, "<u4") for _ in range(90)]
+    for dense in (1, 4, 90):
+        monkeypatch.setattr(packing, "DENSE", dense)
+        index, free = Index(ids), np.ones(90, bool)
+        for seed in range(0, 90, 9):
+            free[seed] = False
+            want = np.where(free, bm25([np.append(x, 2) for x in ids], seed), 0)
+            assert np.allclose(index.scores(seed, free), want)
+            index.drop(free)
