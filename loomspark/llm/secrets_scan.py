@@ -13,12 +13,10 @@ structured ones have large p-values and stay out.
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sliced, stage
+from .common import stage
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -32,8 +30,8 @@ BINS = 240  # of scores, 20 to a power of ten
 CHUNK = 256
 #: Characters of a stretch, of which `structured` draws windows in two encodings.
 STRETCH = 2000
-#: Characters in windows that are scored together.
-SCORED = 1 << 19
+#: Bits of a letter's place plus 1 in the largest alphabet.
+PLANES = 7
 #: Windows of the least bin that each null distribution is given beforehand, so that few windows show little; and the least
 #: deviation of the logarithms of its bins.
 PRIOR, SPREAD = 3, 0.25
@@ -199,80 +197,142 @@ def structured(text: Column) -> Column:
     return F.flatten(F.transform(F.regexp_extract_all(rest, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0)), of))
 
 
-def window_scores(codes: np.ndarray, size: int) -> np.ndarray:
-    """`battery` of many strings of one length: rows of places in an alphabet of `size` letters."""
-    k, n = codes.shape
-    counts = np.bincount((np.arange(k)[:, None] * size + codes).ravel(), minlength=k * size).reshape(k, size)
-    x, high = codes.astype(np.float32), codes >= size / 2  # sums of products stay whole numbers below 2 ** 24
-    dot = lambda a, b: np.einsum("ij,ij->i", a, b).astype(np.float64)
-    squares, total, up = (counts * counts).sum(1), codes.sum(1, dtype=np.int64).astype(np.float64), high.sum(1).astype(np.float64)
-    changes, mean = (high[:, 1:] != high[:, :-1]).sum(1), total / n
-    variance = (n * dot(x, x) - total * total) / n
-    lagged = dot(x[:, 1:], x[:, :-1]) - mean * (2 * total - codes[:, 0] - codes[:, -1]) + (n - 1) * mean * mean
-    upper = lambda z: 1 / (1 + np.exp(np.clip(1.5976 * z + 0.07056 * z**3, -300, 300)))
-    chi2 = lambda x, df: upper((np.cbrt(x / df) - (1 - 2 / (9 * df))) / np.sqrt(2 / (9 * df)))
-    part = lambda p: np.log(np.clip(p, 1e-12, 1))
-    product = 2 * up * (n - up)
-    spread = product * (product - n) / (n * n * (n - 1))
-    ok, varied = spread > 0, variance > 0
-    runs = np.where(ok, 2 * upper(np.abs((changes - product / n) / np.sqrt(np.where(ok, spread, 1)))), 1e-6)
-    serial = np.where(varied, 2 * upper(np.abs(lagged / np.where(varied, variance, 1) * np.sqrt(n))), 1e-6)
-    return chi2(-2 * (part(chi2(np.maximum(squares * size / n - n, 0), size - 1)) + part(runs) + part(serial)), 6)
-
-
-def _places() -> np.ndarray:
-    """Per encoding, the place of each byte's letter, or -1. Letters are brought to the encoding's case."""
-    out = np.full((len(ENCODINGS), 256), -1, np.int8)
-    for own, (_, alphabet, _) in zip(out, ENCODINGS, strict=True):
-        for i, c in enumerate(alphabet):
-            own[ord(c)] = i
+def _places() -> list[dict[str, int]]:
+    """Per encoding, the place in its alphabet of each character that it reads, brought to its case."""
+    out = []
+    for _, alphabet, _ in ENCODINGS:
+        own = {c: i for i, c in enumerate(alphabet)}
+        one_case = not (_UPPER[1] in own and _LOWER[1] in own)
         for up, low in zip(_UPPER, _LOWER, strict=True):
-            if max(own[ord(up)], own[ord(low)]) >= 0 and min(own[ord(up)], own[ord(low)]) < 0 and not (_LOWER[1] in alphabet and _UPPER[1] in alphabet):
-                own[ord(up)] = own[ord(low)] = max(own[ord(up)], own[ord(low)])
+            if one_case and (up in own or low in own):
+                own[up] = own[low] = own[up] if up in own else own[low]
+        out.append(own)
     return out
 
 
-def null_histogram(texts: list[bytes], out: np.ndarray) -> None:
-    """Add to out[kind, c, bin] all windows of these UTF-8 texts: a text's characters of an encoding, without candidates,
-    laid out end to end, the last window moved back so that it ends with the text."""
-    flat = np.frombuffer(b"\xff".join(texts), np.uint8)  # a byte that no text has parts them
-    of = np.cumsum(flat == 255, dtype=np.int32)
-    edge = np.diff((_places()[-1] >= 0)[flat].astype(np.int8), prepend=0, append=0)
-    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    long = last - first >= CLASSES[0][0]
-    inside = np.zeros(len(flat) + 1, np.int8)
-    inside[first[long]], inside[last[long]] = 1, -1
-    rest = np.cumsum(inside[:-1], dtype=np.int8) == 0
-    flat, of = flat[rest], of[rest]
-    for kind, places in enumerate(_places()):
-        codes = places[flat]
-        own, size = codes[codes >= 0], len(ENCODINGS[kind][1])
-        held = np.bincount(of[codes >= 0], minlength=len(texts))
-        begin = np.cumsum(held) - held
-        for c, (n, _) in enumerate(CLASSES):
-            k = np.where(held >= n, -(-held // n), 0)
-            text = np.repeat(np.arange(len(held)), k)
-            number = np.arange(len(text)) - np.repeat(np.cumsum(k) - k, k)
-            at = begin[text] + np.minimum(number * n, held[text] - n)
-            for a in range(0, len(at), SCORED // n):
-                scores = window_scores(own[at[a : a + SCORED // n, None] + np.arange(n)], size)
-                bins = np.clip(np.floor(-20 * np.log10(np.maximum(scores, 1e-15))), 0, BINS).astype(np.int64)
-                out[kind, c] += np.bincount(bins, minlength=BINS + 1)
+def _readings() -> dict[int, tuple[list[int], str, str]]:
+    """Encoding to (encodings that read every text alike, characters, what `translate` makes of them): a letter's place
+    plus 1 as a code point, and nothing of the characters that the encoding leaves out."""
+    places, out = _places(), {}
+    for kind, own in enumerate(places):
+        alike = next((k for k in out if places[k] == own), None)
+        if alike is None:
+            out[kind] = ([kind], "".join([*own, *(c for c in places[-1] if c not in own)]), "".join(chr(1 + p) for p in own.values()))
+        else:
+            out[alike][0].append(kind)
+    return out
+
+
+def _signed(bits: int) -> str:
+    return f"({bits - (1 << 64) if bits >> 63 else bits}L)"
+
+
+def _unfused(name: str) -> str:
+    """The column as it is. Spark does not fuse a step that holds a lambda with its neighbours, so that the step's many
+    sums become many short methods: one long method would never be compiled to machine code."""
+    return f"transform(array({name}), x -> x)[0] AS {name}"
+
+
+def _chunks(docs: DataFrame) -> DataFrame:
+    """(kind, size, held, i, p00..p26): of every text in each encoding, without candidates, the letters 64 i to 64 i + 143 as
+    bit planes. Bit b of the letters' places plus 1 is in p0b for the first 64, p1b for the next, p2b for the last 16, the
+    first letter in the highest bit; 0 stands for no letter. size: letters of the alphabet; held: letters of the text."""
+    clean = docs.select(F.regexp_replace(F.coalesce("text", F.lit("")), f"{CANDIDATE}|[^A-Za-z0-9+/_-]+", "").alias("clean"))
+    each = [F.struct(F.lit(k).alias("kind"), F.lit(float(len(ENCODINGS[k][1]))).alias("size"), F.translate("clean", old, new).alias("own")) for k, (_, old, new) in _readings().items()]
+    own = clean.select(F.explode(F.array(*each)).alias("s")).select("s.*", F.length("s.own").alias("held")).filter(F.col("held") >= CLASSES[0][0])
+    whole = F.rpad("own", F.ceil(F.col("held") / 8).cast("int") * 8, "\0").cast("binary")
+    # Eight letters a long, the first in the highest byte.
+    words = lambda o: F.transform(F.sequence(F.lit(1), F.length(o), F.lit(8)), lambda at: F.conv(F.hex(F.substring(o, at, F.lit(8))), 16, 10).cast("long"))
+    t = own.select("kind", "size", "held", let(whole, words).alias("w")).select("*", F.explode(F.expr("sequence(0, int((held - 1) div 64))")).alias("i"))
+    t = t.selectExpr("kind", "size", "held", "i", *(f"coalesce(get(w, 8 * i + {j}), 0L) AS t{j}" for j in range(18)))
+    # Each long is transposed as a matrix of 8 by 8 bits: squares of 1, 2 and 4 bits change places with their mirror images.
+    for stay, move, by in ((0xAA55AA55AA55AA55, 0x00AA00AA00AA00AA, 7), (0xCCCC3333CCCC3333, 0x0000CCCC0000CCCC, 14), (0xF0F0F0F00F0F0F0F, 0x00000000F0F0F0F0, 28)):
+        t = t.selectExpr("kind", "size", "held", _unfused("i"), *(f"(t{j} & {_signed(stay)}) | ((t{j} & {move}L) << {by}) | ((t{j} >>> {by}) & {move}L) AS t{j}" for j in range(18)))
+    plane = lambda d, b: " | ".join(f"(((t{j} >>> {8 * b}) & 255L) << {56 - 8 * (j % 8)})" for j in range(8 * d, min(8 * d + 8, 18)))
+    return t.selectExpr("kind", "size", "held", _unfused("i"), *(f"{plane(d, b)} AS p{d}{b}" for d in range(3) for b in range(PLANES)))
+
+
+def _windows(docs: DataFrame) -> DataFrame:
+    """All windows of the least length of each class, end to end, the last moved back so that it ends with the text:
+    (kind, size, c, n, planes a0..a6 of the first 64 letters and b0..b6 of the others, masks for pairs of neighbours (ca,
+    cb) and for the first and last letter (ea, eb))."""
+    top = lambda k: ((1 << 64) - 1) ^ ((1 << (64 - k)) - 1)
+
+    def of_class(c: int, n: int) -> str:
+        first, other = min(n, 64), max(n - 64, 0)
+        last_a, last_b = (0, 1 << (64 - other)) if other else (1 << (64 - first), 0)
+        masks = {"ma": top(first), "mb": top(other), "ca": top(64 if other else n - 1), "cb": top(max(other - 1, 0)), "ea": 1 << 63 | last_a, "eb": last_b}
+        return f"named_struct('c', {c}, 'n', {n}, {', '.join(f"'{k}', {_signed(v)}" for k, v in masks.items())})"
+
+    planes = [f"p{d}{b}" for d in range(3) for b in range(PLANES)]
+    w = _chunks(docs).selectExpr("kind", "size", "held", "i", *planes, f"explode(array({', '.join(of_class(c, n) for c, (n, _) in enumerate(CLASSES))})) AS m")
+    w = w.select("kind", "size", "held", "i", *planes, "m.*").filter("n <= held")
+    w = w.selectExpr("*", "int((64 * i + n - 1) div n * n) AS low", "int(least(64 * i + 63, held - n) div n * n) AS high")
+    starts = "concat(if(low <= high, sequence(low, high, n), array()), if(held % n > 0 AND (held - n) div 64 = i, array(held - n), array()))"
+    w = w.selectExpr("kind", "size", "c", "n", "ma", "mb", "ca", "cb", "ea", "eb", *planes, f"explode({starts}) AS s").withColumn("r", F.expr("s & 63"))
+    cut = lambda d, b: f"((p{d}{b} << r) | ((p{d + 1}{b} >>> 1) >>> (63 - r)))"
+    return w.selectExpr("kind", "size", "c", "double(n) AS n", "ca", "cb", "ea", "eb", *(f"{cut(d, b)} & m{x} AS {x}{b}" for d, x in enumerate("ab") for b in range(PLANES)))
+
+
+def _sums(windows: DataFrame) -> DataFrame:
+    """What the battery needs of each window: of its letters' places plus 1 the sum s1, the sum of squares s2, that of
+    products of neighbours (lag) and of the first and last (ends); the sum of squared counts of letters; how many are in the alphabet's
+    upper half (up) and how often that changes. All are sums of bits in ands of planes."""
+    bits = range(PLANES)
+
+    def upper_half(x: str, least: int) -> str:
+        """Places plus 1 from `least`, from the lowest bit up."""
+        out = ""
+        for b in bits:
+            out = (f"{x}{b} & ({out})" if out else f"{x}{b}") if least >> b & 1 else (f"{x}{b} | ({out})" if out else out)
+        return out
+
+    def alike(x: str, part: str, own: list[int], v: int) -> str:
+        return " & ".join(f"{x}{b}" if v >> i & 1 else f"~{x}{b}" for i, b in enumerate(own)) + f" AS {x}{part}{v}"
+
+    half = lambda x: "CASE kind " + " ".join(f"WHEN {k} THEN {upper_half(x, len(ENCODINGS[k][1]) // 2 + 1)}" for k in _readings()) + f" ELSE 0L END AS {x}u"
+    most = max(len(a) for _, a, _ in ENCODINGS)
+    groups = [alike(x, part, own, v) for x in "ab" for part, own, k in (("l", [0, 1, 2], 8), ("h", list(bits)[3:], most // 8 + 1)) for v in range(k)]
+    following = [f"(a{b} << 1) | (b{b} >>> 63) AS na{b}" for b in bits] + [f"b{b} << 1 AS nb{b}" for b in bits]
+    w = windows.selectExpr("kind", "size", "c", "n", "ca", "cb", "ea", "eb", *(f"{x}{b}" for x in "ab" for b in bits), *groups, *following, half("a"), half("b"))
+    count = lambda x: f"double(bit_count({x}))"
+
+    def total(terms: list[tuple[int, str]]) -> str:
+        """Of factors and planes, with @ for the halves a and b. Only alphabets of 64 letters and more have the highest plane."""
+        part = lambda x, own: " + ".join(f"{k}D * {count(t.replace('@', x))}" for k, t in own)
+        high = [t for t in terms if str(PLANES - 1) in t[1]]
+        one = lambda x: f"{part(x, [t for t in terms if t not in high])} + CASE WHEN size > 63D THEN {part(x, high)} ELSE 0D END"
+        return f"{one('a')} + CASE WHEN n > 64D THEN {one('b')} ELSE 0D END"
+
+    letters = [(count(f"ah{y // 8} & al{y % 8}"), count(f"bh{y // 8} & bl{y % 8}")) for y in range(1, most + 1)]
+    squares = f"{' + '.join(f'{a} * {a}' for a, _ in letters)} + CASE WHEN n > 64D THEN {' + '.join(f'{b} * (2D * {a} + {b})' for a, b in letters)} ELSE 0D END"
+    return w.selectExpr(
+        "kind", "size", "c", _unfused("n"), f"{squares} AS squares",
+        total([(1 << b, f"@{b}") for b in bits]) + " AS s1",
+        total([((1 << a + b) * (1 if a == b else 2), f"@{a} & @{b}") for a in bits for b in bits if a <= b]) + " AS s2",
+        total([(1 << a + b, f"@{a} & n@{b}") for a in bits for b in bits]) + " AS lag",
+        total([(1 << b, f"@{b} & e@") for b in bits]) + " AS ends",
+        f"{count('au')} + {count('bu')} AS up",
+        f"{count('(au ^ ((au << 1) | (bu >>> 63))) & ca')} + {count('(bu ^ (bu << 1)) & cb')} AS changes",
+    )
 
 
 def null_counts(docs: DataFrame) -> DataFrame:
-    """(kind, c, bin, k): how many windows of all texts score so, a histogram per task."""
-
-    def run(batches):
-        out = np.zeros((len(ENCODINGS), len(CLASSES), BINS + 1), np.int64)
-        for batch in batches:
-            for part in sliced([batch]):
-                null_histogram(part.column(0).to_pylist(), out)
-        kind, c, bin_ = np.nonzero(out)
-        columns = [pa.array(x.astype(np.int32)) for x in (kind, c, bin_)]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(out[kind, c, bin_])], names=["kind", "c", "bin", "k"])
-
-    return docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(run, "kind int, c int, bin int, k long")
+    """(kind, c, bin, k): how many windows of all texts score so, each as in `battery`."""
+    col = F.col
+    tail = lambda z: F.when(col(z).isNull(), 1e-6).otherwise(2 * _upper_tail(F.abs(z)))
+    part = lambda p: F.log(F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-12)))
+    w = _sums(_windows(docs)).select(
+        "kind", "c", "n", _chi2_tail(F.greatest(col("squares") * col("size") / col("n") - col("n"), F.lit(0.0)), col("size") - 1).alias("uniform"), (2 * col("up") * (col("n") - col("up"))).alias("product"), "changes",
+        ((col("n") * col("s2") - col("s1") * col("s1")) / col("n")).alias("variance"), (col("s1") / col("n")).alias("mean"), "s1", "lag", "ends",
+    )
+    spread = col("product") * (col("product") - col("n")) / (col("n") * col("n") * (col("n") - 1))
+    lagged = col("lag") - col("mean") * (2 * col("s1") - col("ends")) + (col("n") - 1) * col("mean") * col("mean")
+    w = w.select("kind", "c", "uniform", F.when(spread > 0, (col("changes") - col("product") / col("n")) / F.sqrt(spread)).alias("runs"), F.when(col("variance") > 0, lagged / col("variance") * F.sqrt("n")).alias("serial"))
+    w = w.select("kind", "c", _bin(_chi2_tail(-2 * (part(col("uniform")) + part(tail("runs")) + part(tail("serial"))), F.lit(6.0))).alias("bin"))
+    counts = w.groupBy("kind", "c", "bin").agg(F.count(F.lit(1)).alias("k"))
+    kinds = F.create_map(*(x for k, (alike, _, _) in _readings().items() for x in (F.lit(k), F.array(*map(F.lit, alike)))))
+    return counts.select(F.explode(F.element_at(kinds, col("kind"))).alias("kind"), "c", "bin", "k")
 
 
 def thresholds(scored: DataFrame, null: DataFrame | None = None) -> dict[tuple[int, int], int]:

@@ -166,3 +166,30 @@ def test_the_null_distribution_has_all_windows(spark):
     want = df.withColumn("bin", _bin(battery(df.t, df.kind))).groupBy("kind", "c", "bin").count().collect()
     got = null_counts(spark.createDataFrame([(t,) for t in texts], "text string")).groupBy("kind", "c", "bin").agg(F.sum("k").alias("k")).collect()
     assert {(r.kind, r.c, r.bin): r["count"] for r in want} == {(r.kind, r.c, r.bin): r.k for r in got}
+
+
+def test_windows_of_all_letters_about_the_borders_of_chunks(spark):
+    """Texts with all letters of the widest encodings, with lengths about multiples of 64 and of the windows."""
+    rng = random.Random(6)
+    letters = ENCODINGS[-1][1]
+    rows = []
+    for n in [15, 16, 17, 63, 64, 65, 79, 80, 81, 127, 128, 129, 143, 144, 145, 159, 160, 161, 209]:
+        own = "".join(rng.choices(letters, k=n)) if n % 3 else letters[-1] * (n - 5) + "_-/+Z"
+        rows.append((own, " ".join(own[i : i + 9] for i in range(0, n, 9))))
+    windows = []
+    for own, _ in rows:
+        for c, (n, _) in enumerate(CLASSES):
+            if len(own) >= n:
+                windows += [(own[i : i + n], len(ENCODINGS) - 1, c) for i in (min(j, len(own) - n) for j in range(0, len(own), n))]
+    df = spark.createDataFrame(windows, "t string, kind int, c int")
+    want = df.withColumn("bin", _bin(battery(df.t, df.kind))).groupBy("c", "bin").count().collect()
+    got = null_counts(spark.createDataFrame(rows, "own string, text string")).filter(F.col("kind") == len(ENCODINGS) - 1).collect()
+    assert {(r.c, r.bin): r["count"] for r in want} == {(r.c, r.bin): r.k for r in got}
+
+
+def test_the_null_distribution_runs_no_python(spark):
+    """DataFrame functions only, which are fused to no method that the JVM leaves uncompiled (8000 bytes of code)."""
+    plan = null_counts(spark.createDataFrame([("some words",)], "text string").cache())._jdf.queryExecution()
+    assert not re.search("Python|Pandas|Arrow", plan.executedPlan().toString())
+    stages = plan.debug().codegenToSeq()
+    assert all(stages.apply(i)._3().maxMethodCodeSize() < 8000 for i in range(stages.size()))
