@@ -21,7 +21,9 @@ from .common import stage
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+"
+#: A-Z, a-z, 0-9, +, /, _ and - one by one: Java looks them up in a table, but tries ranges one after the other.
+LETTER = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+CANDIDATE = f"(?<![{LETTER}])[{LETTER}]{{16,}}+"
 KINDS = ["assign", "access", "hex", "random"]
 #: Least length of each class, and the false-discovery rate among its reported candidates.
 CLASSES = [(16, 0.05), (20, 0.05), (24, 0.05), (32, 0.05), (48, 0.05), (80, 0.05)]
@@ -211,20 +213,21 @@ def _places() -> list[dict[str, int]]:
 
 
 def _readings() -> dict[int, tuple[list[int], str, str]]:
-    """Encoding to (encodings that read every text alike, characters, what `translate` makes of them): a letter's place
-    plus 1 as a code point, and nothing of the characters that the encoding leaves out."""
+    """Encoding to (encodings that read every text alike, characters, what `translate` makes of them): the letter's number,
+    its place plus 1, in binary-coded decimal, and nothing of the characters that the encoding leaves out."""
     places, out = _places(), {}
     for kind, own in enumerate(places):
         alike = next((k for k in out if places[k] == own), None)
         if alike is None:
-            out[kind] = ([kind], "".join([*own, *(c for c in places[-1] if c not in own)]), "".join(chr(1 + p) for p in own.values()))
+            out[kind] = ([kind], "".join([*own, *(c for c in places[-1] if c not in own)]), "".join(chr(int(str(1 + p), 16)) for p in own.values()))
         else:
             out[alike][0].append(kind)
     return out
 
 
-def _signed(bits: int) -> str:
-    return f"({bits - (1 << 64) if bits >> 63 else bits}L)"
+def _bytes(value: int) -> str:
+    """A long with the value in each of its bytes."""
+    return f"{value * 0x0101010101010101}L"
 
 
 def _unfused(name: str) -> str:
@@ -233,103 +236,183 @@ def _unfused(name: str) -> str:
     return f"transform(array({name}), x -> x)[0] AS {name}"
 
 
-def _chunks(docs: DataFrame) -> DataFrame:
-    """(kind, size, held, i, p00..p26): of every text in each encoding, without candidates, the letters 64 i to 64 i + 143 as
-    bit planes. Bit b of the letters' places plus 1 is in p0b for the first 64, p1b for the next, p2b for the last 16, the
-    first letter in the highest bit; 0 stands for no letter. size: letters of the alphabet; held: letters of the text."""
-    clean = docs.select(F.regexp_replace(F.coalesce("text", F.lit("")), f"{CANDIDATE}|[^A-Za-z0-9+/_-]+", "").alias("clean"))
-    each = [F.struct(F.lit(k).alias("kind"), F.lit(float(len(ENCODINGS[k][1]))).alias("size"), F.translate("clean", old, new).alias("own")) for k, (_, old, new) in _readings().items()]
+def _rows(docs: DataFrame) -> DataFrame:
+    """(kind, size, held, wide, last, n_own, t0..t11): of every text in each encoding, without candidates, its letters in rows
+    of 96 (wide) and again in rows of 80, as numbers from 1, one per byte, the first in the highest; 0 is no letter. A row of 96 is 12
+    blocks of 8; one of 80 is 4 times 20, each in blocks of 8, 8 and 4. The last row of either kind (last) ends with the text, and
+    is filled up from the left. size: letters of the alphabet; held: of the text; n_own: of the row."""
+    clean = docs.select(F.regexp_replace(F.coalesce("text", F.lit("")), f"{CANDIDATE}|[^{LETTER}]+", "").alias("clean"))
+    each = [F.struct(F.lit(k).alias("kind"), F.lit(len(ENCODINGS[k][1])).alias("size"), F.translate("clean", old, new).alias("own")) for k, (_, old, new) in _readings().items()]
     own = clean.select(F.explode(F.array(*each)).alias("s")).select("s.*", F.length("s.own").alias("held")).filter(F.col("held") >= CLASSES[0][0])
-    whole = F.rpad("own", F.ceil(F.col("held") / 8).cast("int") * 8, "\0").cast("binary")
-    # Eight letters a long, the first in the highest byte.
-    words = lambda o: F.transform(F.sequence(F.lit(1), F.length(o), F.lit(8)), lambda at: F.conv(F.hex(F.substring(o, at, F.lit(8))), 16, 10).cast("long"))
-    t = own.select("kind", "size", "held", let(whole, words).alias("w")).select("*", F.explode(F.expr("sequence(0, int((held - 1) div 64))")).alias("i"))
-    t = t.selectExpr("kind", "size", "held", "i", *(f"coalesce(get(w, 8 * i + {j}), 0L) AS t{j}" for j in range(18)))
-    # Each long is transposed as a matrix of 8 by 8 bits: squares of 1, 2 and 4 bits change places with their mirror images.
-    for stay, move, by in ((0xAA55AA55AA55AA55, 0x00AA00AA00AA00AA, 7), (0xCCCC3333CCCC3333, 0x0000CCCC0000CCCC, 14), (0xF0F0F0F00F0F0F0F, 0x00000000F0F0F0F0, 28)):
-        t = t.selectExpr("kind", "size", "held", _unfused("i"), *(f"(t{j} & {_signed(stay)}) | ((t{j} & {move}L) << {by}) | ((t{j} >>> {by}) & {move}L) AS t{j}" for j in range(18)))
-    plane = lambda d, b: " | ".join(f"(((t{j} >>> {8 * b}) & 255L) << {56 - 8 * (j % 8)})" for j in range(8 * d, min(8 * d + 8, 18)))
-    return t.selectExpr("kind", "size", "held", _unfused("i"), *(f"{plane(d, b)} AS p{d}{b}" for d in range(3) for b in range(PLANES)))
+    cut = lambda n: F.concat(F.regexp_extract_all("own", F.lit(f"(?s).{{1,{n}}}"), F.lit(0)), F.array(F.lpad(F.right("own", F.lit(n)), n, "\0")))
+    r = own.select("kind", "size", "held", F.explode(F.array(F.struct(F.lit(True).alias("wide"), cut(96).alias("all")), F.struct(F.lit(False).alias("wide"), cut(80).alias("all")))).alias("r"))
+    r = r.select("kind", "size", "held", "r.wide", (F.size("r.all") - 1).alias("rows"), F.posexplode_outer("r.all").alias("i", "s"))
+    r = r.select("kind", "size", "held", "wide", F.coalesce(F.col("i") == F.col("rows"), F.lit(True)).alias("last"), F.length("s").alias("n_own"), F.rpad("s", 104, "\0").cast("binary").alias("s")).filter("n_own >= if(wide, 16, 20)")
+    meta = ["kind", "size", "held", "wide", "last"]
+    # The hexadecimal digits of binary-coded decimals are decimal: 8 letters are 8 pairs of digits of a number.
+    r = r.selectExpr(*meta, "n_own", *(f"cast(hex(substring(s, if(wide, {8 * j + 1}, {20 * (j // 3) + 8 * (j % 3) + 1}), 8)) AS long) AS t{j}" for j in range(12)))
+    # Split in halves, twice; then each two bytes hold a pair of letters, which a multiplication divides by 100 everywhere at once.
+    halves = lambda t: f"(({t} div 10000) << 16) | ({t} % 10000)"
+    r = r.selectExpr(*meta, _unfused("n_own"), *(f"coalesce((({halves(f't{j} div 100000000')}) << 32) | {halves(f'(t{j} % 100000000)')}, 0L) AS t{j}" for j in range(12)))
+    low, part = 0x0000FFFF0000FFFF, 0x000000FF000000FF
+    r = r.selectExpr(*meta, "n_own", *(f"t{j}" for j in range(12)), *(f"((((t{j} & {low}L) * 5243L) >>> 19) & {part}L) | ((((((t{j} >>> 16) & {low}L) * 5243L) >>> 19) & {part}L) << 16) AS q{j}" for j in range(12)))
+    kept = lambda j: f" & if(wide, -1L, {-1 << 32}L)" if j % 3 == 2 else ""
+    return r.selectExpr(*meta, "n_own", *(f"((q{j} << 8) | (t{j} - q{j} * 100L)){kept(j)} AS t{j}" for j in range(12)))
+
+
+#: Windows in rows of 96 and of 80: (length, first block, blocks).
+_WIDE = [(n, k * n // 8, n // 8) for n in (16, 24, 32, 48) for k in range(96 // n)]
+_NARROW = [(20, 3 * k, 3) for k in range(4)] + [(80, 0, 12)]
+#: What the sum of squares of a window's numbers and the sum of the products of neighbours are multiplied with to stand in one
+#: double with their sum, and what changes between halves of the alphabet, the first and last number, the sum of squared counts
+#: and the length class are multiplied with to stand in one with how many letters are in the upper half.
+_S2, _LAG = 2**13, 2**32
+_CHANGES, _ENDS, _SQUARES, _CLASS = 2**7, 2**14, 2**22, 2**35
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Of each block the counts of its letters as bit planes k{j}_0..k{j}_3, letter 1 in the lowest bit: k{j}_0 is 1 where a letter is found
+    an odd number of times, and so on. Letters from 64 on are left out. u{j}: the bits 6 of the bytes of letters in the
+    upper half; s{j}: sums as of `_S2`."""
+    odd = lambda *x: " ^ ".join(x)
+    two = lambda x, y, z: f"(({x} & {y}) | ({z} & ({x} | {y})))"  # noqa: E731  # at least two of three
+    hot = lambda j, k: f"((((t{j} >>> {62 - 8 * k}) & 1L) ^ 1L) << int((t{j} >>> {56 - 8 * k}) & 63L)) >>> 1"
+    sums = lambda j: " + ".join(f"x{j}_{k} * (1D + {_S2}D * x{j}_{k}{f' + {_LAG}D * x{j}_{k + 1}' if k < 7 else ''})" for k in range(8))
+    has = ["kind", "size", "held", "wide", "last", *(f"t{j}" for j in range(12))]
+    step = rows.select("*", F.expr(f"CASE size {' '.join(f'WHEN {n} THEN {_bytes(63 - n // 2)}' for n in sorted({len(a) for _, a, _ in ENCODINGS}))} ELSE 0L END").alias("h"))
+    for part in (range(a, a + 2) for a in range(0, 12, 2)):
+        each = lambda f, own=part: [f(j) for j in own]
+        letters = lambda f, own=part: [f(j, k) for j in own for k in range(8)]
+        step = step.selectExpr(*has, "h", _unfused("n_own"))
+        step = step.selectExpr(*has, "h", "n_own", *letters(lambda j, k: f"double((t{j} >>> {56 - 8 * k}) & 127L) AS x{j}_{k}"))
+        step = step.selectExpr(*has, "h", "n_own", *each(lambda j: f"{sums(j)} AS s{j}"), *each(lambda j: f"(t{j} + h) & {_bytes(64)} AS u{j}"))
+        has += each(lambda j: f"s{j}") + each(lambda j: f"u{j}")
+        step = step.selectExpr(*has, "h", "n_own", *letters(lambda j, k: f"{hot(j, k)} AS x{j}_{k}"))
+        # Eight bits are added up: three and three, what is left of them and the seventh, and the eighth.
+        x = lambda j, *own: [f"x{j}_{k}" for k in own]
+        step = step.selectExpr(*has, "h", "n_own", *(y for j in part for y in (f"{odd(*x(j, 0, 1, 2))} AS a{j}", f"{two(*x(j, 0, 1, 2))} AS b{j}", f"{odd(*x(j, 3, 4, 5))} AS c{j}", f"{two(*x(j, 3, 4, 5))} AS d{j}", *x(j, 6, 7))))
+        step = step.selectExpr(*has, "h", "n_own", *(y for j in part for y in (f"a{j} ^ c{j} ^ x{j}_6 AS a{j}", f"{two(f'a{j}', f'c{j}', f'x{j}_6')} AS c{j}", f"b{j}", f"d{j}", f"x{j}_7")))
+        step = step.selectExpr(*has, "h", "n_own", *(y for j in part for y in (f"a{j} ^ x{j}_7 AS k{j}_0", f"a{j} & x{j}_7 AS a{j}", f"b{j} ^ c{j} ^ d{j} AS b{j}", f"{two(f'b{j}', f'c{j}', f'd{j}')} AS c{j}")))
+        step = step.selectExpr(*has, "h", "n_own", *(y for j in part for y in (f"k{j}_0", f"a{j} ^ b{j} AS k{j}_1", f"a{j} & b{j} AS a{j}", f"c{j}")))
+        step = step.selectExpr(*has, "h", "n_own", *(y for j in part for y in (f"k{j}_0", f"k{j}_1", f"a{j} ^ c{j} AS k{j}_2", f"a{j} & c{j} AS k{j}_3")))
+        has += [f"k{j}_{i}" for j in part for i in range(4)]
+    return step
+
+
+def _sums(blocks: DataFrame) -> DataFrame:
+    """Of each window of a row two of its sums, in arrays: see `_S2`. others: squared counts of the letters from 64 on, if a row has any."""
+    own = range(12)
+    planes = [f"k{j}_{i}" for j in own for i in range(4)]
+    meta = ["kind", "size", "held", "wide", "last"]
+    # The third block of a narrow row's windows ends with its fourth letter.
+    laid_out = lambda j, wide, narrow: f"if(wide, {wide}, {narrow})" if j % 3 == 2 else wide
+    end = lambda j: f"double({laid_out(j, f't{j} & 127L', f'(t{j} >>> 32) & 127L')})"
+    upper_end = lambda j: laid_out(j, f"u{j} & 64L", f"(u{j} >>> 32) & 64L")
+    inner = lambda j: f"(u{j} ^ (u{j} << 8)) & {laid_out(j, f'{0x4040404040404000}L', f'{0x4040400000000000}L')}"
+    step = blocks.selectExpr(
+        *meta, _unfused("n_own"), *planes, *(f"t{j}" for j in own), *(f"s{j}" for j in own),
+        *(f"double(bit_count(u{j})) + {_CHANGES}D * double(bit_count({inner(j)})) AS u{j}" for j in own),
+        *(f"{_LAG}D * {end(j)} * double(t{j + 1} >>> 56) AS v{j}" for j in own[:-1]), *(f"if(({upper_end(j)}) = (u{j + 1} >>> 56), 0D, {_CHANGES}D) AS w{j}" for j in own[:-1]),
+        *(f"{_ENDS}D * double(t{j} >>> 56) AS x{j}" for j in own), *(f"{_ENDS}D * {end(j)} AS y{j}" for j in own),
+    )
 
+    def others(at: int, n: int) -> str:
+        """In their bytes bit 6 is set, and bits 0 and 1 tell them apart."""
+        masks = {64: "t{0} & ~(t{0} << 6) & ~(t{0} << 5)", 65: "t{0} & (t{0} << 6)", 66: "t{0} & (t{0} << 5)"}
+        count = lambda m: "(" + " + ".join(f"double(bit_count({m.format(j)} & {_bytes(64)}))" for j in range(at, at + n)) + ")"
+        return " + ".join(f"{count(m)} * {count(m)}" for m in masks.values())
 
-def _windows(docs: DataFrame) -> DataFrame:
-    """All windows of the least length of each class, end to end, the last moved back so that it ends with the text:
-    (kind, size, c, n, planes a0..a6 of the first 64 letters and b0..b6 of the others, masks for pairs of neighbours (ca,
-    cb) and for the first and last letter (ea, eb))."""
-    top = lambda k: ((1 << 64) - 1) ^ ((1 << (64 - k)) - 1)
-
-    def of_class(c: int, n: int) -> str:
-        first, other = min(n, 64), max(n - 64, 0)
-        last_a, last_b = (0, 1 << (64 - other)) if other else (1 << (64 - first), 0)
-        masks = {"ma": top(first), "mb": top(other), "ca": top(64 if other else n - 1), "cb": top(max(other - 1, 0)), "ea": 1 << 63 | last_a, "eb": last_b}
-        return f"named_struct('c', {c}, 'n', {n}, {', '.join(f"'{k}', {_signed(v)}" for k, v in masks.items())})"
-
-    planes = [f"p{d}{b}" for d in range(3) for b in range(PLANES)]
-    w = _chunks(docs).selectExpr("kind", "size", "held", "i", *planes, f"explode(array({', '.join(of_class(c, n) for c, (n, _) in enumerate(CLASSES))})) AS m")
-    w = w.select("kind", "size", "held", "i", *planes, "m.*").filter("n <= held")
-    w = w.selectExpr("*", "int((64 * i + n - 1) div n * n) AS low", "int(least(64 * i + 63, held - n) div n * n) AS high")
-    starts = "concat(if(low <= high, sequence(low, high, n), array()), if(held % n > 0 AND (held - n) div 64 = i, array(held - n), array()))"
-    w = w.selectExpr("kind", "size", "c", "n", "ma", "mb", "ca", "cb", "ea", "eb", *planes, f"explode({starts}) AS s").withColumn("r", F.expr("s & 63"))
-    cut = lambda d, b: f"((p{d}{b} << r) | ((p{d + 1}{b} >>> 1) >>> (63 - r)))"
-    return w.selectExpr("kind", "size", "c", "double(n) AS n", "ca", "cb", "ea", "eb", *(f"{cut(d, b)} & m{x} AS {x}{b}" for d, x in enumerate("ab") for b in range(PLANES)))
-
-
-def _sums(windows: DataFrame) -> DataFrame:
-    """What the battery needs of each window: of its letters' places plus 1 the sum s1, the sum of squares s2, that of
-    products of neighbours (lag) and of the first and last (ends); the sum of squared counts of letters; how many are in the alphabet's
-    upper half (up) and how often that changes. All are sums of bits in ands of planes."""
-    bits = range(PLANES)
-
-    def upper_half(x: str, least: int) -> str:
-        """Places plus 1 from `least`, from the lowest bit up."""
-        out = ""
-        for b in bits:
-            out = (f"{x}{b} & ({out})" if out else f"{x}{b}") if least >> b & 1 else (f"{x}{b} | ({out})" if out else out)
-        return out
+    def window(n: int, at: int, k: int) -> tuple[str, str, str]:
+        inside, between = range(at, at + k), range(at, at + k - 1)
+        c = [least for least, _ in CLASSES].index(n)
+        sums = [*(f"s{j}" for j in inside), *(f"v{j}" for j in between)]
+        rest = [*(f"u{j}" for j in inside), *(f"w{j}" for j in between), f"x{at}", f"y{at + k - 1}", f"{c * _CLASS}D"]
+        return " + ".join(sums), " + ".join(rest), others(at, k)
 
-    def alike(x: str, part: str, own: list[int], v: int) -> str:
-        return " & ".join(f"{x}{b}" if v >> i & 1 else f"~{x}{b}" for i, b in enumerate(own)) + f" AS {x}{part}{v}"
+    windows = [[window(*w) for w in layout] for layout in (_WIDE, _NARROW)]
+    array = lambda i: "if(wide, " + ", ".join(f"array({', '.join(w[i] for w in layout)})" for layout in windows) + ")"
+    return step.selectExpr(*meta, _unfused("n_own"), *planes, f"{array(0)} AS sums", f"{array(1)} AS rest", f"if((({' | '.join(f't{j}' for j in own)}) & {_bytes(64)}) != 0, {array(2)}, null) AS others")
 
-    half = lambda x: "CASE kind " + " ".join(f"WHEN {k} THEN {upper_half(x, len(ENCODINGS[k][1]) // 2 + 1)}" for k in _readings()) + f" ELSE 0L END AS {x}u"
-    most = max(len(a) for _, a, _ in ENCODINGS)
-    groups = [alike(x, part, own, v) for x in "ab" for part, own, k in (("l", [0, 1, 2], 8), ("h", list(bits)[3:], most // 8 + 1)) for v in range(k)]
-    following = [f"(a{b} << 1) | (b{b} >>> 63) AS na{b}" for b in bits] + [f"b{b} << 1 AS nb{b}" for b in bits]
-    w = windows.selectExpr("kind", "size", "c", "n", "ca", "cb", "ea", "eb", *(f"{x}{b}" for x in "ab" for b in bits), *groups, *following, half("a"), half("b"))
-    count = lambda x: f"double(bit_count({x}))"
 
-    def total(terms: list[tuple[int, str]]) -> str:
-        """Of factors and planes, with @ for the halves a and b. Only alphabets of 64 letters and more have the highest plane."""
-        part = lambda x, own: " + ".join(f"{k}D * {count(t.replace('@', x))}" for k, t in own)
-        high = [t for t in terms if str(PLANES - 1) in t[1]]
-        one = lambda x: f"{part(x, [t for t in terms if t not in high])} + CASE WHEN size > 63D THEN {part(x, high)} ELSE 0D END"
-        return f"{one('a')} + CASE WHEN n > 64D THEN {one('b')} ELSE 0D END"
-
-    letters = [(count(f"ah{y // 8} & al{y % 8}"), count(f"bh{y // 8} & bl{y % 8}")) for y in range(1, most + 1)]
-    squares = f"{' + '.join(f'{a} * {a}' for a, _ in letters)} + CASE WHEN n > 64D THEN {' + '.join(f'{b} * (2D * {a} + {b})' for a, b in letters)} ELSE 0D END"
-    return w.selectExpr(
-        "kind", "size", "c", _unfused("n"), f"{squares} AS squares",
-        total([(1 << b, f"@{b}") for b in bits]) + " AS s1",
-        total([((1 << a + b) * (1 if a == b else 2), f"@{a} & @{b}") for a in bits for b in bits if a <= b]) + " AS s2",
-        total([(1 << a + b, f"@{a} & n@{b}") for a in bits for b in bits]) + " AS lag",
-        total([(1 << b, f"@{b} & e@") for b in bits]) + " AS ends",
-        f"{count('au')} + {count('bu')} AS up",
-        f"{count('(au ^ ((au << 1) | (bu >>> 63))) & ca')} + {count('(bu ^ (bu << 1)) & cb')} AS changes",
+def _plus(x: list[str], y: list[str], name: str) -> list[str]:
+    """The planes of the sum of two counts: addition with carry, for 64 letters at once."""
+    out, carry = [], None
+    for i, a in enumerate(x):
+        b = y[i] if i < len(y) else "0L"
+        own = [a] + ([b] if i < len(y) else []) + ([carry] if carry else [])
+        out.append(f"({' ^ '.join(own)}) AS {name}{i}")
+        carry = f"(({a} & {b}) | ({carry} & ({a} ^ {b})))" if carry and i < len(y) else f"({' & '.join(own)})"
+    return [*out, f"{carry} AS {name}{len(x)}"]
+
+
+def _windows(docs: DataFrame) -> DataFrame:
+    """All windows of the least length of each class, end to end, the last moved back so that it ends with the text:
+    (kind, size, sums, rest), both as of `_S2`."""
+    step = _sums(_blocks(_rows(docs)))
+    meta = ["kind", "size", "held", "wide", "last", "n_own", "sums", "rest", "others"]
+    planes = lambda name, n: [f"{name}{i}" for i in range(n)]
+    count = lambda x: f"double(bit_count({x}))"
+    # Of counts in planes the sum of their squares.
+    squares = lambda x, name: " + ".join([*(f"{4**i}D * {count(p)}" for i, p in enumerate(x)), *(f"{2 ** (i + j + 1)}D * {count(f'{p} & {q}')}" for i, p in enumerate(x) for j, q in enumerate(x[:i]))]) + f" AS {name}"
+    wide = lambda x: f"if(wide, {x.rsplit(' AS ', 1)[0]}, 0D) AS {x.rsplit(' AS ', 1)[1]}"
+    block = lambda j: planes(f"k{j}_", 4)
+    pairs = [0, 2, 3, 4, 6, 8, 9, 10]
+    step = step.selectExpr(*meta, *(x for j in pairs for x in _plus(block(j), block(j + 1), f"p{j}_")), *(x for j in (2, 5, 8, 11) for x in block(j)))
+    pair = lambda j: planes(f"p{j}_", 5)
+    step = step.selectExpr(
+        *meta[:5], _unfused("n_own"), *meta[6:], *(x for j in (0, 3, 6, 9) for x in _plus(pair(j), block(j + 2), f"h{j}_")[:5]), *(x for j in (0, 4, 8) for x in _plus(pair(j), pair(j + 2), f"q{j}_")),
+        *(wide(squares(pair(j), f"w16_{j}")) for j in range(0, 12, 2)),
     )
+    three, four = lambda j: planes(f"h{j}_", 5), lambda j: planes(f"q{j}_", 6)
+    step = step.selectExpr(
+        *meta[:5], _unfused("n_own"), *meta[6:], *(x for j in (0, 6) for x in _plus(three(j), three(j + 3), f"s{j}_")), *(f"w16_{j}" for j in range(0, 12, 2)),
+        *(squares(three(j), f"w24_{j}") for j in (0, 3, 6, 9)), *(wide(squares(four(j), f"w32_{j}")) for j in (0, 4, 8)),
+    )
+    six = lambda j: planes(f"s{j}_", 6)
+    done = [f"w16_{j}" for j in range(0, 12, 2)] + [f"w24_{j}" for j in (0, 3, 6, 9)] + [f"w32_{j}" for j in (0, 4, 8)]
+    step = step.selectExpr(*meta, *done, *_plus(six(0), six(6), "e"), *(wide(squares(six(j), f"w48_{j}")) for j in (0, 6)))
+    # A window counts if it ends with or before its row's letters; in a text's last rows, if it ends with the text and does not stand elsewhere.
+    stays = lambda own, full: [f"if(last, {at + k == 12} AND {n} <= held AND held % {n} > 0, {at * full // 12 + n} <= n_own)" for n, at, k in own]
+    array = lambda values, own, full: f"array({', '.join(f'if({s}, {v} + coalesce(get(others, {i}), 0D), -1D)' for i, (s, v) in enumerate(zip(stays(own, full), values, strict=True)))})"
+    squares_80 = squares(planes("e", 7), "x").rsplit(" AS ", 1)[0]
+    step = step.selectExpr(_unfused("kind"), "size", "sums", "rest", f"if(wide, {array([*done, 'w48_0', 'w48_6'], _WIDE, 96)}, {array([*(f'w24_{j}' for j in (0, 3, 6, 9)), squares_80], _NARROW, 80)}) AS squares")
+    step = step.selectExpr("kind", "size", "sums", "rest", "posexplode_outer(squares) AS (i, squares)").filter("squares >= 0D")
+    return step.selectExpr("kind", "size", "get(sums, i) AS sums", f"bigint(get(rest, i) + {_SQUARES}D * squares) AS rest")
+
+
+def _part(p: Column) -> Column:
+    return F.log(F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-12)))
 
 
 def null_counts(docs: DataFrame) -> DataFrame:
-    """(kind, c, bin, k): how many windows of all texts score so, each as in `battery`."""
+    """(kind, c, bin, k): how many windows of all texts score so, each as in `battery`. Two of the three tests depend on few
+    numbers only, and are looked up."""
     col = F.col
-    tail = lambda z: F.when(col(z).isNull(), 1e-6).otherwise(2 * _upper_tail(F.abs(z)))
-    part = lambda p: F.log(F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-12)))
-    w = _sums(_windows(docs)).select(
-        "kind", "c", "n", _chi2_tail(F.greatest(col("squares") * col("size") / col("n") - col("n"), F.lit(0.0)), col("size") - 1).alias("uniform"), (2 * col("up") * (col("n") - col("up"))).alias("product"), "changes",
-        ((col("n") * col("s2") - col("s1") * col("s1")) / col("n")).alias("variance"), (col("s1") / col("n")).alias("mean"), "s1", "lag", "ends",
-    )
+    tail = lambda z: F.when(z.isNull(), 1e-6).otherwise(2 * _upper_tail(F.abs(z)))
+    one = docs.sparkSession.range(1)
+    classes = F.array(*(F.struct(F.lit(c).cast("long").alias("c"), F.lit(float(n)).alias("n"), F.lit(n).cast("long").alias("m")) for c, (n, _) in enumerate(CLASSES)))
+    sizes = F.array(*(F.lit(float(s)) for s in sorted({len(a) for _, a, _ in ENCODINGS})))
+    own = one.select(F.inline(classes))
+    uniform = own.select("*", F.explode(sizes).alias("size")).select("c", "n", "size", F.explode(F.expr("sequence(m, m * m, 2)")).alias("squares"))
+    fit = _chi2_tail(F.greatest(col("squares").cast("double") * col("size") / col("n") - col("n"), F.lit(0.0)), col("size") - 1)
+    uniform = uniform.select((col("squares") + col("c") * (_CLASS // _SQUARES) + col("size").cast("long") * (8 * _CLASS // _SQUARES)).alias("of_squares"), _part(fit).alias("uniform"))
+    runs = own.select("*", F.explode(F.expr("sequence(0L, m)")).alias("up")).select("c", "n", "up", F.explode(F.expr("sequence(0L, m - 1)")).alias("changes"))
+    runs = runs.select("c", "n", "up", "changes", (2 * col("up").cast("double") * (col("n") - col("up"))).alias("product"))
     spread = col("product") * (col("product") - col("n")) / (col("n") * col("n") * (col("n") - 1))
+    z = F.when(spread > 0, (col("changes").cast("double") - col("product") / col("n")) / F.sqrt(spread))
+    runs = runs.select((col("up") + col("changes") * _CHANGES + col("c") * _ENDS).alias("of_runs"), _part(tail(z)).alias("runs"))
+
+    w = _windows(docs).selectExpr(
+        "kind", "int(rest >>> 35) AS c", "(rest >>> 22) | (bigint(size) << 16) AS of_squares", f"(rest & {_ENDS - 1}L) | ((rest >>> 35) << 14) AS of_runs", "double((rest >>> 14) & 255L) AS ends",
+        f"double(floor(sums / {_LAG}D)) AS lag", "sums",
+    )
+    w = w.join(F.broadcast(uniform), "of_squares").join(F.broadcast(runs), "of_runs")
+    w = w.selectExpr("kind", "c", f"double({'element_at(array(' + ', '.join(str(n) for n, _ in CLASSES) + '), c + 1)'}) AS n", "ends", "lag", "uniform", "runs", f"sums - {_LAG}D * lag AS sums")
+    w = w.selectExpr("*", f"double(floor(sums / {_S2}D)) AS s2").selectExpr("*", f"sums - {_S2}D * s2 AS s1")
+    w = w.select("*", ((col("n") * col("s2") - col("s1") * col("s1")) / col("n")).alias("variance"), (col("s1") / col("n")).alias("mean"))
     lagged = col("lag") - col("mean") * (2 * col("s1") - col("ends")) + (col("n") - 1) * col("mean") * col("mean")
-    w = w.select("kind", "c", "uniform", F.when(spread > 0, (col("changes") - col("product") / col("n")) / F.sqrt(spread)).alias("runs"), F.when(col("variance") > 0, lagged / col("variance") * F.sqrt("n")).alias("serial"))
-    w = w.select("kind", "c", _bin(_chi2_tail(-2 * (part(col("uniform")) + part(tail("runs")) + part(tail("serial"))), F.lit(6.0))).alias("bin"))
+    w = w.select("kind", "c", "uniform", "runs", F.when(col("variance") > 0, lagged / col("variance") * F.sqrt("n")).alias("serial"))
+    w = w.select("kind", "c", _bin(_chi2_tail(-2 * (col("uniform") + col("runs") + _part(tail(col("serial")))), F.lit(6.0))).alias("bin"))
     counts = w.groupBy("kind", "c", "bin").agg(F.count(F.lit(1)).alias("k"))
     kinds = F.create_map(*(x for k, (alike, _, _) in _readings().items() for x in (F.lit(k), F.array(*map(F.lit, alike)))))
     return counts.select(F.explode(F.element_at(kinds, col("kind"))).alias("kind"), "c", "bin", "k")
